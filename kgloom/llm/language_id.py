@@ -1,11 +1,12 @@
 """Language by compression: a zstandard raw-content dictionary for each language; the smallest code wins.
 
 A dictionary is cut from at most ``sample`` labelled texts of its language, ``piece`` bytes of each, so that no
-document fills it. Texts are coded whole, in windows of ``window`` bytes. Where the two best languages' sizes differ
+document fills it. Of a text all letters count, lower-cased, and one blank for each run of other characters; they are
+coded whole, in windows of ``window`` bytes. Where the two best languages' sizes differ
 by less than ``min_margin`` of the text's size the row is marked rejected, as are texts that are null or without a letter.
 
-Texts count lower-cased. Ties go to the language that sorts first. Null languages and ids don't train; without any
-learned language every row is ``und``. The column added by the caller's table under one of the result's names is
+Ties go to the language that sorts first. Null languages and ids don't train; without any
+learned language every row is ``und``. A column of the input under one of the result's names is
 replaced; other extra columns stay. An empty table gives no rows.
 """
 
@@ -20,31 +21,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .compression import Coder, byte_windows
+from .compression import WORDS, Coder, byte_windows
 
 
-def train(rows: list[tuple[str, str]], dict_bytes: int = 64 << 10, piece: int = 1024) -> dict[str, bytes]:
+def letters(text: str) -> bytes:
+    return f" {' '.join(WORDS.findall(text.lower()))} ".encode()
+
+
+def train(rows: list[tuple[str, str]], dict_bytes: int = 32 << 10, piece: int = 1024) -> dict[str, bytes]:
     """Dictionary content by language, from (language, text) rows."""
     out: dict[str, bytes] = {}
     for lang in sorted({x for x, _ in rows}):
-        texts = sorted({t for x, t in rows if x == lang}, key=lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")))
+        texts = sorted({letters(t) for x, t in rows if x == lang}, key=xxhash.xxh64_intdigest)
         got, at = [], 0
         while sum(map(len, got)) < dict_bytes and any(len(t) > at for t in texts):
-            got += [t[at : at + piece].lower().encode("utf-8", "surrogatepass") for t in texts if len(t) > at]
+            got += [t[at : at + piece] for t in texts if len(t) > at]
             at += piece
         out[lang] = b"".join(got)[:dict_bytes] or b"        "
     return out
 
 
 class Identifier:
-    def __init__(self, content: dict[str, bytes], window: int = 2048, level: int = 1):
+    def __init__(self, content: dict[str, bytes], window: int = 2048, level: int = 5):
         self.coders, self.window = {k: Coder(v.ljust(8), level) for k, v in sorted(content.items())}, window
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """Language, score, and the margin of the best to the next as a part of the text's size."""
-        if not text or not self.coders or not any(c.isalpha() for c in text):
+        if not text or not self.coders or not WORDS.search(text):
             return "und", 0.0, 0.0
-        raw = text.lower().encode("utf-8", "surrogatepass")
+        raw = letters(text)
         windows = byte_windows(raw, self.window)
         sizes = {k: sum(c.lengths(windows)) for k, c in self.coders.items()}
         best = min(sizes, key=lambda k: (sizes[k], k))
@@ -67,11 +72,11 @@ def sample_rows(docs: DataFrame, folds: int, held: int, sample: int, sample_char
     return [(r["lang"], r["text"]) for r in ranked.select("lang", "text").collect()]
 
 
-def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = 200, sample_chars: int = 20_000, max_languages: int = 64, min_margin: float = 0.002) -> DataFrame:
+def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = 200, sample_chars: int = 20_000, max_languages: int = 64, min_margin: float = 0.0005) -> DataFrame:
     """docs with held_out, lang_pred, score, margin and rejected."""
     spark = common.tune(docs.sparkSession)
     content = train(sample_rows(docs, folds, held, sample, sample_chars, max_languages))
-    sent = spark.sparkContext.broadcast(content)  # 64 KB a language, 64 languages at most
+    sent = spark.sparkContext.broadcast(content)  # 32 KB a language, 64 languages at most
     made: list[Identifier] = []
     new = ("held_out", "lang_pred", "score", "margin", "rejected")
     names = [c for c in docs.columns if c not in new]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language_id, line_dedup, packing, toxicity, wavelet
+from . import common, decontamination, language_id, line_dedup, packing, sharding, toxicity, wavelet
 
 
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_wavelet_tokens, op3_toxicity, op7_language_id, op8_line_dedup, op10_best_fit_packing)}
+
+def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_wavelet_tokens, op3_toxicity, op7_language_id, op8_line_dedup, op9_kd_sharding, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
