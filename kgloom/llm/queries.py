@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, language_id, line_dedup, packing, sharding, toxicity, wavelet
+from . import common, decontamination, language_id, license_scan, line_dedup, packing, sharding, toxicity, wavelet
 
 
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +40,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(common.table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_wavelet_tokens, op3_toxicity, op7_language_id, op8_line_dedup, op9_kd_sharding, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_wavelet_tokens, op3_toxicity, op5_license_scan, op7_language_id, op8_line_dedup, op9_kd_sharding, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
