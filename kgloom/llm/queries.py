@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, jaccard_join, language_id, license_scan, line_dedup, packing, sharding, toxicity, wavelet
+from . import common, decontamination, jaccard_join, language_id, license_scan, line_dedup, packing, sharding, toxicity, vptree, wavelet
 
 
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op4_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(common.table(spark, sf_dir, "embeddings"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(common.table(spark, sf_dir, "documents")).drop("found")
 
@@ -52,5 +56,5 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_wavelet_tokens, op3_toxicity, op5_license_scan, op6_jaccard_join, op7_language_id, op8_line_dedup, op9_kd_sharding, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_wavelet_tokens, op3_toxicity, op4_vp_trees, op5_license_scan, op6_jaccard_join, op7_language_id, op8_line_dedup, op9_kd_sharding, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
