@@ -1 +1,58 @@
-"""."""
+"""Column functions: names, ids, JSON properties."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def normalize_name(name: Column) -> Column:
+    """Lower-case kebab form: blanks and underscores become hyphens, camel humps are split, runs of hyphens collapse."""
+    dashed = F.regexp_replace(F.translate(name, "_ ", "--"), "([a-z0-9])([A-Z])", "$1-$2")
+    return F.regexp_replace(F.regexp_replace(F.lower(dashed), "-+", "-"), "^-+|-+$", "")
+
+
+def _digest(prefix: str, glue: str, length: int, *parts: Column) -> Column:
+    text = F.concat_ws(glue, *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    return F.concat(F.lit(prefix), F.substring(F.sha2(text, 256), 1, length))
+
+
+def observed_entity_id(source_type: Column, source_id: Column, kind: Column, name: Column, namespace: Column) -> Column:
+    return _digest("ent_", "\x1f", 32, source_type, source_id, kind, name, namespace)
+
+
+def observed_relationship_id(kind: Column, from_id: Column, to_id: Column, source_type: Column) -> Column:
+    return _digest("rel_", "\x1f", 32, kind, from_id, to_id, source_type)
+
+
+def stored_entity_id(kind: Column, name: Column, namespace: Column) -> Column:
+    return _digest("ent_", "|", 24, kind, name, namespace)
+
+
+def stored_relationship_id(kind: Column, from_id: Column, to_id: Column) -> Column:
+    return _digest("rel_", "|", 24, kind, from_id, to_id)
+
+
+def pipeline_relationship_id(kind: Column, from_id: Column, to_id: Column, source_type: Column) -> Column:
+    source = F.when(F.coalesce(source_type, F.lit("")) == "", "inferred").otherwise(source_type)
+    return _digest("rel_", "|", 24, kind, from_id, to_id, source)
+
+
+def json_text(properties: Column, key: str) -> Column:
+    """A property as text; null and empty are null."""
+    return F.nullif(F.get_json_object(properties, f"$.{key}"), F.lit(""))
+
+
+def json_true(properties: Column, key: str) -> Column:
+    return F.coalesce(F.get_json_object(properties, f"$.{key}") == "true", F.lit(False))
+
+
+def diagram_id(name: Column) -> Column:
+    """A node id that a diagram accepts."""
+    return F.regexp_replace(name, "[^A-Za-z0-9_]", "_")
+
+
+def quoted_hint(question: Column) -> Column:
+    """The first non-empty text between backquotes, else between double quotes."""
+    back = F.nullif(F.trim(F.regexp_extract(question, "`([^`]*)`", 1)), F.lit(""))
+    return F.coalesce(back, F.nullif(F.trim(F.regexp_extract(question, '"([^"]*)"', 1)), F.lit("")))

@@ -26,3 +26,12 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _shipped.add(app)
     return spark
+
+
+def cut(df):
+    """df checkpointed in the shared folder the session names: ends a loop's growing lineage, survives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="kgloom-"))
+    return df.checkpoint()
