@@ -14,7 +14,7 @@ items with null id mark words but aren't listed; rows with one doc_id are kept a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -22,7 +22,7 @@ from . import common
 WINDOW, GRAM = 10, 5
 
 
-def words_of(text: F.Column) -> F.Column:
+def words_of(text: Column) -> Column:
     return F.regexp_extract_all(common.ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(common.WORD), F.lit(0))
 
 

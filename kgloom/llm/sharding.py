@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -24,20 +24,29 @@ from . import common
 DIMENSIONS = ("first_id", "bytes", "mix")
 
 
-def _heavy_parts(groups: DataFrame, shards: int, target: float, heavy: float) -> tuple[list[tuple], list[float]]:
-    """(group, part, parts, shard) of the heavy groups, and each shard's bytes of them."""
-    rows = groups.where(F.col("weight") > heavy * target).select("group", "weight").collect()  # under shards / heavy rows
+def _heavy_parts(groups: DataFrame, rows: DataFrame, shards: int, target: float, heavy: float) -> tuple[list[tuple], list[float]]:
+    """(group, part, parts, shard) of the heavy groups, and each shard's bytes of them. A group larger than a shard is cut
+    into parts by a hash of the row. There are fewer than shards / heavy groups, and about as many parts at most."""
+    found = groups.where(F.col("weight") > heavy * target).select("group", "weight").collect()
+    parts = {r["group"]: 1 if r["weight"] <= target else min(int(r["weight"] / (heavy * target)) + 1, int(shards / heavy)) for r in found}
+    weights = [(float(r["weight"]), r["group"], 0) for r in found if parts[r["group"]] == 1]
+    if cut := [(g, n) for g, n in parts.items() if n > 1]:
+        table = F.broadcast(rows.sparkSession.createDataFrame(cut, "group string, parts int"))
+        sums = rows.join(table, "group").groupBy("group", _part().alias("part")).agg(F.sum("size").alias("w")).collect()
+        weights += [(float(r["w"]), r["group"], r["part"]) for r in sums]
     load = [(0.0, s) for s in range(shards)]
     out = []
-    for r in sorted(rows, key=lambda r: (-r["weight"], r["group"])):
-        parts = 1 if r["weight"] <= target else -(-int(r["weight"]) // max(1, int(heavy * target)))
-        for p in range(parts):
-            have, s = heapq.heappop(load)
-            out.append((r["group"], p, parts, s))
-            heapq.heappush(load, (have + r["weight"] / parts, s))
+    for w, g, p in sorted(weights, key=lambda x: (-x[0], x[1], x[2])):
+        have, s = heapq.heappop(load)
+        out.append((g, p, parts[g], s))
+        heapq.heappush(load, (have + w, s))
     return out, [w for w, _ in sorted(load, key=lambda x: x[1])]
 
 
+def _part() -> Column:
+    return F.pmod(F.hash("doc_id"), F.col("parts"))
+
+
 def assign_shards(docs: DataFrame, shards: int = 8, heavy: float = 0.005, tolerance: float = 0.0005, bins: int = 4096, slot_rows: int = 200_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row. shards: a power of two."""
     if shards < 1 or shards & (shards - 1):
@@ -49,7 +58,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, heavy: float = 0.005, tolera
     whole = groups.agg(F.sum("weight"), F.count("*"), *[f(d) for d in DIMENSIONS for f in (F.min, F.max)]).first()
     total = float(whole[0] or 0)
     target = total / shards
-    placed, extra = _heavy_parts(groups, shards, target, heavy)
+    placed, extra = _heavy_parts(groups, rows, shards, target, heavy)
     light = groups.where(F.col("weight") <= heavy * target)
     span = {d: max(1, (whole[3 + 2 * i] or 0) - (whole[2 + 2 * i] or 0)) for i, d in enumerate(DIMENSIONS)}
     # a node is a run of shards; its groups are those that its ancestors' cuts leave it
@@ -101,7 +110,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, heavy: float = 0.005, tolera
     if placed:
         heavy_rows = spark.createDataFrame([(g, p, n, s) for g, p, n, s in placed], "group string, part int, parts int, home int")
         count = heavy_rows.groupBy("group").agg(F.first("parts").alias("parts"))
-        tagged = rows.join(F.broadcast(count), "group", "left").withColumn("part", F.coalesce(F.pmod(F.hash("doc_id"), "parts"), F.lit(0)))
+        tagged = rows.join(F.broadcast(count), "group", "left").withColumn("part", F.coalesce(_part(), F.lit(0)))
         dealt = tagged.join(F.broadcast(heavy_rows.drop("parts")), ["group", "part"], "left").select("doc_id", "size", "text_crc32", "group", "home")
         big = dealt.where("home IS NOT NULL").withColumnRenamed("home", "shard").drop("group")
         found = dealt.where("home IS NULL").drop("home").join(homes, "group").drop("group").unionByName(big)

@@ -168,7 +168,7 @@ _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa
 _HIT_SQL = "query_id long, vec_id long, score double"
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 0.25, sample: int = 8192, shard_rows: int = 4096, query_rows: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 0.3, sample: int = 8192, shard_rows: int = 4096, query_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score for queries with vec_id divisible by ``every``."""
     spark = common.tune(vectors.sparkSession)
     all_ = usable(vectors)
