@@ -78,7 +78,7 @@ def validate_relationships(spark, d):
     return records.observed_relationship_errors(c).select("from_id", "to_id", "type", "error_field")
 
 
-@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'type' WHEN s_suppkey % 5 = 1 THEN 'valid_to' WHEN s_acctbal < 0 THEN 'confidence' END AS error_field FROM supplier")
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'type' WHEN s_acctbal < 0 THEN 'confidence' WHEN s_suppkey % 5 = 1 THEN 'valid_to' END AS error_field FROM supplier")
 def validate_stored(spark, d):
     s, t = derived.table(spark, d, "supplier"), F.lit("2024-01-01").cast("timestamp")
     rows = s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 5 == 0, "NOPE").otherwise("SERVICE").alias("type"), F.col("s_name").alias("canonical_name"), F.lit("ns").alias("namespace"), (F.col("s_acctbal") / 20000).alias("confidence"), t.alias("valid_from"), F.when(F.col("s_suppkey") % 5 == 1, t - F.expr("INTERVAL 1 DAY")).alias("valid_to"), F.lit("{}").alias("properties"))
@@ -488,9 +488,10 @@ def entry_points(spark, d):
     return graph.entry_points(derived.services(spark, d), derived.calls(spark, d))
 
 
-@query("SELECT id FROM tables_ WHERE id NOT IN (SELECT to_id FROM accesses)")
+@query("SELECT 'cust-' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def orphans(spark, d):
-    return graph.orphans(derived.tables(spark, d), derived.accesses(spark, d))
+    people = derived.table(spark, d, "customer").select(F.concat(F.lit("cust-"), "c_custkey").alias("id"), F.lit("DEVELOPER").alias("type"))
+    return graph.orphans(people, derived.table(spark, d, "orders").select(F.concat(F.lit("cust-"), "o_custkey").alias("to_id")))
 
 
 @query(f"SELECT DISTINCT from_id AS id FROM calls WHERE to_id = {BUSIEST} AND from_id <> to_id")
