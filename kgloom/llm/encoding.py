@@ -45,7 +45,7 @@ def _visible() -> dict[int, str]:
 
 class Encoder:
     #: Latin-1 bytes cut at once, and distinct pre-tokens kept; then the table starts anew.
-    CHUNK, KEPT = 1 << 20, 1_000_000
+    CHUNK, KEPT = 1 << 19, 500_000
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)

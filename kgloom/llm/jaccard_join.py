@@ -10,7 +10,7 @@
    is one component. Keys whose classes still lie in several components go on: after ``star_rounds`` rounds all their
    pairs from different components that pass the length and positional filters are compared, so no link that would
    join two components is lost, and a group of many near copies makes few pairs.
-4. Pairs are counted fragment by fragment of the global hash order, and the partial overlaps summed per pair.
+4. A pair is counted fragment by fragment of the global hash order, and the partial overlaps summed.
 
 A class id is 128 bits. Shingles are 64-bit hashes: two different ones meet with a chance of about 10^-19 a pair.
 Null or wordless text: empty set, linked with nothing. Null doc_id: as its own row, component null. Rows with one doc_id
@@ -81,6 +81,7 @@ _COUNT = pa.schema([("batch", pa.int64()), ("docs", pa.int32()), ("counts", pa.b
 
 def _count(group: pa.Table) -> pa.Table:
     """For each batch, how many of its documents' shingles here stand in other batches."""
+    common.release()  # what the group before held
     rows = group.to_pylist()
     pieces = [r for r in rows if r["meta"] is None]
     values = [np.frombuffer(r["values"], "<u4") for r in pieces]
@@ -139,103 +140,138 @@ def tally_documents(docs: DataFrame, k: int) -> DataFrame:
                 sets = _sets(batch, k)
                 yield _pieces(sets, at + seq, fragments, _meta(batch.column("doc_id").to_pylist(), sets, [_class(s) for s in sets]))
 
-    return _tallied(docs.mapInArrow(cut, _PIECE_SQL))
+    return _tallied(docs.mapInArrow(common.lean(cut), _PIECE_SQL))
 
 
-_SET_SQL = "cls binary, n long, part int, shingles binary"
-_SET = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("part", pa.int32()), ("shingles", pa.binary())])
+_SET_SQL = "cls binary, n long, shingles binary"
+_SET = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary())])
+
+
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of those whose doc_id isn't among ids: a bitmap of hashes, of at most 4 MB whatever their number."""
+    bits = 1 << max(16, min(25, (16 * ids.count()).bit_length()))
+    slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h")).groupBy(F.expr("cast(shiftright(h, 6) as int)").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63L as int))")).alias("bits")).collect()
+    table = np.zeros(bits // 64, np.int64)
+    table[[r["slot"] for r in slots]] = [r["bits"] for r in slots]
+    sent = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(sent.value, np.uint64)
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            yield batch.filter(pa.array(words[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1) == 1)).select(["doc_id", "text"])
+
+    hashed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h"))
+    return hashed.mapInArrow(common.lean(keep), "doc_id long, text string")
 
 
 def class_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """The sets of the classes' first documents, each in PARTS fragments of the hash order."""
+    """The sets of the classes' first documents. Texts of other documents are left out before the shuffle."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c, s) for c, s in zip(batch.column("cls").to_pylist(), _sets(batch, k), strict=True) if _class(s) == c]
-            edges = [np.searchsorted(s, np.array([(p << 64) // PARTS for p in range(1, PARTS)], np.uint64)).tolist() for _, s in rows]
-            out = [(c, len(s), p, s[a:b].astype("<u8").tobytes()) for (c, s), e in zip(rows, edges, strict=True) for p, (a, b) in enumerate(zip([0, *e], [*e, len(s)], strict=True))]
-            cls, n, part, blob = zip(*out, strict=True) if out else ((), (), (), ())
-            yield common.record(_SET, cls=cls, n=n, part=part, shingles=blob)
+            rows = [(c, len(s), s.astype("<u8").tobytes()) for c, s in zip(batch.column("cls").to_pylist(), _sets(batch, k), strict=True) if _class(s) == c]
+            cls, n, blob = zip(*rows, strict=True) if rows else ((), (), ())
+            yield common.record(_SET, cls=cls, n=n, shingles=blob)
 
-    chosen = docs.join(reps.select(F.col("first").alias("doc_id"), "cls"), "doc_id")
-    return chosen.select("doc_id", "text", "cls").mapInArrow(cut, _SET_SQL)
+    ids = reps.select(F.col("first").alias("doc_id"), "cls")
+    return _likely(docs, ids).join(ids, "doc_id").select("doc_id", "text", "cls").mapInArrow(common.lean(cut), _SET_SQL)
 
 
 def _need(n):
     return F.ceil(F.lit(3) * n / F.lit(4))
 
 
-def tally_classes(sets: DataFrame) -> DataFrame:
-    """For each class and part: its shingles of document frequency 2 and more among classes, with the frequencies."""
-    schema = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary()), ("df", pa.binary())])
-    fine = _fragments(sets)
+_KEYS_SQL = "key long, cls binary, n long, alone long, place long"
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("fragment", pa.int32()), ("cls", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary())])
-        for batch in batches:
-            rows = []
-            for c, n, b in zip(batch.column("cls").to_pylist(), batch.column("n").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                if not b:
-                    continue
-                s = np.frombuffer(b, "<u8")
-                part = ((s >> np.uint64(32)) * np.uint64(fine) >> np.uint64(32)).astype(np.int64)
-                edge = np.flatnonzero(np.diff(part, prepend=-1))
-                rows += [(int(part[a]), c, n, s[a:z].tobytes()) for a, z in zip(edge, np.append(edge[1:], len(s)), strict=True)]
-            f, c, n, s = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield common.record(out, fragment=f, cls=c, n=n, shingles=s)
 
-    def count(group: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b, "<u8") for b in group.column("shingles").to_pylist()]
-        values, df = np.unique(np.concatenate(blobs), return_counts=True)
-        sizes = np.array([len(b) for b in blobs])
-        every = np.concatenate(blobs)
-        times = df[np.searchsorted(values, every)]
-        keep = times > 1
-        cut = np.concatenate([[0], np.cumsum(np.add.reduceat(keep, np.concatenate([[0], np.cumsum(sizes)[:-1]])))])
-        every, times = every[keep].astype("<u8"), times[keep].astype("<u4")
-        return pa.table({"cls": group.column("cls"), "n": group.column("n"), "shingles": [every[a:z].tobytes() for a, z in zip(cut, cut[1:])], "df": [times[a:z].tobytes() for a, z in zip(cut, cut[1:])]}, schema=schema)
+def prefix_keys(sets: DataFrame) -> DataFrame:
+    """key, cls, n, alone, place: of each class the first n - need + 1 shingles in the global order, without those (alone)
+    that no other class holds, which come first.
 
-    dealt = sets.mapInArrow(deal, "fragment int, cls binary, n long, shingles binary")
-    return dealt.groupBy("fragment").applyInArrow(count, "cls binary, n long, shingles binary, df binary")
+    Fragments count the classes of each shingle; what they find comes back by batch, not by class."""
+    fragments = _fragments(sets)
+    piece = pa.schema([("fragment", pa.int32()), ("batch", pa.int64()), ("classes", pa.binary()), ("sizes", pa.binary()), ("values", pa.binary()), ("per", pa.binary())])
+    tally = pa.schema([("batch", pa.int64()), ("classes", pa.binary()), ("sizes", pa.binary()), ("values", pa.binary()), ("per", pa.binary()), ("df", pa.binary())])
+    keys = pa.schema([("key", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("alone", pa.int64()), ("place", pa.int64())])
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for seq, batch in enumerate(common.slices(batches, 500)):
+            blobs = [np.frombuffer(b, "<u8") for b in batch.column("shingles").to_pylist()]
+            if not blobs:
+                continue
+            owner, h = np.repeat(np.arange(len(blobs)), [len(b) for b in blobs]), np.concatenate(blobs)
+            part = ((h >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            h, owner = h[order], owner[order]
+            edge = np.searchsorted(part[order], np.arange(fragments + 1))
+            used = [f for f in range(fragments) if edge[f] < edge[f + 1]]
+            classes, sizes = b"".join(batch.column("cls").to_pylist()), np.array(batch.column("n").to_pylist(), "<i8").tobytes()
+            yield common.record(
+                piece, fragment=used, batch=[at + seq] * len(used), classes=[classes if k == 0 else None for k in range(len(used))], sizes=[sizes if k == 0 else None for k in range(len(used))],
+                values=[h[edge[f] : edge[f + 1]].astype("<u8").tobytes() for f in used], per=[np.bincount(owner[edge[f] : edge[f + 1]], minlength=len(blobs)).astype("<u4").tobytes() for f in used],
+            )
 
-def prefix_keys(tallied: DataFrame) -> DataFrame:
-    """key, cls, n, place: each class's first n - need + 1 shingles in the global order that another class holds."""
-    schema = pa.schema([("key", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("place", pa.int64())])
+    def count(group: pa.Table) -> pa.Table:
+        common.release()
+        rows = group.to_pylist()
+        values = [np.frombuffer(r["values"], "<u8") for r in rows]
+        known, df = np.unique(np.concatenate(values), return_counts=True)
+        known, df = known[df > 1], df[df > 1]
+        out = []
+        for r, v in zip(rows, values, strict=True):
+            at = np.searchsorted(known, v)
+            keep = at < len(known)
+            keep[keep] = known[at[keep]] == v[keep]
+            per = np.frombuffer(r["per"], "<u4")
+            owner = np.repeat(np.arange(len(per)), per)[keep]
+            out.append((r["batch"], r["classes"], r["sizes"], v[keep].tobytes(), np.bincount(owner, minlength=len(per)).astype("<u4").tobytes(), df[at[keep]].astype("<u4").tobytes()))
+        batch, classes, sizes, v, per, d = zip(*out, strict=True)
+        return pa.table({"batch": batch, "classes": classes, "sizes": sizes, "values": v, "per": per, "df": d}, schema=tally)
 
     def pick(group: pa.Table) -> pa.Table:
-        n, cls = group.column("n")[0].as_py(), group.column("cls")[0].as_py()
-        s = np.frombuffer(b"".join(group.column("shingles").to_pylist()), "<u8")
-        df = np.frombuffer(b"".join(group.column("df").to_pylist()), "<u4")
-        alone = n - len(s)  # these come first in the order
-        most = n - (3 * n + 3) // 4 + 1 - alone
-        if most <= 0:
-            return schema.empty_table()
-        first = np.lexsort((s, df))[:most]
-        return pa.table({"key": s[first].astype(np.uint64).view(np.int64), "cls": [cls] * len(first), "n": [n] * len(first), "place": alone + np.arange(len(first))}, schema=schema)
-
-    return tallied.groupBy("cls").applyInArrow(pick, "key long, cls binary, n long, place long")
+        common.release()
+        rows = group.to_pylist()
+        first = next(r for r in rows if r["classes"] is not None)
+        sizes = np.frombuffer(first["sizes"], "<i8")
+        h = np.concatenate([np.frombuffer(r["values"], "<u8") for r in rows])
+        df = np.concatenate([np.frombuffer(r["df"], "<u4") for r in rows])
+        owner = np.concatenate([np.repeat(np.arange(len(sizes)), np.frombuffer(r["per"], "<u4")) for r in rows])
+        order = np.lexsort((h, df, owner))
+        h, owner = h[order], owner[order]
+        held = np.bincount(owner, minlength=len(sizes))
+        alone = sizes - held
+        place = np.arange(len(h)) - (np.cumsum(held) - held)[owner] + alone[owner]
+        near = place < (sizes - (3 * sizes + 3) // 4 + 1)[owner]
+        owner, place = owner[near], place[near]
+        names = [first["classes"][16 * i : 16 * i + 16] for i in range(len(sizes))]
+        return pa.table({"key": h[near].view(np.int64), "cls": [names[i] for i in owner.tolist()], "n": sizes[owner], "alone": alone[owner], "place": place}, schema=keys)
+
+    counted = sets.mapInArrow(common.lean(deal), "fragment int, batch long, classes binary, sizes binary, values binary, per binary").groupBy("fragment").applyInArrow(count, "batch long, classes binary, sizes binary, values binary, per binary, df binary")
+    return counted.groupBy("batch").applyInArrow(pick, _KEYS_SQL)
 
 
 def count_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among pairs (a, b): partial overlaps of each part, summed."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("na", pa.int64()), ("nb", pa.int64()), ("overlap", pa.int64())])
+    """Links among pairs (a, b): the overlaps of the PARTS fragments of the hash order, counted one by one and summed."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    edges = np.array([(p << 64) // PARTS for p in range(1, PARTS)], np.uint64)
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            linked = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
                 u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.sort(np.concatenate([u, v]), kind="stable")
-                found.append(int((both[1:] == both[:-1]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(found, pa.int64())], schema=schema)
+                total = 0
+                for one, two in zip(np.split(u, np.searchsorted(u, edges)), np.split(v, np.searchsorted(v, edges)), strict=True):
+                    both = np.sort(np.concatenate([one, two]), kind="stable")
+                    total += int((both[1:] == both[:-1]).sum())
+                linked.append(100 * total >= 75 * (len(u) + len(v) - total))
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], schema=schema)
 
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), "part", F.col("shingles").alias("sa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "part", F.col("shingles").alias("sb"))
-    rows = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", "sa", "sb")
-    partial = rows.mapInArrow(overlap, "a binary, b binary, na long, nb long, overlap long")
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return summed.where("100 * overlap >= 75 * (na + nb - overlap)").select("a", "b")
+    left, right = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(common.lean(overlap), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -261,28 +297,41 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("cls"), F.col("b").alias("comp")).unionByName(roots)
 
 
-def class_components(sets: DataFrame, star_rounds: int = 2) -> DataFrame:
-    """cls, comp for the classes that link with another."""
-    keys = common.saved(prefix_keys(tally_classes(sets)), "keys")
+#: What a pair must pass: sizes that allow 75 %, and enough shingles that others hold too.
+_FITS = "4 * least(nx, ny) >= 3 * greatest(nx, ny) AND least(nx - ax, ny - ay) >= ceil(3 * (nx + ny) / 7)"
+
+
+def class_components(sets: DataFrame, star_rounds: int = 3) -> DataFrame:
+    """cls, comp for the classes that link with another.
+
+    A key's leader is the class with the smallest share of shingles of its own, which links with most; in later rounds it
+    comes from the key's largest component, so that only classes outside are compared."""
+    keys = common.saved(prefix_keys(sets), "keys")
     links, comps = None, None
     for turn in range(star_rounds + 1):
-        live = keys.withColumn("comp", F.col("cls")) if comps is None else keys.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        if comps is not None:
-            open_ = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            live = common.saved(live.join(open_, "key"), "open")
+        if comps is None:
+            live = keys.withColumn("comp", F.col("cls"))
+        else:
+            tagged = keys.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+            open_ = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            live = common.saved(tagged.join(open_, "key"), "open")
             if live.isEmpty():
                 break
         if turn < star_rounds:
-            order = F.xxhash64("cls", F.lit(turn))
-            lead = live.groupBy("key").agg(F.min_by(F.struct("cls", "comp", "n"), F.struct(order, "cls")).alias("lead"))
-            pairs = live.join(lead, "key").where("comp <> lead.comp").select(F.col("lead.cls").alias("x"), F.col("cls").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"))
+            central = F.struct(F.floor(F.col("alone") * 32 / F.col("n")).alias("share"), F.xxhash64("cls", F.lit(turn)).alias("order"), "cls")
+            best = F.min_by(F.struct("cls", "comp", "n", "alone"), central)
+            if turn == 0:
+                lead = live.groupBy("key").agg(best.alias("lead"))
+            else:
+                sizes = live.groupBy("key", "comp").agg(F.count("*").alias("size"), best.alias("lead"))
+                lead = sizes.groupBy("key").agg(F.max_by("lead", F.struct("size", "comp")).alias("lead"))
+            pairs = live.join(lead, "key").where("comp <> lead.comp").select(F.col("lead.cls").alias("x"), F.col("cls").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"), F.col("lead.alone").alias("ax"), F.col("alone").alias("ay"))
         else:
-            one, two = (live.select("key", F.col("cls").alias(a), F.col("comp").alias("c" + a), F.col("n").alias("n" + a), F.col("place").alias("p" + a)) for a in "xy")
-            fits = "1 + least(nx - px, ny - py) - 1 >= ceil(3 * (nx + ny) / 7)"
-            pairs = one.join(two, "key").where(f"cx <> cy AND x < y AND 4 * least(nx, ny) >= 3 * greatest(nx, ny) AND {fits}")
-        pairs = pairs.where("4 * least(nx, ny) >= 3 * greatest(nx, ny)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            one, two = (live.select("key", F.col("cls").alias(a), F.col("comp").alias("c" + a), F.col("n").alias("n" + a), F.col("place").alias("p" + a), F.col("alone").alias("a" + a)) for a in "xy")
+            pairs = one.join(two, "key").where(f"cx <> cy AND x < y AND least(nx - px, ny - py) >= ceil(3 * (nx + ny) / 7) AND {_FITS}")
+        pairs = pairs.where(_FITS).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = common.saved(count_pairs(pairs, sets), "found")
-        links = found if links is None else common.saved(links.unionByName(found).distinct(), "links")
+        links = found if links is None else links.unionByName(found)
         comps = common.saved(components(links), "comps")
     return comps
 

@@ -91,4 +91,4 @@ def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, sample: in
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names=[*names, "lang_pred", "score", "margin"])
 
     held_out = F.coalesce(common.id_bucket(F.col("doc_id").cast("long"), folds) == held, F.lit(False))
-    return docs.mapInArrow(run, schema).withColumns({"held_out": held_out, "rejected": (F.col("lang_pred") == "und") | (F.col("margin") < min_margin)})
+    return docs.mapInArrow(common.lean(run), schema).withColumns({"held_out": held_out, "rejected": (F.col("lang_pred") == "und") | (F.col("margin") < min_margin)})

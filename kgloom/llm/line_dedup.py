@@ -121,7 +121,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
             h1, h2 = _halves(hashes)
             yield common.record(schema, h1=h1.view(np.int64), h2=h2.view(np.int64), doc_id=ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), "h1 long, h2 long, doc_id long")
 
 
 def build_index(docs: DataFrame, min_chars: int = 10, shard_keys: int = 250_000) -> tuple[DataFrame, int, int]:
@@ -188,7 +188,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, broadcast_keys: int = 2_00
             out = {c: batch.column(c) for c in names} | {"text": pa.array(kept), "n_lines": pa.array([len(x) for x, _ in split], pa.int64()), "n_dropped": pa.array([len(g) for g in gone], pa.int64())}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(common.lean(run), schema)
 
 
 def _dropped(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, salt_rows: int) -> DataFrame:

@@ -46,7 +46,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(upto, prepend=0)
 
 
-def shingle_sets(texts: list[bytes], k: int, chunk: int = 1 << 20) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], k: int, chunk: int = 1 << 18) -> list[np.ndarray]:
     """Each text's distinct k-word shingles, sorted; fewer words make one shingle, none no shingle."""
     out: list[np.ndarray] = []
     at = 0

@@ -140,5 +140,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(score, "doc_id long, score double")
+    out = rows.mapInArrow(common.lean(score), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(common.id_bucket(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -193,7 +193,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 0.
             leaf = np.array([place[n] for n in sent.value.route(x).tolist()], np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), b.column("vec_id"), b.column("v")], names=["leaf", "vec_id", "v"])
 
-    dealt = common.saved(same.mapInArrow(deal, "leaf int, vec_id long, v array<double>"), "dealt")
+    dealt = common.saved(same.mapInArrow(common.lean(deal), "leaf int, vec_id long, v array<double>"), "dealt")
     counts = {r["leaf"]: r["count"] for r in dealt.groupBy("leaf").count().collect()}  # a row for each coarse leaf
     subs = [max(1, -(-counts.get(i, 0) // (2 * shard_rows))) for i in range(len(leaves))]
     table = F.array(*map(F.lit, subs))
@@ -239,7 +239,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 0.
         return pa.table({"query_id": np.repeat(own, k)[ok.ravel()], "vec_id": who[ok], "score": ip[ok]}, schema=_HIT)
 
     def searched(q: DataFrame, first: bool) -> DataFrame:
-        asked = common.saved(q.mapInArrow(send(first), "leaf int, sub int, vec_id long, v array<double>, far double"), "asked")
+        asked = common.saved(q.mapInArrow(common.lean(send(first)), "leaf int, sub int, vec_id long, v array<double>, far double"), "asked")
         busiest = asked.groupBy("leaf", "sub").count().agg(F.max("count")).first()[0] or 0
         lanes = max(1, -(-busiest // query_rows))
         asked = asked.withColumn("lane", F.pmod(F.hash("vec_id"), F.lit(lanes)).cast("int"))

@@ -171,7 +171,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
     common.tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(common.lean(encode), SHARD_SCHEMA).write.parquet(path)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -195,5 +195,5 @@ def read_documents(shards: DataFrame) -> DataFrame:
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_base"))
     inside = small.select("part", "seq", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("seq_base"))
     base = inside.join(before, "part").select("part", "seq", (F.col("part_base") + F.col("seq_base")).alias("base"))
-    found = shards.select("part", "seq", "doc_ids", "doc_tokens", "blob").mapInArrow(decode, DOC_SCHEMA)
+    found = shards.select("part", "seq", "doc_ids", "doc_tokens", "blob").mapInArrow(common.lean(decode), DOC_SCHEMA)
     return found.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
