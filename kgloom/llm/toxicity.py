@@ -2,10 +2,10 @@
 
 Each word of a text becomes 16 bytes: a code of its first letters and a code of the whole word, so that a match in a
 dictionary is worth the same whatever the word's length, and parts of words never match. A dictionary is trained by
-taking the words and beginnings that stand in many different contexts (words before them) of its class and in few
-of the other; contexts, not occurrences, so that copies of one document count once. A window of words is coded
+taking the words and beginnings that many texts of its class and few of the other hold, each in a context (the word
+before) of its own; so neither copies of a document nor one long document make a word typical. A window of words is coded
 with both dictionaries; a text's distance is the largest saving of the toxic one over the ordinary one, and the
-threshold is the one that errs least, classes weighed alike, on labelled rows kept from training.
+threshold is the one that errs least, classes weighed as they occur, on labelled rows kept from training.
 
 At most ``sample`` labelled rows of either class are used, each of at most ``sample_chars`` characters; scoring takes
 every window of every text. Null, empty and wordless texts have distance 0. Rows with null id or null label don't
@@ -38,7 +38,7 @@ class ToxicityModel:
     ordinary: bytes
     threshold: float
     window: int = 24
-    level: int = 1
+    level: int = 5
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -75,16 +75,18 @@ class Scorer:
 
 
 def _contexts(texts: list[str]) -> tuple[Counter, Counter, int]:
-    """In how many contexts words and beginnings of words stand."""
-    pairs: set = set()
+    """In how many texts words and beginnings of words stand after a word that they haven't followed in texts before."""
+    seen: set = set()
+    words: Counter = Counter()
+    starts: Counter = Counter()
     for t in texts:
         own = WORDS.findall(t.lower())
-        pairs.update(zip(["", *own], own, strict=False))
-    words = Counter(w for _, w in pairs)
-    starts: Counter = Counter()
-    for w, n in words.items():
-        starts[w[:BEGINNING]] += n
-    return words, starts, len(pairs)
+        new = set(zip(["", *own], own, strict=False)) - seen
+        seen |= new
+        fresh = {w for _, w in new}
+        words.update(fresh)
+        starts.update({w[:BEGINNING] for w in fresh})
+    return words, starts, len(texts)
 
 
 def _typical(own: Counter, n: int, other: Counter, m: int, least: int, odds: float, most: int) -> list[str]:
@@ -92,14 +94,14 @@ def _typical(own: Counter, n: int, other: Counter, m: int, least: int, odds: flo
     return [s for _, s in sorted(found)][-most:]
 
 
-def train(toxic: list[str], ordinary: list[str], least: int = 10, odds: float = 12.0, most: int = 4000) -> ToxicityModel:
-    """Dictionaries from three of four texts, the threshold from the fourth."""
+def train(toxic: list[str], ordinary: list[str], share: float = 0.5, odds: float = 12.0, most: int = 4000) -> ToxicityModel:
+    """Dictionaries from three of four texts, the threshold from the fourth. share: the toxic part of all rows."""
     fit = lambda x: [t for i, t in enumerate(x) if i % 4] or x
     held = lambda x: x[::4]
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", 1e9)
     a, b = _contexts(fit(toxic)), _contexts(fit(ordinary))
-    need = max(3, min(least, a[2] // 2000))
+    need = max(3, a[2] // 32)
 
     def content(x, y) -> bytes:
         words, starts = _typical(x[0], x[2], y[0], y[2], need, odds, most), _typical(x[1], x[2], y[1], y[2], 2 * need, odds, most)
@@ -108,22 +110,22 @@ def train(toxic: list[str], ordinary: list[str], least: int = 10, odds: float =
     model = ToxicityModel(content(a, b), content(b, a), 0.0)
     scorer = model.scorer()
     t, o = (np.array([scorer.distance(x) for x in held(side)]) for side in (toxic, ordinary))
-    # few errors count, so ordinary rows weigh as much more as there are more of them in the sample's classes
     levels = np.unique(np.concatenate([t, o, [1]]))
-    wrong = [((t < v).mean() + (o >= v).mean(), -v) for v in levels if v > 0]
+    wrong = [(share * (t < v).mean() + (1 - share) * (o >= v).mean(), -v) for v in levels if v > 0]
     best = -min(wrong)[1]
     model.threshold = float(best) - 0.5
     return model
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: int, sample_chars: int) -> tuple[list[str], list[str]]:
+def sample_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: int, sample_chars: int) -> tuple[list[str], list[str], float]:
     """Texts of at most ``sample`` toxic and ordinary rows of the learning folds, by the order of a hash."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isin(0, 1) & (common.id_bucket(F.col("doc_id"), folds) != held))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (1, 0)]
     ids = F.broadcast(picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= sample_chars).join(ids, "doc_id").collect()
     rows = sorted({(r.toxic, r.text) for r in rows}, key=lambda r: xxhash.xxh64_intdigest(r[1]))
-    return [t for y, t in rows if y == 1], [t for y, t in rows if y == 0]
+    return [t for y, t in rows if y == 1], [t for y, t in rows if y == 0], counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 2000, sample_chars: int = 20_000) -> DataFrame:
