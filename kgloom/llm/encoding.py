@@ -63,9 +63,10 @@ class Encoder:
         self.value = rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
         self.base = int(rng.integers(2**62, 2**63)) | 5
         self.power = self.inverse = np.ones(0, np.uint64)
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Drops the table of known pre-tokens."""
         self.known, self.n = UInt64Factorizer(1 << 16), 0
         self.off, self.len = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
@@ -139,7 +140,7 @@ class Encoder:
             np.cumsum(np.take(self.value, raw) * self.power[: len(raw)], out=total[1:])
             h = (total[stop] - total[cut]) * self.inverse[cut] + (stop - cut).astype(np.uint64)
         if self.n > self.KEPT:
-            self._clear()
+            self.forget()
         codes = self.known.factorize(h)
         if codes.size and (new := codes.max() + 1 - self.n) > 0:
             where = np.empty(new, np.int64)

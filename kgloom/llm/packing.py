@@ -117,6 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
                     yield flush()
         if pieces:
             yield flush()
+        enc.forget()  # a worker may serve other operators next
 
     common.tune(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), SCHEMA)
