@@ -31,12 +31,16 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own_dir: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="kgloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own_dir.setdefault(app, "") or tempfile.mkdtemp(prefix="kgloom-")
+        _own_dir[app] = base
     return base.rstrip("/")
 
 
