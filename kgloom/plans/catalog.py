@@ -488,10 +488,10 @@ def entry_points(spark, d):
     return graph.entry_points(derived.services(spark, d), derived.calls(spark, d))
 
 
-@query("SELECT 'cust-' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'cust-' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def orphans(spark, d):
     people = derived.table(spark, d, "customer").select(F.concat(F.lit("cust-"), "c_custkey").alias("id"), F.lit("DEVELOPER").alias("type"))
-    return graph.orphans(people, derived.table(spark, d, "orders").select(F.concat(F.lit("cust-"), "o_custkey").alias("to_id")))
+    return graph.orphans(people, derived.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("cust-"), "o_custkey").alias("to_id")))
 
 
 @query(f"SELECT DISTINCT from_id AS id FROM calls WHERE to_id = {BUSIEST} AND from_id <> to_id")
