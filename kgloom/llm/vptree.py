@@ -5,7 +5,8 @@ distance is the largest inner product and the triangle inequality holds. A coars
 vectors, deals all vectors to shards (a leaf of too many rows, such as copies of one vector, is dealt on by hash).
 Each shard's tree is built once and written. A query is searched in its own shards first; its k-th distance then rules
 out shards and, inside them, subtrees: one is skipped if its lower bound exceeds ``factor`` times that distance.
-Factor one is exact search; smaller factors skip more.
+Factor one, the default, is exact search. Smaller factors skip more and have no recall of their own: where norms differ,
+the added component puts every query far from all vectors, and a share of that distance says little.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part; nor do
 null ids. A query's own id is no candidate. Ties go to the smaller id. Extra columns are ignored.
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Share of the squared norms by which a squared distance may come out too small.
+ROUNDING = 1e-12
+
 
 class Tree:
     """hi: largest distance inside, lo: smallest outside, of a node's vantage point; leaves hold a range of rows."""
@@ -106,7 +110,7 @@ class Tree:
         far = np.full(len(q), np.inf) if far is None else far.copy()
 
         def reach(at: np.ndarray) -> np.ndarray:
-            return np.minimum(far[at], np.sqrt(np.maximum(0.0, norms[at] + size - 2 * best[at, -1])))
+            return np.minimum(far[at], np.sqrt(np.maximum(0.0, norms[at] + size - 2 * best[at, -1]) + ROUNDING * (norms[at] + size)))
 
         def look(n: int, at: np.ndarray) -> None:
             s, e = self.range[n]
@@ -168,7 +172,7 @@ _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa
 _HIT_SQL = "query_id long, vec_id long, score double"
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 0.3, sample: int = 8192, shard_rows: int = 4096, query_rows: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.0, sample: int = 8192, shard_rows: int = 4096, query_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score for queries with vec_id divisible by ``every``."""
     spark = common.tune(vectors.sparkSession)
     all_ = usable(vectors)
@@ -252,7 +256,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 0.
     home = searched(queries, True)
     worst = top(home).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
     norm = F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")
-    reached = F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.lit(0.0), norm + most * most - 2 * F.col("s"))))
+    reached = F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.lit(0.0), norm + most * most - 2 * F.col("s")) + ROUNDING * (norm + most * most)))
     known = queries.join(worst, queries.vec_id == worst.query_id, "left").select("vec_id", "v", F.coalesce(reached, F.lit(float("inf"))).alias("far"))
     away = searched(known, False)
     return top(home.unionByName(away).distinct()).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

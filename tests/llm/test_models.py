@@ -100,6 +100,27 @@ def test_nearest(spark, factor):
     assert found >= (0.99 if factor == 1.0 else 0.9) * sum(map(len, exact.values()))
 
 
+@pytest.mark.parametrize("kind", ["one long", "mixed norms", "low dimension"])
+def test_nearest_as_registered(spark, kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 24))
+    if kind == "low dimension":
+        x = rng.normal(size=(6000, 4)) @ rng.normal(size=(4, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "one long":
+        x[7] *= 3
+    if kind == "mixed norms":
+        x *= rng.lognormal(size=(6000, 1))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in vptree.nearest(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    ip = x[::20] @ x.T
+    ip[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = np.argsort(-ip, axis=1)[:, :20]
+    assert all(got[20 * n] == set(w) for n, w in enumerate(want.tolist()))
+
+
 def test_nearest_of_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r)[:3] for r in vptree.nearest(few).collect()) == [(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)]
