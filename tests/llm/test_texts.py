@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -100,6 +101,27 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("width", [20, 45, 75])
+def test_license_scan_of_wrapped_notices(spark, width):
+    rng = random.Random(width)
+    rows = [(d, prose(rng, 30) + "\n" + "\n".join(" * " + x for x in textwrap.wrap(t, width)).upper() + "\n" + prose(rng, 30)) for d, (_, t) in enumerate(license_scan.TEMPLATES)]
+    mit = license_scan.TEMPLATES[3][1].split(" ")
+    rows += [(100, "\n".join(mit[:19])), (101, "\n".join(" ".join([w] + ["w1"] * 3) for w in mit)), (102, ("it was the software and w2 of w3\n" * 3000) + "\n".join(mit))]
+    got = result(license_scan.scan_licenses(docs(spark, rows)))
+    for d, t in rows:
+        w, labels, most = words(t), set(), 0.0
+        for label, template in license_scan.TEMPLATES:
+            s, n = set(words(template)), len(words(template))
+            blocks = [set(words(x)) for x in t.split("\n")] + [set(w[i : i + n]) for i in range(len(w))]
+            share = max(len(s & b) for b in blocks) / len(s)
+            if share >= 0.8 - 1e-9:
+                labels.add(label)
+                most = max(most, share)
+        assert labels == {x for x in got[d]["labels"].split(",") if x.startswith("notice-")}, t
+        assert got[d]["score"] == (1.0 if got[d]["n_base"] else most)
+    assert all(label in got[d]["labels"] for d, (label, _) in enumerate(license_scan.TEMPLATES)) and "notice-mit" in got[102]["labels"]
+
+
 # lines
 
 
