@@ -4,7 +4,8 @@ Equal texts form one group and stay in one shard. A group is a point: its smalle
 The tree cuts each node along its widest dimension (as a part of that dimension's whole range) at a weighted quantile
 of the groups' bytes. The quantile is found without sorting or gathering rows: bytes are counted in ``bins`` equal
 parts of the range of all nodes of a level at once, then the part with the cut is divided again, until it holds less
-than ``tolerance`` of the target. Groups over ``heavy`` of a shard's bytes (so at most shards/heavy of them) are
+than ``tolerance`` of the target. Where one value holds more, as with many texts of one size, its groups are cut in the
+same way by their hash. Groups over ``heavy`` of a shard's bytes (so at most shards/heavy of them) are
 dealt first, each to the emptiest shard, and the cuts leave room for them; one larger than a whole shard is dealt
 by row in parts. Shards so get nearly equal bytes (law ``bytes``).
 
@@ -72,15 +73,17 @@ def assign_shards(docs: DataFrame, shards: int = 8, heavy: float = 0.005, tolera
             dim = max(DIMENSIONS, key=lambda d: ((r[f"hi_{d}"] - r[f"lo_{d}"]) / span[d], -DIMENSIONS.index(d)))
             left, right = (sum(extra[n * width + k * width // 2 :][: width // 2]) for k in (0, 1))
             want = min(float(r["w"]), max(0.0, (r["w"] + left + right) / 2 - left))
-            plan[n] = {"dim": dim, "lo": r[f"lo_{dim}"], "hi": r[f"hi_{dim}"] + 1, "before": 0.0, "want": want}
+            plan[n] = {"dim": dim, "tie": None, "by": dim, "lo": r[f"lo_{dim}"], "hi": r[f"hi_{dim}"] + 1, "before": 0.0, "want": want}
         open_ = set(plan)
         while open_:
             where, step = F.lit(None).cast("long"), F.lit(None).cast("long")
             for n in open_:
                 p = plan[n]
                 p["step"] = max(1, -(-(p["hi"] - p["lo"]) // bins))
-                inside = (F.col("node") == n) & (F.col(p["dim"]) >= p["lo"]) & (F.col(p["dim"]) < p["hi"])
-                where = F.when(inside, F.floor((F.col(p["dim"]) - p["lo"]) / p["step"])).otherwise(where)
+                inside = (F.col("node") == n) & (F.col(p["by"]) >= p["lo"]) & (F.col(p["by"]) < p["hi"])
+                if p["tie"] is not None:
+                    inside = inside & (F.col(p["dim"]) == p["tie"])
+                where = F.when(inside, F.floor((F.col(p["by"]) - p["lo"]) / p["step"])).otherwise(where)
             counted = tagged.withColumn("bin", where).where("bin IS NOT NULL").groupBy("node", "bin").agg(F.sum("weight").alias("w"))
             run = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))  # at most ``bins`` rows a node
             wants = F.coalesce(*[F.when(F.col("node") == n, F.lit(float(plan[n]["want"] - plan[n]["before"]))) for n in open_])
@@ -95,14 +98,19 @@ def assign_shards(docs: DataFrame, shards: int = 8, heavy: float = 0.005, tolera
                 start = p["lo"] + x["bin"] * p["step"]
                 p["before"] += x["upto"] - x["w"]
                 p["lo"], p["hi"] = start, min(p["hi"], start + p["step"])
-                if x["w"] <= tolerance * target or p["step"] == 1:
+                if x["w"] > tolerance * target and p["step"] == 1 and p["by"] != "mix":
+                    p |= {"tie": start, "by": "mix", "lo": stats[n]["lo_mix"], "hi": stats[n]["hi_mix"] + 1}
+                elif x["w"] <= tolerance * target or p["step"] == 1:
                     if p["before"] + x["w"] / 2 < p["want"]:
                         p["lo"] = p["hi"]
                     open_.discard(n)
         width //= 2
         child = F.lit(0)
         for n, p in plan.items():
-            child = F.when(node == n, F.when(F.col(p["dim"]) < p["lo"], 2 * n).otherwise(2 * n + 1)).otherwise(child)
+            first = F.col(p["by"]) < p["lo"]
+            if p["tie"] is not None:
+                first = (F.col(p["dim"]) < p["tie"]) | ((F.col(p["dim"]) == p["tie"]) & first)
+            child = F.when(node == n, F.when(first, 2 * n).otherwise(2 * n + 1)).otherwise(child)
         node, level = child, level + 1
         light = common.saved(light.withColumn("next", node).drop("node").withColumnRenamed("next", "node"), f"nodes{level}")
         node = F.col("node")

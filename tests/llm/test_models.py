@@ -153,3 +153,12 @@ def test_sharding_splits_a_group_larger_than_a_shard(spark):
     assert len(total) == 8 and max(total.values()) <= 1.1 * min(total.values())
     assert sharding.assign_shards(docs(spark, [])).count() == 0
     assert sharding.assign_shards(docs(spark, [(1, "a"), (1, "a"), (2, None)])).count() == 3
+
+
+@pytest.mark.parametrize("ids", ["own", "none"])
+def test_sharding_of_texts_of_one_size(spark, ids):
+    rows = [(d if ids == "own" else None, f"{d:06d} " + "x" * 193) for d in range(3800)] + [(d if ids == "own" else None, f"{d:06d}"[: 1 + d % 6] + "y" * (d % 9)) for d in range(3800, 4000)]
+    total: dict = {}
+    for r in sharding.assign_shards(docs(spark, rows)).collect():
+        total[r["shard"]] = total.get(r["shard"], 0) + r["size"]
+    assert len(total) == 8 and max(total.values()) <= 1.02 * min(total.values()), total
