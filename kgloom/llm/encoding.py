@@ -3,8 +3,8 @@
 The library spends most of its time on words that it has seen before. Here the text is cut into
 pre-tokens with numpy, a pre-token's ids come from the tokenizer's own BPE model when it is first met,
 and later occurrences are looked up by a 64-bit hash of their bytes. Only texts within printable
-Latin-1, without apostrophes, are cut this way; all others go through the library whole. So do all
-texts of a tokenizer of which the two known cutting rules don't hold.
+Latin-1, without apostrophes or an added token's string, are cut this way; all others go through the
+library whole. So do all texts of a tokenizer of which the two known cutting rules don't hold.
 """
 
 from __future__ import annotations
@@ -49,11 +49,11 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         spec = json.loads(self.tok.to_str())
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         pre, norm = json.dumps(spec.get("pre_tokenizer") or {}), spec.get("normalizer")
         self.rule = None
-        if spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and "ByteLevel" in pre:
+        if spec["model"]["type"] == "BPE" and not any(t["normalized"] for t in spec.get("added_tokens") or []) and not spec["model"].get("dropout") and "ByteLevel" in pre:
             if norm is None and '"use_regex": true' in pre and '"add_prefix_space": false' in pre and '"Sequence"' not in pre:
                 self.rule = "spaced"
             elif norm and "Lowercase" in json.dumps(norm) and spec["model"].get("end_of_word_suffix") and '"Split"' in pre:
@@ -85,8 +85,11 @@ class Encoder:
         todo: list[tuple[int, bytes]] = []
         slow: list[int] = []
         for i, t in enumerate(texts):
+            if not self.rule or any(a in t for a in self.added):
+                slow.append(i)
+                continue
             try:
-                todo.append((i, (t.lower() if self.rule == "words" else t).encode("latin-1"))) if self.rule else slow.append(i)
+                todo.append((i, (t.lower() if self.rule == "words" else t).encode("latin-1")))
             except UnicodeEncodeError:
                 slow.append(i)
         at = 0

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from kgloom.llm import packing, wavelet
 from kgloom.llm.encoding import Encoder
@@ -49,6 +50,15 @@ def test_any_text(name, texts):
     check(name, texts)
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_added_tokens_as_in_the_library(name):
+    tok = Tokenizer.from_file(public_tokenizers.path(name))
+    texts = ["a <|endoftext|> b", "plain", "<|startoftext|><|endoftext|>", "a<|EndOfText|>b", "<|endoftext", "é 日本<|endoftext|>", *ODD]
+    ids, n = Encoder(public_tokenizers.path(name)).encode(texts)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_a_full_table_starts_anew():
     e = Encoder(public_tokenizers.path(NAMES[1]))
     e.KEPT = 10
