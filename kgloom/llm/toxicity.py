@@ -101,7 +101,7 @@ def train(toxic: list[str], ordinary: list[str], share: float = 0.5, odds: float
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", 1e9)
     a, b = _contexts(fit(toxic)), _contexts(fit(ordinary))
-    need = max(3, a[2] // 32)
+    need = min(10, max(3, a[2] // 32))  # a floor for chance only: the odds test decides, however rare a word is among the toxic
 
     def content(x, y) -> bytes:
         words, starts = _typical(x[0], x[2], y[0], y[2], need, odds, most), _typical(x[1], x[2], y[1], y[2], 2 * need, odds, most)

@@ -66,6 +66,22 @@ def test_toxicity(spark):
     assert all(got[d]["predicted"] == 0 and 0 <= got[d]["score"] < 0.5 for d in (1000, 1001, 1002))
 
 
+def test_toxicity_of_a_long_tail():
+    rng = random.Random(7)
+    bad = [f"{a}{b}rk" for a in ("gr", "vl", "sk", "wr", "bl", "zn", "kn", "dr", "thr", "pf") for b in ("ao", "eu", "iu", "oe", "ua", "yo", "ie", "ou", "ay", "uy")]
+
+    def text(toxic):
+        w = speech(rng, "aa", 60).split()
+        for _ in range(2 * toxic):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        return " ".join(w)
+
+    model = toxicity.train([text(True) for _ in range(1600)], [text(False) for _ in range(1600)])
+    scorer = model.scorer()
+    assert sum(scorer.score(text(True)) >= 0.5 for _ in range(200)) >= 180
+    assert sum(scorer.score(text(False)) >= 0.5 for _ in range(200)) <= 10
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["predicted"] for r in toxicity.score_toxicity(docs(spark, [(1, "a b")]), none).collect()] == [0]
