@@ -1,6 +1,6 @@
 """Language by compression: a zstandard raw-content dictionary for each language; the smallest code wins.
 
-A dictionary is cut from at most ``sample`` labelled texts of its language, ``piece`` bytes of each, so that no
+Every labelled language is learned. A dictionary is cut from at most ``sample`` distinct texts of its language, ``piece`` bytes of each, so that no
 document fills it. Of a text all letters count, lower-cased, and one blank for each run of other characters; they are
 coded whole, in windows of ``window`` bytes. Where the two best languages' sizes differ
 by less than ``min_margin`` of the text's size the row is marked rejected, as are texts that are null or without a letter.
@@ -58,25 +58,23 @@ class Identifier:
         return best, 1 / sum(math.exp(-min(700.0, 60 * (v - sizes[best]) / len(raw))) for v in sizes.values()), margin
 
 
-def sample_rows(docs: DataFrame, folds: int, held: int, sample: int, sample_chars: int, max_languages: int) -> list[tuple[str, str]]:
-    """(language, text) of at most ``sample`` rows of each of the ``max_languages`` most frequent languages."""
+def sample_rows(docs: DataFrame, folds: int, held: int, sample: int, sample_chars: int) -> list[tuple[str, str]]:
+    """(language, text) of at most ``sample`` distinct texts of each language, the first by a hash of the text."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = ids.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.id_bucket(F.col("doc_id"), folds) != held))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    if not counts:
-        return []
-    # keep by a hash of the text, so copies come or go together; about four times as many as needed
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 4 * sample / n))) for k, n in counts.items()])
-    some = known.where((F.length("text") <= sample_chars) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))).dropDuplicates(["lang", "text"])
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id"))).where(F.col("rank") <= sample)
-    return [(r["lang"], r["text"]) for r in ranked.select("lang", "text").collect()]
+    known = known.where(F.length("text") <= sample_chars).select("lang", "text", F.xxhash64("text").alias("h"))
+    first = Window.partitionBy("lang").orderBy("h")
+    ranked = known.select("lang", "h").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample)
+    keys = docs.sparkSession.createDataFrame(ranked.select("lang", "h").collect(), "lang string, h long")  # their texts are collected too
+    rows = known.join(F.broadcast(keys), ["lang", "h"]).select("lang", "text").distinct().collect()
+    return [(r["lang"], r["text"]) for r in rows]
 
 
-def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = 200, sample_chars: int = 20_000, max_languages: int = 64, min_margin: float = 0.0005) -> DataFrame:
+def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = 200, sample_chars: int = 20_000, min_margin: float = 0.0005) -> DataFrame:
     """docs with held_out, lang_pred, score, margin and rejected."""
     spark = common.tune(docs.sparkSession)
-    content = train(sample_rows(docs, folds, held, sample, sample_chars, max_languages))
-    sent = spark.sparkContext.broadcast(content)  # 32 KB a language, 64 languages at most
+    content = train(sample_rows(docs, folds, held, sample, sample_chars))
+    sent = spark.sparkContext.broadcast(content)  # 32 KB a language
     made: list[Identifier] = []
     new = ("held_out", "lang_pred", "score", "margin", "rejected")
     names = [c for c in docs.columns if c not in new]

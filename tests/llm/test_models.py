@@ -35,6 +35,17 @@ def test_languages(spark):
     assert sum(got[d]["lang_pred"] == truth[d] for d in held) >= 0.98 * len(held)
 
 
+def test_more_languages_and_copies(spark):
+    rng = random.Random(8)
+    own = {f"l{n:02d}": ["".join(rng.choice("bcdfghjklmnpqrstvwxyz") + rng.choice("aeiou") for _ in range(3)) for _ in range(30)] for n in range(70)}
+    rows = [(100 * n + d, " ".join(rng.choices(w, k=40)), lang, "s", 1) for n, (lang, w) in enumerate(own.items()) for d in range(6)]
+    got = result(language_id.identify_language(docs(spark, rows)).select("doc_id", "lang_pred"))
+    assert sum(got[d]["lang_pred"] == lang for d, _, lang, _, _ in rows) >= 0.98 * len(rows)
+    copies = [(d, f"copy {d % 2}", "aa", "s", 1) for d in range(4000)] + [(d, f"text {d}", "aa", "s", 1) for d in range(4000, 4100)]
+    found = language_id.sample_rows(docs(spark, copies), 4, 2, 20, 100)
+    assert len(found) == len(set(found)) == 20
+
+
 def test_languages_without_labels(spark):
     assert {r["lang_pred"] for r in language_id.identify_language(docs(spark, [(1, "abc", None, "s", 3)])).collect()} == {"und"}
     assert language_id.identify_language(docs(spark, [])).count() == 0
