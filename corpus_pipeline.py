@@ -27,18 +27,28 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a number of their own, as ids may repeat; written, so that the numbers stay."""
+    return common.saved(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "keyed")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id. Rows without an id stay."""
-    groups = jaccard_join.near_duplicates(docs)
-    away = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(away, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates the row with the smallest doc_id, one of several. Rows without an id stay."""
+    rows = keyed(docs)
+    known = rows.where("doc_id IS NOT NULL")
+    groups = jaccard_join.near_duplicates(known.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    groups = common.saved(groups.join(known.select("row", "doc_id"), "row"), "groups")
+    first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("x.row")
+    away = groups.join(first, "row", "left_anti").select("row")
+    return rows.join(away, "row", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
-    found = decontamination.contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    away = found.where("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(away, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    found = decontamination.contamination(rows.select(F.col("row").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    away = found.where("contaminated").select(F.col("doc_id").alias("row"))
+    return rows.join(away, "row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,15 @@ def test_stages(spark, tmp_path):
         assert [s for s, _, _ in own] == [sum(n for _, n, _ in own[:k]) for k in range(len(own))] and sum(n for _, n, _ in own) == len(ids)
         assert all(c == zlib.crc32(ids[s : s + n].tobytes()) for s, n, c in own)
     assert {p["doc_id"] for p in pieces} == set(fourth)
+
+
+def test_rows_of_one_id_are_apart(spark, tmp_path):
+    rng = random.Random(3)
+    a, b, c, item = (speech(rng, "aa", 40) for _ in range(4))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(5, a), (5, a), (7, b), (7, a + " too"), (3, c + " " + item), (3, c), (None, item), (None, b)]
+    docs = spark.createDataFrame([(d, t, "aa", "s", 0) for d, t in rows], DOC).repartition(3)
+    near = corpus_pipeline.drop_near_duplicates(spark, docs.where("doc_id IS NULL OR doc_id <> 3"), str(tmp_path))
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in near.collect()) == sorted([(5, a), (7, b), (0, item), (0, b)])
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in clean.collect()) == sorted([(5, a), (5, a), (7, b), (7, a + " too"), (3, c), (0, b)])
