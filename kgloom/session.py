@@ -1,14 +1,19 @@
-"""Session helpers shared by all operators."""
+"""Session helpers shared by all operators: the package on executors, intermediates in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own_dir: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -28,10 +33,60 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df):
-    """df checkpointed in the shared folder the session names: ends a loop's growing lineage, survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="kgloom-"))
-    return df.checkpoint()
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where the session names none, a session of this machine alone gets a
+    temporary one; any other fails, as its executors couldn't see that."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own_dir:
+            _own_dir[app] = tempfile.mkdtemp(prefix="kgloom-")
+        base = _own_dir[app]
+    return base.rstrip("/")
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def own_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder. What is written there goes when the enclosing ``scratch`` ends (if kept, the one
+    around that), or else when the driver does."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _path(spark, path)
+    fs.deleteOnExit(at)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _path(spark, path)
+    fs.delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediates that are written within, but for those marked ``keep``. What leaves the block must be
+    written and kept: a frame that still reads the others would fail."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: ends a loop's growing lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = own_path(spark, name, keep)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    return saved(df, "cut", keep)
