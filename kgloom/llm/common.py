@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.session import ship
+from kgloom.session import own_path, remove, saved, scratch, ship, work_dir
+
+__all__ = ["own_path", "remove", "saved", "scratch", "work_dir"]
 
 #: A word of the benchmark and licence operators.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,27 +31,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_own_dir: dict[str, str] = {}
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_dir.setdefault(app, "") or tempfile.mkdtemp(prefix="kgloom-")
-        _own_dir[app] = base
-    return base.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. ASCII texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,7 +12,7 @@ from . import common, decontamination, jaccard_join, language_id, license_scan,
 
 
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{common.work_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = common.own_path(spark, "tokens")
     wavelet.write_token_shards(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return wavelet.read_documents(spark.read.parquet(path))
 
@@ -35,6 +34,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.drop("items")
