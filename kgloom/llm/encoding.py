@@ -2,8 +2,9 @@
 
 The library spends most of its time on words that it has seen before. Here the text is cut into
 pre-tokens with numpy, a pre-token's ids come from the tokenizer's own BPE model when it is first met,
-and later occurrences are looked up by a 64-bit hash of their bytes. Only texts within printable
-Latin-1, without apostrophes or an added token's string, are cut this way; all others go through the
+and later occurrences are looked up by a hash of their bytes. The bytes of each known pre-token are kept and every
+occurrence is compared with them; a text in which a hash meets other bytes goes through the library whole. Only texts
+within printable Latin-1, without apostrophes or an added token's string, are cut this way; all others go through the
 library whole. So do all texts of a tokenizer of which the two known cutting rules don't hold.
 """
 
@@ -43,6 +44,10 @@ def _visible() -> dict[int, str]:
     return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
 
 
+#: By length 0 to 8: what remains of eight bytes.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class Encoder:
     #: Latin-1 bytes cut at once, and distinct pre-tokens kept; then the table starts anew.
     CHUNK, KEPT = 1 << 19, 500_000
@@ -70,6 +75,9 @@ class Encoder:
         self.known, self.n = UInt64Factorizer(1 << 16), 0
         self.off, self.len = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
+        # the pre-tokens' own bytes: length, the first sixteen, and the rest of longer ones
+        self.size, self.head, self.mid = np.zeros(1024, np.int64), np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.tail: dict[int, bytes] = {}
 
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
@@ -108,7 +116,8 @@ class Encoder:
 
     def _fast(self, docs: list[tuple[int, bytes]], parts: list) -> list[int]:
         """Fills parts; returns the documents that need the library."""
-        raw = np.frombuffer(b"\0".join(b for _, b in docs) + b"\0", np.uint8)
+        whole = b"\0".join(b for _, b in docs) + bytes(17)
+        raw = np.frombuffer(whole, np.uint8)[:-16]
         sizes = np.array([len(b) + 1 for _, b in docs], np.int64)
         ends = np.cumsum(sizes)
         cls = np.take(self.cls, raw)
@@ -151,7 +160,11 @@ class Encoder:
             where[codes[fresh[::-1]] - self.n] = fresh[::-1]
             text, tokenize, table = raw.tobytes().decode("latin-1"), self.tok.model.tokenize, self.map
             for w in where.tolist():
-                self._add([t.id for t in tokenize(text[cut[w] : stop[w]].translate(table))])
+                self._add(whole[cut[w] : stop[w]], [t.id for t in tokenize(text[cut[w] : stop[w]].translate(table))])
+        if (other := self._differ(whole, cut, stop, codes)).size:
+            out = {int(x) for x in np.searchsorted(ends, cut[other], side="right")}
+            left = [d for k, d in enumerate(docs) if k not in out]
+            return [docs[k][0] for k in sorted(out)] + (self._fast(left, parts) if left else [])
         n, o = self.len[codes], self.off[codes]
         done = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=done[1:])
@@ -161,10 +174,24 @@ class Encoder:
             parts[i] = ids[edge[k] : edge[k + 1]]
         return []
 
-    def _add(self, ids: list[int]) -> None:
+    def _differ(self, whole: bytes, cut: np.ndarray, stop: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Pre-tokens whose bytes aren't those of the known one that has their hash."""
+        eight = np.ndarray(len(whole) - 7, "<u8", whole, strides=(1,))
+        size = stop - cut
+        wrong = (self.size[codes] != size) | (self.head[codes] != eight[cut] & _MASK[np.minimum(size, 8)])
+        over = np.flatnonzero(size > 8)
+        wrong[over] |= self.mid[codes[over]] != eight[cut[over] + 8] & _MASK[np.minimum(size[over] - 8, 8)]
+        for w in np.flatnonzero(size > 16).tolist():
+            wrong[w] |= self.tail.get(int(codes[w])) != whole[cut[w] + 16 : stop[w]]
+        return np.flatnonzero(wrong)
+
+    def _add(self, own: bytes, ids: list[int]) -> None:
         i, end = self.n, self.used + len(ids)
         if i >= len(self.off):
-            self.off, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len))
+            self.off, self.len, self.size, self.head, self.mid = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len, self.size, self.head, self.mid))
+        self.size[i], self.head[i], self.mid[i] = len(own), int.from_bytes(own[:8], "little"), int.from_bytes(own[8:16], "little")
+        if len(own) > 16:
+            self.tail[i] = own[16:]
         while end > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : end] = ids

@@ -2,8 +2,8 @@
 
 Documents are cut into full windows first; what remains of each is placed by length, longest first, into the
 window with the least room that still holds it. A task packs what it has read in batches of at most
-``batch_tokens`` ids, so memory is bounded and no document moves between tasks: there is no shuffle. Only a batch's
-last windows can stay far from full.
+``batch_tokens`` ids and ``batch_pieces`` pieces (and one document more), so memory is bounded and no document moves between
+tasks: there is no shuffle. Only a batch's last windows can stay far from full.
 
 Null text is empty (its end id alone is packed). Rows with one doc_id are packed apart. An empty table gives no rows.
 Extra columns are ignored. Numbers of sequences follow the task's number, so a task that runs again gives the same.
@@ -83,7 +83,7 @@ def padded(used: int, capacity: int) -> int:
     return used if used & (used - 1) == 0 else capacity
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, batch_tokens: int = 16 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, batch_tokens: int = 16 << 20, batch_pieces: int = 1 << 18) -> DataFrame:
     """One row per piece; extra columns: sequence_tokens (ids in the sequence), padded_to (its stored length)."""
     kinds = [(k.split()[0], pa.int64()) for k in SCHEMA.split(", ")]
     schema = pa.schema(kinds)
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
                     e = min(s + capacity, k + 1)
                     pieces.append((d, s, e - s, zlib.crc32(whole[4 * s : 4 * e]), k + 1))
                 size += k + 1
-                if size >= batch_tokens:
+                if size >= batch_tokens or len(pieces) >= batch_pieces:
                     yield flush()
         if pieces:
             yield flush()

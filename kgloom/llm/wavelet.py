@@ -1,9 +1,11 @@
 """Token-id shards as wavelet matrices: succinct bit-planes with rank and select, one compressed blob a shard.
 
-Blob: ``KGWM1`` + little-endian header (count of ids, planes), then for each plane its zero count,
-the length of its zstd frame and the frame (packed bits). Rank directories are rebuilt on opening.
+Blob: ``KGWM2``, header (count of ids, planes), then for each plane its zero count, the ones before each frame of
+``FRAME`` bits (the rank samples, which select searches too), the frames' ends, and the frames: packed bits,
+each compressed with zstandard on its own. Opening reads the directories alone; access, rank, count and select inflate only the
+frames that they touch, about two a plane, and keep the last ones used. ``ids`` inflates all.
 
-Shards are rows of a Parquet table (``part, seq, first_doc, n_docs, n_tokens, doc_ids, doc_tokens, blob``), so any
+Shards are rows of a Parquet table (``part, seq, first_doc, n_docs, n_null, n_tokens, doc_ids, doc_tokens, blob``), so any
 store that Spark can reach will do, task retries leave nothing behind, and no Python file access is needed.
 Ids stand in ascending ``doc_id`` order: parts are ranges of it, ``seq`` counts within a part.
 
@@ -13,6 +15,7 @@ of their text; null ids come first. An empty table gives no shard. Extra columns
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,10 +30,11 @@ from pyspark.sql import functions as F
 from . import common
 from .encoding import encoder
 
-MAGIC = b"KGWM1"
-SHARD_SCHEMA = "part int, seq int, first_doc long, n_docs long, n_tokens long, doc_ids binary, doc_tokens binary, blob binary"
+MAGIC = b"KGWM2"
+SHARD_SCHEMA = "part int, seq int, first_doc long, n_docs long, n_null long, n_tokens long, doc_ids binary, doc_tokens binary, blob binary"
 DOC_SCHEMA = "part int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
-_BLOCK = 512
+#: Bits of a frame.
+FRAME = 1 << 16
 
 
 def to_blob(ids: np.ndarray, level: int = 1) -> bytes:
@@ -38,46 +42,55 @@ def to_blob(ids: np.ndarray, level: int = 1) -> bytes:
     planes = max(1, int(ids.max()).bit_length() if len(ids) else 1)
     a = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     out, pack = [MAGIC, struct.pack("<QB", len(a), planes)], zstandard.ZstdCompressor(level=level)
+    step = FRAME // 8
     for k in range(planes - 1, -1, -1):
-        bit = (a >> a.dtype.type(k)) & a.dtype.type(1)
-        ones = bit.astype(bool)
-        frame = pack.compress(np.packbits(ones, bitorder="little").tobytes())
+        ones = ((a >> a.dtype.type(k)) & a.dtype.type(1)).astype(bool)
+        packed = np.packbits(ones, bitorder="little").tobytes()
+        frames = [pack.compress(packed[i : i + step]) for i in range(0, len(packed), step)]
+        ranks = [0, *(int(ones[i : i + FRAME].sum()) for i in range(0, len(ones), FRAME))]
         low = a[~ones]
-        out += [struct.pack("<QQ", len(low), len(frame)), frame]
+        out += [struct.pack("<Q", len(low)), np.cumsum(ranks, dtype="<u8").tobytes(), np.cumsum([0, *map(len, frames)], dtype="<u8").tobytes(), *frames]
         a = np.concatenate([low, a[ones]])
     return b"".join(out)
 
 
 class WaveletMatrix:
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes, kept_frames: int = 64):
         if blob[:5] != MAGIC:
             raise ValueError("not a wavelet shard")
         self.n, self.planes = struct.unpack_from("<QB", blob, 5)
-        at, self.zeros, self.bits, self._ranks = 14, [], [], None
-        unpack = zstandard.ZstdDecompressor()
+        self.blob, self.kept, self.open, self.inflated = blob, kept_frames, {}, 0
+        self.unpack = zstandard.ZstdDecompressor()
+        frames = -(-self.n // FRAME)
+        at, self.zeros, self.ranks, self.ends, self.first = 14, [], [], [], []
         for _ in range(self.planes):
-            z, size = struct.unpack_from("<QQ", blob, at)
-            self.zeros.append(z)
-            self.bits.append(np.frombuffer(unpack.decompress(blob[at + 16 : at + 16 + size], max_output_size=(self.n + 7) // 8 or 1), np.uint8))
-            at += 16 + size
-
-    @property
-    def ranks(self) -> list[np.ndarray]:
-        """Ones before each block of 512 bits, by plane."""
-        if self._ranks is None:
-            self._ranks = []
-            for b in self.bits:
-                whole = np.zeros(-(-len(b) * 8 // _BLOCK) * (_BLOCK // 8), np.uint8)
-                whole[: len(b)] = b
-                self._ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(whole).reshape(-1, _BLOCK // 8).sum(1, dtype=np.int64))]))
-        return self._ranks
+            self.zeros.append(struct.unpack_from("<Q", blob, at)[0])
+            self.ranks.append(np.frombuffer(blob, "<u8", frames + 1, at + 8))
+            self.ends.append(np.frombuffer(blob, "<u8", frames + 1, at + 16 + 8 * frames))
+            self.first.append(at + 24 + 16 * frames)
+            at = self.first[-1] + int(self.ends[-1][-1])
+
+    def _frame(self, plane: int, k: int) -> np.ndarray:
+        """The packed bits of one frame."""
+        got = self.open.pop((plane, k), None)
+        if got is None:
+            lo, hi = (self.first[plane] + int(x) for x in self.ends[plane][k : k + 2])
+            got = np.frombuffer(self.unpack.decompress(self.blob[lo:hi], max_output_size=FRAME // 8), np.uint8)
+            self.inflated += 1
+            if len(self.open) >= self.kept:
+                del self.open[next(iter(self.open))]
+        self.open[plane, k] = got
+        return got
 
     def _ones(self, plane: int, i: int) -> int:
-        block = i // _BLOCK
-        at, byte = block * (_BLOCK // 8), i // 8
-        bits = self.bits[plane]
-        n = int(self.ranks[plane][block]) + int(np.bitwise_count(bits[at:byte]).sum())
-        return n + ((int(bits[byte]) & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+        """Ones before place i."""
+        k, rest = divmod(i, FRAME)
+        n = int(self.ranks[plane][k])
+        if rest:
+            bits = self._frame(plane, k)
+            n += int(np.bitwise_count(bits[: rest >> 3]).sum())
+            n += (int(bits[rest >> 3]) & ((1 << (rest & 7)) - 1)).bit_count() if rest & 7 else 0
+        return n
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -85,8 +98,8 @@ class WaveletMatrix:
             raise IndexError(i)
         out = 0
         for k in range(self.planes):
-            one = self.bits[k][i >> 3] >> (i & 7) & 1
-            out = out << 1 | int(one)
+            one = int(self._frame(k, i // FRAME)[i % FRAME >> 3]) >> (i & 7) & 1
+            out = out << 1 | one
             ones = self._ones(k, i)
             i = self.zeros[k] + ones if one else i - ones
         return out
@@ -110,11 +123,11 @@ class WaveletMatrix:
 
     def _select_bit(self, plane: int, one: int, k: int) -> int:
         """Place of the k-th (from 0) such bit."""
-        ranks = self.ranks[plane]
-        before = ranks if one else np.arange(len(ranks)) * _BLOCK - ranks
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        bits = np.unpackbits(self.bits[plane][block * (_BLOCK // 8) : (block + 1) * (_BLOCK // 8)], bitorder="little")
-        return block * _BLOCK + int(np.flatnonzero(bits == one)[k - int(before[block])])
+        ranks = self.ranks[plane].astype(np.int64)
+        before = ranks if one else np.minimum(np.arange(len(ranks)) * FRAME, self.n) - ranks
+        frame = int(np.searchsorted(before, k, side="right")) - 1
+        bits = np.unpackbits(self._frame(plane, frame), bitorder="little")
+        return frame * FRAME + int(np.flatnonzero(bits == one)[k - int(before[frame])])
 
     def select(self, symbol: int, k: int) -> int:
         """Place of the k-th (from 0) occurrence of the id."""
@@ -131,7 +144,8 @@ class WaveletMatrix:
         kind = np.uint16 if self.planes <= 16 else np.uint32
         v = np.zeros(self.n, kind)
         for k in range(self.planes - 1, -1, -1):
-            ones = np.unpackbits(self.bits[k], count=self.n, bitorder="little").astype(bool)
+            own = [self.unpack.decompress(self.blob[self.first[k] + int(x) : self.first[k] + int(y)], max_output_size=FRAME // 8) for x, y in itertools.pairwise(self.ends[k])]
+            ones = np.unpackbits(np.frombuffer(b"".join(own), np.uint8), count=self.n, bitorder="little").astype(bool)
             up = np.empty_like(v)
             up[~ones], up[ones] = v[: self.zeros[k]], v[self.zeros[k] :] | kind(1 << (self.planes - 1 - k))
             v = up
@@ -142,14 +156,14 @@ def _shard(part: int, seq: int, docs: list, lens: list, ids: list, schema: pa.Sc
     all_ids = np.concatenate(ids)
     known = [d for d in docs if d is not None]
     return common.record(
-        schema, part=[part], seq=[seq], first_doc=[known[0] if known else None], n_docs=[len(docs)], n_tokens=[len(all_ids)],
-        doc_ids=[np.array([-(2**63) if d is None else d for d in docs], "<i8").tobytes()], doc_tokens=[np.array(lens, "<i8").tobytes()], blob=[to_blob(all_ids)],
+        schema, part=[part], seq=[seq], first_doc=[known[0] if known else None], n_docs=[len(docs)], n_null=[len(docs) - len(known)], n_tokens=[len(all_ids)],
+        doc_ids=[np.array([0] * (len(docs) - len(known)) + known, "<i8").tobytes()], doc_tokens=[np.array(lens, "<i8").tobytes()], blob=[to_blob(all_ids)],
     )
 
 
 def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 20) -> None:
     """Encodes every text, adds end_id, and writes shards of about shard_tokens ids in doc_id order."""
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_tokens", pa.binary()), ("blob", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_tokens", pa.binary()), ("blob", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, seq, size = TaskContext.get().partitionId(), encoder(tokenizer), 0, 0
@@ -186,7 +200,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
             ends = np.cumsum(lens)
             raw = memoryview(ids.tobytes())
             crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lens.tolist(), strict=True)]
-            doc = pa.array(docs, pa.int64(), mask=docs == -(2**63))
+            doc = pa.array(docs, pa.int64(), mask=np.arange(len(docs)) < x["n_null"])  # they come first
             yield common.record(schema, part=np.full(len(docs), x["part"], np.int32), seq=np.full(len(docs), x["seq"], np.int32), doc_id=doc, local_start=ends - lens, n_tokens=lens, ids_crc32=crc)
 
     small = shards.select("part", "seq", "n_tokens")
@@ -195,5 +209,5 @@ def read_documents(shards: DataFrame) -> DataFrame:
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_base"))
     inside = small.select("part", "seq", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("seq_base"))
     base = inside.join(before, "part").select("part", "seq", (F.col("part_base") + F.col("seq_base")).alias("base"))
-    found = shards.select("part", "seq", "doc_ids", "doc_tokens", "blob").mapInArrow(common.lean(decode), DOC_SCHEMA)
+    found = shards.select("part", "seq", "n_null", "doc_ids", "doc_tokens", "blob").mapInArrow(common.lean(decode), DOC_SCHEMA)
     return found.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

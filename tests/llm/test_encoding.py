@@ -59,6 +59,21 @@ def test_added_tokens_as_in_the_library(name):
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_words_of_one_hash_keep_their_own_ids(name):
+    tok, texts = Tokenizer.from_file(public_tokenizers.path(name)), []
+    for n in (16, 17, 128, 256, 512, 1024, 2048):
+        a = "a"
+        while len(a) < n:
+            a += a.translate(str.maketrans("ab", "ba"))
+        b = a[:n].translate(str.maketrans("ab", "ba"))
+        texts += [a[:n], b, f"{a[:n]} {b}", f"so {b} it {a[:n]}"]
+    for order in (texts, texts[::-1]):
+        ids, k = Encoder(public_tokenizers.path(name)).encode(order)
+        want = [tok.encode(t, add_special_tokens=False).ids for t in order]
+        assert k.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_a_full_table_starts_anew():
     e = Encoder(public_tokenizers.path(NAMES[1]))
     e.KEPT = 10
@@ -84,6 +99,32 @@ def test_wavelet_matrix(ids):
         m.select(70001, 0)
 
 
+@pytest.mark.parametrize("n", [65_535, 65_536, 65_537, 300_000])
+def test_wavelet_matrix_of_several_frames(n):
+    ids = np.random.default_rng(n).zipf(1.4, n).astype(np.uint64).clip(0, 49_407).astype(np.uint32)
+    blob = wavelet.to_blob(ids)
+    assert (wavelet.WaveletMatrix(blob).ids() == ids).all()
+    m = wavelet.WaveletMatrix(blob)
+    assert m.inflated == 0 and m.access(n - 1) == ids[-1] and m.inflated <= 2 * m.planes
+    for i in (0, 1, 65_534, n // 2, n - 2):
+        assert m.access(i) == ids[i]
+    for symbol in (1, 2, int(ids[-1]), 49_407, 40_001):
+        where = np.flatnonzero(ids == symbol)
+        assert m.count(symbol) == len(where) and m.rank(symbol, n // 3) == (where < n // 3).sum()
+        for k in {0, len(where) // 2, len(where) - 1} if len(where) else ():
+            assert m.select(symbol, k) == where[k]
+    assert len(m.open) <= m.kept
+
+
+def test_shards_with_null_and_smallest_ids(spark, tmp_path):
+    rows = [(-(2**63), "smallest"), (None, "b"), (None, "a a"), (0, "zero"), (0, "zero"), (7, None)]
+    table = docs(spark, rows).withColumnRenamed("source", "start").withColumnRenamed("lang", "n_tokens")
+    wavelet.write_token_shards(table, public_tokenizers.path(NAMES[0]), str(tmp_path / "s"), shard_tokens=4)
+    got = wavelet.read_documents(spark.read.parquet(str(tmp_path / "s"))).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, -(2**63), 0, 0, 7]
+    assert [r["n_tokens"] for r in got][:2] == [3, 2] and got[-1]["n_tokens"] == 1
+
+
 def test_shards_round_trip(spark, tmp_path):
     rng = random.Random(2)
     rows = [(d, prose(rng, rng.choice([0, 3, 200]))) for d in rng.sample(range(1000), 60)] + [(2000, None), (2001, ""), (5, "long " * 5000)]
