@@ -111,13 +111,14 @@ def _sum(group: pa.Table) -> pa.Table:
         if r["counts"] is not None:
             total = total + np.frombuffer(r["counts"], "<u4")
     ids, n = np.frombuffer(meta, "<i8", docs, 4 * docs), np.frombuffer(meta, "<i8", docs, 12 * docs)
-    raw = meta[20 * docs :]
+    null = np.frombuffer(meta, np.uint8, docs, 20 * docs).astype(bool)
+    raw = meta[21 * docs :]
     cls = [raw[16 * i : 16 * i + 16] if n[i] else b"" for i in range(docs)]
-    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == -(2**63)), "cls": cls, "n": n, "repeated": total}, schema=_TALLY)
+    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "cls": cls, "n": n, "repeated": total}, schema=_TALLY)
 
 
 def _meta(ids: list, sets: list[np.ndarray], classes: list[bytes]) -> bytes:
-    return np.array([-(2**63) if d is None else d for d in ids], "<i8").tobytes() + np.array([len(s) for s in sets], "<i8").tobytes() + b"".join(c.ljust(16, b"\0") for c in classes)
+    return np.array([d or 0 for d in ids], "<i8").tobytes() + np.array([len(s) for s in sets], "<i8").tobytes() + bytes(d is None for d in ids) + b"".join(c.ljust(16, b"\0") for c in classes)
 
 
 def _fragments(df: DataFrame) -> int:
@@ -332,7 +333,8 @@ def class_components(sets: DataFrame, star_rounds: int = 3) -> DataFrame:
         pairs = pairs.where(_FITS).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = common.saved(count_pairs(pairs, sets), "found")
         links = found if links is None else links.unionByName(found)
-        comps = common.saved(components(links), "comps")
+        with common.scratch(sets.sparkSession):
+            comps = common.saved(components(links), "comps", keep=True)
     return comps
 
 

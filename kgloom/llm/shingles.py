@@ -3,24 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _rng = np.random.default_rng(7)
-_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_VALUE[65:91] = _VALUE[97:123]  # A-Z as a-z
-_BASE = int(_rng.integers(2**62, 2**63)) | 5
 _STEP = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
+_SEED = _rng.integers(1, 2**63, 3, dtype=np.uint64) | np.uint64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_power = _inverse = np.ones(0, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _power, _inverse
-    if len(_power) < n:
-        m, inv = 1 << (n - 1).bit_length(), pow(_BASE, -1, 2**64)
-        with np.errstate(over="ignore"):
-            _power, _inverse = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(m - 1, x, np.uint64)])) for x in (_BASE, inv))
-    return _power, _inverse
+#: By length 0 to 8: what remains of eight bytes.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,16 +24,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts (cut at ASCII white space, A-Z as a-z), and each text's number of words."""
-    raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
-    space = np.take(_SPACE, raw)
+    """Hashes of the words of all texts (cut at ASCII white space, A-Z as a-z), and each text's number of words.
+
+    Up to 16 bytes are mixed as two numbers, so that words of one length differ where their bytes do but for chance; longer words
+    are hashed by xxh3."""
+    own = np.take(_LOWER, np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8))
+    raw = np.concatenate([own, np.zeros(16, np.uint8)])
+    space = np.take(_SPACE, own)
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, stop = edge[0::2], edge[1::2]
-    power, inverse = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    size = stop - start
     with np.errstate(over="ignore"):
-        np.cumsum(np.take(_VALUE, raw) * power[: len(raw)], out=total[1:])
-        h = mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+        h = mix((eight[start] & _MASK[np.minimum(size, 8)]) + _SEED[0])
+        over = np.flatnonzero(size > 8)
+        h[over] = mix(h[over] * _SEED[1] + (eight[start[over] + 8] & _MASK[np.minimum(size[over] - 8, 8)]))
+        h = mix(h + size.astype(np.uint64) * _SEED[2])
+    data = memoryview(raw)
+    for w in np.flatnonzero(size > 16).tolist():
+        h[w] = xxhash.xxh3_64_intdigest(data[start[w] : stop[w]])
     ends = np.cumsum([len(t) + 1 for t in texts]) + 1 if texts else np.zeros(0, np.int64)
     upto = np.searchsorted(start, ends)
     return h, np.diff(upto, prepend=0)

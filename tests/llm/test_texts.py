@@ -224,3 +224,17 @@ def test_shingles_equal_sets_of_tuples():
     texts = [prose(rng, n) for n in (0, 1, 4, 5, 6, 50)] + ["a\x0bb\x0cc d e f", "É a b c d"]
     for t, s in zip(texts, shingle_sets([t.encode() for t in texts], 5, chunk=64), strict=True):
         assert len(s) == len(shingles(t)) and (np.diff(s.astype(object)) > 0).all()
+
+
+@pytest.mark.parametrize("length", [16, 17, 128, 1024, 2048])
+def test_words_of_like_letters_are_apart(spark, length):
+    a = "a"
+    while len(a) < length:
+        a += a.translate(str.maketrans("ab", "ba"))
+    a, b = a[:length], a[:length].translate(str.maketrans("ab", "ba"))
+    texts = [x.encode() for x in (a, b, f"{a} {b}", f"{b} {a}", " ".join([a] * 6), " ".join([b] * 6), a.upper(), a + "\0")]
+    sets = [s.tolist() for s in shingle_sets(texts, 5)]
+    assert sets[0] == sets[6] and len({tuple(s) for s in sets}) == 7
+    rows = [(1, a), (2, b), (3, a.upper()), (4, " ".join([a] * 6)), (5, " ".join([b] * 6))]
+    got = result(jaccard_join.near_duplicates(docs(spark, rows)))
+    assert {d: v["component_id"] for d, v in got.items()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
