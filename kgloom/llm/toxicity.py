@@ -1,15 +1,21 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
 Each word of a text becomes 16 bytes: a code of its first letters and a code of the whole word, so that a match in a
-dictionary is worth the same whatever the word's length, and parts of words never match. A dictionary is trained by
-taking the words and beginnings that many texts of its class and few of the other hold, each in a context (the word
-before) of its own; so neither copies of a document nor one long document make a word typical. A window of words is coded
-with both dictionaries; a text's distance is the largest saving of the toxic one over the ordinary one, and the
-threshold is the one that errs least, classes weighed as they occur, on labelled rows kept from training.
-
-At most ``sample`` labelled rows of either class are used, each of at most ``sample_chars`` characters; scoring takes
-every window of every text. Null, empty and wordless texts have distance 0. Rows with null id or null label don't
-train. Where a class has no rows at all, every score is 0. Extra columns are ignored.
+dictionary is worth the same whatever the word's length, and parts of words never match. Either dictionary is raw content
+cut from its class's training texts: their words by the number of texts that hold them, at most ``most``, the most
+frequent last, where they are the cheapest to refer to. Words that both classes use stand in both dictionaries; words that
+one class holds significantly more often stand in its own alone, behind the others. A word counts once a context (the word before), so neither copies of a
+document nor one long document make it frequent. A window of words is coded with both dictionaries; a text's distance is
+the largest saving of the toxic one over the ordinary one, and the threshold is the one that errs least, classes weighed
+as they occur, on labelled rows kept from training.
+
+zstandard's own trainer weighs by frequency alone, which puts the few words that tell into the same dictionary sizes as
+chance words; README has the figures.
+
+At most ``sample`` labelled ids of either class are used, one text each, of which at most ``sample_chars`` characters;
+scoring takes every window of every text. Null, empty and wordless texts have distance 0. An id labelled both ways is toxic.
+Rows with null id or null label don't train. Rows with one doc_id are scored apart. Where a class has no rows at all, every
+score is 0. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,24 +80,35 @@ class Scorer:
         return 1 / (1 + math.exp(min(50.0, self.m.threshold - self.distance(text))))
 
 
-def _contexts(texts: list[str]) -> tuple[Counter, Counter, int]:
-    """In how many texts words and beginnings of words stand after a word that they haven't followed in texts before."""
+def _contexts(texts: list[str]) -> tuple[Counter, int]:
+    """In how many texts each word stands after a word that it hasn't followed in texts before."""
     seen: set = set()
     words: Counter = Counter()
-    starts: Counter = Counter()
     for t in texts:
         own = WORDS.findall(t.lower())
         new = set(zip(["", *own], own, strict=False)) - seen
         seen |= new
-        fresh = {w for _, w in new}
-        words.update(fresh)
-        starts.update({w[:BEGINNING] for w in fresh})
-    return words, starts, len(texts)
+        words.update({w for _, w in new})
+    return words, len(texts)
 
 
-def _typical(own: Counter, n: int, other: Counter, m: int, least: int, odds: float, most: int) -> list[str]:
-    found = [(k * math.log(r), s) for s, k in own.items() if k >= least and (r := (k + 0.5) / (n + 1) * (m + 1) / (other[s] + 0.5)) >= odds]
-    return [s for _, s in sorted(found)][-most:]
+def _significant(k: int, n: int, o: int, m: int, odds: float, chance: float) -> bool:
+    """Whether k of n texts against o of m are too many for chance (Chernoff's bound on the binomial tail) and by those odds."""
+    if (k + 0.5) / (n + 1) * (m + 1) < odds * (o + 0.5):
+        return False
+    p, q = n / (n + m), k / (k + o)
+    rest = (1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0
+    return (k + o) * (q * math.log(q / p) + rest) >= chance
+
+
+def _contents(a: tuple[Counter, int], b: tuple[Counter, int], odds: float, most: int) -> tuple[bytes, bytes]:
+    """Both classes' dictionaries: the words of both, and at the end the class's own typical ones."""
+    (one, n), (two, m) = a, b
+    both = one + two
+    chance = math.log(max(2, len(both)) / 5)  # about five words of all may pass by chance
+    own = {s for s in one if _significant(one[s], n, two[s], m, odds, chance)}, {s for s in two if _significant(two[s], m, one[s], n, odds, chance)}
+    shared = sorted((c, s) for s, c in both.most_common(most) if c > 1 and s not in own[0] and s not in own[1])
+    return tuple(b"".join(_code(s) for _, s in [*shared, *sorted((count[s], s) for s in ours)][-most:]) for ours, count in zip(own, (one, two), strict=True))
 
 
 def train(toxic: list[str], ordinary: list[str], share: float = 0.5, odds: float = 12.0, most: int = 4000) -> ToxicityModel:
@@ -100,14 +117,7 @@ def train(toxic: list[str], ordinary: list[str], share: float = 0.5, odds: float
     held = lambda x: x[::4]
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", 1e9)
-    a, b = _contexts(fit(toxic)), _contexts(fit(ordinary))
-    need = min(10, max(3, a[2] // 32))  # a floor for chance only: the odds test decides, however rare a word is among the toxic
-
-    def content(x, y) -> bytes:
-        words, starts = _typical(x[0], x[2], y[0], y[2], need, odds, most), _typical(x[1], x[2], y[1], y[2], 2 * need, odds, most)
-        return b"".join([*(xxhash.xxh64_digest("^" + s) for s in starts), *(_code(w) for w in words)])
-
-    model = ToxicityModel(content(a, b), content(b, a), 0.0)
+    model = ToxicityModel(*_contents(_contexts(fit(toxic)), _contexts(fit(ordinary)), odds, most), 0.0)
     scorer = model.scorer()
     t, o = (np.array([scorer.distance(x) for x in held(side)]) for side in (toxic, ordinary))
     levels = np.unique(np.concatenate([t, o, [1]]))
@@ -118,12 +128,14 @@ def train(toxic: list[str], ordinary: list[str], share: float = 0.5, odds: float
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: int, sample_chars: int) -> tuple[list[str], list[str], float]:
-    """Texts of at most ``sample`` toxic and ordinary rows of the learning folds, by the order of a hash."""
+    """Texts of at most ``sample`` toxic and ordinary ids of the learning folds, by the order of a hash, and the toxic part of all."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isin(0, 1) & (common.id_bucket(F.col("doc_id"), folds) != held))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (1, 0)]
-    ids = F.broadcast(picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= sample_chars).join(ids, "doc_id").collect()
+    ids = F.broadcast(picked[0].unionByName(picked[1]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, sample_chars).alias("text")).where("text <> ''")
+    rows = texts.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # one text an id
     rows = sorted({(r.toxic, r.text) for r in rows}, key=lambda r: xxhash.xxh64_intdigest(r[1]))
     return [t for y, t in rows if y == 1], [t for y, t in rows if y == 0], counts.get(1, 0) / max(1, sum(counts.values()))
 
@@ -131,7 +143,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, sampl
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 2000, sample_chars: int = 20_000) -> DataFrame:
     spark = common.tune(docs.sparkSession)
     model = train(*sample_rows(docs, labels, folds, held, sample, sample_chars))
-    sent = spark.sparkContext.broadcast(model)  # at most 2 x 4000 words and beginnings
+    sent = spark.sparkContext.broadcast(model)  # at most 4000 words a class
     made: list[Scorer] = []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
