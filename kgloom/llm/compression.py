@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterable
-
+import regex
 import zstandard
 
-WORDS = re.compile(r"[^\W\d_]+")
+#: Runs of letters.
+WORDS = regex.compile(r"\p{L}+")
 
 
 def raw_dictionary(content: bytes, level: int) -> zstandard.ZstdCompressionDict:
@@ -30,20 +28,3 @@ class Coder:
 
 def byte_windows(text: bytes, size: int) -> list[bytes]:
     return [text[i : i + size] for i in range(0, len(text), size)] or [b""]
-
-
-def word_windows(text: str, words: int) -> list[bytes]:
-    """Every word of the text, lower-cased, in windows of so many."""
-    own = WORDS.findall(text.lower())
-    return [(" " + " ".join(own[i : i + words]) + " ").encode() for i in range(0, len(own), words)] or [b""]
-
-
-def document_frequency(texts: Iterable[str], prefixes: tuple[int, ...] = ()) -> tuple[Counter, int]:
-    """In how many texts each word stands, and each word beginning of those lengths."""
-    found: Counter = Counter()
-    n = 0
-    for t in texts:
-        n += 1
-        own = set(WORDS.findall(t.lower()))
-        found.update({f" {w} " for w in own} | {f" {w[:k]}" for w in own for k in prefixes if len(w) > k})
-    return found, n

@@ -1,12 +1,12 @@
 """Language by compression: a zstandard raw-content dictionary for each language; the smallest code wins.
 
-Every labelled language is learned. A dictionary is cut from at most ``sample`` distinct texts of its language, ``piece`` bytes of each, so that no
-document fills it. Of a text all letters count, lower-cased, and one blank for each run of other characters; they are
+Every labelled language is learned. A dictionary is cut from at most ``sample`` distinct texts of its language, of each at
+most its first ``sample_chars`` characters, ``piece`` bytes at a time, so that no document fills it and copies count once. Of a text all letters count, lower-cased, and one blank for each run of other characters; they are
 coded whole, in windows of ``window`` bytes. Where the two best languages' sizes differ
 by less than ``min_margin`` of the text's size the row is marked rejected, as are texts that are null or without a letter.
 
 Ties go to the language that sorts first. Null languages and ids don't train; without any
-learned language every row is ``und``. A column of the input under one of the result's names is
+learned language every row is ``und``. Repeated rows and rows with one doc_id are each predicted on their own. A column of the input under one of the result's names is
 replaced; other extra columns stay. An empty table gives no rows.
 """
 
@@ -62,7 +62,7 @@ def sample_rows(docs: DataFrame, folds: int, held: int, sample: int, sample_char
     """(language, text) of at most ``sample`` distinct texts of each language, the first by a hash of the text."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = ids.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.id_bucket(F.col("doc_id"), folds) != held))
-    known = known.where(F.length("text") <= sample_chars).select("lang", "text", F.xxhash64("text").alias("h"))
+    known = known.select("lang", F.substring("text", 1, sample_chars).alias("text")).withColumn("h", F.xxhash64("text"))
     first = Window.partitionBy("lang").orderBy("h")
     ranked = known.select("lang", "h").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample)
     keys = docs.sparkSession.createDataFrame(ranked.select("lang", "h").collect(), "lang string, h long")  # their texts are collected too
