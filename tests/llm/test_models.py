@@ -7,6 +7,10 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
+from hypothesis import given
+from hypothesis import strategies as st
 
 from kgloom.llm import language_id, sharding, toxicity, vptree
 
@@ -93,6 +97,36 @@ def test_toxicity_of_a_long_tail():
     assert sum(scorer.score(text(False)) >= 0.5 for _ in range(200)) <= 10
 
 
+def test_toxicity_as_in_plain_python(spark):
+    """Every row's score is that of a plain scorer over whole texts, also of repeated, empty and very long ones."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for d in range(160):
+        bad = d % 3 == 0
+        t = speech(rng, "bb", 25) + (" grrbad vilest scumly" if bad else "")
+        rows.append((d, t))
+        labels.append((d, 0, int(bad)))
+    rows += [(500, "x " * 100_000 + "grrbad vilest scumly"), (501, ""), (502, None), (3, rows[3][1]), (3, "another of this id"), (None, rows[6][1])]
+    labels += [(3, 1, 1), (3, 0, 0), (700, 0, 1), (None, 0, 1), (501, 0, 0), (502, 0, 0)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    frame = docs(spark, rows).withColumnRenamed("source", "predicted").withColumnRenamed("lang", "toxic")
+    own = toxicity.sample_rows(frame, table, 5, 0, 2000, 20_000)
+    assert len(own[0]) + len(own[1]) == len({t for d, t in rows if t and d is not None and d < 160 and zlib.crc32(str(d).encode()) % 5} - {max(t for d, t in rows if d == 3)})
+    model = toxicity.train(*own)
+    assert len(model.toxic) >= 8 and len(model.ordinary) >= 8
+
+    def distance(text):
+        words = toxicity.WORDS.findall((text or "").lower())
+        one, two = (zstandard.ZstdCompressor(level=5, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for x in (model.toxic, model.ordinary))
+        windows = [b"".join(xxhash.xxh64_digest("^" + w[:4]) + xxhash.xxh64_digest(w) for w in words[i : i + 24]) for i in range(0, len(words), 24)]
+        return max([0, *(len(two.compress(w)) - len(one.compress(w)) for w in windows)])
+
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"] >= 0.5, r["predicted"]) for r in toxicity.score_toxicity(frame, table).collect())
+    want = sorted((-1 if d is None else d, distance(t) > model.threshold, int(distance(t) > model.threshold)) for d, t in rows)
+    assert got == want
+    assert toxicity.score_toxicity(docs(spark, []), table).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["predicted"] for r in toxicity.score_toxicity(docs(spark, [(1, "a b")]), none).collect()] == [0]
@@ -182,6 +216,68 @@ def test_sharding_splits_a_group_larger_than_a_shard(spark):
     assert sharding.assign_shards(docs(spark, [(1, "a"), (1, "a"), (2, None)])).count() == 3
 
 
+def plain_tree(rows, shards, names):
+    """The same k-d tree by sorting: shard by text."""
+
+    def code(name):
+        return -1 if name is None else int.from_bytes(name.encode()[:7].ljust(7, b"\0"), "big")
+
+    groups: dict = {}
+    for d, t, lang, source in sorted(rows, key=lambda r: (r[0], r[3], r[2])):
+        g = groups.setdefault(t or "", {"w": 0, "bytes": len((t or "").encode()) + 1, "first_id": d, "source": code(source), "lang": code(lang), "text": t or ""})
+        g["w"] += g["bytes"]
+    dims = [*names, "bytes", "first_id"]
+    span = {d: max(1, max(g[d] for g in groups.values()) - min(g[d] for g in groups.values())) for d in dims}
+    out = {}
+
+    def cut(node, width, base):
+        if width == 1:
+            out.update({g["text"]: base for g in node})
+            return
+        dim = max(dims, key=lambda d: ((max(g[d] for g in node) - min(g[d] for g in node)) / span[d], -dims.index(d)))
+        ordered = sorted(node, key=lambda g: (g[dim], g["first_id"]))
+        want, run, k = sum(g["w"] for g in node) / 2, 0, 0
+        while run + ordered[k]["w"] < want:
+            run += ordered[k]["w"]
+            k += 1
+        k += run + ordered[k]["w"] / 2 < want
+        cut(ordered[:k], width // 2, base)
+        cut(ordered[k:], width // 2, base + width // 2)
+
+    cut(list(groups.values()), shards, 0)
+    return out
+
+
+def test_sharding_is_the_tree_of_its_metadata(spark):
+    rng = random.Random(9)
+    rows = [(d, prose(rng, rng.randrange(5, 60)), rng.choice(["aa", "bb", "bb", None]), rng.choice(["hot", "hot", "hot", "src1", "src2", "a longer name", "a longer name too", "é"])) for d in range(400)]
+    rows += [(d, rows[d % 7][1], "aa", "src1") for d in range(400, 430)]
+    table = docs(spark, [(*r, 1) for r in rows])
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(table, heavy=1.0, tolerance=0.0, bins=16).collect()}
+    want = plain_tree(rows, 8, ("source", "lang"))
+    assert got == {d: want[t or ""] for d, t, _, _ in rows}
+
+
+@given(st.lists(st.integers(1, 1000), max_size=40), st.integers(0, 2000), st.integers(0, 2000), st.integers(0, 3000))
+def test_halves_are_balanced_where_they_can_be(weights, left, right, light):
+    side = sharding.halve([float(w) for w in weights], left, right, light, 1.0)
+    a, b = (sum(w for w, s in zip(weights, side, strict=True) if s == x) for x in (True, False))
+    gap = abs(left + a - right - b)
+    prefix = min(abs(left + sum(weights[:k]) - right - sum(weights[k:])) for k in range(len(weights) + 1))
+    assert gap <= prefix and (gap <= light + 1 or gap <= max([abs(left - right), *weights]))
+
+
+def test_sharding_of_a_small_corpus_of_unlike_sizes(spark):
+    rng = random.Random(11)
+    rows = [(d, prose(rng, int(3 * 1.06 ** rng.randrange(100)) + 1), rng.choice(["aa", "bb"]), f"src{rng.randrange(5)}", 1) for d in range(300)]
+    rows += [(400, "w " * 4000, "aa", "src1", 1), (400, "w " * 4000, "aa", "src1", 1), (None, "no id", None, None, 1)]
+    total: dict = {}
+    out = sharding.assign_shards(docs(spark, rows)).collect()
+    for r in out:
+        total[r["shard"]] = total.get(r["shard"], 0) + r["size"]
+    assert len(out) == len(rows) and len(total) == 8 and max(total.values()) <= 1.03 * min(total.values()), total
+
+
 @pytest.mark.parametrize("ids", ["own", "none"])
 def test_sharding_of_texts_of_one_size(spark, ids):
     rows = [(d if ids == "own" else None, f"{d:06d} " + "x" * 193) for d in range(3800)] + [(d if ids == "own" else None, f"{d:06d}"[: 1 + d % 6] + "y" * (d % 9)) for d in range(3800, 4000)]
