@@ -1,19 +1,28 @@
 """Graph operators on edge tables: traversal, impact, cycles, hubs, coupling, relevance, governance.
 
-Edges: from_id, to_id, type, confidence, is_active. Bounded traversals are unrolled joins on a frontier that is
-reduced (and de-duplicated) at every step; unbounded ones loop over checkpoints. Parallel edges collapse to the best.
+Edges: from_id, to_id, type, confidence, is_active. Bounded traversals are joins on a frontier that is reduced,
+de-duplicated and written at every step, so that plans don't grow with depth; parallel edges collapse to the best.
+Graphs of at most ``LOCAL_EDGES`` distinct pairs (counted first) are walked inside Arrow groups, larger ones by joins alone.
 Nothing is collected but loop conditions.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.session import cut
+from kgloom.session import cut, scratch, ship
 
 from . import catalogs
 
+#: Pairs that one task may hold: about 100 MB with their ids.
+LOCAL_EDGES = 2_000_000
+#: Origins that one group walks from at once.
+ORIGINS = 128
+
 
 def _depth(depth: int, least: int = 0) -> int:
     return max(least, min(depth, catalogs.MAX_DEPTH))
@@ -29,13 +38,14 @@ def _steps(edges: DataFrame, direction: str) -> DataFrame:
 
 def distances(edges: DataFrame, origins: DataFrame, depth: int, direction: str) -> DataFrame:
     """origin, node, depth: the least number of steps from each origin (origins: one column, origin)."""
-    steps = _steps(edges, direction)
-    seen = origins.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth"))
-    frontier = seen
+    steps = cut(_steps(edges, direction))
+    seen = frontier = cut(origins.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth")))
     for d in range(1, _depth(depth) + 1):
         reached = frontier.join(steps, frontier["node"] == steps["src"]).select("origin", F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(d))
+        frontier = cut(reached.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
+        if frontier.isEmpty():
+            break
     return seen
 
 
@@ -47,7 +57,14 @@ def neighborhood(edges: DataFrame, origin: str, depth: int = 1, direction: str =
     live = edges.where("is_active")
     parts = [live.join(inner.toDF(c), c, "left_semi") for c, used in (("from_id", direction != "in"), ("to_id", direction != "out")) if used]
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct()
-    return near.where("depth > 0"), found.select("from_id", "to_id", "type")
+    return near.where("depth > 0"), found.select("from_id", "to_id", "type", "confidence")
+
+
+def direct_neighbors(edges: DataFrame, node: str) -> DataFrame:
+    """peer, side (dependency or dependent), type of the node's own edges; a loop counts as a dependency."""
+    at = (F.col("from_id") == node) | (F.col("to_id") == node)
+    out = F.col("from_id") == node
+    return edges.where(at).select(F.when(out, F.col("to_id")).otherwise(F.col("from_id")).alias("peer"), F.when(out, "dependency").otherwise("dependent").alias("side"), "type")
 
 
 def impact_weight(kind: Column) -> Column:
@@ -57,66 +74,180 @@ def impact_weight(kind: Column) -> Column:
 def blast_radius(edges: DataFrame, origins: DataFrame, depth: int = 5) -> DataFrame:
     """origin, node, probability, depth: best product of decay and confidence along inbound paths, above the floor.
 
-    One row a node: its best probability and the least depth that reaches it. The origin itself is left out."""
-    weights = edges.where("is_active").groupBy(F.col("to_id").alias("src"), F.col("from_id").alias("dst")).agg(F.max(impact_weight(F.col("type")) * F.col("confidence")).alias("w"))
+    One row a node: its best probability and the least depth that reaches it, most probable first. The origin itself is
+    left out."""
+    weights = cut(edges.where("is_active").groupBy(F.col("to_id").alias("src"), F.col("from_id").alias("dst")).agg(F.max(impact_weight(F.col("type")) * F.col("confidence")).alias("w")))
     layer = origins.select("origin", F.col("origin").alias("node"), F.lit(1.0).alias("p"))
     found = None
     for d in range(1, (_depth(depth, 1) if depth >= 1 else catalogs.MAX_DEPTH) + 1):
         nxt = layer.join(weights, layer["node"] == weights["src"]).select("origin", F.col("dst").alias("node"), (F.col("p") * F.col("w")).alias("p"))
-        layer = nxt.where((F.col("p") > catalogs.IMPACT_FLOOR) & (F.col("node") != F.col("origin"))).groupBy("origin", "node").agg(F.max("p").alias("p"))
+        layer = cut(nxt.where((F.col("p") > catalogs.IMPACT_FLOOR) & (F.col("node") != F.col("origin"))).groupBy("origin", "node").agg(F.max("p").alias("p")))
         here = layer.withColumn("depth", F.lit(d))
         found = here if found is None else found.unionByName(here)
+        if layer.isEmpty():
+            break
     best = F.min(F.struct((-F.round("p", 9)).alias("p"), "depth"))
-    return found.groupBy("origin", "node").agg(best.alias("b")).select("origin", "node", F.round(-F.col("b.p"), 6).alias("probability"), F.col("b.depth").alias("depth"))
+    out = found.groupBy("origin", "node").agg(best.alias("b")).select("origin", "node", F.round(-F.col("b.p"), 6).alias("probability"), F.col("b.depth").alias("depth"))
+    return out.orderBy(F.desc("probability"), "node")
+
+
+def _reached(depth: int):
+    """For a group: how many known nodes each of its origins reaches (its own included), by bit sets over the origins."""
+
+    def run(steps: pa.Table, origins: pa.Table) -> pa.Table:
+        ids = origins.column("id").to_numpy(zero_copy_only=False)
+        src, dst = (steps.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst"))
+        codes, _ = pd.factorize(np.concatenate([ids, src, dst]))
+        own, s, t = np.split(codes, [len(ids), len(ids) + len(src)])
+        known = np.zeros(codes.max() + 1 if len(codes) else 0, bool)
+        known[own] = True
+        known[t[steps.column("known").to_numpy(zero_copy_only=False).astype(bool)]] = True
+        order = np.argsort(t, kind="stable")
+        s, t = s[order], t[order]
+        first = np.flatnonzero(np.diff(t, prepend=-1)) if len(t) else np.zeros(0, np.int64)
+        counts = []
+        for at in range(0, len(own), ORIGINS):
+            some = own[at : at + ORIGINS]
+            bits = np.zeros((len(known), -(-len(some) // 8)), np.uint8)
+            k = np.arange(len(some))
+            bits[some, k >> 3] |= (1 << (k & 7)).astype(np.uint8)
+            for _ in range(depth if len(t) else 0):
+                new = np.bitwise_or.reduceat(bits[s], first)
+                new |= bits[t[first]]
+                if (new == bits[t[first]]).all():
+                    break
+                bits[t[first]] = new
+            counts.append(np.unpackbits(bits[known], axis=1, count=len(some), bitorder="little").sum(0, dtype=np.int64))
+        return pa.table({"id": pa.array(ids, pa.string()), "reached": np.concatenate(counts) if counts else np.zeros(0, np.int64)})
+
+    return run
+
+
+def reach_counts(edges: DataFrame, nodes: DataFrame, depth: int, direction: str) -> DataFrame:
+    """id, reached: how many nodes each node reaches within depth, without itself.
+
+    Beyond ``LOCAL_EDGES`` distinct steps pairs (origin, node) are joined hop by hop."""
+    spark = nodes.sparkSession
+    steps = cut(_steps(edges, direction))
+    ids = nodes.select("id").distinct()
+    if steps.count() > LOCAL_EDGES:
+        near = distances(edges, ids.select(F.col("id").alias("origin")), depth, direction).where("depth > 0").join(ids.select(F.col("id").alias("node")), "node", "left_semi")
+        return ids.join(near.groupBy(F.col("origin").alias("id")).agg(F.count("*").alias("reached")), "id", "left").select("id", F.coalesce("reached", F.lit(0)).alias("reached"))
+    ship(spark)
+    parts = min(64, -(-max(1, ids.count()) // ORIGINS))  # groups, each with a copy of the steps
+    dealt = ids.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    marked = steps.join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("known")), "dst", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    copies = marked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    found = copies.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(_reached(_depth(depth)), "id string, reached long")
+    return found.select("id", (F.col("reached") - 1).alias("reached"))
 
 
 def impact_percent(edges: DataFrame, nodes: DataFrame, depth: int = 3) -> DataFrame:
     """id, affected, percent: how many other nodes depend on each within depth."""
-    near = distances(edges, nodes.select(F.col("id").alias("origin")), depth, "in").where("depth > 0").join(nodes.select(F.col("id").alias("node")), "node")
-    counts = near.groupBy("origin").agg(F.count("*").alias("affected"))
+    counts = reach_counts(edges, nodes, depth, "in")
     total = nodes.agg(F.count("*").alias("n"))
-    out = nodes.select("id").join(counts, F.col("id") == F.col("origin"), "left").join(F.broadcast(total))
-    n = F.coalesce("affected", F.lit(0))
-    return out.select("id", n.alias("affected"), F.when(F.col("n") > 1, F.round(100.0 * n / (F.col("n") - 1), 4)).otherwise(0.0).alias("percent"))
+    n = F.col("reached")
+    return counts.join(F.broadcast(total)).select("id", n.alias("affected"), F.when(F.col("n") > 1, F.round(100.0 * n / (F.col("n") - 1), 4)).otherwise(0.0).alias("percent"))
+
+
+def _components_of(pairs: pa.Table) -> pa.Table:
+    """Path-based strong components of one group's pairs, without recursion; a component is named by its smallest node."""
+    s, t = (pairs.column(c).to_numpy(zero_copy_only=False) for c in ("s", "t"))
+    codes, names = pd.factorize(np.concatenate([s, t]), sort=True)
+    n = len(names)
+    src, dst = codes[: len(s)], codes[len(s) :]
+    order = np.argsort(src, kind="stable")
+    ends = np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    heads = dst[order].tolist()
+    seen, comp, clock = [-1] * n, [-1] * n, 0
+    for root in range(n):
+        if seen[root] >= 0:
+            continue
+        walk, open_, path = [(root, ends[root])], [root], [root]
+        seen[root], clock = clock, clock + 1
+        while walk:
+            v, at = walk[-1]
+            if at < ends[v + 1]:
+                walk[-1] = (v, at + 1)
+                w = heads[at]
+                if seen[w] < 0:
+                    seen[w], clock = clock, clock + 1
+                    walk.append((w, ends[w]))
+                    open_.append(w)
+                    path.append(w)
+                elif comp[w] < 0:
+                    while seen[path[-1]] > seen[w]:
+                        path.pop()
+                continue
+            walk.pop()
+            if path[-1] == v:
+                path.pop()
+                members = []
+                while not members or members[-1] != v:
+                    members.append(open_.pop())
+                least = min(members)
+                for m in members:
+                    comp[m] = least
+    return pa.table({"node": pa.array(names, pa.string()), "component": pa.array(names[np.array(comp, np.int64)] if n else names, pa.string())})
+
+
+def _trim(pairs: DataFrame) -> DataFrame:
+    """Without pairs at nodes that have no way in or no way out: they lie on no cycle."""
+    left, size = pairs, pairs.count()
+    while size:
+        ins, outs = left.select(F.col("t").alias("s")).distinct(), left.select(F.col("s").alias("t")).distinct()
+        left = cut(left.join(ins, "s", "left_semi").join(outs, "t", "left_semi").select("s", "t"))
+        size, before = left.count(), size
+        if size == before:
+            break
+    return left
 
 
-def strongly_connected(edges: DataFrame) -> DataFrame:
-    """node, component (smallest member): forward and backward colouring, after nodes without in or out edges go.
+def _local_components(pairs: DataFrame) -> DataFrame:
+    ship(pairs.sparkSession)
+    return pairs.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_components_of, "node string, component string")
 
-    Only components of two and more, and nodes with a loop."""
-    spark = edges.sparkSession
-    pairs = edges.select(F.col("from_id").alias("s"), F.col("to_id").alias("t")).distinct()
-    loops = pairs.where("s = t").select(F.col("s").alias("node"), F.col("s").alias("component"))
-    left = cut(pairs.where("s <> t"))
-    done = spark.createDataFrame([], "node string, component string")
+
+def _colored_components(pairs: DataFrame, local: int) -> DataFrame:
+    """Forward and backward colouring, a few components a round, until what is left fits one group."""
+    done, left = None, pairs
     while True:
-        while True:  # what has no way in or no way out lies on no cycle
-            kept = cut(left.join(left.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(left.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"))
-            same = kept.count() == left.count()
-            left = kept
-            if same:
-                break
-        if left.isEmpty():
-            break
+        left = _trim(left)
+        size = left.count()
+        if size <= local:
+            rest = _local_components(left) if size else None
+            return done if rest is None else rest if done is None else done.unionByName(rest)
         color = cut(left.select(F.col("s").alias("node")).distinct().withColumn("color", F.col("node")))
         while True:  # the smallest node that reaches each
-            offer = left.join(color, left["s"] == color["node"]).select(F.col("t").alias("node"), "color")
-            nxt = cut(color.unionByName(offer).groupBy("node").agg(F.min("color").alias("color")))
-            moved = not nxt.join(color, ["node", "color"], "left_anti").isEmpty()
-            color = nxt
-            if not moved:
+            offer = left.join(color, left["s"] == color["node"]).select(F.col("t").alias("node"), F.col("color").alias("offer"))
+            nxt = color.join(offer.groupBy("node").agg(F.min("offer").alias("offer")), "node", "left")
+            color = cut(nxt.select("node", F.least("color", "offer").alias("color"), (F.col("offer") < F.col("color")).alias("moved")))
+            moved = color.where("moved").isEmpty()
+            color = color.drop("moved")
+            if moved:
                 break
         inside = cut(left.join(color.toDF("s", "cs"), "s").join(color.toDF("t", "ct"), "t").where("cs = ct").select("s", "t", F.col("cs").alias("color")))
-        back = cut(color.where("node = color"))
-        while True:  # who reaches that node inside its colour
-            offer = inside.join(back.select(F.col("node").alias("t"), "color"), ["t", "color"]).select(F.col("s").alias("node"), "color")
-            nxt = cut(back.unionByName(offer).distinct())
-            more = nxt.count() > back.count()
-            back = nxt
-            if not more:
-                break
-        done = cut(done.unionByName(back.select("node", F.col("color").alias("component"))))
-        left = cut(left.join(back.select(F.col("node").alias("s")), "s", "left_anti").join(back.select(F.col("node").alias("t")), "t", "left_anti").select("s", "t"))
+        back = news = cut(color.where("node = color"))
+        while not news.isEmpty():  # who reaches that node inside its colour
+            offer = inside.join(news.select(F.col("node").alias("t"), "color"), ["t", "color"]).select(F.col("s").alias("node"), "color").distinct()
+            news = cut(offer.join(back, ["node", "color"], "left_anti"))
+            back = back.unionByName(news)
+        found = cut(back.select("node", F.col("color").alias("component")))
+        done = found if done is None else done.unionByName(found)
+        left = cut(left.join(found.select(F.col("node").alias("s")), "s", "left_anti").join(found.select(F.col("node").alias("t")), "t", "left_anti").select("s", "t"))
+
+
+def strongly_connected(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """node, component (smallest member): components of two nodes and more, and nodes with a loop. All edges given count.
+
+    Up to ``local`` pairs are walked in one Arrow group, more are trimmed and coloured until that many are left."""
+    spark = edges.sparkSession
+    pairs = cut(edges.select(F.col("from_id").alias("s"), F.col("to_id").alias("t")).distinct())
+    loops = pairs.where("s = t").select(F.col("s").alias("node"), F.col("s").alias("component"))
+    with scratch(spark):
+        proper = cut(pairs.where("s <> t"))
+        found = _colored_components(proper, local) if proper.count() > local else _local_components(proper)
+        done = cut(found if found is not None else loops.limit(0), keep=True)
     big = done.groupBy("component").agg(F.count("*").alias("n")).where("n >= 2").select("component")
     out = done.join(big, "component", "left_semi").select("node", "component")
     return out.unionByName(loops.join(out.select("node"), "node", "left_anti"))
@@ -124,10 +255,15 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, in_degree, out_degree, degree for every node."""
-    out = edges.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("o"))
-    into = edges.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("i"))
-    z = F.lit(0)
-    return nodes.select("id").join(into, "id", "left").join(out, "id", "left").select("id", F.coalesce("i", z).alias("in_degree"), F.coalesce("o", z).alias("out_degree"), (F.coalesce("i", z) + F.coalesce("o", z)).alias("degree"))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("from_id").alias("id"), F.lit(0).alias("i")), F.struct(F.col("to_id").alias("id"), F.lit(1).alias("i")))).alias("e")).select("e.*")
+    counts = ends.groupBy("id").agg(F.sum("i").alias("i"), F.count("*").alias("d"))
+    i, d = F.coalesce("i", F.lit(0)), F.coalesce("d", F.lit(0))
+    return nodes.select("id").join(counts, "id", "left").select("id", i.alias("in_degree"), (d - i).alias("out_degree"), d.alias("degree"))
+
+
+def central(edges: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
+    """The nodes of the highest degree."""
+    return degrees(edges, nodes).orderBy(F.desc("degree"), "id").limit(most).select("id", "degree")
 
 
 def supernodes(edges: DataFrame, nodes: DataFrame, sigmas: float = 4.0) -> DataFrame:
@@ -142,38 +278,70 @@ def shared_table_coupling(accesses: DataFrame) -> DataFrame:
     return accesses.groupBy(F.col("to_id").alias("table_id")).agg(F.countDistinct("from_id").alias("services")).where("services >= 2")
 
 
-def relevance(edges: DataFrame, origin: str, passes: int = 6) -> DataFrame:
-    """node, score: best product of weight and confidence along undirected paths, at the floor and over, top nodes.
+def relevance_weight(kind: Column) -> Column:
+    return F.coalesce(*[F.when(kind == k, v) for k, v in catalogs.RELEVANCE_WEIGHT.items()], F.lit(catalogs.RELEVANCE_OTHER))
 
-    Passes are synchronous; the origin's score stays 1."""
-    weight = F.coalesce(*[F.when(F.col("type") == k, v) for k, v in catalogs.RELEVANCE_WEIGHT.items()], F.lit(catalogs.RELEVANCE_OTHER)) * F.col("confidence")
-    live = edges.where("is_active").withColumn("w", weight)
-    both = live.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "w").unionByName(live.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), "w"))
-    steps = both.groupBy("src", "dst").agg(F.max("w").alias("w"))
-    score = edges.sparkSession.createDataFrame([(origin, 1.0)], "node string, score double")
-    for _ in range(passes):  # a path's product only falls, so what is under the floor never returns
-        offer = score.join(steps, score["node"] == steps["src"]).select(F.col("dst").alias("node"), (F.col("score") * F.col("w")).alias("score"))
-        score = cut(score.unionByName(offer.where(F.col("score") >= catalogs.RELEVANCE_FLOOR - 1e-12)).groupBy("node").agg(F.max("score").alias("score")))
-    return score.select("node", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "node").limit(catalogs.RELEVANCE_NODES)
 
+def relevance(edges: DataFrame, origin: str, depth: int = 2, direction: str = "both", passes: int = 6, back_off: bool = True) -> tuple[DataFrame, DataFrame, int]:
+    """The neighbourhood's relevant part: nodes (node, score), the edges between them or with the origin, and the depth used.
 
-def transitive_dependencies(edges: DataFrame, kinds: tuple[str, ...] = ("IMPORTS", "DEPENDS_ON"), depth: int = 3) -> DataFrame:
-    """from_id, to_id, hops, confidence: best chain of 2..depth dependencies without repeated nodes."""
-    best = edges.where(F.col("is_active") & F.col("type").isin(*kinds)).groupBy("from_id", "to_id").agg(F.max("confidence").alias("c"))
+    A node's score is the best product of weight and confidence along the neighbourhood's edges, in either direction, from
+    the origin's 1; those at the floor and over are kept, the best 200, ties by id, the origin not counted. Where more pass, the
+    neighbourhood shrinks by a step and is scored again (``back_off``). Passes are synchronous and end when nothing rises."""
+    spark, depth = edges.sparkSession, _depth(depth, 1)
+    start = spark.createDataFrame([(origin,)], "origin string")
+    far = cut(distances(edges, start, depth, direction).select("node", "depth"))
+    live = cut(edges.where("is_active").select("from_id", "to_id", "type", "confidence"))
+    while True:
+        inner = far.where(F.col("depth") < depth).select("node")
+        parts = [live.join(inner.toDF(c), c, "left_semi") for c, used in (("from_id", direction != "in"), ("to_id", direction != "out")) if used]
+        near = cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct())
+        w = relevance_weight(F.col("type")) * F.col("confidence")
+        steps = cut(near.select(F.explode(F.array(F.struct(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), w.alias("w")), F.struct(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), w.alias("w")))).alias("e")).groupBy("e.src", "e.dst").agg(F.max("e.w").alias("w")))
+        score = risen = cut(spark.createDataFrame([(origin, 1.0)], "node string, score double"))
+        for _ in range(passes):  # a path's product only falls, so what is under the floor never returns
+            offer = risen.join(steps, risen["node"] == steps["src"]).where(F.col("dst") != origin).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("w")).alias("offer"))
+            offer = offer.where(F.col("offer") >= catalogs.RELEVANCE_FLOOR - 1e-12)
+            both = cut(score.join(offer, "node", "full_outer").select("node", F.greatest("score", "offer").alias("score"), (F.col("score").isNull() | (F.col("offer") > F.col("score"))).alias("rose")))
+            score, risen = both.select("node", "score"), both.where("rose").select("node", "score")
+            if risen.isEmpty():
+                break
+        scored = score.where(F.col("node") != origin)
+        if not back_off or depth <= 1 or scored.count() <= catalogs.RELEVANCE_NODES:
+            break
+        depth -= 1
+    kept = scored.select("node", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "node").limit(catalogs.RELEVANCE_NODES)
+    ids = kept.select("node").unionByName(start.toDF("node"))
+    inside = near.join(ids.toDF("from_id"), "from_id", "left_semi").join(ids.toDF("to_id"), "to_id", "left_semi")
+    return kept, inside.select("from_id", "to_id", "type", "confidence"), depth
+
+
+def transitive_dependencies(edges: DataFrame, kinds: tuple[str, ...] = ("IMPORTS", "DEPENDS_ON"), depth: int = 5, floor: float = 0.5) -> DataFrame:
+    """from_id, to_id, hops, confidence, chain: the most confident chain of 2..depth dependencies without repeated nodes, the
+    shorter and then the first by its nodes of equal ones. Chains under ``floor`` are rejected as soon as they fall there."""
+    best = edges.where(F.col("is_active") & F.col("type").isin(*kinds)).groupBy("from_id", "to_id").agg(F.max("confidence").alias("c")).where((F.col("c") >= floor) & (F.col("from_id") != F.col("to_id")))
+    best = cut(best)
     chains = best.select("from_id", "to_id", "c", F.array("from_id", "to_id").alias("path"))
     step = best.select(F.col("from_id").alias("mid"), F.col("to_id").alias("end"), F.col("c").alias("c2"))
     found = None
     for hops in range(2, _depth(depth) + 1):
-        chains = chains.join(step, chains["to_id"] == step["mid"]).where(~F.array_contains("path", F.col("end"))).select("from_id", F.col("end").alias("to_id"), (F.col("c") * F.col("c2")).alias("c"), F.concat("path", F.array("end")).alias("path"))
-        here = chains.groupBy("from_id", "to_id").agg(F.max("c").alias("c")).withColumn("hops", F.lit(hops))
+        product = F.col("c") * F.col("c2")
+        chains = chains.join(step, (chains["to_id"] == step["mid"]) & (F.round(product, 9) >= floor)).where(~F.array_contains("path", F.col("end")))
+        chains = cut(chains.select("from_id", F.col("end").alias("to_id"), product.alias("c"), F.concat("path", F.array("end")).alias("path")))
+        here = chains.withColumn("hops", F.lit(hops))
         found = here if found is None else found.unionByName(here)
-    return found.groupBy("from_id", "to_id").agg(F.max("c").alias("c"), F.min("hops").alias("hops")).select("from_id", "to_id", "hops", F.round("c", 6).alias("confidence"))
+        if chains.isEmpty():
+            break
+    top = F.min(F.struct((-F.round("c", 9)).alias("c"), "hops", "path"))
+    out = found.groupBy("from_id", "to_id").agg(top.alias("b"))
+    return out.select("from_id", "to_id", F.col("b.hops").alias("hops"), F.round(-F.col("b.c"), 6).alias("confidence"), F.array_join("b.path", ">").alias("chain"))
 
 
 def health_audit(entities: DataFrame, edges: DataFrame, accesses: DataFrame) -> DataFrame:
-    """All smells: smell, severity, subject, size."""
-    cycles = strongly_connected(edges).groupBy("component").agg(F.count("*").alias("size")).select(F.lit("circular_dependency").alias("smell"), F.lit("CRITICAL").alias("severity"), F.col("component").alias("subject"), "size")
-    hubs = supernodes(edges, entities).select(F.lit("supernode").alias("smell"), F.lit("MEDIUM").alias("severity"), F.col("id").alias("subject"), F.col("degree").alias("size"))
+    """All smells of the active edges: smell, severity, subject, size."""
+    live = edges.where("is_active") if "is_active" in edges.columns else edges
+    cycles = strongly_connected(live).groupBy("component").agg(F.count("*").alias("size")).select(F.lit("circular_dependency").alias("smell"), F.lit("CRITICAL").alias("severity"), F.col("component").alias("subject"), "size")
+    hubs = supernodes(live, entities).select(F.lit("supernode").alias("smell"), F.lit("MEDIUM").alias("severity"), F.col("id").alias("subject"), F.col("degree").alias("size"))
     shared = shared_table_coupling(accesses).select(F.lit("shared_database_coupling").alias("smell"), F.lit("HIGH").alias("severity"), F.col("table_id").alias("subject"), F.col("services").alias("size"))
     return cycles.unionByName(hubs).unionByName(shared)
 
@@ -188,10 +356,39 @@ def orphans(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return entities.where("type <> 'SERVICE'").join(edges.select(F.col("to_id").alias("id")).distinct(), "id", "left_anti").select("id")
 
 
+def roots(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Where a tree starts: services that nothing points to; if none, all services; if none, all entities."""
+    services = entities.where("type = 'SERVICE'").select("id")
+    free = services.join(edges.select(F.col("to_id").alias("id")).distinct(), "id", "left_anti")
+    rank = free.withColumn("r", F.lit(0)).unionByName(services.withColumn("r", F.lit(1))).unionByName(entities.select("id").withColumn("r", F.lit(2)))
+    least = rank.agg(F.min("r").alias("r"))
+    return rank.join(F.broadcast(least), "r", "left_semi").select("id")
+
+
 def readers_writers(accesses: DataFrame) -> DataFrame:
-    """table_id, readers, writers: how many distinct services."""
-    one = lambda k: F.count_distinct(F.when(F.col("type") == k, F.col("from_id")))
-    return accesses.groupBy(F.col("to_id").alias("table_id")).agg(one("READS_FROM").alias("readers"), one("WRITES_TO").alias("writers"))
+    """table_id, readers, writers (sorted lists of distinct services), n_readers, n_writers."""
+    one = lambda k: F.array_sort(F.collect_set(F.when(F.col("type") == k, F.col("from_id"))))
+    out = accesses.groupBy(F.col("to_id").alias("table_id")).agg(one("READS_FROM").alias("readers"), one("WRITES_TO").alias("writers"))
+    return out.withColumns({"n_readers": F.size("readers").cast("long"), "n_writers": F.size("writers").cast("long")})
+
+
+def service_accesses(accesses: DataFrame) -> DataFrame:
+    """service_id, reads, writes (sorted lists of distinct tables)."""
+    one = lambda k: F.array_sort(F.collect_set(F.when(F.col("type") == k, F.col("to_id"))))
+    return accesses.groupBy(F.col("from_id").alias("service_id")).agg(one("READS_FROM").alias("reads"), one("WRITES_TO").alias("writes"))
+
+
+def visible(entities: DataFrame, edges: DataFrame, hidden: set[str]) -> tuple[DataFrame, DataFrame]:
+    """Entities of types that aren't hidden, and the edges between them."""
+    shown = entities.where(~F.col("type").isin(sorted(hidden))) if hidden else entities
+    ids = shown.select("id")
+    return shown, edges.join(ids.toDF("from_id"), "from_id", "left_semi").join(ids.toDF("to_id"), "to_id", "left_semi").select(*edges.columns)
+
+
+def within(entities: DataFrame, edges: DataFrame, namespace: str) -> DataFrame:
+    """Active edges of which both ends, active or not, lie in the namespace."""
+    ids = entities.where(F.col("namespace") == namespace).select("id")
+    return edges.where("is_active").join(ids.toDF("from_id"), "from_id", "left_semi").join(ids.toDF("to_id"), "to_id", "left_semi").select(*edges.columns)
 
 
 def protected_by(entities: DataFrame, edges: DataFrame, guard: str) -> DataFrame:
@@ -199,42 +396,85 @@ def protected_by(entities: DataFrame, edges: DataFrame, guard: str) -> DataFrame
     return entities.where((F.col("type") == "SERVICE") & (F.col("id") != guard)).join(edges.where(F.col("to_id") == guard).select(F.col("from_id").alias("id")), "id", "left_semi").select("id")
 
 
+def ownerless(entities: DataFrame) -> DataFrame:
+    """Services whose properties (JSON) name neither an owner nor a primary owner's team."""
+    owner = F.coalesce(F.get_json_object("properties", "$.owner"), F.lit(""))
+    team = F.coalesce(F.get_json_object("properties", "$.primary_owner.team_name"), F.lit(""))
+    return entities.where((F.col("type") == "SERVICE") & (owner == "") & (team == "")).select("id")
+
+
 # The rule that a smell breaks.
-SMELL_RULES = {"circular_dependency": "no_circular_dependencies", "shared_database_coupling": "no_shared_databases", "ownerless_service": "require_owner"}
+SMELL_RULES = {"circular_dependency": "no-circular-dependencies", "shared_database_coupling": "shared-database-table", "require-service-owners": "require-service-owners"}
 
 
-def governance(smells: DataFrame, ownerless: DataFrame, rules: DataFrame) -> DataFrame:
-    """Violations with the configured severity, or else the smell's own; outcome FAIL, WARN or SILENT."""
-    found = smells.select("smell", "severity", "subject").unionByName(ownerless.select(F.lit("ownerless_service").alias("smell"), F.lit("WARN").alias("severity"), F.col("id").alias("subject")))
-    rule = F.coalesce(*[F.when(F.col("smell") == k, v) for k, v in SMELL_RULES.items()])
-    named = found.withColumn("rule", rule).where("rule IS NOT NULL")
-    out = named.join(rules.select(F.col("name").alias("rule"), F.col("severity").alias("configured")), "rule", "left")
-    severity = F.upper(F.coalesce("configured", "severity"))
-    return out.select("rule", "subject", severity.alias("severity"), F.when(severity == "FAIL", "FAIL").when(severity == "WARN", "WARN").otherwise("SILENT").alias("outcome"))
+def governance(smells: DataFrame, unowned: DataFrame, rules: DataFrame) -> DataFrame:
+    """rule_id, rule, subject, severity, outcome of all smells (smell, severity, subject) and of unowned services (id).
+
+    A rule (id, name, severity) sets its smell's severity; otherwise the smell's own stays, HIGH for unowned services. Exactly
+    FAIL and WARN count, all else is SILENT; smells without a rule, such as supernodes, too."""
+    missing = unowned.select(F.lit("require-service-owners").alias("smell"), F.lit("HIGH").alias("severity"), F.col("id").alias("subject"))
+    found = smells.select("smell", "severity", "subject").unionByName(missing)
+    rule = F.coalesce(*[F.when(F.col("smell") == k, v) for k, v in SMELL_RULES.items()], F.lit(""))
+    last = rules.withColumn("__n", F.monotonically_increasing_id()).groupBy(F.col("name").alias("rule")).agg(F.max_by(F.struct(F.col("id"), F.col("severity")), "__n").alias("r"))
+    out = found.withColumn("rule", rule).join(F.broadcast(last), "rule", "left")
+    severity = F.coalesce("r.severity", "severity")
+    outcome = F.when(severity == "FAIL", "FAIL").when(severity == "WARN", "WARN").otherwise("SILENT")
+    return out.select(F.coalesce("r.id", F.lit("UNKNOWN")).alias("rule_id"), "rule", "subject", severity.alias("severity"), outcome.alias("outcome"))
 
 
 def change_risk(affected: Column) -> Column:
     return F.when(affected > 5, "High").when(affected > 2, "Medium").otherwise("Low")
 
 
-def suggestions(smells: DataFrame) -> DataFrame:
+def affected_names(affected: DataFrame, entities: DataFrame, most: int = 80) -> DataFrame:
+    """origin, names: the services and endpoints among affected (origin, node, probability), the likeliest first; cut to ``most``
+    characters, None if there are none."""
+    shown = entities.where(F.col("type").isin("SERVICE", "API_ENDPOINT")).select(F.col("id").alias("node"), F.format_string("`%s` (%s)", "canonical_name", "type").alias("label"))
+    ranked = F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct((-F.col("probability")).alias("p"), "node", "label"))))
+    names = F.array_join(F.transform(ranked, lambda x: x["label"]), ", ")
+    out = affected.join(shown, "node", "left").groupBy("origin").agg(names.alias("n"))
+    text = F.when(F.col("n") == "", "None").when(F.char_length("n") > most, F.concat(F.substring("n", 1, most - 3), F.lit("..."))).otherwise(F.col("n"))
+    return out.select("origin", text.alias("names"))
+
+
+def smells_of(smells: DataFrame, names: DataFrame) -> DataFrame:
+    """Smells with a subject that holds one of the names (name), or that one of them holds; names are few and broadcast only where
+    Spark finds them small."""
+    touch = F.col("subject").contains(F.col("name")) | F.col("name").contains(F.col("subject"))
+    return smells.join(names.select("name").distinct(), touch, "left_semi")
+
+
+def suggestions(smells: DataFrame, unowned: DataFrame | None = None) -> DataFrame:
+    """smell, subject, suggestion: an advice for each kind of smell, and for unowned services (id)."""
     advice = F.when(F.col("smell") == "circular_dependency", F.format_string("Break the cycle of %d nodes around %s", "size", "subject")).when(
         F.col("smell") == "shared_database_coupling", F.format_string("Let one service own table %s, which %d use", "subject", "size")
     ).when(F.col("smell") == "supernode", F.format_string("Divide hub %s of degree %d", "subject", "size"))
-    return smells.select("smell", "subject", advice.alias("suggestion"))
+    out = smells.select("smell", "subject", advice.alias("suggestion"))
+    if unowned is not None:
+        out = out.unionByName(unowned.select(F.lit("require-service-owners").alias("smell"), F.col("id").alias("subject"), F.format_string("Assign an owner to %s", "id").alias("suggestion")))
+    return out
 
 
-def resolve_locations(places: DataFrame, entities: DataFrame) -> DataFrame:
-    """The entity of each (path, line): equal paths or a suffix either way, at the line or around it; first by name.
+def resolve_locations(places: DataFrame, entities: DataFrame, parts: bool = True) -> DataFrame:
+    """The entity of each (path, line; null: any): equal paths or a suffix either way, at the line or around it; first by name.
 
-    Both sides meet on the file's base name, so the suffix test never compares all pairs."""
+    Both sides meet on the file's base name, so the suffix test never compares all pairs. Places that find nothing so are
+    matched by part of a path either way (``parts``): only theirs are compared with all files. An entity without an end
+    has its start line alone."""
     base = lambda c: F.element_at(F.split(c, "/"), -1)
-    left = places.withColumn("__base", base(F.col("path")))
-    right = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.col("file").alias("file"), "start_line", "end_line").withColumn("__base", base(F.col("file")))
+    left = places.select("path", "line").distinct()
+    right = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.col("file").alias("file"), "start_line", "end_line")
     near = (F.col("path") == F.col("file")) | F.endswith("path", F.concat(F.lit("/"), "file")) | F.endswith("file", F.concat(F.lit("/"), "path"))
     inside = F.col("line").isNull() | F.col("line").between(F.col("start_line"), F.coalesce("end_line", "start_line"))
-    hits = left.join(right, "__base").where(near & inside)
-    return hits.groupBy("path", "line").agg(F.min_by("entity_id", F.struct("entity_name", "entity_id")).alias("entity_id"))
+    first = F.min_by("entity_id", F.struct("entity_name", "entity_id")).alias("entity_id")
+    hits = left.withColumn("__base", base(F.col("path"))).join(right.withColumn("__base", base(F.col("file"))), "__base").where(near & inside)
+    found = hits.groupBy("path", "line").agg(first)
+    if not parts:
+        return found
+    found = cut(found)
+    rest = left.join(found, (left["path"] == found["path"]) & left["line"].eqNullSafe(found["line"]), "left_anti")
+    some = (F.col("path").contains(F.col("file")) | F.col("file").contains(F.col("path"))) & inside
+    return found.unionByName(rest.join(right, some).groupBy("path", "line").agg(first))
 
 
 def longest_prefix(files: DataFrame, projects: DataFrame) -> DataFrame:
@@ -245,10 +485,21 @@ def longest_prefix(files: DataFrame, projects: DataFrame) -> DataFrame:
     return files.select("path").join(found, "path", "left").select("path", F.coalesce("project", F.lit(".")).alias("project"))
 
 
-def change_coupling(commits: DataFrame) -> DataFrame:
-    """left_id, right_id, together, coupling: shared commits over commits of either (commits: commit_id, id)."""
-    rows = commits.select("commit_id", "id").distinct()
+def change_coupling(commits: DataFrame, since: Column | None = None, most_files: int | None = None, salt_rows: int = 10_000) -> DataFrame:
+    """left_id, right_id, together, coupling: shared commits over commits of either (commits: commit_id, id, at with ``since``).
+
+    A commit of many files makes as many pairs as their number squared; ``most_files`` leaves larger commits out of the
+    pairs, if wanted. One side of a commit is split by salts of about ``salt_rows`` rows, so no task has a huge commit alone."""
+    rows = commits if since is None else commits.where(F.col("at") >= since)
+    rows = cut(rows.select("commit_id", "id").distinct())
     counts = rows.groupBy("id").agg(F.count("*").alias("n"))
-    pairs = rows.toDF("commit_id", "left_id").join(rows.toDF("commit_id", "right_id"), "commit_id").where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("together"))
+    sizes = rows.groupBy("commit_id").agg(F.count("*").alias("size"))
+    if most_files is not None:
+        sizes = sizes.where(F.col("size") <= most_files)
+    sized = rows.join(sizes, "commit_id")
+    salts = F.ceil(F.col("size") / salt_rows).cast("int")
+    left = sized.select("commit_id", F.col("id").alias("left_id"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    right = sized.select("commit_id", F.col("id").alias("right_id"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    pairs = left.join(right, ["commit_id", "salt"]).where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("together"))
     out = pairs.join(counts.toDF("left_id", "nl"), "left_id").join(counts.toDF("right_id", "nr"), "right_id")
     return out.select("left_id", "right_id", "together", F.round(F.col("together") / (F.col("nl") + F.col("nr") - F.col("together")), 6).alias("coupling"))

@@ -91,15 +91,19 @@ def infer_from_imports(relationships: DataFrame) -> DataFrame:
     return found.withColumns({"type": F.lit("DEPENDS_ON"), "confidence": F.round(F.col("confidence") * 0.9, 6), "is_inferred": F.lit(True)})
 
 
-def infer_shared_resources(accesses: DataFrame) -> DataFrame:
-    """Reader and writer of one table are coupled: from_id (reader), to_id (writer), shared (how many tables).
+def infer_shared_resources(accesses: DataFrame, salt_rows: int = 10_000) -> DataFrame:
+    """Reader and writer of one table are coupled: from_id (reader), to_id (writer), shared (how many tables), shared_table (the first).
 
-    Distinct (service, table) pairs meet per table, so a table's readers and writers bound its pairs."""
+    Distinct (service, table) pairs meet per table. The readers of a table are split by salts of about ``salt_rows`` rows, each with a
+    copy of its writers, so a table that everyone reads isn't one task's."""
     writers = accesses.where("type = 'WRITES_TO'").select("to_id", F.col("from_id").alias("writer")).distinct()
     readers = accesses.where("type = 'READS_FROM'").select("to_id", F.col("from_id").alias("reader")).distinct()
-    pairs = readers.join(writers, "to_id").where("reader <> writer")
-    counted = pairs.groupBy("reader", "writer").agg(F.count("*").alias("shared"))
-    return counted.select(F.col("reader").alias("from_id"), F.col("writer").alias("to_id"), F.lit("CHANGE_COUPLED_WITH").alias("type"), F.lit(0.85).alias("confidence"), "shared")
+    salts = readers.groupBy("to_id").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
+    left = readers.join(salts, "to_id").select("to_id", "reader", F.pmod(F.xxhash64("reader"), F.col("salts")).cast("int").alias("salt"))
+    right = writers.join(salts, "to_id").select("to_id", "writer", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = left.join(right, ["to_id", "salt"]).where("reader <> writer")
+    counted = pairs.groupBy("reader", "writer").agg(F.count("*").alias("shared"), F.min("to_id").alias("shared_table"))
+    return counted.select(F.col("reader").alias("from_id"), F.col("writer").alias("to_id"), F.lit("CHANGE_COUPLED_WITH").alias("type"), F.lit(0.85).alias("confidence"), F.lit(True).alias("is_inferred"), "shared", "shared_table")
 
 
 def merge_relationships(relationships: DataFrame) -> DataFrame:
@@ -113,13 +117,13 @@ def merge_relationships(relationships: DataFrame) -> DataFrame:
 def merge_entities(entities: DataFrame) -> DataFrame:
     """One row for each id: scalars of the most confident row (the first of equals); later properties win key by key.
 
-    properties is a map here."""
+    properties is a map here; its entries are reduced by (id, key), so that no id's rows are gathered."""
     best = F.max_by(F.struct("type", "canonical_name", "namespace", "confidence"), F.struct(F.col("confidence"), -F.col("ordinal")))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("ordinal"), F.map_entries("properties").alias("entries"))))
-    keyed = F.flatten(F.transform(ordered, lambda x: F.transform(x["entries"], lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))))
-    rows = entities.groupBy("id").agg(best.alias("best"), keyed.alias("all"))
-    last = F.aggregate(F.col("all"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["k"]), F.create_map(x["k"], x["v"])))
-    return rows.select("id", "best.*", last.alias("properties"))
+    rows = entities.groupBy("id").agg(best.alias("best"))
+    entries = entities.select("id", "ordinal", F.explode("properties").alias("k", "v")).groupBy("id", "k").agg(F.max_by("v", "ordinal").alias("v"))
+    last = entries.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("properties"))
+    kind = entities.schema["properties"].dataType
+    return rows.join(last, "id", "left").select("id", "best.*", F.coalesce("properties", F.create_map().cast(kind)).alias("properties"))
 
 
 def ownership(properties: Column) -> Column:

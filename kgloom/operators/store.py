@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgloom.functions import json_list, json_text, owner_team
+
 # Log entry kinds that carry a state.
 STATE_KINDS = ["ENTITY_CREATED", "ENTITY_UPDATED", "ENTITY_SOFT_DELETED", "ENTITY_RESTORED"]
 
@@ -44,8 +46,14 @@ def rejected_edges(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     return lost.unionByName(rest)
 
 
-def read_log(log: DataFrame, from_entry: int | None = None, entity_id: str | None = None, transaction_id: str | None = None, limit: int | None = None) -> DataFrame:
-    for c, v in (("entity_id", entity_id), ("transaction_id", transaction_id)):
+def page(limit: int | None) -> int:
+    """How many entries a page has: 100 where no number is given, or one that isn't in 1..1000."""
+    return limit if limit is not None and 0 < limit <= 1000 else 100
+
+
+def read_log(log: DataFrame, from_entry: int | None = None, entity_id: str | None = None, transaction_id: str | None = None, limit: int | None = None, relationship_id: str | None = None) -> DataFrame:
+    """The entries that match all that is given, in their order where limit makes a page of them."""
+    for c, v in (("entity_id", entity_id), ("relationship_id", relationship_id), ("transaction_id", transaction_id)):
         if v is not None:
             log = log.where(F.col(c) == v)
     if from_entry is not None:
@@ -82,7 +90,8 @@ def by_name(entities: DataFrame) -> DataFrame:
 
 
 def search(docs: DataFrame, text: str | None = None, limit: int | None = None, **facets) -> DataFrame:
-    """Documents that match all given facets exactly and hold text in their name, aliases or tags, in any ASCII case."""
+    """Documents that match all given facets exactly and hold text in their name, aliases or tags, in any ASCII case; with a limit,
+    the first by name."""
     for c, v in facets.items():
         docs = docs.where(F.col(c) == v)
     if text:
@@ -91,24 +100,89 @@ def search(docs: DataFrame, text: str | None = None, limit: int | None = None, *
             if c in docs.columns:
                 found = found | F.coalesce(F.col(c).ilike(f"%{text}%"), F.lit(False))
         docs = docs.where(found)
-    docs = docs.orderBy("canonical_name", *(["id"] if "id" in docs.columns else []))
-    return docs.limit(limit) if limit else docs
+    return docs.orderBy("canonical_name", *(["id"] if "id" in docs.columns else [])).limit(limit) if limit else docs
+
+
+def search_documents(entities: DataFrame) -> DataFrame:
+    """What is searched of each entity (id, type, sub_type, canonical_name, namespace, is_active, properties as JSON). A view: nothing is
+    queued, so nothing is lost."""
+    text = lambda k: json_text(F.col("properties"), k)
+    listed = lambda k: json_list(F.col("properties"), k)
+    return entities.select(
+        F.col("id").alias("entity_id"), "canonical_name", listed("aliases").alias("aliases"), F.col("type").alias("entity_type"), "sub_type", "namespace", owner_team(F.col("properties")).alias("owner_team"),
+        text("criticality").alias("criticality"), text("maturity").alias("maturity"), text("velocity").alias("velocity"), "is_active", listed("architectural_smells").alias("architectural_smells"), listed("tags").alias("tags"),
+    )
 
 
-def metrics_range(metrics: DataFrame, start: Column, end: Column) -> DataFrame:
+def search_entities(entities: DataFrame, text: str | None = None, limit: int | None = None, **facets) -> DataFrame:
+    """The entities whose search documents match, by name."""
+    found = search(search_documents(entities).withColumnRenamed("entity_id", "id"), text, limit, **facets)
+    return entities.join(found.select("id"), "id", "left_semi")
+
+
+def listing(entities: DataFrame, namespace: str, limit: int | None = None) -> DataFrame:
+    """Active entities of a namespace; with a limit, the first by name."""
+    own = entities.where(F.col("is_active") & (F.col("namespace") == namespace))
+    return own.orderBy("canonical_name", "id").limit(limit) if limit else own
+
+
+def metrics_range(metrics: DataFrame, start: Column | None = None, end: Column | None = None, now: Column | None = None) -> DataFrame:
+    """Points (of entities or of relationships) in [start, end]: up to now, and from a day before the end, where they are not given."""
+    end = end if end is not None else now if now is not None else F.current_timestamp()
+    start = start if start is not None else end - F.expr("INTERVAL 24 HOURS")
     return metrics.where(F.col("at").between(start, end))
 
 
+def with_latest_metrics(entities: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Entities with metrics_summary, their last point, or null."""
+    last = latest_metrics(metrics).select(F.col("entity_id").alias("id"), F.struct("at", "value").alias("metrics_summary"))
+    return entities.join(last, "id", "left")
+
+
+def rollup(metrics: DataFrame, unit: str) -> DataFrame:
+    """Points, their sum, largest and smallest by entity and unit of time (hour, day, month); rolls up its own results too."""
+    again = "points" in metrics.columns
+    one = lambda c, f: f(F.col(c if again else "value"))
+    points = F.sum("points") if again else F.count("*")
+    return metrics.groupBy("entity_id", F.date_trunc(unit, "at").alias("at")).agg(points.alias("points"), F.round(one("total", F.sum), 4).alias("total"), one("largest", F.max).alias("largest"), one("smallest", F.min).alias("smallest"))
+
+
+def moving(metrics: DataFrame, points: int = 5, sigmas: float = 3.0) -> DataFrame:
+    """Each point with the mean of its entity's last points before it (recent), the change since the last, and whether it lies more than
+    so many deviations from the mean."""
+    w = Window.partitionBy("entity_id").orderBy("at", "event_id")
+    back = w.rowsBetween(-points, -1)
+    mean, sd = F.avg("value").over(back), F.stddev_pop("value").over(back)
+    odd = F.coalesce(F.abs(F.col("value") - mean) > sigmas * sd, F.lit(False)) & (F.count("value").over(back) >= points)
+    return metrics.select("entity_id", "at", "value", F.round(mean, 4).alias("recent"), F.round(F.col("value") - F.lag("value").over(w), 6).alias("change"), odd.alias("anomaly"))
+
+
 def latest_metrics(metrics: DataFrame) -> DataFrame:
     """Each entity's last point: max_by, so no sort and a combining first step."""
     return metrics.groupBy("entity_id").agg(F.max_by(F.struct("at", "value", "event_id"), F.struct("at", "event_id")).alias("x")).select("entity_id", "x.*")
 
 
-def span_calls(spans: DataFrame, same_trace: bool = False) -> DataFrame:
-    """Distinct calls between services whose spans are parent and child."""
-    parent = spans.select(F.col("span_id").alias("parent_span_id"), F.col("service_name").alias("caller"), *([F.col("trace_id")] if same_trace else []))
-    child = spans.where("parent_span_id IS NOT NULL").select("parent_span_id", F.col("service_name").alias("callee"), *(["trace_id"] if same_trace else []))
-    return child.join(parent, ["parent_span_id", *(["trace_id"] if same_trace else [])]).where("caller <> callee AND caller <> '' AND callee <> ''").select("caller", "callee").distinct()
+def _last_spans(spans: DataFrame, same_trace: bool, order: str | None) -> DataFrame:
+    """One span an id: the last by ``order`` (without it, by the largest service name)."""
+    key = ["trace_id", "span_id"] if same_trace else ["span_id"]
+    by = F.struct(*([order] if order else []), "service_name")
+    return spans.groupBy(*key).agg(F.max_by("service_name", by).alias("caller")).withColumnRenamed("span_id", "parent_span_id")
+
+
+def span_calls(spans: DataFrame, same_trace: bool = False, order: str | None = None) -> DataFrame:
+    """Distinct calls between services whose spans are parent and child. Of spans with one id the last is the parent."""
+    child = spans.where("parent_span_id IS NOT NULL").select("parent_span_id", F.col("service_name").alias("callee"), *(["trace_id"] if same_trace else [])).distinct()
+    joined = child.join(_last_spans(spans, same_trace, order), ["parent_span_id", *(["trace_id"] if same_trace else [])])
+    return joined.where("caller <> callee AND caller <> '' AND callee <> ''").select("caller", "callee").distinct()
+
+
+def edge_stats(spans: DataFrame, width: str = "5 minutes", order: str | None = None) -> DataFrame:
+    """Calls, median and 99th percentile of the value and the share of errors for each calling pair and window."""
+    child = spans.where("parent_span_id IS NOT NULL").select("parent_span_id", F.col("service_name").alias("callee"), "ts", "value", "is_error")
+    joined = child.join(_last_spans(spans, False, order), "parent_span_id").where("caller <> callee AND caller <> '' AND callee <> ''")
+    part = lambda p: F.percentile_approx("value", p, 10_000)
+    out = joined.groupBy("caller", "callee", F.window("ts", width).alias("w")).agg(F.count("*").alias("calls"), part(0.5).alias("p50"), part(0.99).alias("p99"), F.round(F.avg(F.col("is_error").cast("int")), 6).alias("error_rate"))
+    return out.select("caller", "callee", F.col("w.start").alias("window_start"), "calls", "p50", "p99", "error_rate")
 
 
 def span_stats(spans: DataFrame, width: str = "5 minutes") -> DataFrame:

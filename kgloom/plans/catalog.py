@@ -1,41 +1,19 @@
-"""Registered queries of the graph operators over the derived graph, and the SQL that each must equal."""
+"""Registered queries of the record and store operators over the derived graph, and the SQL that each must equal."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom import functions as fn
 from kgloom.operators import catalogs, graph, records, store
 
-from . import derived, question
+from . import catalog_graph, catalog_rules, catalog_store, derived, question
+from .registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog_graph", "catalog_rules", "catalog_store"]
 AT = "TIMESTAMP '2024-01-15 00:00:00'"
 
 
-def query(sql: str, name: str | None = None):
-    """Registers a query with its SQL (over the derived graph's tables)."""
-
-    def put(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLE_SQL[name or f.__name__] = derived.SQL + sql
-        return f
-
-    return put
-
-
-def _busiest(calls: DataFrame) -> str:
-    return calls.groupBy("to_id").count().orderBy(F.desc("count"), "to_id").first()["to_id"]
-
-
-BUSIEST = "(SELECT to_id FROM calls GROUP BY 1 ORDER BY count(*) DESC, to_id LIMIT 1)"
-
-
 # names and ids
 
 
@@ -72,7 +50,7 @@ def validate_entities(spark, d):
     return records.observed_entity_errors(rows.withColumn("id", F.col("id").cast("string"))).select(F.col("id").cast("long").alias("id"), "error_field")
 
 
-@query("SELECT from_id, to_id, type, CASE WHEN confidence > 0.95 THEN 'confidence' END AS error_field FROM calls")
+@query("SELECT from_id, to_id, type, CASE WHEN from_id = to_id THEN 'to_id' WHEN confidence > 0.95 THEN 'confidence' END AS error_field FROM calls")
 def validate_relationships(spark, d):
     c = derived.calls(spark, d).withColumns({"id": F.lit("r"), "confidence": F.col("confidence") + 0.05, "source_type": F.lit("ast"), "observed_at": F.current_timestamp(), "ingestion_run_id": F.lit("run")})
     return records.observed_relationship_errors(c).select("from_id", "to_id", "type", "error_field")
@@ -242,24 +220,12 @@ def evolution_diff(spark, d):
     return store.evolution(derived.change_log(spark, d), end=F.expr(AT))
 
 
-@query("SELECT entry_id, entity_id, 'HIGH' AS severity FROM change_log WHERE mutation_type = 'RELATIONSHIP_CREATED'")
-def drift_alerts(spark, d):
-    return derived.change_log(spark, d).where("mutation_type = 'RELATIONSHIP_CREATED'").select("entry_id", "entity_id", F.lit("HIGH").alias("severity"))
-
-
 @query(f"SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, CASE WHEN a.entity_id IS NULL THEN 'ADDED' WHEN b.entity_id IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change FROM ({_REPLAY} AND occurred_at <= {AT} GROUP BY 1) a FULL JOIN ({_REPLAY} GROUP BY 1) b ON a.entity_id = b.entity_id WHERE a.entity_id IS NULL OR b.entity_id IS NULL OR a.state IS DISTINCT FROM b.state OR a.is_active <> b.is_active")
 def graph_diff(spark, d):
     log = derived.change_log(spark, d)
     return store.graph_diff(store.replay(log, until=F.expr(AT)), store.replay(log), "entity_id", ["state", "is_active"])
 
 
-@query("SELECT entity_id, entry_id, lag(state) OVER (PARTITION BY entity_id ORDER BY entry_id) AS before_state, state AS after_state FROM change_log")
-def log_chain(spark, d):
-    from pyspark.sql import Window
-
-    return derived.change_log(spark, d).select("entity_id", "entry_id", F.lag("state").over(Window.partitionBy("entity_id").orderBy("entry_id")).alias("before_state"), F.col("state").alias("after_state"))
-
-
 # lookup and search
 
 
@@ -268,11 +234,6 @@ def entity_by_name(spark, d):
     return store.by_name(derived.services(spark, d).withColumn("updated_at", F.col("balance"))).select("namespace", "canonical_name", "id")
 
 
-@query("SELECT id, canonical_name FROM services WHERE is_active AND namespace = 'asia'")
-def namespace_listing(spark, d):
-    return derived.services(spark, d).where("is_active AND namespace = 'asia'").orderBy("canonical_name").select("id", "canonical_name")
-
-
 @query("SELECT namespace, count(*) AS n FROM services GROUP BY 1")
 def namespaces(spark, d):
     return derived.services(spark, d).groupBy("namespace").agg(F.count("*").alias("n"))
@@ -290,11 +251,6 @@ def search_text(spark, d):
     return store.search(docs, "GENERAL public").select("id", "source")
 
 
-@query("SELECT p_partkey AS id FROM part WHERE NOT (p_name ILIKE '%ring%' OR p_type = 'ECONOMY') AND p_size BETWEEN 10 AND 20")
-def visibility_filter(spark, d):
-    return derived.table(spark, d, "part").where(~(F.col("p_name").ilike("%ring%") | (F.col("p_type") == "ECONOMY")) & F.col("p_size").between(10, 20)).select(F.col("p_partkey").alias("id"))
-
-
 # metrics and spans
 
 
@@ -308,12 +264,6 @@ def metrics_latest(spark, d):
     return store.latest_metrics(derived.metrics(spark, d)).select("entity_id", "at", "value")
 
 
-@query("SELECT 'user-' || user_id AS entity_id, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS points, round(sum(value), 4) AS total, max(value) AS largest FROM events GROUP BY 1, 2")
-def metrics_rollup(spark, d):
-    m = derived.metrics(spark, d).groupBy("entity_id", F.date_trunc("day", "at").alias("day"))
-    return m.agg(F.count("*").alias("points"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("largest"))
-
-
 @query("SELECT DISTINCT p.service_name AS caller, c.service_name AS callee FROM spans c JOIN spans p ON c.parent_span_id = p.span_id WHERE p.service_name <> c.service_name")
 def span_calls(spark, d):
     return store.span_calls(derived.spans(spark, d))
@@ -336,177 +286,6 @@ def run_status(spark, d):
     return e.withColumn("status", store.run_status(F.col("failed"), F.col("emitted")))
 
 
-@query("SELECT entity_id, observed, value, round(avg(value) OVER (PARTITION BY entity_id ORDER BY observed, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 4) AS recent FROM (SELECT 'user-' || user_id AS entity_id, ts AS observed, value, event_id FROM events)")
-def metric_moving_average(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("entity_id").orderBy("at", "event_id").rowsBetween(-5, -1)
-    return derived.metrics(spark, d).select("entity_id", F.col("at").alias("observed"), "value", F.round(F.avg("value").over(w), 4).alias("recent"))
-
-
-# traversal
-
-
-def _layers(direction: str, depth: int) -> str:
-    step = {"out": "SELECT from_id AS s, to_id AS t FROM calls", "in": "SELECT to_id AS s, from_id AS t FROM calls", "both": "SELECT from_id AS s, to_id AS t FROM calls UNION SELECT to_id, from_id FROM calls"}[direction]
-    return f", steps AS ({step}), walk AS (SELECT {BUSIEST} AS node, 0 AS depth UNION SELECT t, depth + 1 FROM walk JOIN steps ON s = node WHERE depth < {depth}), near AS (SELECT node, min(depth)::INTEGER AS depth FROM walk GROUP BY 1)"
-
-
-def _neighborhood(direction: str):
-    @query(_layers(direction, 2) + " SELECT node, depth FROM near WHERE depth > 0", f"neighborhood_{direction}")
-    def nodes(spark, d):
-        c = derived.calls(spark, d)
-        return graph.neighborhood(c, _busiest(c), 2, direction)[0]
-
-    return nodes
-
-
-for _d in ("out", "in", "both"):
-    _neighborhood(_d)
-
-
-@query(_layers("both", 2) + " SELECT from_id, to_id, type FROM calls WHERE from_id IN (SELECT node FROM near WHERE depth < 2) OR to_id IN (SELECT node FROM near WHERE depth < 2)")
-def neighborhood_edges(spark, d):
-    c = derived.calls(spark, d)
-    return graph.neighborhood(c, _busiest(c), 2, "both")[1]
-
-
-_DECAY = "CASE type WHEN 'IMPORTS' THEN 0.95::DOUBLE WHEN 'DEPENDS_ON' THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END * confidence"
-
-
-def _blast(depth: int) -> str:
-    out = f", w AS (SELECT to_id AS s, from_id AS t, max({_DECAY}) AS w FROM calls GROUP BY 1, 2), b0 AS (SELECT {BUSIEST} AS node, 1.0::DOUBLE AS p)"
-    for k in range(1, depth + 1):
-        out += f", b{k} AS (SELECT t AS node, max(p * w) AS p FROM b{k - 1} JOIN w ON s = node WHERE p * w > 0.10 AND t <> {BUSIEST} GROUP BY 1)"
-    return out + ", hits AS (" + " UNION ALL ".join(f"SELECT node, round(p, 9) AS p, {k} AS depth FROM b{k}" for k in range(1, depth + 1)) + ")"
-
-
-@query(_blast(5) + f" SELECT {BUSIEST} AS origin, node, round(max(p), 6) AS probability, arg_min(depth, {{p: -p, d: depth}})::INTEGER AS depth FROM hits GROUP BY node")
-def blast_radius(spark, d):
-    c = derived.calls(spark, d)
-    return graph.blast_radius(c, spark.createDataFrame([(_busiest(c),)], "origin string"))
-
-
-_REACH = ", reach AS (SELECT id AS origin, id AS node, 0 AS depth FROM services UNION SELECT origin, from_id, depth + 1 FROM reach JOIN calls ON to_id = node WHERE depth < 3), hit AS (SELECT origin, count(DISTINCT node) - 1 AS n FROM reach GROUP BY 1)"
-
-
-@query(_REACH + " SELECT origin AS id, n AS affected, round(100.0 * n / ((SELECT count(*) FROM services) - 1), 4) AS percent FROM hit")
-def impact_percent(spark, d):
-    return graph.impact_percent(derived.calls(spark, d), derived.services(spark, d))
-
-
-@query(_REACH + " SELECT origin AS id, n AS affected, CASE WHEN n > 5 THEN 'High' WHEN n > 2 THEN 'Medium' ELSE 'Low' END AS risk FROM hit")
-def pr_risk(spark, d):
-    return graph.impact_percent(derived.calls(spark, d), derived.services(spark, d)).select("id", "affected", graph.change_risk(F.col("affected")).alias("risk"))
-
-
-_SCC = ", closed AS (SELECT from_id AS a, to_id AS b FROM calls UNION SELECT a, to_id FROM closed JOIN calls ON b = from_id), scc AS (SELECT x.a AS node, min(x.b) AS component FROM closed x JOIN closed y ON x.a = y.b AND x.b = y.a GROUP BY 1)"
-
-
-@query(_SCC + " SELECT node, component FROM scc")
-def scc(spark, d):
-    return graph.strongly_connected(derived.calls(spark, d))
-
-
-_DEG = ", deg AS (SELECT id, (SELECT count(*) FROM calls WHERE to_id = id) AS in_degree, (SELECT count(*) FROM calls WHERE from_id = id) AS out_degree FROM services)"
-_HUB = ", hubs AS (SELECT id, in_degree + out_degree AS degree FROM deg WHERE in_degree + out_degree > 3 AND in_degree + out_degree > (SELECT avg(in_degree + out_degree) + {s} * stddev_pop(in_degree + out_degree) FROM deg))"
-
-
-@query(_DEG + " SELECT id, in_degree, out_degree, in_degree + out_degree AS degree FROM deg")
-def degree_counts(spark, d):
-    return graph.degrees(derived.calls(spark, d), derived.services(spark, d))
-
-
-@query(_DEG + _HUB.format(s=1) + " SELECT id, degree FROM hubs")
-def supernodes(spark, d):
-    return graph.supernodes(derived.calls(spark, d), derived.services(spark, d), sigmas=1.0)
-
-
-@query(_DEG + " SELECT id, in_degree + out_degree AS degree FROM deg ORDER BY degree DESC, id LIMIT 5")
-def centrality_top5(spark, d):
-    return graph.degrees(derived.calls(spark, d), derived.services(spark, d)).orderBy(F.desc("degree"), "id").limit(5).select("id", "degree")
-
-
-@query("SELECT to_id AS table_id, count(DISTINCT from_id) AS services FROM accesses GROUP BY 1 HAVING count(DISTINCT from_id) >= 2")
-def shared_db_coupling(spark, d):
-    return graph.shared_table_coupling(derived.accesses(spark, d))
-
-
-@query("SELECT to_id AS table_id, count(DISTINCT CASE WHEN type = 'READS_FROM' THEN from_id END) AS readers, count(DISTINCT CASE WHEN type = 'WRITES_TO' THEN from_id END) AS writers FROM accesses GROUP BY 1")
-def readers_writers(spark, d):
-    return graph.readers_writers(derived.accesses(spark, d))
-
-
-_SMELLS = _SCC + _DEG + _HUB.format(s=4) + ", smells AS (SELECT 'circular_dependency' AS smell, 'CRITICAL' AS severity, component AS subject, count(*) AS size FROM scc GROUP BY 3 UNION ALL SELECT 'supernode', 'MEDIUM', id, degree FROM hubs UNION ALL SELECT 'shared_database_coupling', 'HIGH', to_id, count(DISTINCT from_id) FROM accesses GROUP BY 3 HAVING count(DISTINCT from_id) >= 2)"
-
-
-def _smells(spark, d) -> DataFrame:
-    return graph.health_audit(derived.services(spark, d), derived.calls(spark, d), derived.accesses(spark, d))
-
-
-@query(_SMELLS + " SELECT smell, severity, subject, size FROM smells")
-def health_audit(spark, d):
-    return _smells(spark, d)
-
-
-@query(_SMELLS + ", found AS (SELECT smell, severity, subject FROM smells WHERE smell <> 'supernode' UNION ALL SELECT 'ownerless_service', 'WARN', id FROM services WHERE owner = 'team-3') SELECT CASE smell WHEN 'circular_dependency' THEN 'no_circular_dependencies' WHEN 'shared_database_coupling' THEN 'no_shared_databases' ELSE 'require_owner' END AS rule, subject, CASE smell WHEN 'circular_dependency' THEN 'FAIL' WHEN 'shared_database_coupling' THEN 'WARN' ELSE severity END AS severity, CASE smell WHEN 'circular_dependency' THEN 'FAIL' ELSE 'WARN' END AS outcome FROM found")
-def governance_violations(spark, d):
-    rules = spark.createDataFrame([("no_circular_dependencies", "fail"), ("no_shared_databases", "warn")], "name string, severity string")
-    return graph.governance(_smells(spark, d), derived.services(spark, d).where("owner = 'team-3'"), rules)
-
-
-@query(_SMELLS + " SELECT smell, subject, CASE smell WHEN 'circular_dependency' THEN 'Break the cycle of ' || size || ' nodes around ' || subject WHEN 'supernode' THEN 'Divide hub ' || subject || ' of degree ' || size ELSE 'Let one service own table ' || subject || ', which ' || size || ' use' END AS suggestion FROM smells")
-def suggestions(spark, d):
-    return graph.suggestions(_smells(spark, d))
-
-
-_WEIGHT = "CASE type WHEN 'IMPORTS' THEN 0.7::DOUBLE WHEN 'DEPENDS_ON' THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END * confidence"
-
-
-def _relevance(passes: int) -> str:
-    out = f", rw AS (SELECT s, t, max(w) AS w FROM (SELECT from_id AS s, to_id AS t, {_WEIGHT} AS w FROM calls UNION ALL SELECT to_id, from_id, {_WEIGHT} FROM calls) GROUP BY 1, 2), r0 AS (SELECT {BUSIEST} AS node, 1.0::DOUBLE AS score)"
-    for k in range(1, passes + 1):
-        out += f", r{k} AS (SELECT node, max(score) AS score FROM (SELECT * FROM r{k - 1} UNION ALL SELECT t, score * w FROM r{k - 1} JOIN rw ON s = node WHERE score * w >= 0.15 - 1e-12) GROUP BY 1)"
-    return out + f" SELECT node, round(score, 6) AS score FROM r{passes} ORDER BY round(score, 6) DESC, node LIMIT 200"
-
-
-@query(_relevance(6))
-def relevance_score(spark, d):
-    c = derived.calls(spark, d)
-    return graph.relevance(c, _busiest(c))
-
-
-@query("""
-, best AS (SELECT from_id, to_id, max(confidence) AS c FROM calls WHERE type IN ('IMPORTS', 'DEPENDS_ON') GROUP BY 1, 2), chain AS (SELECT from_id, to_id, c, 1 AS hops, [from_id, to_id] AS path FROM best UNION ALL SELECT h.from_id, b.to_id, h.c * b.c, hops + 1, list_append(path, b.to_id) FROM chain h JOIN best b ON h.to_id = b.from_id WHERE hops < 3 AND NOT list_contains(path, b.to_id))
-SELECT from_id, to_id, min(hops)::INTEGER AS hops, round(max(c), 6) AS confidence FROM chain WHERE hops >= 2 GROUP BY 1, 2""")
-def transitive_deps(spark, d):
-    return graph.transitive_dependencies(derived.calls(spark, d))
-
-
-@query("SELECT id FROM services WHERE id NOT IN (SELECT to_id FROM calls WHERE type = 'CALLS')")
-def entry_points(spark, d):
-    return graph.entry_points(derived.services(spark, d), derived.calls(spark, d))
-
-
-@query("SELECT 'cust-' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
-def orphans(spark, d):
-    people = derived.table(spark, d, "customer").select(F.concat(F.lit("cust-"), "c_custkey").alias("id"), F.lit("DEVELOPER").alias("type"))
-    return graph.orphans(people, derived.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("cust-"), "o_custkey").alias("to_id")))
-
-
-@query(f"SELECT DISTINCT from_id AS id FROM calls WHERE to_id = {BUSIEST} AND from_id <> to_id")
-def auth_protected(spark, d):
-    c = derived.calls(spark, d)
-    return graph.protected_by(derived.services(spark, d), c, _busiest(c))
-
-
-@query(f"SELECT CASE WHEN from_id = {BUSIEST} THEN to_id ELSE from_id END AS peer, CASE WHEN from_id = {BUSIEST} THEN 'dependency' ELSE 'dependent' END AS side, type FROM calls WHERE from_id = {BUSIEST} OR to_id = {BUSIEST}")
-def direct_dependents(spark, d):
-    c = derived.calls(spark, d)
-    o = _busiest(c)
-    return c.where((F.col("from_id") == o) | (F.col("to_id") == o)).select(F.when(F.col("from_id") == o, F.col("to_id")).otherwise(F.col("from_id")).alias("peer"), F.when(F.col("from_id") == o, "dependency").otherwise("dependent").alias("side"), "type")
-
-
 # places, questions, coupling
 
 
@@ -552,9 +331,3 @@ def plan_question(spark, d):
 def change_coupling(spark, d):
     rows = derived.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.concat(F.lit("svc-"), "l_suppkey").alias("id"))
     return graph.change_coupling(rows)
-
-
-@query("SELECT c.from_id, c.to_id, p99 FROM calls c JOIN (SELECT l_suppkey, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1) ON c.from_id = 'svc-' || l_suppkey WHERE p99 > 60000")
-def slow_callers(spark, d):
-    p = derived.table(spark, d, "lineitem").groupBy(F.concat(F.lit("svc-"), "l_suppkey").alias("from_id")).agg(F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p99"))
-    return derived.calls(spark, d).join(p, "from_id").where("p99 > 60000").select("from_id", "to_id", "p99")

@@ -1,7 +1,8 @@
 """A software graph derived from the business tables, for queries and their SQL.
 
 Suppliers are services (namespace: their region, owner: their nation's team), parts are database tables, line items
-are reads and writes, suppliers that share an order call each other, events are the change log and the metrics.
+are reads and writes, suppliers that share an order call each other (all pairs of them), events are the change log and the
+metrics.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kgloom.session import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,13 +40,14 @@ def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per service the three services it most often precedes in an order; the edge's type follows the rank."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    one, two = rows.toDF("k", "a", "i"), rows.toDF("k", "b", "j")
-    pairs = one.join(two, "k").where("i < j AND a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("r <= 3")
-    kind = F.element_at(F.array(F.lit("IMPORTS"), F.lit("DEPENDS_ON"), F.lit("CALLS")), F.col("r"))
-    return ranked.select(F.concat(F.lit("svc-"), "a").alias("from_id"), F.concat(F.lit("svc-"), "b").alias("to_id"), kind.alias("type"), F.round(0.85 + 0.05 * F.col("r"), 6).alias("confidence"), F.lit(True).alias("is_active"))
+    """All pairs of suppliers in an order, from the earlier line to the later, by the later line's kind: parallel edges of
+    several types, loops, and edges that are inactive as no earlier line is open. Written, as all that follows reads it."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    one, two = rows.toDF("k", "a", "i", "fa", "sa"), rows.toDF("k", "b", "j", "fb", "sb")
+    kind = F.when(F.col("fb") == "A", "CALLS").when(F.col("fb") == "N", "RUNTIME_CALLS").when(F.col("sb") == "F", "IMPORTS").otherwise("DEPENDS_ON")
+    pairs = one.join(two, "k").where("i < j").groupBy("a", "b", kind.alias("type")).agg(F.count("*").alias("n"), F.bool_or(F.col("sa") == "O").alias("is_active"))
+    confidence = F.round(0.5 + 0.05 * F.least("n", F.lit(10)), 6)
+    return cut(pairs.select(F.concat(F.lit("svc-"), "a").alias("from_id"), F.concat(F.lit("svc-"), "b").alias("to_id"), "type", confidence.alias("confidence"), "is_active"))
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +76,10 @@ services AS (SELECT 'svc-' || s_suppkey AS id, 'SERVICE' AS type, '' AS sub_type
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 tables_ AS (SELECT 'tbl-' || p_partkey AS id, 'DATABASE_TABLE' AS type, p_name AS canonical_name, 'data' AS namespace FROM part),
 accesses AS (SELECT DISTINCT 'svc-' || l_suppkey AS from_id, 'tbl-' || l_partkey AS to_id, CASE WHEN l_returnflag = 'R' THEN 'WRITES_TO' ELSE 'READS_FROM' END AS type FROM lineitem),
-call_pairs AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber AND x.l_suppkey <> y.l_suppkey GROUP BY 1, 2),
-calls AS (SELECT 'svc-' || a AS from_id, 'svc-' || b AS to_id, CASE r WHEN 1 THEN 'IMPORTS' WHEN 2 THEN 'DEPENDS_ON' ELSE 'CALLS' END AS type, round(0.85 + 0.05 * r, 6)::DOUBLE AS confidence
-  FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM call_pairs) WHERE r <= 3),
+calls AS (SELECT 'svc-' || a AS from_id, 'svc-' || b AS to_id, type, round(0.5 + 0.05 * least(n, 10), 6)::DOUBLE AS confidence, is_active FROM (
+  SELECT x.l_suppkey AS a, y.l_suppkey AS b, CASE WHEN y.l_returnflag = 'A' THEN 'CALLS' WHEN y.l_returnflag = 'N' THEN 'RUNTIME_CALLS' WHEN y.l_linestatus = 'F' THEN 'IMPORTS' ELSE 'DEPENDS_ON' END AS type,
+    count(*) AS n, bool_or(x.l_linestatus = 'O') AS is_active FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber GROUP BY 1, 2, 3)),
+live AS (SELECT * FROM calls WHERE is_active),
 change_log AS (SELECT event_id AS entry_id, 'txn-' || (event_id // 10) AS transaction_id,
   CASE event_type WHEN 'signup' THEN 'ENTITY_CREATED' WHEN 'error' THEN 'ENTITY_SOFT_DELETED' WHEN 'purchase' THEN 'RELATIONSHIP_CREATED' ELSE 'ENTITY_UPDATED' END AS mutation_type,
   'user-' || user_id AS entity_id, value AS state, props AS after_state, ts AS occurred_at FROM events),

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.functions import quoted_hint
+from kgloom.functions import fenced, quoted_hint
 from kgloom.operators import catalogs, graph, store
 
+from . import render
+
 
 def archetype(question: Column) -> Column:
     """STRUCTURAL unless a more special archetype's words occur."""
@@ -54,11 +57,34 @@ class Plan:
 
 
 class Engine:
-    """A graph's tables and the questions that they answer."""
+    """A graph's tables and the questions that they answer. Results of ``neighborhood`` and ``relevance`` are kept until a table is
+    replaced (``update``)."""
 
-    def __init__(self, entities: DataFrame, edges: DataFrame, accesses: DataFrame, log: DataFrame):
-        self.entities, self.edges, self.accesses, self.log = entities, edges, accesses, log
+    def __init__(self, entities: DataFrame, edges: DataFrame, accesses: DataFrame, log: DataFrame, llm: Callable[[str, str], str] | None = None):
+        self.entities, self.edges, self.accesses, self.log, self.llm = entities, edges, accesses, log, llm
         self.spark = entities.sparkSession
+        self._kept: dict[tuple, object] = {}
+
+    def update(self, **tables: DataFrame) -> None:
+        """New versions of entities, edges, accesses or log; what was kept for the old ones goes."""
+        for name, df in tables.items():
+            if name not in ("entities", "edges", "accesses", "log"):
+                raise AttributeError(name)
+            setattr(self, name, df)
+        self._kept.clear()
+
+    def _once(self, key: tuple, make):
+        if key not in self._kept:
+            if len(self._kept) >= 100:
+                del self._kept[next(iter(self._kept))]
+            self._kept[key] = make()
+        return self._kept[key]
+
+    def neighborhood(self, origin: str, depth: int = 1, direction: str = "both") -> tuple[DataFrame, DataFrame]:
+        return self._once(("near", origin, depth, direction), lambda: graph.neighborhood(self.edges, origin, depth, direction))
+
+    def relevance(self, origin: str, depth: int = 2) -> tuple[DataFrame, DataFrame, int]:
+        return self._once(("relevant", origin, depth), lambda: graph.relevance(self.edges, origin, depth))
 
     def plan(self, question: str, entity_name: str | None = None, namespace: str | None = None) -> Plan:
         rows = self.spark.createDataFrame([(question, entity_name, namespace)], "question string, entity_name string, namespace string")
@@ -67,32 +93,38 @@ class Engine:
             raise ValueError(r["error"])
         return Plan(r["archetype"], r["action"], r["entity"], r["depth"])
 
+    def find(self, name: str) -> str:
+        """The id of the latest active entity of that name; LookupError without one."""
+        origin = self.entities.where((F.col("canonical_name") == name) & F.col("is_active")).orderBy("id").select("id").first()
+        if origin is None:
+            raise LookupError(name)
+        return origin["id"]
+
     def ask(self, question: str, entity_name: str | None = None, namespace: str | None = None) -> DataFrame:
         p = self.plan(question, entity_name, namespace)
         if p.action == "HEALTH_AUDIT":
             own = self.entities.where(F.col("namespace") == namespace)
-            ids = own.select("id")
-            inside = self.edges.join(ids.toDF("from_id"), "from_id", "left_semi").join(ids.toDF("to_id"), "to_id", "left_semi")
-            return graph.health_audit(own, inside, self.accesses.join(ids.toDF("from_id"), "from_id", "left_semi"))
+            inside = graph.within(self.entities, self.edges, namespace)
+            return graph.health_audit(own, inside, self.accesses.join(own.select(F.col("id").alias("from_id")), "from_id", "left_semi"))
         if p.action == "READ_LOG":
             return store.evolution(self.log)
-        origin = self.entities.where((F.col("canonical_name") == p.entity) & F.col("is_active")).orderBy("id").select("id").first()
-        if origin is None:
-            raise LookupError(p.entity)
+        origin = self.find(p.entity)
         if p.action == "IMPACT_ANALYSIS":
-            return graph.blast_radius(self.edges, self.spark.createDataFrame([(origin["id"],)], "origin string"), p.depth)
-        return graph.relevance(self.edges, origin["id"])
-
-    def context(self, question_origin: str, limit: int = 256_000) -> str:
-        """A text of the node's in- and outbound edges, best confidence first; at most so many characters."""
-        near = self.edges.where((F.col("from_id") == question_origin) | (F.col("to_id") == question_origin))
-        line = F.when(F.col("from_id") == question_origin, F.concat_ws(" ", F.lit("->"), "type", "to_id")).otherwise(F.concat_ws(" ", F.lit("<-"), "type", "from_id"))
-        text = near.orderBy(F.desc("confidence"), "from_id", "to_id").select(F.format_string("%s (%.2f)", line, F.col("confidence")).alias("t")).limit(limit // 4)
-        return "\n".join([f"# {question_origin}", *(r["t"] for r in text.collect())])[:limit]
-
-
-def mermaid(edges: DataFrame, limit: int = 500) -> str:
-    """A flow chart of the edges (a report: at most limit lines)."""
-    safe = lambda c: F.regexp_replace(c, "[^A-Za-z0-9_]", "_")
-    rows = edges.orderBy("from_id", "to_id", "type").limit(limit).select(F.concat(F.lit("  "), safe("from_id"), F.lit(" -->|"), "type", F.lit("| "), safe("to_id")).alias("t")).collect()
-    return "\n".join(["graph LR", *(r["t"] for r in rows)])
+            return graph.blast_radius(self.edges, self.spark.createDataFrame([(origin,)], "origin string"), p.depth)
+        return self.relevance(origin, p.depth)[0]
+
+    def context(self, origin: str, depth: int = 2, limit: int = render.MOST_CHARS) -> render.Context:
+        nodes, edges, _ = self.relevance(origin, depth)
+        return render.context(self.entities, edges, nodes, origin, limit)
+
+    def answer(self, question: str, entity_name: str | None = None) -> dict:
+        """question, text, citations, confidence, diagram of a question about one entity: by the given model (a function of a system
+        prompt and a text), or else the context summed up."""
+        p = self.plan(question, entity_name)
+        c = self.context(self.find(p.entity), p.depth)
+        text = self.llm("Answer from the context alone.", f"## Question\n{question}\n\n## Context\n{c.text}\n") if self.llm else None
+        rows = self.spark.createDataFrame([(question, c.text, c.citations)], "question string, context string, citations array<string>")
+        out = render.answers(rows)
+        if text is not None:
+            out = out.withColumn("text", F.lit(text)).withColumn("diagram", fenced(F.col("text"), "mermaid"))
+        return out.drop("context").first().asDict()

@@ -11,6 +11,8 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.functions import clean_path
+
 # Directories that no scan enters.
 IGNORED = [".git", "vendor", "node_modules", ".idea", ".vscode"]
 
@@ -48,7 +50,11 @@ def python_module(path: Column) -> Column:
 
 
 def scan_python(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    found = files(spark, root, "*.py")
+    return python_records(files(spark, root, "*.py"))
+
+
+def python_records(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Modules, top-level functions and classes of files (path, text); imports among them, and each member's module."""
     module = python_module(F.col("path"))
     rows = lines(found).withColumn("module", python_module(F.col("path")))
     define = F.regexp_extract("text", r"^(?:async\s+)?def\s+([A-Za-z_]\w*)", 1)
@@ -60,13 +66,19 @@ def scan_python(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     targets = F.when(plain != "", first(plain)).when(origin != "", F.array_union(F.transform(first(names), lambda n: F.concat_ws(".", origin, n)), F.array(origin)))
     wanted = rows.select("module", F.explode(targets).alias("target")).distinct()
     known = found.select(module.alias("target")).distinct()
-    imports = _edges(wanted.join(known, "target").where("module <> target"), "IMPORTS", F.col("module"), F.col("target"), 0.95)
+    imports = _edges(wanted.join(known, "target").where("module <> target"), "IMPORTS", F.col("module"), F.col("target"), 0.99)
     members = entities.where("type <> 'MODULE'").select("name", python_module(F.col("path")).alias("module"))
-    return entities, imports.unionByName(_edges(members, "DEPENDS_ON", F.col("name"), F.col("module"), 0.95))
+    return entities, imports.unionByName(_edges(members, "DEPENDS_ON", F.col("name"), F.col("module"), 0.99))
 
 
 def scan_typescript(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    found = files(spark, root, "*.{ts,tsx,js,jsx}").where(~F.col("path").rlike(r"\.d\.ts$|\.test\.|\.spec\."))
+    return typescript_records(files(spark, root, "*.{ts,tsx,js,jsx}"))
+
+
+def typescript_records(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Modules and functions of files (path, text) that are neither declarations nor tests; imports by relative paths, and each function's
+    module."""
+    found = every.where(~F.col("path").rlike(r"\.d\.ts$|\.test\.|\.spec\."))
     module = F.regexp_replace("path", r"\.(tsx?|jsx?)$", "")
     rows = lines(found).withColumn("module", module)
     named = F.regexp_extract("text", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", 1)
@@ -79,22 +91,22 @@ def scan_typescript(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     target = F.regexp_replace(clean_path(joined), r"\.(tsx?|jsx?)$", "")
     wanted = rows.where(asked.startswith(".")).select("module", target.alias("target")).distinct()
     known = found.select(module.alias("file")).distinct().select("file", F.regexp_replace("file", "/index$", "").alias("folder"))
-    hits = wanted.join(known, (F.col("target") == F.col("file")) | (F.col("target") == F.col("folder")))
-    return entities, _edges(hits.where("module <> file"), "IMPORTS", F.col("module"), F.col("file"), 0.95).distinct()
-
-
-def clean_path(path: Column) -> Column:
-    """Without '.' parts, and with each '..' taking away the part before it."""
-    parts = F.filter(F.split(path, "/"), lambda p: (p != ".") & (p != ""))
-    up = lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p)))
-    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
+    names = known.select("file", F.col("file").alias("target")).unionByName(known.select("file", F.col("folder").alias("target"))).distinct()
+    hits = wanted.join(names, "target").where("module <> file")
+    members = entities.where("type = 'FUNCTION'").select("name", F.regexp_replace("path", r"\.(tsx?|jsx?)$", "").alias("module")).distinct()
+    imports = _edges(hits, "IMPORTS", F.col("module"), F.col("file"), 0.99).distinct()
+    return entities, imports.unionByName(_edges(members, "DEPENDS_ON", F.col("name"), F.col("module"), 0.99))
 
 
 def scan_go(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """A package per directory, named by the nearest module file above it; top-level functions; imports of seen packages."""
-    found = files(spark, root, "*.go").where(~F.col("path").endswith("_test.go"))
+    return go_records(files(spark, root, "*.go"), files(spark, root, "go.mod"))
+
+
+def go_records(every: DataFrame, module_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    found = every.where(~F.col("path").endswith("_test.go"))
     folder = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.lit(""))
-    mods = files(spark, root, "go.mod").select(folder("path").alias("base"), F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1).alias("module")).where("module <> ''")
+    mods = module_files.select(folder("path").alias("base"), F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1).alias("module")).where("module <> ''")
     dirs = found.select(folder("path").alias("dir")).distinct()
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))).alias("base")).distinct()
@@ -104,7 +116,7 @@ def scan_go(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     rows = lines(found).withColumn("dir", folder("path")).join(named, "dir")
     fname = F.regexp_extract("text", r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", 1)
     functions = rows.where(fname != "")
-    entities = _entity(named.withColumn("path", F.col("dir")), "MODULE", "go_package", F.col("package"), 0.99).unionByName(_entity(functions, "FUNCTION", "go_function", F.concat("package", F.lit("."), fname), 0.99, F.col("line")))
+    entities = _entity(named.withColumn("path", F.col("dir")), "MODULE", "go_package", F.col("package"), 0.95).unionByName(_entity(functions, "FUNCTION", "go_function", F.concat("package", F.lit("."), fname), 0.95, F.col("line")))
     target = F.regexp_extract("text", r'^\s*(?:import\s+)?(?:[A-Za-z_.]\w*\s+)?"([^"]+)"\s*$', 1)
     wanted = rows.select("package", target.alias("target")).where("target <> ''").distinct()
     imports = wanted.join(named.select(F.col("package").alias("target")), "target").where("package <> target")
@@ -118,11 +130,15 @@ VERBS = ["get", "put", "post", "delete", "options", "head", "patch"]
 
 def scan_openapi(spark: SparkSession, root: str) -> DataFrame:
     """Endpoints (METHOD path) of JSON and YAML interface descriptions."""
+    return openapi_records(files(spark, root, "*.{json,yaml,yml}"))
+
+
+def openapi_records(found: DataFrame) -> DataFrame:
     is_spec = F.col("path").rlike(r"(^|/)openapi\.(json|ya?ml)$|\.openapi\.(json|ya?ml)$")
-    as_json = files(spark, root, "*.json").where(is_spec)
+    as_json = found.where(is_spec & F.col("path").endswith(".json"))
     paths = as_json.select("path", F.from_json(F.get_json_object("text", "$.paths"), "map<string, map<string, string>>").alias("m"))
     one = paths.select("path", F.explode("m").alias("route", "verbs")).select("path", "route", F.explode(F.map_keys("verbs")).alias("verb"))
-    as_yaml = lines(files(spark, root, "*.{yaml,yml}").where(is_spec))
+    as_yaml = lines(found.where(is_spec & ~F.col("path").endswith(".json")))
     indent = F.length(F.regexp_extract("text", "^( *)", 1))
     marked = as_yaml.where("trim(text) <> '' AND NOT text RLIKE '^ *#'").select("path", "line", indent.alias("i"), F.rtrim("text").alias("text"))
     seq = F.array_sort(F.collect_list(F.struct("line", "i", "text")))
@@ -133,7 +149,7 @@ def scan_openapi(spark: SparkSession, root: str) -> DataFrame:
         "WHEN a.on AND (a.deep < 0 OR x.i <= a.deep) THEN named_struct('on', true, 'route', regexp_extract(x.text, '^ *[\"\\']?([^\"\\':]+)[\"\\']? *:', 1), 'deep', x.i, 'out', a.out) "
         "WHEN a.on AND x.text RLIKE '^ *(get|put|post|delete|options|head|patch) *:' THEN named_struct('on', true, 'route', a.route, 'deep', a.deep, 'out', concat(a.out, array(concat(regexp_extract(x.text, '^ *([a-z]+)', 1), ' ', a.route)))) ELSE a END"
     )
-    walked = marked.groupBy("path").agg(seq.alias("rows")).select("path", F.expr(f"slice(aggregate(rows, {start}, {step}, a -> a.out), 2, 100000)").alias("found"))
-    two = walked.select("path", F.explode("found").alias("x")).select("path", F.split_part("x", F.lit(" "), F.lit(2)).alias("route"), F.split_part("x", F.lit(" "), F.lit(1)).alias("verb"))
+    walked = marked.groupBy("path").agg(seq.alias("rows")).select("path", F.expr(f"aggregate(rows, {start}, {step}, a -> slice(a.out, 2, greatest(size(a.out) - 1, 0)))").alias("found"))
+    two = walked.select("path", F.explode("found").alias("x")).select("path", F.regexp_replace("x", "^[a-z]+ ", "").alias("route"), F.split_part("x", F.lit(" "), F.lit(1)).alias("verb"))
     every = one.unionByName(two).where(F.col("verb").isin(VERBS))
     return every.select(F.lit("API_ENDPOINT").alias("type"), F.concat_ws(" ", F.upper("verb"), "route").alias("name"), "path", F.lit(0.95).alias("confidence")).distinct()

@@ -6,15 +6,18 @@ Each micro-batch is written under its own number, so that a batch that runs agai
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from kgloom.operators import records, store
+from kgloom.operators import paths, records, store, write
+from kgloom.session import remove
 
 OBSERVED_ENTITY = "id string, type string, sub_type string, name string, raw_name string, namespace string, source_type string, source_id string, observed_at timestamp, properties string, confidence double, ingestion_run_id string"
+KEPT_VERSIONS = 3
 SPAN = "trace_id string, span_id string, parent_span_id string, service_name string, name string, ts timestamp, value double"
 
 
@@ -22,14 +25,22 @@ def read_json(spark: SparkSession, path: str, schema: str, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def ingest(stream: DataFrame, good_path: str, dead_path: str, checkpoint: str, check: Callable[[DataFrame], DataFrame] = records.observed_entity_errors, once: bool = True) -> StreamingQuery:
-    """Splits each batch by the check's error_field and writes both parts, partitioned by the batch's number."""
+def ingest(stream: DataFrame, good_path: str, dead_path: str, checkpoint: str, check: Callable[[DataFrame], DataFrame] = records.observed_entity_errors, once: bool = True, deliver: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Splits each batch by the check's error_field and writes both parts, partitioned by the batch's number. Good rows are then
+    delivered, if asked for; where that fails the batch is a dead letter as a whole. once: what has arrived, and then an end;
+    else it runs on."""
 
     def commit(batch: DataFrame, number: int) -> None:
         checked = check(batch).withColumn("batch", F.lit(number)).persist()
         checked.where("error_field IS NULL").drop("error_field", "batch").write.mode("overwrite").parquet(f"{good_path}/batch={number}")
         checked.where("error_field IS NOT NULL").drop("batch").write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
         checked.unpersist()
+        if deliver is not None:
+            good = batch.sparkSession.read.schema(batch.schema).parquet(f"{good_path}/batch={number}")
+            try:
+                deliver(good, number)
+            except Exception as e:  # the batch isn't lost: all of it goes to the dead letters, with the reason
+                good.withColumn("error_field", F.lit(f"delivery: {e}"[:200])).write.mode("append").parquet(f"{dead_path}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -46,6 +57,8 @@ def running_store(stream: DataFrame, path: str, checkpoint: str, key: str, compa
         old = spark.read.schema(schema).parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], schema)
         new = records.latest_per_key(batch, [key], [F.desc("observed_at"), *map(F.desc, compared)]).select(key, *compared)
         store.upsert(old, new, key, compared).drop("operation").write.mode("overwrite").parquet(f"{path}/{number}")
+        if number >= KEPT_VERSIONS:  # the one before stays for a batch that runs again
+            remove(spark, f"{path}/{number - KEPT_VERSIONS}")
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -67,3 +80,65 @@ def live_calls(spans: DataFrame, late: str = "10 minutes") -> DataFrame:
     child = spans.where("parent_span_id IS NOT NULL").select("parent_span_id", F.col("service_name").alias("callee"), "ts").withWatermark("ts", late)
     near = F.expr("p = parent_span_id AND caller <> callee AND ts BETWEEN parent_ts AND parent_ts + INTERVAL 10 MINUTES")
     return parent.join(child, near).select("caller", "callee", "ts")
+
+
+def registry_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Identities (canonical_id, type, name, namespace, aliases, first_seen) that grow with each batch; versions as in running_store."""
+
+    def commit(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], batch.schema)
+        rest = [c for c in batch.columns if c not in ("canonical_id", "aliases", "first_seen")]
+        new = batch.groupBy("canonical_id").agg(F.max_by(F.struct(*rest), "first_seen").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.min("first_seen").alias("first_seen"))
+        new = new.select("canonical_id", "n.*", "aliases", "first_seen").select(*batch.columns)
+        write.upsert_registry(old, new).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/{number}")
+        if number >= KEPT_VERSIONS:
+            remove(spark, f"{path}/{number - KEPT_VERSIONS}")
+
+    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def late_stream(stream: DataFrame, path: str, checkpoint: str, key: str, at: str) -> StreamingQuery:
+    """The newest row of each key by its own time, whatever the order of arrival; versions as in running_store."""
+
+    def commit(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], batch.schema)
+        write.apply_late(old, batch, key, at).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/{number}")
+        if number >= KEPT_VERSIONS:
+            remove(spark, f"{path}/{number - KEPT_VERSIONS}")
+
+    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sample_spans(spans: DataFrame, slow: float, target: float, counts: DataFrame) -> DataFrame:
+    """Spans that stay, and the weight each stands for: all failed or slow ones (value over slow), and of a service's others about
+    ``target`` (counts: service_name, n), drawn by a hash of the trace, so a trace stays whole and a rerun draws the same."""
+    keep = (F.col("name") == "error") | (F.col("value") > slow)
+    rate = F.least(F.lit(1.0), target / F.col("n"))
+    out = spans.join(F.broadcast(counts), "service_name", "left").withColumn("rate", F.when(keep, 1.0).otherwise(F.coalesce(rate, F.lit(1.0))))
+    drawn = F.conv(F.substring(F.md5(F.col("trace_id").cast("string").cast("binary")), 1, 6), 16, 10).cast("long") < F.col("rate") * (1 << 24)
+    return out.where(drawn).withColumn("weight", 1.0 / F.col("rate")).drop("n", "rate")
+
+
+def run_all(tasks: dict[str, tuple[list[str], Callable[[], object]]], at_once: int = 4) -> list[tuple[str, str, str]]:
+    """Runs each task (what it needs, a function) after what it needs, up to so many at once: (name, status, error) by name.
+
+    A failure fails only those that need it, and they never run. ValueError for a cycle or an unknown need."""
+    paths.topological({k: needs for k, (needs, _) in tasks.items()})
+    done: dict[str, tuple[str, str]] = {}
+    running: dict[Future, str] = {}
+    with ThreadPoolExecutor(at_once) as pool:
+        while len(done) < len(tasks):
+            for name, (needs, work) in tasks.items():
+                if name in done or name in running.values():
+                    continue
+                if any(done.get(n, ("",))[0] == "failed" for n in needs):
+                    done[name] = ("failed", "skipped: what it needs has failed")
+                elif all(n in done for n in needs):
+                    running[pool.submit(work)] = name
+            ended, _ = wait(running, return_when=FIRST_COMPLETED) if running else (set(), None)
+            for f in ended:
+                error = f.exception()
+                done[running.pop(f)] = ("failed", str(error)) if error else ("success", "")
+    return [(k, *done[k]) for k in sorted(done)]

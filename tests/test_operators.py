@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgloom import functions as fn
 from kgloom.operators import graph, records, store
-from kgloom.plans import question
+from kgloom.plans import question, render
 
 EDGE = "from_id string, to_id string, type string, confidence double, is_active boolean"
 
@@ -57,6 +57,33 @@ def test_cycles_equal_mutual_reachability(spark):
     want = {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes if n in reach[n]}
     got = dict(map(tuple, graph.strongly_connected(edges(spark, *((a, b, "CALLS", 1.0) for a, b in pairs))).collect()))
     assert got == want
+    every = edges(spark, *((a, b, "CALLS", 1.0) for a, b in pairs))
+    assert dict(map(tuple, graph.strongly_connected(every, local=0).collect())) == want
+
+
+@pytest.mark.parametrize("most", [graph.LOCAL_EDGES, 0])
+def test_reach_counts(spark, monkeypatch, most):
+    import random
+
+    monkeypatch.setattr(graph, "LOCAL_EDGES", most)
+    rng = random.Random(8)
+    pairs = {(f"n{rng.randrange(200):03}", f"n{rng.randrange(200):03}") for _ in range(400)}
+    nodes = [f"n{i:03}" for i in range(190)]  # some ends are no nodes, and don't count
+    got = dict(map(tuple, graph.reach_counts(edges(spark, *((a, b, "CALLS", 1.0) for a, b in pairs)), spark.createDataFrame([(n,) for n in nodes], "id string"), 3, "out").collect()))
+    for n in nodes:
+        seen = front = {n}
+        for _ in range(3):
+            front = {b for a, b in pairs if a in front} - seen
+            seen = seen | front
+        assert got[n] == len((seen - {n}) & set(nodes))
+
+
+def test_relevance_backs_off_and_leaves_the_origin_out(spark):
+    e = edges(spark, ("o", "hub", "EXPOSES", 1.0), *(("hub", f"x{i:03}", "EXPOSES", 0.9) for i in range(250)))
+    nodes, kept, depth = graph.relevance(e, "o", 2)
+    assert depth == 1 and [r["node"] for r in nodes.collect()] == ["hub"] and kept.count() == 1
+    nodes, kept, depth = graph.relevance(e, "o", 2, back_off=False)
+    assert depth == 2 and nodes.count() == 200 and kept.count() == 200
 
 
 def test_neighborhood_clamps_depth_and_leaves_outer_ring_edges(spark):
@@ -124,24 +151,60 @@ def test_questions(spark):
 
 
 def test_planner_and_engine(spark):
-    ents = spark.createDataFrame([("a", "SERVICE", "auth", "n", True), ("b", "SERVICE", "bill", "n", True)], "id string, type string, canonical_name string, namespace string, is_active boolean")
-    e = edges(spark, ("b", "a", "IMPORTS", 1.0))
+    ents = spark.createDataFrame([("a", "SERVICE", "auth", "n", 0.9, True), ("b", "SERVICE", "bill", "n", 0.8, True), ("c", "SERVICE", "cart", "n", 0.8, True)], "id string, type string, canonical_name string, namespace string, confidence double, is_active boolean")
+    e = edges(spark, ("b", "a", "IMPORTS", 1.0), ("c", "b", "RUNTIME_CALLS", 1.0))
     log = spark.createDataFrame([("ENTITY_CREATED",)], "mutation_type string").withColumn("occurred_at", F.current_timestamp())
     engine = question.Engine(ents, e, spark.createDataFrame([], "from_id string, to_id string, type string"), log)
     assert engine.plan("what breaks if `auth` fails").depth == 5
-    assert [tuple(r) for r in engine.ask("what breaks if `auth` fails").collect()] == [("a", "b", 0.95, 1)]
-    assert engine.ask("who calls `auth`").count() == 2
+    assert [tuple(r) for r in engine.ask("what breaks if `auth` fails").collect()] == [("a", "b", 0.95, 1), ("a", "c", 0.76, 2)]
+    assert [tuple(r) for r in engine.ask("who calls `auth`").collect()] == [("b", 0.7), ("c", 0.63)]
     with pytest.raises(ValueError, match="entity needed"):
         engine.plan("who calls it")
     with pytest.raises(ValueError, match="namespace needed"):
         engine.plan("any smell?")
-    assert "IMPORTS" in engine.context("a") and "b -->|IMPORTS| a" in question.mermaid(e)
+    c = engine.context("a")
+    assert "- **Entity:** `bill` (`b`)" in c.text and "- `c` — n/cart (type: SERVICE, score: 0.63)" in c.text and c.citations == ["a", "b", "c"]
+    assert engine.context("a", limit=40).text.endswith("…(truncated)") and "b -->|IMPORTS| a" in render.mermaid(e)
+    told = engine.answer("who calls `auth`")
+    assert told["confidence"] == 0.7 and "**Inbound dependencies (1):**" in told["text"] and told["diagram"] is None
+    engine.llm = lambda system, text: "see\n```mermaid\ngraph LR\n```\nend"
+    assert engine.answer("who calls `auth`")["diagram"] == "graph LR"
+    engine.update(edges=e.where("type = 'IMPORTS'"))
+    assert engine.context("a").citations == ["a", "b"]
+    with pytest.raises(LookupError):
+        engine.context("nobody")
 
 
 def test_locations(spark):
     ents = spark.createDataFrame([("fn-1", "f", "pkg/service/service.go", 42, None)], "id string, name string, file string, start_line int, end_line int")
     got = graph.resolve_locations(spark.createDataFrame([("service/service.go", 42), ("other.go", 1)], "path string, line int"), ents).collect()
     assert [tuple(r) for r in got] == [("service/service.go", 42, "fn-1")]
+    loose = graph.resolve_locations(spark.createDataFrame([("service.go.orig", None), ("vice/service.go", 42)], "path string, line int"), ents.withColumn("file", F.lit("service.go"))).collect()
+    assert sorted((r["path"], r["entity_id"]) for r in loose) == [("service.go.orig", "fn-1"), ("vice/service.go", "fn-1")]
+
+
+def test_governance_as_configured(spark):
+    smells = spark.createDataFrame([("circular_dependency", "CRITICAL", "a"), ("shared_database_coupling", "HIGH", "t"), ("supernode", "MEDIUM", "h")], "smell string, severity string, subject string")
+    entities = spark.createDataFrame([("s1", "SERVICE", "{}"), ("s2", "SERVICE", '{"primary_owner": {"team_name": "x"}}'), ("s3", "SERVICE", '{"owner": "y"}'), ("t", "TEAM", "{}")], "id string, type string, properties string")
+    rules = spark.createDataFrame([("RULE-01", "no-circular-dependencies", "FAIL"), ("RULE-02", "require-service-owners", "WARN"), ("RULE-03", "shared-database-table", "off")], "id string, name string, severity string")
+    got = {r["subject"]: tuple(r) for r in graph.governance(smells, graph.ownerless(entities), rules).collect()}
+    assert got == {"a": ("RULE-01", "no-circular-dependencies", "a", "FAIL", "FAIL"), "t": ("RULE-03", "shared-database-table", "t", "off", "SILENT"), "h": ("UNKNOWN", "", "h", "MEDIUM", "SILENT"), "s1": ("RULE-02", "require-service-owners", "s1", "WARN", "WARN")}
+    bare = {r["subject"]: (r["severity"], r["outcome"]) for r in graph.governance(smells, graph.ownerless(entities), rules.limit(0)).collect()}
+    assert bare == {"a": ("CRITICAL", "SILENT"), "t": ("HIGH", "SILENT"), "h": ("MEDIUM", "SILENT"), "s1": ("HIGH", "SILENT")}
+
+
+def test_reports(spark):
+    entities = spark.createDataFrame([("a", "SERVICE", "auth", "n", True, "src/a.go"), ("b", "SERVICE", "bill", "n", True, "src/b.go"), ("t", "DATABASE_TABLE", "users", "n", True, "x.sql")], "id string, type string, canonical_name string, namespace string, is_active boolean, file string")
+    entities = entities.withColumns({"name": F.col("canonical_name"), "start_line": F.lit(1), "end_line": F.lit(9)})
+    e = edges(spark, ("b", "a", "IMPORTS", 1.0), ("a", "b", "CALLS", 1.0))
+    accesses = spark.createDataFrame([("a", "t", "READS_FROM"), ("b", "t", "WRITES_TO")], "from_id string, to_id string, type string")
+    text = render.blueprint(entities, e, accesses, "n")
+    assert "2 services, 1 tables, 3 entities." in text and "| t | a | b |" in text and "- t" in text
+    tree = render.tree_text(entities, e, 3)
+    assert tree.split("\n")[0] == "[auth] (SERVICE)" and "(CALLS) → [bill] (SERVICE)" in tree and "[CYCLE]" in tree
+    smells = spark.createDataFrame([("circular_dependency", "CRITICAL", "auth"), ("supernode", "MEDIUM", "zzz")], "smell string, severity string, subject string")
+    comment = render.change_comment(spark.createDataFrame([("a.go",), ("none.go",)], "path string"), entities, e, smells)
+    assert "| `a.go` | `auth` (SERVICE) | `bill` (SERVICE) | Low |" in comment and "circular_dependency" in comment and "zzz" not in comment
 
 
 def test_replay_as_of(spark):

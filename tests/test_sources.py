@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import subprocess
+import threading
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgloom.sources import code, tables
@@ -27,13 +30,16 @@ def test_python(spark, tmp_path):
     entities, edges = code.scan_python(spark, root)
     assert names(entities) == {"app.main", "app.lib", "app.helper", "app.main.run_app", "app.main.AppController"}
     assert {(r["from_name"], r["to_name"]) for r in edges.where("type = 'IMPORTS'").collect()} == {("app.main", "app.lib"), ("app.main", "app.helper")}
+    assert {r["confidence"] for r in entities.collect()} == {0.95} and {r["confidence"] for r in edges.collect()} == {0.99}
 
 
 def test_typescript(spark, tmp_path):
     root = put(tmp_path, **{"src/index.ts": "import { helper } from './utils/helper';\nexport function runMain() {}\n", "src/utils/helper.ts": "export const helper = (a: number) => a;\n", "src/x.test.ts": "function no() {}\n"})
     entities, edges = code.scan_typescript(spark, root)
     assert names(entities) == {"src/index", "src/utils/helper", "src/index.runMain", "src/utils/helper.helper"}
-    assert [(r["from_name"], r["to_name"]) for r in edges.collect()] == [("src/index", "src/utils/helper")]
+    assert sorted((r["type"], r["from_name"], r["to_name"], r["confidence"]) for r in edges.collect()) == [
+        ("DEPENDS_ON", "src/index.runMain", "src/index", 0.99), ("DEPENDS_ON", "src/utils/helper.helper", "src/utils/helper", 0.99), ("IMPORTS", "src/index", "src/utils/helper", 0.99)]
+    assert {r["confidence"] for r in entities.collect()} == {0.95}
 
 
 def test_go(spark, tmp_path):
@@ -41,6 +47,7 @@ def test_go(spark, tmp_path):
     entities, edges = code.scan_go(spark, root)
     assert names(entities) == {"example.com/m", "example.com/m/lib", "example.com/m.main", "example.com/m/lib.Do"}
     assert {(r["from_name"], r["to_name"]) for r in edges.where("type = 'IMPORTS'").collect()} == {("example.com/m", "example.com/m/lib")}
+    assert {r["confidence"] for r in entities.collect()} == {0.95} and {r["confidence"] for r in edges.collect()} == {0.99}
 
 
 def test_openapi(spark, tmp_path):
@@ -58,7 +65,7 @@ def test_records_round_trip(spark, tmp_path):
 
 def test_clean_path(spark):
     got = spark.createDataFrame([("a/./b/../c",), ("../x",)], "p string").select(code.clean_path(F.col("p")).alias("c")).collect()
-    assert [r["c"] for r in got] == ["a/c", "x"]
+    assert [r["c"] for r in got] == ["a/c", "../x"]
 
 
 def entity(i, kind="SERVICE", confidence=0.9, at="2024-01-01T00:00:00Z"):
@@ -93,3 +100,75 @@ def test_span_windows_and_dedup(spark, tmp_path):
     assert spark.table("u").count() == 2
     run(ingest.live_calls(spans), "c", "append")
     assert {(r["caller"], r["callee"]) for r in spark.table("c").collect()} == {("web", "db")}
+
+
+def test_git_records(spark, tmp_path):
+    root = put(tmp_path, **{"api/main.go": "x", "api/v1/a.go": "y", "README.md": "z"})
+    git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    entities, edges, head = tables.git_records(spark, root, "src", "ns", "run", ("api", "api/v1"))
+    assert head == git("rev-parse", "HEAD")
+    assert {(r["sub_type"], r["name"], r["confidence"]) for r in entities.collect()} == {("project", "api", 0.99), ("project", "api/v1", 0.99), ("file", "api/main.go", 0.95), ("file", "api/v1/a.go", 0.95), ("file", "README.md", 0.95)}
+    ids = {r["name"]: r["id"] for r in entities.collect()}
+    assert {(r["from_id"], r["to_id"]) for r in edges.collect()} == {(ids["api/main.go"], ids["api"]), (ids["api/v1/a.go"], ids["api/v1"])}
+    put(tmp_path, **{"api/new.go": "n"})
+    git("add", ".")
+    git("commit", "-qm", "two")
+    paths, _ = tables.git_files(spark, root, head)
+    assert [r["path"] for r in paths.collect()] == ["api/new.go"]
+    assert tables.git_files(spark, root, "0" * 40)[0].count() == 4
+    whole, own, _ = tables.git_records(spark, root, "src", "ns", "run")
+    assert own.count() == 4 and whole.where("sub_type = 'project'").first()["raw_name"] == "."
+
+
+def test_configurations(spark, tmp_path):
+    text = "version: 1\nnamespace: shop # the shop\ngovernance:\n  rules:\n    - id: RULE-01\n      name: no-circular-dependencies\n      severity: FAIL\n      scope: \"all\"\n    - {}\n".replace("    - {}\n", "    -\n      id: RULE-02\n      name: x\n")
+    parsed = tables.parse_yaml(text)
+    assert parsed["namespace"] == "shop" and parsed["version"] == 1 and len(parsed["governance"]["rules"]) == 2
+    rules = [tuple(r) for r in tables.governance_rules(spark, text).collect()]
+    assert rules == [("RULE-01", "no-circular-dependencies", "FAIL", "all"), ("RULE-02", "x", None, None)]
+    assert [tuple(r) for r in tables.governance_rules(spark, json.dumps({"governance": {"rules": [{"id": "a", "name": "b", "severity": "WARN"}]}})).collect()] == [("a", "b", "WARN", None)]
+    root = put(tmp_path, **{"arch.yaml": text, "deep/er/x": ""})
+    assert tables.find_upward("arch.yaml", f"{root}/deep/er") == f"{root}/arch.yaml" and tables.find_upward("no-such-file.yaml", root) is None
+    assert tables.ingest_config(None, "/r")["git"][0]["repo_path"] == "/r" and tables.ingest_config('{"git": [{"repo_path": "a"}]}')["ast_go"] == []
+
+
+def test_checkpoints(spark, tmp_path):
+    marks = tables.Checkpoints(spark, str(tmp_path))
+    assert marks.get("a") == (None, 0)
+    assert marks.put("a", "sha1") == 1 and marks.put("a", "sha2") == 2 and marks.put("b", "x") == 1
+    assert marks.get("a") == ("sha2", 2)
+
+
+def test_failed_delivery_goes_to_the_dead_letters(spark, tmp_path):
+    put(tmp_path, **{"in/1.json": entity("a") + "\n" + entity("b", "NOPE") + "\n"})
+
+    def broken(batch, number):
+        raise RuntimeError("store is away")
+
+    stream = ingest.read_json(spark, str(tmp_path / "in"), ingest.OBSERVED_ENTITY)
+    ingest.ingest(stream, str(tmp_path / "good"), str(tmp_path / "dead"), str(tmp_path / "ck"), deliver=broken).awaitTermination(120)
+    assert {(r["id"], r["error_field"]) for r in spark.read.parquet(str(tmp_path / "dead")).collect()} == {("b", "type"), ("a", "delivery: store is away")}
+
+
+def test_tasks_run_in_order_and_failures_stay_with_those_that_need_them():
+    ran, lock = [], threading.Lock()
+
+    def work(name, fails=False):
+        def run():
+            with lock:
+                ran.append(name)
+            if fails:
+                raise RuntimeError("no")
+
+        return run
+
+    got = ingest.run_all({"a": ([], work("a", True)), "b": ([], work("b")), "c": (["a"], work("c")), "d": (["b"], work("d")), "e": (["c"], work("e"))}, 2)
+    assert [(n, s) for n, s, _ in got] == [("a", "failed"), ("b", "success"), ("c", "failed"), ("d", "success"), ("e", "failed")]
+    assert set(ran) == {"a", "b", "d"} and ran.index("b") < ran.index("d")
+    with pytest.raises(ValueError, match="cycle"):
+        ingest.run_all({"a": (["b"], work("a")), "b": (["a"], work("b"))})
+    with pytest.raises(ValueError, match="unknown"):
+        ingest.run_all({"a": (["x"], work("a"))})
