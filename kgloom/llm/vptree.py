@@ -9,7 +9,8 @@ Factor one, the default, is exact search. Smaller factors skip more and have no
 the added component puts every query far from all vectors, and a share of that distance says little.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part; nor do
-null ids. A query's own id is no candidate. Ties go to the smaller id. Extra columns are ignored.
+null ids. A query's own id is no candidate; queries of one id give one list, the nearest to any of them. A candidate's score is
+the sum of its own products, whatever shard it lies in, so copies tie, and ties go to the smaller id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,21 +115,34 @@ class Tree:
 
         def look(n: int, at: np.ndarray) -> None:
             s, e = self.range[n]
-            ip = q[at] @ self.points[s:e].T
-            ids = np.broadcast_to(self.ids[s:e], ip.shape)
-            ip[ids == own[at][:, None]] = -np.inf
-            some = ip.max(1) >= best[at, -1]
-            at, ip, ids = at[some], ip[some], ids[some]
-            if ip.shape[1] > k and len(at):
-                pick = np.argpartition(-ip, k - 1, axis=1)[:, :k]
-                bar = np.take_along_axis(ip, pick, 1).min(1)
-                tied = np.flatnonzero((bar >= best[at, -1]) & (bar > -np.inf) & ((ip >= bar[:, None]).sum(1) > k))
-                if len(tied):
-                    pick[tied] = np.lexsort((ids[tied], -ip[tied]), axis=1)[:, :k]
-                ip, ids = np.take_along_axis(ip, pick, 1), np.take_along_axis(ids, pick, 1)
-            ip, ids = np.concatenate([best[at], ip], 1), np.concatenate([who[at], ids], 1)
-            top = np.lexsort((ids, -ip), axis=1)[:, :k]
-            best[at], who[at] = np.take_along_axis(ip, top, 1), np.take_along_axis(ids, top, 1)
+            points, every = self.points[s:e], self.ids[s:e]
+            for part in range(0, len(at), 1000):
+                look_at(points, every, at[part : part + 1000])
+
+        def look_at(points: np.ndarray, every: np.ndarray, at: np.ndarray) -> None:
+            # one matrix product finds who may be among the nearest; their own sums, equal for equal vectors, decide
+            ip = q[at] @ points.T
+            ip[every[None, :] == own[at][:, None]] = -np.inf
+            near = ROUNDING * (norms[at] + size)
+            some = ip.max(1) >= best[at, -1] - near
+            at, ip, near = at[some], ip[some], near[some]
+            if not len(at):
+                return
+            m = min(k + 8, ip.shape[1])
+            pick = np.argpartition(-ip, m - 1, axis=1)[:, :m]
+            rough = np.take_along_axis(ip, pick, 1)
+            sums = np.where(np.isneginf(rough), -np.inf, (points[pick] * q[at][:, None, :]).sum(2))
+            ids = every[pick]
+            if m < ip.shape[1]:
+                bar = np.maximum(np.partition(sums, m - k, axis=1)[:, m - k], best[at, -1])
+                tied = np.flatnonzero((rough.min(1) >= bar - near) & (rough.min(1) > -np.inf))
+                for t in tied.tolist():  # so many alike that others than the picked may count
+                    own_sums = np.where(np.isneginf(ip[t]), -np.inf, (points * q[at[t]]).sum(1))
+                    first = np.lexsort((every, -own_sums))[:m]
+                    sums[t], ids[t] = own_sums[first], every[first]
+            sums, ids = np.concatenate([best[at], sums], 1), np.concatenate([who[at], ids], 1)
+            top = np.lexsort((ids, -sums), axis=1)[:, :k]
+            best[at], who[at] = np.take_along_axis(sums, top, 1), np.take_along_axis(ids, top, 1)
 
         def visit(n: int, at: np.ndarray) -> None:
             a, b = self.kids[n]

@@ -182,6 +182,27 @@ def test_nearest_as_registered(spark, kind):
     assert all(got[20 * n] == set(w) for n, w in enumerate(want.tolist()))
 
 
+def test_copies_are_ordered_by_id(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(40, 33))
+    rows = [(i, base[i % 40].tolist(), "x") for i in rng.permutation(3000).tolist()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(5)
+    got: dict = {}
+    for r in sorted(vptree.nearest(df, sample=512, shard_rows=300).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    ip = base @ base.T
+    for q in range(0, 3000, 20):
+        near = sorted(range(40), key=lambda j: -ip[q % 40, j])
+        want = [i for j in near[:2] for i in range(j, 3000, 40) if i != q][:20]
+        assert [i for i, _ in got[q]] == want and got[q][0][1] == got[q][19][1]
+
+
+def test_rows_of_one_id_give_one_list(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (2, [0.0, 3.0])]
+    got = [tuple(r)[:3] for r in vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got[0] == (0, 1, 2) and got[1] == (0, 2, 1) and len({r for _, r, _ in got}) == len(got)
+
+
 def test_nearest_of_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r)[:3] for r in vptree.nearest(few).collect()) == [(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)]
