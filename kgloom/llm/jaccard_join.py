@@ -1,15 +1,16 @@
 """N-gram Jaccard self-join by vertical partitioning, and the groups that its links form. Exact.
 
-1. All documents' shingles are cut by hash range into fragments. A fragment counts, for each document, those of its
+1. All documents' shingles are cut by hash range into fragments, as many as their number asks for. A fragment counts, for each document, those of its
    shingles that stand in another document too; the counts are summed per document. A document with fewer than 75 % such
    shingles links with nothing and is out. Only 32 bits of each shingle travel (a chance meeting keeps a document in,
    no more), and a shingle of many documents once a batch.
 2. Equal sets become one class with the smallest doc_id; classes are filtered in the same way among themselves.
 3. Global order of shingles: document frequency, then hash. Linked classes share one of the first n - need + 1.
    The classes under one such key are compared with one of them (the leader), not with each other; what the links join
-   is one component. Keys whose classes still lie in several components go on: after ``star_rounds`` rounds all their
-   pairs from different components that pass the length and positional filters are compared, so no link that would
-   join two components is lost, and a group of many near copies makes few pairs.
+   is one component. Keys whose classes still lie in several components go on: after ``star_rounds`` rounds pairs from
+   different components that pass the length and positional filters are compared, so no link that would
+   join two components is lost, and a group of many near copies makes few pairs. Keys of many classes are dealt out in
+   blocks then, each pair of blocks apart, and by salts before.
 4. A pair is counted fragment by fragment of the global hash order, and the partial overlaps summed.
 
 A class id is 128 bits. Shingles are 64-bit hashes: two different ones meet with a chance of about 10^-19 a pair.
@@ -32,6 +33,9 @@ from . import common
 from .shingles import shingle_sets
 
 PARTS = 4  # fragments of a pair's count
+FRAGMENT = 1 << 21  # shingles of a fragment, about
+BLOCK = 512  # classes of a key that are compared at once
+SALTS = 8  # parts of a key in the leaders' rounds
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -121,18 +125,26 @@ def _meta(ids: list, sets: list[np.ndarray], classes: list[bytes]) -> bytes:
     return np.array([d or 0 for d in ids], "<i8").tobytes() + np.array([len(s) for s in sets], "<i8").tobytes() + bytes(d is None for d in ids) + b"".join(c.ljust(16, b"\0") for c in classes)
 
 
-def _fragments(df: DataFrame) -> int:
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _fragments(shingles: int) -> int:
+    return max(8, -(-shingles // FRAGMENT))
 
 
-def _tallied(pieces: DataFrame) -> DataFrame:
-    counted = pieces.groupBy("fragment").applyInArrow(_count, "batch long, docs int, counts binary, meta binary")
+def _spread(pieces: DataFrame, fragments: int) -> DataFrame:
+    """Pieces dealt by fragment into as many parts as there are fragments (the session's number of partitions, if that is more)."""
+    parts = max(fragments, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pieces.repartition(parts, "fragment")
+
+
+def _tallied(pieces: DataFrame, fragments: int) -> DataFrame:
+    counted = _spread(pieces, fragments).groupBy("fragment").applyInArrow(_count, "batch long, docs int, counts binary, meta binary")
     return counted.groupBy("batch").applyInArrow(_sum, _TALLY_SQL)
 
 
 def tally_documents(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, cls, n, repeated: each document's set and how many of its shingles other documents hold."""
-    fragments = _fragments(docs)
+    # a shingle starts at each word; a word and its blank have at least two bytes, in texts about six
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments = _fragments(size // 6)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
@@ -141,7 +153,7 @@ def tally_documents(docs: DataFrame, k: int) -> DataFrame:
                 sets = _sets(batch, k)
                 yield _pieces(sets, at + seq, fragments, _meta(batch.column("doc_id").to_pylist(), sets, [_class(s) for s in sets]))
 
-    return _tallied(docs.mapInArrow(common.lean(cut), _PIECE_SQL))
+    return _tallied(docs.mapInArrow(common.lean(cut), _PIECE_SQL), fragments)
 
 
 _SET_SQL = "cls binary, n long, shingles binary"
@@ -191,7 +203,7 @@ def prefix_keys(sets: DataFrame) -> DataFrame:
     that no other class holds, which come first.
 
     Fragments count the classes of each shingle; what they find comes back by batch, not by class."""
-    fragments = _fragments(sets)
+    fragments = _fragments(sets.agg(F.sum("n")).first()[0] or 0)
     piece = pa.schema([("fragment", pa.int32()), ("batch", pa.int64()), ("classes", pa.binary()), ("sizes", pa.binary()), ("values", pa.binary()), ("per", pa.binary())])
     tally = pa.schema([("batch", pa.int64()), ("classes", pa.binary()), ("sizes", pa.binary()), ("values", pa.binary()), ("per", pa.binary()), ("df", pa.binary())])
     keys = pa.schema([("key", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("alone", pa.int64()), ("place", pa.int64())])
@@ -249,7 +261,8 @@ def prefix_keys(sets: DataFrame) -> DataFrame:
         names = [first["classes"][16 * i : 16 * i + 16] for i in range(len(sizes))]
         return pa.table({"key": h[near].view(np.int64), "cls": [names[i] for i in owner.tolist()], "n": sizes[owner], "alone": alone[owner], "place": place}, schema=keys)
 
-    counted = sets.mapInArrow(common.lean(deal), "fragment int, batch long, classes binary, sizes binary, values binary, per binary").groupBy("fragment").applyInArrow(count, "batch long, classes binary, sizes binary, values binary, per binary, df binary")
+    dealt = _spread(sets.mapInArrow(common.lean(deal), "fragment int, batch long, classes binary, sizes binary, values binary, per binary"), fragments)
+    counted = dealt.groupBy("fragment").applyInArrow(count, "batch long, classes binary, sizes binary, values binary, per binary, df binary")
     return counted.groupBy("batch").applyInArrow(pick, _KEYS_SQL)
 
 
@@ -302,6 +315,18 @@ def components(links: DataFrame) -> DataFrame:
 _FITS = "4 * least(nx, ny) >= 3 * greatest(nx, ny) AND least(nx - ax, ny - ay) >= ceil(3 * (nx + ny) / 7)"
 
 
+def _block_pairs(live: DataFrame) -> DataFrame:
+    """Pairs (x, y) of one key's classes in different components that pass the filters. A key's classes lie in blocks of about
+    ``BLOCK``, and each two blocks meet apart, so that no task has all pairs of a frequent key."""
+    sizes = live.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = live.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    one, two = (met.select("key", "lo", "hi", F.col("own").alias("o" + a), F.col("cls").alias(a), F.col("comp").alias("c" + a), F.col("n").alias("n" + a), F.col("place").alias("p" + a), F.col("alone").alias("a" + a)) for a in "xy")
+    meet = "cx <> cy AND ((lo = hi AND x < y) OR (lo < hi AND ox = lo AND oy = hi))"
+    return one.join(two, ["key", "lo", "hi"]).where(f"{meet} AND least(nx - px, ny - py) >= ceil(3 * (nx + ny) / 7) AND {_FITS}")
+
+
 def class_components(sets: DataFrame, star_rounds: int = 3) -> DataFrame:
     """cls, comp for the classes that link with another.
 
@@ -326,10 +351,12 @@ def class_components(sets: DataFrame, star_rounds: int = 3) -> DataFrame:
             else:
                 sizes = live.groupBy("key", "comp").agg(F.count("*").alias("size"), best.alias("lead"))
                 lead = sizes.groupBy("key").agg(F.max_by("lead", F.struct("size", "comp")).alias("lead"))
-            pairs = live.join(lead, "key").where("comp <> lead.comp").select(F.col("lead.cls").alias("x"), F.col("cls").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"), F.col("lead.alone").alias("ax"), F.col("alone").alias("ay"))
+            # a key's classes meet their leader in several parts, each with a copy of it
+            salted = live.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+            leads = lead.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            pairs = salted.join(leads, ["key", "salt"]).where("comp <> lead.comp").select(F.col("lead.cls").alias("x"), F.col("cls").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"), F.col("lead.alone").alias("ax"), F.col("alone").alias("ay"))
         else:
-            one, two = (live.select("key", F.col("cls").alias(a), F.col("comp").alias("c" + a), F.col("n").alias("n" + a), F.col("place").alias("p" + a), F.col("alone").alias("a" + a)) for a in "xy")
-            pairs = one.join(two, "key").where(f"cx <> cy AND x < y AND least(nx - px, ny - py) >= ceil(3 * (nx + ny) / 7) AND {_FITS}")
+            pairs = _block_pairs(live)
         pairs = pairs.where(_FITS).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = common.saved(count_pairs(pairs, sets), "found")
         links = found if links is None else links.unionByName(found)
@@ -338,7 +365,7 @@ def class_components(sets: DataFrame, star_rounds: int = 3) -> DataFrame:
     return comps
 
 
-def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, star_rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: linked at Jaccard similarity 0.75 and more."""
     common.tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -346,7 +373,7 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     alive = tally.where((F.col("n") > 0) & (F.col("repeated") >= _need(F.col("n"))) & F.col("doc_id").isNotNull())
     reps = common.saved(alive.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), "classes")
     sets = common.saved(class_sets(docs, reps, k), "sets")
-    comps = class_components(sets)
+    comps = class_components(sets, star_rounds)
     joined = reps.select("cls", "first").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = joined.groupBy("comp").agg(F.min("first").alias("component_id"))
     groups = joined.join(least, "comp").select("cls", "component_id")

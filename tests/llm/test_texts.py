@@ -191,8 +191,11 @@ def family(rng, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates(spark, seed):
+@pytest.mark.parametrize(("seed", "rounds"), [(1, 3), (2, 0), (3, 1)])
+def test_near_duplicates(spark, monkeypatch, seed, rounds):
+    if seed > 1:  # small fragments, and blocks of few classes, so that keys have several
+        monkeypatch.setattr(jaccard_join, "FRAGMENT", 300)
+        monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     rng = random.Random(seed)
     shared = prose(rng, 60)
     texts = [prose(rng, rng.choice([0, 1, 3, 5, 8, 60, 150])) for _ in range(60)]
@@ -200,7 +203,7 @@ def test_near_duplicates(spark, seed):
     texts += [f"{prose(rng, rng.choice([10, 30, 80]))} {shared} {prose(rng, 20)}" for _ in range(30)]
     texts += [t.upper().replace(" ", "\t ") for t in texts[60:70]] + ["a b c", "A b  c", None, "", " \n "]
     rows = list(zip(rng.sample(range(1000), len(texts)), texts, strict=True))
-    got = result(jaccard_join.near_duplicates(docs(spark, rows).repartition(3)))
+    got = result(jaccard_join.near_duplicates(docs(spark, rows).repartition(3), star_rounds=rounds))
     assert {d: (v["n_shingles"], v["component_id"]) for d, v in got.items()} == groups(rows)
 
 
