@@ -63,14 +63,16 @@ def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
     for gram in range(1, GRAM + 1):
         if bitmap := _bitmap(windows, gram):
             table, bits = bitmap
-            h = _hash("w", "i", gram)
-            maybe = f"filter(CASE WHEN m >= {gram} THEN sequence(0, m - {gram}) ELSE array() END, i -> getbit({table}[cast(shiftright({h} & {bits - 1}L, 6) as int)], cast({h} & 63L as int)) = 1)"
+            # each gram is hashed once; most texts end at the bitmap
+            own = f"h{gram}"
+            rows = rows.withColumn(own, F.expr(f"CASE WHEN m >= {gram} THEN transform(sequence(0, m - {gram}), i -> {_hash('w', 'i', gram)}) ELSE array() END"))
+            bit = lambda h: f"getbit({table}[cast(shiftright({h} & {bits - 1}L, 6) as int)], cast({h} & 63L as int)) = 1"  # noqa: B023, E731
+            maybe = f"CASE WHEN exists({own}, h -> {bit('h')}) THEN filter(sequence(0, m - {gram}), i -> {bit(f'{own}[i]')}) ELSE array() END"
             chosen = "false"
             if gram == GRAM:
-                other = _hash("w", "j", gram)
                 last = WINDOW - GRAM
-                chosen = f"m >= {WINDOW} AND exists(sequence(greatest(i - {last}, 0), least(i, m - {WINDOW})), s -> forall(sequence(s, s + {last}), j -> j = i OR (j < i AND {other} >= {h}) OR (j > i AND {other} > {h})))"
-            made = f"transform({maybe}, i -> named_struct('gram', {gram}, 'hash', {h}, 'place', i, 'chosen', {chosen}, 'start', greatest(i - {WINDOW - 1}, 0), 'near', slice(w, greatest(i - {WINDOW - 1}, 0) + 1, {2 * WINDOW})))"
+                chosen = f"m >= {WINDOW} AND exists(sequence(greatest(i - {last}, 0), least(i, m - {WINDOW})), s -> forall(sequence(s, s + {last}), j -> j = i OR (j < i AND {own}[j] >= {own}[i]) OR (j > i AND {own}[j] > {own}[i])))"
+            made = f"transform({maybe}, i -> named_struct('gram', {gram}, 'hash', {own}[i], 'place', i, 'chosen', {chosen}, 'start', greatest(i - {WINDOW - 1}, 0), 'near', slice(w, greatest(i - {WINDOW - 1}, 0) + 1, {2 * WINDOW})))"
             short = any(min(n, GRAM) == gram for n in lengths)
             found.append(made if short else f"filter({made}, c -> c.chosen)")
     cands = f"concat({', '.join(found)})" if found else "array()"
