@@ -44,11 +44,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
-    rows = keyed(docs)
-    found = decontamination.contamination(rows.select(F.col("row").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
-    away = found.where("contaminated").select(F.col("doc_id").alias("row"))
-    return rows.join(away, "row", "left_anti").select(*COLUMNS)
+    """Documents that hold no window of the benchmark. Rows of one id and one text share their fate, so they need no number."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64(text).alias("h"), F.crc32(F.encode(text, "UTF-8")).alias("c"), F.octet_length(text).alias("n")).alias("key"))
+    found = decontamination.contamination(rows.select(F.col("key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    away = common.saved(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return rows.join(away, "key", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
