@@ -5,12 +5,13 @@ code points that stand in two documents or more lose all their lines but those o
 
 Keys become 128-bit hashes; counting them is one aggregation of narrow rows (combined before the shuffle, so a line
 that every document holds costs one row a task). The repeated ones are dealt into shards by hash; each shard gets a
-minimal perfect hash (levels of bit arrays, rank gives the slot) over arrays of fingerprint, count and keeper.
+minimal perfect hash (levels of bit arrays, rank gives the slot) over arrays of fingerprint, count and keeper. Lines that
+stand in one document only are counted too, but have no place in the arrays, as they are never dropped.
 Up to ``broadcast_keys`` repeated keys (28 bytes each) the arrays are sent to all tasks; beyond that, line hashes go
 to their shard, salted so that a hot line spreads, and only the lines to drop come back.
 
 Null or empty text is one empty line. Null doc_ids hold no line and lose none. Rows with one doc_id count as one
-document. An empty table gives no rows. Extra columns stay.
+document. A text of any length is cut and probed in one piece. An empty table gives no rows. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -39,15 +40,16 @@ def keys_of(text: str, min_chars: int) -> tuple[list[bytes], list[bytes | None]]
     return lines, out
 
 
-def _place(h: np.ndarray, level: int, size: int) -> np.ndarray:
-    x = h ^ np.uint64((level * 0x9E3779B97F4A7C15 + 0x1234567) & (2**64 - 1))
+def _place(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> np.ndarray:
+    x = h1 ^ np.uint64((level * 0x9E3779B97F4A7C15 + 0x1234567) & (2**64 - 1))
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    x = (x ^ (x >> np.uint64(29)) ^ h2) * np.uint64(0xC4CEB9FE1A85EC53)
     return (x ^ (x >> np.uint64(32))) % np.uint64(size)
 
 
 class PerfectHash:
-    """Minimal perfect hash: at each level the keys that stand alone take their bit, the others go on."""
+    """Minimal perfect hash of 128-bit keys (two halves): at each level the keys that stand alone take their bit, the others
+    go on. Keys that share a half are apart; those given twice count once."""
 
     def __init__(self, sizes: np.ndarray, bits: np.ndarray):
         self.sizes, self.bits = sizes, bits
@@ -55,22 +57,27 @@ class PerfectHash:
         self.rank = np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
 
     @classmethod
-    def build(cls, h: np.ndarray, load: float = 2.0) -> PerfectHash:
-        left, sizes, planes = np.unique(h), [], []
-        while len(left):
-            size = max(64, int(load * len(left)))
-            at = _place(left, len(sizes), size)
+    def build(cls, h1: np.ndarray, h2: np.ndarray, load: float = 2.0) -> PerfectHash:
+        order = np.lexsort((h2, h1))
+        h1, h2 = h1[order], h2[order]
+        new = np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        h1, h2, sizes, planes = h1[new], h2[new], [], []
+        while len(h1):
+            size = max(64, int(load * len(h1)))
+            at = _place(h1, h2, len(sizes), size)
             alone = np.bincount(at, minlength=size) == 1
             sizes.append(size)
             planes.append(alone)
-            left = left[~alone[at]]
+            rest = ~alone[at]
+            h1, h2 = h1[rest], h2[rest]
         return cls(np.array(sizes, np.int64), np.concatenate(planes) if planes else np.zeros(0, bool))
 
-    def slots(self, h: np.ndarray) -> np.ndarray:
+    def slots(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Slot of each key; -1 or any slot for keys that it doesn't hold."""
-        out, left = np.full(len(h), -1, np.int64), np.arange(len(h))
+        out, left = np.full(len(h1), -1, np.int64), np.arange(len(h1))
         for level, (size, start) in enumerate(zip(self.sizes.tolist(), self.starts.tolist(), strict=True)):
-            at = start + _place(h[left], level, size).astype(np.int64)
+            at = start + _place(h1[left], h2[left], level, size).astype(np.int64)
             here = self.bits[at]
             out[left[here]] = self.rank[at[here]]
             left = left[~here]
@@ -94,7 +101,7 @@ class LineIndex:
             if s in self.shards:
                 at = np.flatnonzero(shard == s)
                 mph, marks, counts, keepers = self.shards[s]
-                slot = mph.slots(h1[at])
+                slot = mph.slots(h1[at], h2[at])
                 good = slot >= 0
                 good[good] = marks[slot[good]] == h2[at[good]]
                 count[at[good]], keeper[at[good]] = counts[slot[good]], keepers[slot[good]]
@@ -131,11 +138,11 @@ def build_index(docs: DataFrame, min_chars: int = 10, shard_keys: int = 250_000)
     def build(group: pa.Table) -> pa.Table:
         x = {k: group.column(k).to_numpy() for k in ("h1", "h2", "n", "keeper", "shard")}
         h1 = x["h1"].view(np.uint64)
-        # keys that share their first 64 bits would share a slot; the fingerprint then tells them apart for one of them
-        mph = PerfectHash.build(h1)
-        slot = mph.slots(h1)
-        arrays = [np.zeros(len(np.unique(h1)), kind) for kind in ("<u8", "<i8", "<i8")]
-        for a, v in zip(arrays, (x["h2"].view(np.uint64), x["n"], x["keeper"]), strict=True):
+        h2 = x["h2"].view(np.uint64)
+        mph = PerfectHash.build(h1, h2)
+        slot = mph.slots(h1, h2)
+        arrays = [np.zeros(len(h1), kind) for kind in ("<u8", "<i8", "<i8")]
+        for a, v in zip(arrays, (h2, x["n"], x["keeper"]), strict=True):
             a[slot] = v
         return pa.Table.from_batches([common.record(schema, shard=[int(x["shard"][0])], n=[len(h1)], sizes=[mph.sizes.astype("<i8").tobytes()], bits=[np.packbits(mph.bits).tobytes()], fingerprints=[arrays[0].tobytes()], counts=[arrays[1].tobytes()], keepers=[arrays[2].tobytes()])])
 

@@ -149,9 +149,20 @@ def test_line_dedup(spark, how):
 
 
 def test_perfect_hash():
-    h = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64))
-    slots = line_dedup.PerfectHash.build(h).slots(h)
-    assert sorted(slots.tolist()) == list(range(len(h)))
+    rng = np.random.default_rng(1)
+    h1, h2 = (rng.integers(0, 2**63, 5000, dtype=np.uint64) for _ in range(2))
+    h1[:500], h2[1500:2000] = h1[500:1000], h2[2000:2500]  # keys that share a half with another
+    slots = line_dedup.PerfectHash.build(h1, h2).slots(h1, h2)
+    assert sorted(slots.tolist()) == list(range(5000))
+    twice = line_dedup.PerfectHash.build(np.repeat(h1, 2), np.repeat(h2, 2))
+    assert sorted(twice.slots(h1, h2).tolist()) == list(range(5000))
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    line = "a line that stands in both of them"
+    rows = [(1, line), (2, "\n".join([line, *(f"own line number {i}" for i in range(20_000)), line.upper()])), (2, "x" * 2_000_000), (3, "x" * 2_000_000)]
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], len(r["text"])) for r in line_dedup.dedup_lines(docs(spark, rows)).collect())
+    assert [(d, n, k) for d, n, k, _ in got] == [(1, 1, 0), (2, 1, 0), (2, 20_002, 2), (3, 1, 1)] and got[3][3] == 0
 
 
 # near duplicates
