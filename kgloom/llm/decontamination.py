@@ -9,7 +9,8 @@ window are looked for at all grams (of their own length, if under ``GRAM`` words
 
 Only words around possible hits leave the scan; no text is shuffled. The windows' table is broadcast up to
 ``broadcast_windows`` rows and joined by a shuffle beyond. Null text has no words; wordless items have no window;
-items with null id mark words but aren't listed; rows with one doc_id are kept apart; extra columns are ignored.
+items with null id mark words but aren't listed; rows with one doc_id, repeated rows too, are kept apart; a text of any length is one
+row; an empty table gives no rows, an empty benchmark no hits; extra columns are ignored.
 """
 
 from __future__ import annotations

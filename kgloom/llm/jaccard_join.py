@@ -15,7 +15,8 @@
 
 A class id is 128 bits. Shingles are 64-bit hashes: two different ones meet with a chance of about 10^-19 a pair.
 Null or wordless text: empty set, linked with nothing. Null doc_id: as its own row, component null. Rows with one doc_id
-and different texts are separate members. Tables may be empty; extra columns are ignored.
+and different texts are separate members, repeated rows members of one class; a text of any length is one member. An empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,11 +12,14 @@ one line that hold enough of the template's words at all; that is exact too, as
 One scan cuts all texts into words and keeps, per document, its counts and its blocks' template words; everything else
 reads that narrow table, which has the places of template words for those texts alone that may hold a window. Templates are a fixed table, so their sides of joins are small whatever the corpus.
 
-Null text is empty: no words, no labels, score 0. Rows with one doc_id are kept apart; extra columns are ignored.
+Null text is empty: no words, no labels, score 0. Rows with one doc_id, repeated rows too, are kept apart; a text of any length is
+one row of the scan; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +118,7 @@ def wrapped(scanned: DataFrame, sets: list[tuple[str, list[str], int]], containm
 
 
 def _need(n: int, containment: float) -> int:
-    return max(1, -int(-containment * n // 1))
+    return max(1, math.ceil(containment * n - 1e-9))  # 0.56 of 25 words are 14, though the product is more by rounding
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:

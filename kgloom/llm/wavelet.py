@@ -211,3 +211,18 @@ def read_documents(shards: DataFrame) -> DataFrame:
     base = inside.join(before, "part").select("part", "seq", (F.col("part_base") + F.col("seq_base")).alias("base"))
     found = shards.select("part", "seq", "n_null", "doc_ids", "doc_tokens", "blob").mapInArrow(common.lean(decode), DOC_SCHEMA)
     return found.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def find_token(shards: DataFrame, token: int, most: int | None = None) -> DataFrame:
+    """part, seq, count and places (in the shard's ids, ascending; at most so many of each shard) of one id, by rank and select in each
+    shard's blob: no shard's ids are unfolded."""
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("count", pa.int64()), ("places", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, 1):
+            x = {k: v[0] for k, v in batch.to_pydict().items()}
+            m = WaveletMatrix(x["blob"])
+            n = m.count(token)
+            yield common.record(schema, part=[x["part"]], seq=[x["seq"]], count=[n], places=[[m.select(token, k) for k in range(n if most is None else min(n, most))]])
+
+    return shards.select("part", "seq", "blob").mapInArrow(common.lean(run), "part int, seq int, count long, places array<long>")

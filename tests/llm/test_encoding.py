@@ -139,6 +139,18 @@ def test_shards_round_trip(spark, tmp_path):
     assert spark.read.parquet(path).count() > 3
 
 
+def test_tokens_are_found_in_their_shards(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(d, prose(rng, 50)) for d in range(40)]
+    wavelet.write_token_shards(docs(spark, rows).repartition(3), public_tokenizers.path(NAMES[0]), str(tmp_path / "s"), shard_tokens=700)
+    shards = spark.read.parquet(str(tmp_path / "s"))
+    ids = {(r["part"], r["seq"]): wavelet.WaveletMatrix(r["blob"]).ids().tolist() for r in shards.collect()}
+    for token in (1, 0, ids[min(ids)][3]):
+        got = {(r["part"], r["seq"]): (r["count"], r["places"]) for r in wavelet.find_token(shards, token).collect()}
+        assert got == {k: (v.count(token), [i for i, x in enumerate(v) if x == token]) for k, v in ids.items()}
+    assert all(len(r["places"]) <= 2 for r in wavelet.find_token(shards, 1, most=2).collect())
+
+
 def test_shards_of_an_empty_table(spark, tmp_path):
     wavelet.write_token_shards(docs(spark, []), public_tokenizers.path(NAMES[0]), str(tmp_path / "e"))
     assert wavelet.read_documents(spark.read.schema(wavelet.SHARD_SCHEMA).parquet(str(tmp_path / "e"))).count() == 0
@@ -162,6 +174,16 @@ def test_best_fit_takes_the_tightest_window(lengths):
         assert [o for o, _ in at] == [sum(n for _, n in at[:k]) for k in range(len(at))] and fill[w] == sum(n for _, n in at) <= 64
 
 
+def test_packing_leaves_little_room(spark):
+    rng = random.Random(5)
+    rows = [(d, prose(rng, rng.choice([3, 40, 300, 900]))) for d in range(400)]
+    out = packing.pack(docs(spark, rows).repartition(1), public_tokenizers.path(NAMES[1])).collect()
+    fill = {r["sequence_id"]: (r["sequence_tokens"], r["padded_to"]) for r in out}
+    assert sum(u for u, _ in fill.values()) >= 0.97 * sum(p for _, p in fill.values())
+    few = packing.pack(docs(spark, [(d, "") for d in range(1000)]).repartition(1), public_tokenizers.path(NAMES[1]), batch_pieces=100).collect()
+    assert len(few) == 1000 and len({r["sequence_id"] for r in few}) == 10 and all(r["sequence_tokens"] == 100 for r in few)
+
+
 def test_packing(spark):
     rng = random.Random(3)
     rows = [(d, prose(rng, rng.choice([1, 40, 300]))) for d in range(80)] + [(100, None), (101, "word " * 6000), (101, "word " * 6000)]

@@ -39,6 +39,32 @@ def test_languages(spark):
     assert sum(got[d]["lang_pred"] == truth[d] for d in held) >= 0.98 * len(held)
 
 
+def test_letters_by_their_category(spark):
+    rows = [(1, "abc def", "aa", "s", 1), (2, "½ ²", None, "s", 1), (3, "Ⅷ", None, "s", 1), (4, "12_3", None, "s", 1), (5, "ʰ", None, "s", 1), (7, "日本", None, "s", 1)]
+    got = result(language_id.identify_language(docs(spark, rows)).select("doc_id", "lang_pred", "score"))
+    assert {d: v["lang_pred"] for d, v in got.items()} == {1: "aa", 2: "und", 3: "und", 4: "und", 5: "aa", 7: "aa"}
+    assert got[2]["score"] == 0.0
+
+
+def test_copies_do_not_push_a_language_out(spark):
+    rng = random.Random(4)
+    rows = [(d, speech(rng, "aa", 30), "aa", "s", 1) for d in range(400)] + [(d, "Ver schich ung ich verung.", "bb", "s", 1) for d in range(400, 6000)]
+    long = next(d for d in range(9100, 9200) if zlib.crc32(str(d).encode()) % 4 != 2)
+    rows += [(9000, speech(rng, "bb", 40), None, "s", 1), (9000, speech(rng, "aa", 40), None, "s", 1), (long, "tion oui " * 20_000, "cc", "s", 1), (9002, "tion oui que", None, "s", 1)]
+    out = language_id.identify_language(docs(spark, rows).repartition(3)).collect()
+    assert {r["lang_pred"] for r in out if 400 <= r["doc_id"] < 6000} == {"bb"}
+    assert sorted(r["lang_pred"] for r in out if r["doc_id"] == 9000) == ["aa", "bb"]
+    assert [r["lang_pred"] for r in out if r["doc_id"] == 9002] == ["cc"]
+
+
+def test_equal_languages_are_tied_by_name(spark):
+    same = [(d, "tomi kato ruka mito", lang, "s", 1) for d, lang in ((1, "zz"), (3, "mm"), (4, "zz"), (5, "mm"))]
+    known = [r for r in same if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    got = language_id.identify_language(docs(spark, [*known, (100, "kato mito", None, "s", 1)]))
+    r = [x for x in got.collect() if x["doc_id"] == 100][0]
+    assert r["lang_pred"] == min(x[2] for x in known) and r["rejected"] == (len({x[2] for x in known}) > 1)
+
+
 def test_more_languages_and_copies(spark):
     rng = random.Random(8)
     own = {f"l{n:02d}": ["".join(rng.choice("bcdfghjklmnpqrstvwxyz") + rng.choice("aeiou") for _ in range(3)) for _ in range(30)] for n in range(70)}
@@ -299,6 +325,17 @@ def test_sharding_of_a_small_corpus_of_unlike_sizes(spark):
     assert len(out) == len(rows) and len(total) == 8 and max(total.values()) <= 1.03 * min(total.values()), total
 
 
+def test_sharding_with_very_long_texts_and_ties(spark):
+    rows = [(1, "x" * 3_000_000), (2, "y" * 3_000_000)] + [(d, f"{d % 3}" * 1000 + f"{d:05d}") for d in range(3, 3000)] + [(7, "0" * 1000), (7, "0" * 1000)]
+    out = sharding.assign_shards(docs(spark, rows)).collect()
+    total: dict = {}
+    for r in out:
+        total[r["shard"]] = total.get(r["shard"], 0) + r["size"]
+    assert len(out) == len(rows) and {r["shard"] for r in out if r["doc_id"] == 1} != {r["shard"] for r in out if r["doc_id"] == 2}
+    light = [v for s, v in total.items() if s not in {r["shard"] for r in out if r["doc_id"] in (1, 2)}]
+    assert max(light) <= 1.03 * min(light), total  # a text larger than a shard fills one alone, and the rest share what is left
+
+
 @pytest.mark.parametrize("ids", ["own", "none"])
 def test_sharding_of_texts_of_one_size(spark, ids):
     rows = [(d if ids == "own" else None, f"{d:06d} " + "x" * 193) for d in range(3800)] + [(d if ids == "own" else None, f"{d:06d}"[: 1 + d % 6] + "y" * (d % 9)) for d in range(3800, 4000)]

@@ -96,3 +96,15 @@ def test_rows_of_one_id_are_apart(spark, tmp_path):
     assert sorted(((r["doc_id"] or 0), r["text"]) for r in near.collect()) == sorted([(5, a), (7, b), (0, item), (0, b)])
     clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
     assert sorted(((r["doc_id"] or 0), r["text"]) for r in clean.collect()) == sorted([(5, a), (5, a), (7, b), (7, a + " too"), (3, c), (0, b)])
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rng = random.Random(6)
+    rows = [(d, speech(rng, "aa", 30), "aa", "s", 0) for d in range(30)]
+    wide = spark.createDataFrame(rows, DOC).selectExpr("*", "1 AS row", "'x' AS key", "'y' AS lang_pred", "2 AS n_lines", "'z' AS cls", "0 AS start", "3 AS contaminated")
+    wide.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in out.collect()} == set(range(30))

@@ -59,6 +59,17 @@ def test_decontamination(spark, broadcast):
     assert {k: tuple(v[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for k, v in got.items()} == contaminated(rows, bench)
 
 
+def test_decontamination_of_repeated_rows_and_clashing_columns(spark):
+    rng = random.Random(14)
+    bench = [(1, prose(rng, 30)), (2, prose(rng, 12))]
+    rows = [(5, bench[0][1]), (5, "clean words only"), (5, bench[0][1]), (None, bench[1][1]), (6, "w " * 60_000 + bench[1][1])]
+    table = docs(spark, rows).withColumnRenamed("source", "n_hit").withColumnRenamed("lang", "rid").withColumnRenamed("n_chars", "words")
+    own = spark.createDataFrame(bench, "item_id long, text string").withColumn("win", F.lit("x"))
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["contaminated"]) for r in decontamination.contamination(table, own).collect())
+    n, m = len(words(bench[0][1])), len(words(bench[1][1]))
+    assert got == sorted([(5, n, n, True), (5, n, n, True), (5, 3, 0, False), (0, m, m, True), (6, 60_000 + m, m, True)])
+
+
 def test_decontamination_of_nothing(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     got = result(decontamination.contamination(docs(spark, [(1, "a b"), (2, None)]), empty))
@@ -122,6 +133,19 @@ def test_license_scan_of_wrapped_notices(spark, width):
     assert all(label in got[d]["labels"] for d, (label, _) in enumerate(license_scan.TEMPLATES)) and "notice-mit" in got[102]["labels"]
 
 
+def test_license_scan_of_repeated_long_and_clashing_rows(spark):
+    mit = license_scan.TEMPLATES[3][1]
+    rows = [(1, mit), (1, mit), (1, "none"), (None, "cc by"), (2, "word " * 100_000 + "\n" + mit), (3, mit + "\n" + "x" * 500_000)]
+    table = docs(spark, rows).withColumnRenamed("source", "score").withColumnRenamed("lang", "rid").withColumnRenamed("n_chars", "labels")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["labels"]) for r in license_scan.scan_licenses(table).collect())
+    n = len(mit.split())
+    assert got == [(0, 2, "cc-by"), (1, 1, ""), (1, n, "notice-mit"), (1, n, "notice-mit"), (2, 100_000 + n, "notice-mit"), (3, n + 1, "notice-mit")]
+
+
+def test_a_share_of_words_is_exact():
+    assert [license_scan._need(n, c) for n, c in ((25, 0.56), (25, 0.8), (24, 0.8), (10, 0.7), (1, 0.1))] == [14, 20, 20, 7, 1]
+
+
 # lines
 
 
@@ -218,6 +242,14 @@ def test_near_duplicates(spark, monkeypatch, seed, rounds):
     assert {d: (v["n_shingles"], v["component_id"]) for d, v in got.items()} == groups(rows)
 
 
+def test_near_duplicates_of_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"v{i % 9973}" for i in range(60_000))
+    rows = [(-(2**63), long), (4, long + " end"), (5, "x" * 300_000), (6, "y" * 300_000), (None, long), (7, None)]
+    table = docs(spark, rows).withColumnRenamed("source", "cls").withColumnRenamed("lang", "component_id").withColumnRenamed("n_chars", "n")
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in jaccard_join.near_duplicates(table).collect()))
+    assert got == [(False, -(2**63), -(2**63)), (False, 4, -(2**63)), (False, 5, 5), (False, 6, 6), (False, 7, 7), (True, 0, None)]
+
+
 def test_near_duplicates_of_few(spark):
     assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
     one = result(jaccard_join.near_duplicates(docs(spark, [(7, "only one text of some words")])))
