@@ -50,7 +50,7 @@ def test_copies_do_not_push_a_language_out(spark):
     rng = random.Random(4)
     rows = [(d, speech(rng, "aa", 30), "aa", "s", 1) for d in range(400)] + [(d, "Ver schich ung ich verung.", "bb", "s", 1) for d in range(400, 6000)]
     long = next(d for d in range(9100, 9200) if zlib.crc32(str(d).encode()) % 4 != 2)
-    rows += [(9000, speech(rng, "bb", 40), None, "s", 1), (9000, speech(rng, "aa", 40), None, "s", 1), (long, "tion oui " * 20_000, "cc", "s", 1), (9002, "tion oui que", None, "s", 1)]
+    rows += [(9000, speech(rng, "bb", 40), None, "s", 1), (9000, speech(rng, "aa", 40), None, "s", 1), (long, "tion oui " * 20_000, "cc", "s", 1), (9002, "tion oui tion oui oui tion " * 3, None, "s", 1)]
     out = language_id.identify_language(docs(spark, rows).repartition(3)).collect()
     assert {r["lang_pred"] for r in out if 400 <= r["doc_id"] < 6000} == {"bb"}
     assert sorted(r["lang_pred"] for r in out if r["doc_id"] == 9000) == ["aa", "bb"]
