@@ -36,7 +36,6 @@ from .shingles import shingle_sets
 PARTS = 4  # fragments of a pair's count
 FRAGMENT = 1 << 21  # shingles of a fragment, about
 BLOCK = 512  # classes of a key that are compared at once
-SALTS = 8  # parts of a key in the leaders' rounds
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -316,6 +315,19 @@ def components(links: DataFrame) -> DataFrame:
 _FITS = "4 * least(nx, ny) >= 3 * greatest(nx, ny) AND least(nx - ax, ny - ay) >= ceil(3 * (nx + ny) / 7)"
 
 
+def _with_leader(live: DataFrame, lead: DataFrame) -> DataFrame:
+    """live with its key's leader. Keys of more than ``BLOCK`` classes, of which there are rows / BLOCK at most, are counted first; if
+    there are any, their classes are dealt in parts of about that many, each with a copy of the leader."""
+    sizes = live.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts")).where("salts > 1")
+    hot = common.saved(sizes, "hot")
+    if hot.isEmpty():
+        return live.join(lead, "key")
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = live.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("cls"), salts).cast("int")).drop("salts")
+    leads = lead.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(leads, ["key", "salt"])
+
+
 def _block_pairs(live: DataFrame) -> DataFrame:
     """Pairs (x, y) of one key's classes in different components that pass the filters. A key's classes lie in blocks of about
     ``BLOCK``, and each two blocks meet apart, so that no task has all pairs of a frequent key."""
@@ -352,10 +364,7 @@ def class_components(sets: DataFrame, star_rounds: int = 3) -> DataFrame:
             else:
                 sizes = live.groupBy("key", "comp").agg(F.count("*").alias("size"), best.alias("lead"))
                 lead = sizes.groupBy("key").agg(F.max_by("lead", F.struct("size", "comp")).alias("lead"))
-            # a key's classes meet their leader in several parts, each with a copy of it
-            salted = live.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
-            leads = lead.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            pairs = salted.join(leads, ["key", "salt"]).where("comp <> lead.comp").select(F.col("lead.cls").alias("x"), F.col("cls").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"), F.col("lead.alone").alias("ax"), F.col("alone").alias("ay"))
+            pairs = _with_leader(live, lead).where("comp <> lead.comp").select(F.col("lead.cls").alias("x"), F.col("cls").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"), F.col("lead.alone").alias("ax"), F.col("alone").alias("ay"))
         else:
             pairs = _block_pairs(live)
         pairs = pairs.where(_FITS).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
