@@ -8,7 +8,9 @@ joined with the benchmark's windows on the hash and extended word by word to who
 window are looked for at all grams (of their own length, if under ``GRAM`` words), as winnowing gives no guarantee there.
 
 Only words around possible hits leave the scan; no text is shuffled. The windows' table is broadcast up to
-``broadcast_windows`` rows and joined by a shuffle beyond. Null text has no words; wordless items have no window;
+``broadcast_windows`` rows and joined by a shuffle beyond. A benchmark of more than ``bitmap_windows`` windows would fill the
+bitmap; then documents' fingerprints are joined as they are, as narrow rows, and only texts with a match are cut into words
+again, by their number in a written copy. Null text has no words; wordless items have no window;
 items with null id mark words but aren't listed; rows with one doc_id, repeated rows too, are kept apart; a text of any length is one
 row; an empty table gives no rows, an empty benchmark no hits; extra columns are ignored.
 """
@@ -80,20 +82,52 @@ def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.select("rid", "doc_id", F.col("m").cast("long").alias("n_words"), F.expr(cands).alias("cands") if found else F.lit(None).cast("array<int>").alias("cands"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = 50_000) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and items (the ids)."""
-    windows = common.saved(benchmark_windows(benchmark), "windows")
+def fingerprints(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """rid, gram, hash, place: all fingerprints of rows (rid, w: words), and all grams of short windows' lengths."""
+    m, last = "size(w)", WINDOW - GRAM
+    own = rows.withColumn("h", F.expr(f"CASE WHEN {m} >= {GRAM} THEN transform(sequence(0, {m} - {GRAM}), i -> {_hash('w', 'i', GRAM)}) ELSE array() END"))
+    # in a window of hashes the smallest, the last of equals
+    least = f"transform(sequence(0, {m} - {WINDOW}), s -> s + {last + 1} - array_position(reverse(slice(h, s + 1, {last + 1})), array_min(slice(h, s + 1, {last + 1}))))"
+    chosen = f"CASE WHEN {m} >= {WINDOW} THEN array_distinct({least}) ELSE array() END"
+    found = [f"transform({chosen}, p -> named_struct('gram', {GRAM}, 'hash', h[cast(p as int)], 'place', cast(p as int), 'long', true))"]
+    for gram in sorted({min(n, GRAM) for n in lengths}):
+        every = f"CASE WHEN {m} >= {gram} THEN sequence(0, {m} - {gram}) ELSE array() END"
+        found.append(f"transform({every}, i -> named_struct('gram', {gram}, 'hash', {_hash('w', 'i', gram)}, 'place', i, 'long', false))")
+    return own.select("rid", F.explode(F.expr(f"concat({', '.join(found)})")).alias("c")).select("rid", "c.*")
+
+
+def _found_by_bitmap(docs: DataFrame, windows: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (rid, doc_id, n_words), and the places of windows in them: rid, s (start), n, items."""
     base = common.saved(candidates(docs, windows), "fingerprints")
     if base.schema["cands"].dataType.simpleString() == "array<int>":
-        hits = base.select("rid").limit(0).withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
-    else:
-        side = F.broadcast(windows) if windows.count() <= broadcast_windows else windows
-        spread = base.where("size(cands) > 0").select("rid", F.explode("cands").alias("c")).select("rid", "c.*")
-        same = f"(n < {WINDOW} OR chosen) AND slice(near, place - at - start + 1, n) = win"
-        joined = spread.join(side, ["gram", "hash"]).where(f"place - at >= 0 AND CASE WHEN place - at >= 0 THEN {same} ELSE false END")
-        runs = joined.select("rid", F.struct((F.col("place") - F.col("at")).alias("s"), (F.col("place") - F.col("at") + F.col("n")).alias("e")).alias("run"), "items")
-        covered = "aggregate(array_sort(runs), named_struct('e', 0, 't', 0L), (a, x) -> named_struct('e', greatest(a.e, x.e), 't', a.t + greatest(0, x.e - greatest(a.e, x.s))), a -> a.t)"
-        hits = runs.groupBy("rid").agg(F.collect_set("run").alias("runs"), F.collect_set("items").alias("lists")).select("rid", F.expr(covered).alias("n_hit"), F.expr("array_sort(array_distinct(flatten(lists)))").alias("items"))
+        return base, base.select("rid", F.lit(0).alias("s"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("items")).limit(0)
+    spread = base.where("size(cands) > 0").select("rid", F.explode("cands").alias("c")).select("rid", "c.*")
+    same = f"(n < {WINDOW} OR chosen) AND slice(near, place - at - start + 1, n) = win"
+    joined = spread.join(side, ["gram", "hash"]).where(f"place - at >= 0 AND CASE WHEN place - at >= 0 THEN {same} ELSE false END")
+    return base, joined.select("rid", (F.col("place") - F.col("at")).alias("s"), "n", "items")
+
+
+def _found_by_join(docs: DataFrame, windows: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for many windows."""
+    lengths = [r[0] for r in windows.select("n").where(F.col("n") < WINDOW).distinct().collect()]  # at most 9
+    rows = common.saved(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "numbered")
+    worded = rows.select("rid", words_of(F.col("text")).alias("w"))
+    met = fingerprints(worded, lengths).join(side, ["gram", "hash"]).where(f"place >= at AND long = (n >= {WINDOW})")
+    maybe = common.saved(met.select("rid", (F.col("place") - F.col("at")).alias("s"), "n", "win", "items").distinct(), "met")
+    held = worded.join(maybe.select("rid").distinct(), "rid", "left_semi")
+    base = rows.select("rid", "doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    return base, maybe.join(held, "rid").where("slice(w, s + 1, n) = win").select("rid", "s", "n", "items")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = 50_000, bitmap_windows: int = 1 << 16) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and items (the ids)."""
+    windows = common.saved(benchmark_windows(benchmark), "windows")
+    many = windows.count()
+    side = F.broadcast(windows) if many <= broadcast_windows else windows
+    base, found = (_found_by_bitmap if many <= bitmap_windows else _found_by_join)(docs, windows, side)
+    runs = found.select("rid", F.struct("s", (F.col("s") + F.col("n")).alias("e")).alias("run"), "items")
+    covered = "aggregate(array_sort(runs), named_struct('e', 0, 't', 0L), (a, x) -> named_struct('e', greatest(a.e, x.e), 't', a.t + greatest(0, x.e - greatest(a.e, x.s))), a -> a.t)"
+    hits = runs.groupBy("rid").agg(F.collect_set("run").alias("runs"), F.collect_set("items").alias("lists")).select("rid", F.expr(covered).alias("n_hit"), F.expr("array_sort(array_distinct(flatten(lists)))").alias("items"))
     out = base.select("rid", "doc_id", "n_words").join(hits, "rid", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))

@@ -41,8 +41,8 @@ def contaminated(rows, bench, size=10):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [50_000, 0])
-def test_decontamination(spark, broadcast):
+@pytest.mark.parametrize(("broadcast", "bitmap"), [(50_000, 50_000), (0, 50_000), (0, 0)])
+def test_decontamination(spark, broadcast, bitmap):
     rng = random.Random(4)
     bench = [(i, prose(rng, rng.choice([10, 11, 30, 45]))) for i in range(12)] + [(20, "one two three"), (21, "Solo"), (22, ""), (23, None), (None, prose(rng, 20)), (24, "a b a b a b a b a b a b"), (25, prose(rng, 7)), (25, prose(rng, 12))]
     rows = []
@@ -55,7 +55,7 @@ def test_decontamination(spark, broadcast):
         rows.append((d, t))
     rows += [(100, None), (101, "solo one TWO, three! a b a b a b a b a b a b a b"), (102, (bench[3][1] + " ") * 40)]
     table = spark.createDataFrame(bench, "item_id long, text string")
-    got = result(decontamination.contamination(docs(spark, rows), table, broadcast))
+    got = result(decontamination.contamination(docs(spark, rows), table, broadcast, bitmap))
     assert {k: tuple(v[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for k, v in got.items()} == contaminated(rows, bench)
 
 
@@ -65,15 +65,17 @@ def test_decontamination_of_repeated_rows_and_clashing_columns(spark):
     rows = [(5, bench[0][1]), (5, "clean words only"), (5, bench[0][1]), (None, bench[1][1]), (6, "w " * 60_000 + bench[1][1])]
     table = docs(spark, rows).withColumnRenamed("source", "n_hit").withColumnRenamed("lang", "rid").withColumnRenamed("n_chars", "words")
     own = spark.createDataFrame(bench, "item_id long, text string").withColumn("win", F.lit("x"))
-    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["contaminated"]) for r in decontamination.contamination(table, own).collect())
     n, m = len(words(bench[0][1])), len(words(bench[1][1]))
-    assert got == sorted([(5, n, n, True), (5, n, n, True), (5, 3, 0, False), (0, m, m, True), (6, 60_000 + m, m, True)])
+    for most in (50_000, 0):
+        got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["contaminated"]) for r in decontamination.contamination(table, own, bitmap_windows=most).collect())
+        assert got == sorted([(5, n, n, True), (5, n, n, True), (5, 3, 0, False), (0, m, m, True), (6, 60_000 + m, m, True)])
 
 
 def test_decontamination_of_nothing(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     got = result(decontamination.contamination(docs(spark, [(1, "a b"), (2, None)]), empty))
     assert [(v["n_words"], v["n_hit"], v["contaminated"]) for _, v in sorted(got.items())] == [(2, 0, False), (0, 0, False)]
+    assert decontamination.contamination(docs(spark, []), empty, bitmap_windows=-1).count() == 0
     assert decontamination.contamination(docs(spark, []), spark.createDataFrame([(1, "x y")], "item_id long, text string")).count() == 0
 
 
