@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-_own_dir: dict[str, str] = {}
+_own_dir: dict[tuple[str, str], str] = {}
 _scopes: list[list[str]] = []
 
 
@@ -34,17 +34,20 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a session of this machine alone gets a
-    temporary one; any other fails, as its executors couldn't see that."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own_dir:
-            _own_dir[app] = tempfile.mkdtemp(prefix="kgloom-")
-        base = _own_dir[app]
-    return base.rstrip("/")
+    """This application's own folder in the one that driver and executors share; it goes when the driver ends. Where the session
+    names no shared folder, a session of this machine alone gets a temporary one; any other fails, as its executors couldn't see
+    that."""
+    app = spark.sparkContext.applicationId
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/")
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if (app, base) not in _own_dir:
+        made = f"{base or tempfile.mkdtemp(prefix='kgloom-')}/kgloom-{app}-{uuid.uuid4().hex[:8]}"
+        fs, at = _path(spark, made)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _own_dir[app, base] = made
+    return _own_dir[app, base]
 
 
 def _path(spark: SparkSession, path: str):
@@ -56,8 +59,6 @@ def own_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new path in the shared folder. What is written there goes when the enclosing ``scratch`` ends (if kept, the one
     around that), or else when the driver does."""
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, at = _path(spark, path)
-    fs.deleteOnExit(at)
     if len(_scopes) > keep:
         _scopes[-1 - keep].append(path)
     return path
