@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from kgloom.llm import common, decontamination, jaccard_join, language_id, line_dedup, packing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows to drop, of about 100 bytes each, that may be sent to all tasks.
+FEW = 500_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +34,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return common.saved(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "keyed")
 
 
+def without(rows: DataFrame, away: DataFrame, key: str) -> DataFrame:
+    """rows without those that away names by key: sent to all tasks if there are few (counted), else joined by a shuffle."""
+    away = common.saved(away, "away")
+    return rows.join(F.broadcast(away) if away.count() <= FEW else away, key, "left_anti").select(*COLUMNS)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest doc_id, one of several. Rows without an id stay."""
     rows = keyed(docs)
@@ -39,8 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = jaccard_join.near_duplicates(known.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     groups = common.saved(groups.join(known.select("row", "doc_id"), "row"), "groups")
     first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("x.row")
-    away = groups.join(first, "row", "left_anti").select("row")
-    return rows.join(away, "row", "left_anti").select(*COLUMNS)
+    return without(rows, groups.join(first, "row", "left_anti").select("row"), "row")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +55,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64(text).alias("h"), F.crc32(F.encode(text, "UTF-8")).alias("c"), F.octet_length(text).alias("n")).alias("key"))
     found = decontamination.contamination(rows.select(F.col("key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
-    away = common.saved(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
-    return rows.join(away, "key", "left_anti").select(*COLUMNS)
+    return without(rows, found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "key")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

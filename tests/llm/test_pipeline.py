@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -86,7 +87,9 @@ def test_stages(spark, tmp_path):
     assert {p["doc_id"] for p in pieces} == set(fourth)
 
 
-def test_rows_of_one_id_are_apart(spark, tmp_path):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_rows_of_one_id_are_apart(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(corpus_pipeline, "FEW", few)
     rng = random.Random(3)
     a, b, c, item = (speech(rng, "aa", 40) for _ in range(4))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
