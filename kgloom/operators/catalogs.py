@@ -5,7 +5,8 @@ from __future__ import annotations
 # Fixed values.
 OBSERVED_ENTITY_TYPES = ["SERVICE", "MODULE", "FUNCTION", "API_ENDPOINT", "DATABASE_TABLE", "TEAM", "SCHEMA", "CLASS"]
 # Fixed values.
-OBSERVED_RELATIONSHIP_TYPES = ["DEPENDS_ON", "CALLS", "IMPORTS", "OWNS", "EXPOSES", "RUNTIME_CALLS", "READS_FROM", "WRITES_TO", "CHANGE_COUPLED_WITH", "AUTHORED_BY", "DEPLOYED_TO"]
+OBSERVED_RELATIONSHIP_TYPES = ["DEPENDS_ON", "CALLS", "IMPORTS", "OWNS", "EXPOSES", "RUNTIME_CALLS", "READS_FROM", "WRITES_TO",
+    "CHANGE_COUPLED_WITH", "AUTHORED_BY", "DEPLOYED_TO"]
 # Fixed values.
 STORED_ENTITY_TYPES = [
     "SERVICE", "DEPLOYMENT", "INFRASTRUCTURE_RESOURCE", "CONTAINER", "REPOSITORY", "MODULE", "FILE", "FUNCTION", "CLASS", "API_ENDPOINT", "EVENT_TOPIC",
@@ -30,6 +31,7 @@ RENAMED_TYPES = {"SCHEMA": "DATABASE_SCHEMA", "AUTHORED_BY": "CONTRIBUTED_TO", "
 IMPACT_DECAY = {"IMPORTS": 0.95, "RUNTIME_CALLS": 0.80, "DATA_COUPLED_WITH": 0.70, "DEPENDS_ON": 0.50}
 IMPACT_DECAY_OTHER, IMPACT_FLOOR = 0.40, 0.10
 # How relevant a neighbour is.
-RELEVANCE_WEIGHT = {"EXPOSES": 1.0, "RUNTIME_CALLS": 0.9, "IMPORTS": 0.7, "OWNS": 0.6, "DEPENDS_ON": 0.5, "CHANGE_COUPLED_WITH": 0.4, "CALLS": 0.2}
+RELEVANCE_WEIGHT = {"EXPOSES": 1.0, "RUNTIME_CALLS": 0.9, "IMPORTS": 0.7, "OWNS": 0.6, "DEPENDS_ON": 0.5, "CHANGE_COUPLED_WITH": 0.4,
+    "CALLS": 0.2}
 RELEVANCE_OTHER, RELEVANCE_FLOOR, RELEVANCE_NODES = 0.3, 0.15, 200
 MAX_DEPTH = 5

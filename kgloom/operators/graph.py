@@ -64,7 +64,8 @@ def direct_neighbors(edges: DataFrame, node: str) -> DataFrame:
     """peer, side (dependency or dependent), type of the node's own edges; a loop counts as a dependency."""
     at = (F.col("from_id") == node) | (F.col("to_id") == node)
     out = F.col("from_id") == node
-    return edges.where(at).select(F.when(out, F.col("to_id")).otherwise(F.col("from_id")).alias("peer"), F.when(out, "dependency").otherwise("dependent").alias("side"), "type")
+    return edges.where(at).select(F.when(out, F.col("to_id")).otherwise(F.col("from_id")).alias("peer"),
+        F.when(out, "dependency").otherwise("dependent").alias("side"), "type")
 
 
 def impact_weight(kind: Column) -> Column:
@@ -76,18 +77,24 @@ def blast_radius(edges: DataFrame, origins: DataFrame, depth: int = 5) -> DataFr
 
     One row a node: its best probability and the least depth that reaches it, most probable first. The origin itself is
     left out."""
-    weights = cut(edges.where("is_active").groupBy(F.col("to_id").alias("src"), F.col("from_id").alias("dst")).agg(F.max(impact_weight(F.col("type")) * F.col("confidence")).alias("w")))
+    weights = cut(
+        edges.where("is_active").groupBy(F.col("to_id").alias("src"), F.col("from_id").alias("dst")).agg(
+            F.max(impact_weight(F.col("type")) * F.col("confidence")).alias("w")))
     layer = origins.select("origin", F.col("origin").alias("node"), F.lit(1.0).alias("p"))
     found = None
     for d in range(1, (_depth(depth, 1) if depth >= 1 else catalogs.MAX_DEPTH) + 1):
-        nxt = layer.join(weights, layer["node"] == weights["src"]).select("origin", F.col("dst").alias("node"), (F.col("p") * F.col("w")).alias("p"))
-        layer = cut(nxt.where((F.col("p") > catalogs.IMPACT_FLOOR) & (F.col("node") != F.col("origin"))).groupBy("origin", "node").agg(F.max("p").alias("p")))
+        nxt = layer.join(weights, layer["node"] == weights["src"]).select("origin", F.col("dst").alias("node"),
+            (F.col("p") * F.col("w")).alias("p"))
+        layer = cut(
+            nxt.where((F.col("p") > catalogs.IMPACT_FLOOR) & (F.col("node") != F.col("origin"))).groupBy("origin", "node").agg(
+                F.max("p").alias("p")))
         here = layer.withColumn("depth", F.lit(d))
         found = here if found is None else found.unionByName(here)
         if layer.isEmpty():
             break
     best = F.min(F.struct((-F.round("p", 9)).alias("p"), "depth"))
-    out = found.groupBy("origin", "node").agg(best.alias("b")).select("origin", "node", F.round(-F.col("b.p"), 6).alias("probability"), F.col("b.depth").alias("depth"))
+    out = found.groupBy("origin", "node").agg(best.alias("b")).select("origin", "node", F.round(-F.col("b.p"), 6).alias("probability"),
+        F.col("b.depth").alias("depth"))
     return out.orderBy(F.desc("probability"), "node")
 
 
@@ -131,12 +138,15 @@ def reach_counts(edges: DataFrame, nodes: DataFrame, depth: int, direction: str)
     steps = cut(_steps(edges, direction))
     ids = nodes.select("id").distinct()
     if steps.count() > LOCAL_EDGES:
-        near = distances(edges, ids.select(F.col("id").alias("origin")), depth, direction).where("depth > 0").join(ids.select(F.col("id").alias("node")), "node", "left_semi")
-        return ids.join(near.groupBy(F.col("origin").alias("id")).agg(F.count("*").alias("reached")), "id", "left").select("id", F.coalesce("reached", F.lit(0)).alias("reached"))
+        near = distances(edges, ids.select(F.col("id").alias("origin")), depth, direction).where("depth > 0").join(
+            ids.select(F.col("id").alias("node")), "node", "left_semi")
+        return ids.join(near.groupBy(F.col("origin").alias("id")).agg(F.count("*").alias("reached")), "id", "left").select("id",
+            F.coalesce("reached", F.lit(0)).alias("reached"))
     ship(spark)
     parts = min(64, -(-max(1, ids.count()) // ORIGINS))  # groups, each with a copy of the steps
     dealt = ids.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    marked = steps.join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("known")), "dst", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    marked = steps.join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("known")), "dst", "left").withColumn("known",
+        F.coalesce("known", F.lit(False)))
     copies = marked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     found = copies.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(_reached(_depth(depth)), "id string, reached long")
     return found.select("id", (F.col("reached") - 1).alias("reached"))
@@ -147,7 +157,8 @@ def impact_percent(edges: DataFrame, nodes: DataFrame, depth: int = 3) -> DataFr
     counts = reach_counts(edges, nodes, depth, "in")
     total = nodes.agg(F.count("*").alias("n"))
     n = F.col("reached")
-    return counts.join(F.broadcast(total)).select("id", n.alias("affected"), F.when(F.col("n") > 1, F.round(100.0 * n / (F.col("n") - 1), 4)).otherwise(0.0).alias("percent"))
+    return counts.join(F.broadcast(total)).select("id", n.alias("affected"),
+        F.when(F.col("n") > 1, F.round(100.0 * n / (F.col("n") - 1), 4)).otherwise(0.0).alias("percent"))
 
 
 def _components_of(pairs: pa.Table) -> pa.Table:
@@ -226,15 +237,20 @@ def _colored_components(pairs: DataFrame, local: int) -> DataFrame:
             color = color.drop("moved")
             if moved:
                 break
-        inside = cut(left.join(color.toDF("s", "cs"), "s").join(color.toDF("t", "ct"), "t").where("cs = ct").select("s", "t", F.col("cs").alias("color")))
+        inside = cut(
+            left.join(color.toDF("s", "cs"), "s").join(color.toDF("t", "ct"), "t").where("cs = ct").select("s", "t",
+                F.col("cs").alias("color")))
         back = news = cut(color.where("node = color"))
         while not news.isEmpty():  # who reaches that node inside its colour
-            offer = inside.join(news.select(F.col("node").alias("t"), "color"), ["t", "color"]).select(F.col("s").alias("node"), "color").distinct()
+            offer = inside.join(news.select(F.col("node").alias("t"), "color"), ["t", "color"]).select(F.col("s").alias("node"),
+                "color").distinct()
             news = cut(offer.join(back, ["node", "color"], "left_anti"))
             back = back.unionByName(news)
         found = cut(back.select("node", F.col("color").alias("component")))
         done = found if done is None else done.unionByName(found)
-        left = cut(left.join(found.select(F.col("node").alias("s")), "s", "left_anti").join(found.select(F.col("node").alias("t")), "t", "left_anti").select("s", "t"))
+        left = cut(
+            left.join(found.select(F.col("node").alias("s")), "s", "left_anti").join(found.select(F.col("node").alias("t")), "t",
+                "left_anti").select("s", "t"))
 
 
 def strongly_connected(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
@@ -255,7 +271,10 @@ def strongly_connected(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, in_degree, out_degree, degree for every node."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("from_id").alias("id"), F.lit(0).alias("i")), F.struct(F.col("to_id").alias("id"), F.lit(1).alias("i")))).alias("e")).select("e.*")
+    ends = edges.select(
+        F.explode(
+            F.array(F.struct(F.col("from_id").alias("id"), F.lit(0).alias("i")),
+                F.struct(F.col("to_id").alias("id"), F.lit(1).alias("i")))).alias("e")).select("e.*")
     counts = ends.groupBy("id").agg(F.sum("i").alias("i"), F.count("*").alias("d"))
     i, d = F.coalesce("i", F.lit(0)), F.coalesce("d", F.lit(0))
     return nodes.select("id").join(counts, "id", "left").select("id", i.alias("in_degree"), (d - i).alias("out_degree"), d.alias("degree"))
@@ -270,7 +289,8 @@ def supernodes(edges: DataFrame, nodes: DataFrame, sigmas: float = 4.0) -> DataF
     """Nodes of a degree over mean + sigmas deviations and over 3, in graphs of 4 nodes and more."""
     deg = degrees(edges, nodes)
     stats = deg.agg(F.count("*").alias("n"), F.avg("degree").alias("mean"), F.stddev_pop("degree").alias("sd"))
-    return deg.join(F.broadcast(stats)).where((F.col("n") >= 4) & (F.col("degree") > 3) & (F.col("degree") > F.col("mean") + sigmas * F.col("sd"))).select("id", "degree")
+    return deg.join(F.broadcast(stats)).where(
+        (F.col("n") >= 4) & (F.col("degree") > 3) & (F.col("degree") > F.col("mean") + sigmas * F.col("sd"))).select("id", "degree")
 
 
 def shared_table_coupling(accesses: DataFrame) -> DataFrame:
@@ -282,7 +302,8 @@ def relevance_weight(kind: Column) -> Column:
     return F.coalesce(*[F.when(kind == k, v) for k, v in catalogs.RELEVANCE_WEIGHT.items()], F.lit(catalogs.RELEVANCE_OTHER))
 
 
-def relevance(edges: DataFrame, origin: str, depth: int = 2, direction: str = "both", passes: int = 6, back_off: bool = True) -> tuple[DataFrame, DataFrame, int]:
+def relevance(edges: DataFrame, origin: str, depth: int = 2, direction: str = "both", passes: int = 6, back_off: bool = True) -> tuple[
+    DataFrame, DataFrame, int]:
     """The neighbourhood's relevant part: nodes (node, score), the edges between them or with the origin, and the depth used.
 
     A node's score is the best product of weight and confidence along the neighbourhood's edges, in either direction, from
@@ -294,15 +315,24 @@ def relevance(edges: DataFrame, origin: str, depth: int = 2, direction: str = "b
     live = cut(edges.where("is_active").select("from_id", "to_id", "type", "confidence"))
     while True:
         inner = far.where(F.col("depth") < depth).select("node")
-        parts = [live.join(inner.toDF(c), c, "left_semi") for c, used in (("from_id", direction != "in"), ("to_id", direction != "out")) if used]
+        parts = [live.join(inner.toDF(c), c, "left_semi") for c,
+            used in (("from_id", direction != "in"), ("to_id", direction != "out")) if used]
         near = cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct())
         w = relevance_weight(F.col("type")) * F.col("confidence")
-        steps = cut(near.select(F.explode(F.array(F.struct(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), w.alias("w")), F.struct(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), w.alias("w")))).alias("e")).groupBy("e.src", "e.dst").agg(F.max("e.w").alias("w")))
+        steps = cut(
+            near.select(
+                F.explode(
+                    F.array(F.struct(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), w.alias("w")),
+                        F.struct(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), w.alias("w")))).alias("e")).groupBy("e.src",
+                "e.dst").agg(F.max("e.w").alias("w")))
         score = risen = cut(spark.createDataFrame([(origin, 1.0)], "node string, score double"))
         for _ in range(passes):  # a path's product only falls, so what is under the floor never returns
-            offer = risen.join(steps, risen["node"] == steps["src"]).where(F.col("dst") != origin).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("w")).alias("offer"))
+            offer = risen.join(steps, risen["node"] == steps["src"]).where(F.col("dst") != origin).groupBy(F.col("dst").alias("node")).agg(
+                F.max(F.col("score") * F.col("w")).alias("offer"))
             offer = offer.where(F.col("offer") >= catalogs.RELEVANCE_FLOOR - 1e-12)
-            both = cut(score.join(offer, "node", "full_outer").select("node", F.greatest("score", "offer").alias("score"), (F.col("score").isNull() | (F.col("offer") > F.col("score"))).alias("rose")))
+            both = cut(
+                score.join(offer, "node", "full_outer").select("node", F.greatest("score", "offer").alias("score"),
+                    (F.col("score").isNull() | (F.col("offer") > F.col("score"))).alias("rose")))
             score, risen = both.select("node", "score"), both.where("rose").select("node", "score")
             if risen.isEmpty():
                 break
@@ -316,17 +346,20 @@ def relevance(edges: DataFrame, origin: str, depth: int = 2, direction: str = "b
     return kept, inside.select("from_id", "to_id", "type", "confidence"), depth
 
 
-def transitive_dependencies(edges: DataFrame, kinds: tuple[str, ...] = ("IMPORTS", "DEPENDS_ON"), depth: int = 5, floor: float = 0.5) -> DataFrame:
+def transitive_dependencies(edges: DataFrame, kinds: tuple[str, ...] = ("IMPORTS", "DEPENDS_ON"), depth: int = 5,
+    floor: float = 0.5) -> DataFrame:
     """from_id, to_id, hops, confidence, chain: the most confident chain of 2..depth dependencies without repeated nodes, the
     shorter and then the first by its nodes of equal ones. Chains under ``floor`` are rejected as soon as they fall there."""
-    best = edges.where(F.col("is_active") & F.col("type").isin(*kinds)).groupBy("from_id", "to_id").agg(F.max("confidence").alias("c")).where((F.col("c") >= floor) & (F.col("from_id") != F.col("to_id")))
+    best = edges.where(F.col("is_active") & F.col("type").isin(*kinds)).groupBy("from_id", "to_id").agg(
+        F.max("confidence").alias("c")).where((F.col("c") >= floor) & (F.col("from_id") != F.col("to_id")))
     best = cut(best)
     chains = best.select("from_id", "to_id", "c", F.array("from_id", "to_id").alias("path"))
     step = best.select(F.col("from_id").alias("mid"), F.col("to_id").alias("end"), F.col("c").alias("c2"))
     found = None
     for hops in range(2, _depth(depth) + 1):
         product = F.col("c") * F.col("c2")
-        chains = chains.join(step, (chains["to_id"] == step["mid"]) & (F.round(product, 9) >= floor)).where(~F.array_contains("path", F.col("end")))
+        chains = chains.join(step, (chains["to_id"] == step["mid"]) & (F.round(product, 9) >= floor)).where(
+            ~F.array_contains("path", F.col("end")))
         chains = cut(chains.select("from_id", F.col("end").alias("to_id"), product.alias("c"), F.concat("path", F.array("end")).alias("path")))
         here = chains.withColumn("hops", F.lit(hops))
         found = here if found is None else found.unionByName(here)
@@ -334,15 +367,19 @@ def transitive_dependencies(edges: DataFrame, kinds: tuple[str, ...] = ("IMPORTS
             break
     top = F.min(F.struct((-F.round("c", 9)).alias("c"), "hops", "path"))
     out = found.groupBy("from_id", "to_id").agg(top.alias("b"))
-    return out.select("from_id", "to_id", F.col("b.hops").alias("hops"), F.round(-F.col("b.c"), 6).alias("confidence"), F.array_join("b.path", ">").alias("chain"))
+    return out.select("from_id", "to_id", F.col("b.hops").alias("hops"), F.round(-F.col("b.c"), 6).alias("confidence"),
+        F.array_join("b.path", ">").alias("chain"))
 
 
 def health_audit(entities: DataFrame, edges: DataFrame, accesses: DataFrame) -> DataFrame:
     """All smells of the active edges: smell, severity, subject, size."""
     live = edges.where("is_active") if "is_active" in edges.columns else edges
-    cycles = strongly_connected(live).groupBy("component").agg(F.count("*").alias("size")).select(F.lit("circular_dependency").alias("smell"), F.lit("CRITICAL").alias("severity"), F.col("component").alias("subject"), "size")
-    hubs = supernodes(live, entities).select(F.lit("supernode").alias("smell"), F.lit("MEDIUM").alias("severity"), F.col("id").alias("subject"), F.col("degree").alias("size"))
-    shared = shared_table_coupling(accesses).select(F.lit("shared_database_coupling").alias("smell"), F.lit("HIGH").alias("severity"), F.col("table_id").alias("subject"), F.col("services").alias("size"))
+    cycles = strongly_connected(live).groupBy("component").agg(F.count("*").alias("size")).select(F.lit("circular_dependency").alias("smell"),
+        F.lit("CRITICAL").alias("severity"), F.col("component").alias("subject"), "size")
+    hubs = supernodes(live, entities).select(F.lit("supernode").alias("smell"), F.lit("MEDIUM").alias("severity"),
+        F.col("id").alias("subject"), F.col("degree").alias("size"))
+    shared = shared_table_coupling(accesses).select(F.lit("shared_database_coupling").alias("smell"), F.lit("HIGH").alias("severity"),
+        F.col("table_id").alias("subject"), F.col("services").alias("size"))
     return cycles.unionByName(hubs).unionByName(shared)
 
 
@@ -360,7 +397,8 @@ def roots(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Where a tree starts: services that nothing points to; if none, all services; if none, all entities."""
     services = entities.where("type = 'SERVICE'").select("id")
     free = services.join(edges.select(F.col("to_id").alias("id")).distinct(), "id", "left_anti")
-    rank = free.withColumn("r", F.lit(0)).unionByName(services.withColumn("r", F.lit(1))).unionByName(entities.select("id").withColumn("r", F.lit(2)))
+    rank = free.withColumn("r", F.lit(0)).unionByName(services.withColumn("r", F.lit(1))).unionByName(
+        entities.select("id").withColumn("r", F.lit(2)))
     least = rank.agg(F.min("r").alias("r"))
     return rank.join(F.broadcast(least), "r", "left_semi").select("id")
 
@@ -382,18 +420,21 @@ def visible(entities: DataFrame, edges: DataFrame, hidden: set[str]) -> tuple[Da
     """Entities of types that aren't hidden, and the edges between them."""
     shown = entities.where(~F.col("type").isin(sorted(hidden))) if hidden else entities
     ids = shown.select("id")
-    return shown, edges.join(ids.toDF("from_id"), "from_id", "left_semi").join(ids.toDF("to_id"), "to_id", "left_semi").select(*edges.columns)
+    return shown, edges.join(ids.toDF("from_id"), "from_id", "left_semi").join(ids.toDF("to_id"), "to_id", "left_semi").select(
+        *edges.columns)
 
 
 def within(entities: DataFrame, edges: DataFrame, namespace: str) -> DataFrame:
     """Active edges of which both ends, active or not, lie in the namespace."""
     ids = entities.where(F.col("namespace") == namespace).select("id")
-    return edges.where("is_active").join(ids.toDF("from_id"), "from_id", "left_semi").join(ids.toDF("to_id"), "to_id", "left_semi").select(*edges.columns)
+    return edges.where("is_active").join(ids.toDF("from_id"), "from_id", "left_semi").join(ids.toDF("to_id"), "to_id", "left_semi").select(
+        *edges.columns)
 
 
 def protected_by(entities: DataFrame, edges: DataFrame, guard: str) -> DataFrame:
     """Services with any edge to the guard, without the guard itself."""
-    return entities.where((F.col("type") == "SERVICE") & (F.col("id") != guard)).join(edges.where(F.col("to_id") == guard).select(F.col("from_id").alias("id")), "id", "left_semi").select("id")
+    return entities.where((F.col("type") == "SERVICE") & (F.col("id") != guard)).join(
+        edges.where(F.col("to_id") == guard).select(F.col("from_id").alias("id")), "id", "left_semi").select("id")
 
 
 def ownerless(entities: DataFrame) -> DataFrame:
@@ -404,7 +445,8 @@ def ownerless(entities: DataFrame) -> DataFrame:
 
 
 # The rule that a smell breaks.
-SMELL_RULES = {"circular_dependency": "no-circular-dependencies", "shared_database_coupling": "shared-database-table", "require-service-owners": "require-service-owners"}
+SMELL_RULES = {"circular_dependency": "no-circular-dependencies", "shared_database_coupling": "shared-database-table",
+    "require-service-owners": "require-service-owners"}
 
 
 def governance(smells: DataFrame, unowned: DataFrame, rules: DataFrame) -> DataFrame:
@@ -415,11 +457,13 @@ def governance(smells: DataFrame, unowned: DataFrame, rules: DataFrame) -> DataF
     missing = unowned.select(F.lit("require-service-owners").alias("smell"), F.lit("HIGH").alias("severity"), F.col("id").alias("subject"))
     found = smells.select("smell", "severity", "subject").unionByName(missing)
     rule = F.coalesce(*[F.when(F.col("smell") == k, v) for k, v in SMELL_RULES.items()], F.lit(""))
-    last = rules.withColumn("__n", F.monotonically_increasing_id()).groupBy(F.col("name").alias("rule")).agg(F.max_by(F.struct(F.col("id"), F.col("severity")), "__n").alias("r"))
+    last = rules.withColumn("__n", F.monotonically_increasing_id()).groupBy(F.col("name").alias("rule")).agg(
+        F.max_by(F.struct(F.col("id"), F.col("severity")), "__n").alias("r"))
     out = found.withColumn("rule", rule).join(F.broadcast(last), "rule", "left")
     severity = F.coalesce("r.severity", "severity")
     outcome = F.when(severity == "FAIL", "FAIL").when(severity == "WARN", "WARN").otherwise("SILENT")
-    return out.select(F.coalesce("r.id", F.lit("UNKNOWN")).alias("rule_id"), "rule", "subject", severity.alias("severity"), outcome.alias("outcome"))
+    return out.select(F.coalesce("r.id", F.lit("UNKNOWN")).alias("rule_id"), "rule", "subject", severity.alias("severity"),
+        outcome.alias("outcome"))
 
 
 def change_risk(affected: Column) -> Column:
@@ -429,11 +473,13 @@ def change_risk(affected: Column) -> Column:
 def affected_names(affected: DataFrame, entities: DataFrame, most: int = 80) -> DataFrame:
     """origin, names: the services and endpoints among affected (origin, node, probability), the likeliest first; cut to ``most``
     characters, None if there are none."""
-    shown = entities.where(F.col("type").isin("SERVICE", "API_ENDPOINT")).select(F.col("id").alias("node"), F.format_string("`%s` (%s)", "canonical_name", "type").alias("label"))
+    shown = entities.where(F.col("type").isin("SERVICE", "API_ENDPOINT")).select(F.col("id").alias("node"),
+        F.format_string("`%s` (%s)", "canonical_name", "type").alias("label"))
     ranked = F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct((-F.col("probability")).alias("p"), "node", "label"))))
     names = F.array_join(F.transform(ranked, lambda x: x["label"]), ", ")
     out = affected.join(shown, "node", "left").groupBy("origin").agg(names.alias("n"))
-    text = F.when(F.col("n") == "", "None").when(F.char_length("n") > most, F.concat(F.substring("n", 1, most - 3), F.lit("..."))).otherwise(F.col("n"))
+    text = F.when(F.col("n") == "", "None").when(F.char_length("n") > most,
+        F.concat(F.substring("n", 1, most - 3), F.lit("..."))).otherwise(F.col("n"))
     return out.select("origin", text.alias("names"))
 
 
@@ -451,7 +497,9 @@ def suggestions(smells: DataFrame, unowned: DataFrame | None = None) -> DataFram
     ).when(F.col("smell") == "supernode", F.format_string("Divide hub %s of degree %d", "subject", "size"))
     out = smells.select("smell", "subject", advice.alias("suggestion"))
     if unowned is not None:
-        out = out.unionByName(unowned.select(F.lit("require-service-owners").alias("smell"), F.col("id").alias("subject"), F.format_string("Assign an owner to %s", "id").alias("suggestion")))
+        out = out.unionByName(
+            unowned.select(F.lit("require-service-owners").alias("smell"), F.col("id").alias("subject"),
+                F.format_string("Assign an owner to %s", "id").alias("suggestion")))
     return out
 
 
@@ -463,11 +511,14 @@ def resolve_locations(places: DataFrame, entities: DataFrame, parts: bool = True
     has its start line alone."""
     base = lambda c: F.element_at(F.split(c, "/"), -1)
     left = places.select("path", "line").distinct()
-    right = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.col("file").alias("file"), "start_line", "end_line")
-    near = (F.col("path") == F.col("file")) | F.endswith("path", F.concat(F.lit("/"), "file")) | F.endswith("file", F.concat(F.lit("/"), "path"))
+    right = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.col("file").alias("file"), "start_line",
+        "end_line")
+    near = (F.col("path") == F.col("file")) | F.endswith("path", F.concat(F.lit("/"), "file")) | F.endswith("file",
+        F.concat(F.lit("/"), "path"))
     inside = F.col("line").isNull() | F.col("line").between(F.col("start_line"), F.coalesce("end_line", "start_line"))
     first = F.min_by("entity_id", F.struct("entity_name", "entity_id")).alias("entity_id")
-    hits = left.withColumn("__base", base(F.col("path"))).join(right.withColumn("__base", base(F.col("file"))), "__base").where(near & inside)
+    hits = left.withColumn("__base", base(F.col("path"))).join(right.withColumn("__base", base(F.col("file"))), "__base").where(
+        near & inside)
     found = hits.groupBy("path", "line").agg(first)
     if not parts:
         return found
@@ -480,7 +531,8 @@ def resolve_locations(places: DataFrame, entities: DataFrame, parts: bool = True
 def longest_prefix(files: DataFrame, projects: DataFrame) -> DataFrame:
     """The deepest project directory above each file, else '.': files are matched on each of their own directories."""
     parts = F.split("path", "/")
-    dirs = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("project"))
+    dirs = files.select("path",
+        F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("project"))
     found = dirs.join(projects.select("project"), "project").groupBy("path").agg(F.max_by("project", F.length("project")).alias("project"))
     return files.select("path").join(found, "path", "left").select("path", F.coalesce("project", F.lit(".")).alias("project"))
 
@@ -500,6 +552,8 @@ def change_coupling(commits: DataFrame, since: Column | None = None, most_files:
     salts = F.ceil(F.col("size") / salt_rows).cast("int")
     left = sized.select("commit_id", F.col("id").alias("left_id"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
     right = sized.select("commit_id", F.col("id").alias("right_id"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    pairs = left.join(right, ["commit_id", "salt"]).where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("together"))
+    pairs = left.join(right, ["commit_id", "salt"]).where("left_id < right_id").groupBy("left_id", "right_id").agg(
+        F.count("*").alias("together"))
     out = pairs.join(counts.toDF("left_id", "nl"), "left_id").join(counts.toDF("right_id", "nr"), "right_id")
-    return out.select("left_id", "right_id", "together", F.round(F.col("together") / (F.col("nl") + F.col("nr") - F.col("together")), 6).alias("coupling"))
+    return out.select("left_id", "right_id", "together",
+        F.round(F.col("together") / (F.col("nl") + F.col("nr") - F.col("together")), 6).alias("coupling"))

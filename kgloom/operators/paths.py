@@ -49,7 +49,8 @@ def trees(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """root, node, level, path, via, cycle: every path of up to depth edges from each root (id); one ends where it meets a node of its
     own again (cycle). Parallel edges make paths of their own. Paths grow with the product of degrees, so depth has no default."""
     steps = cut(edges.select(F.col("from_id").alias("s"), F.col("to_id").alias("t"), F.col("type").alias("via")))
-    front = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("level"), F.array("id").alias("path"), F.lit("").alias("via"), F.lit(False).alias("cycle"))
+    front = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("level"), F.array("id").alias("path"),
+        F.lit("").alias("via"), F.lit(False).alias("cycle"))
     found = front
     for k in range(1, depth + 1):
         open_ = front.where("NOT cycle")
@@ -77,4 +78,5 @@ def directories(files: DataFrame) -> DataFrame:
     leaves = f.select(last.alias("parent"), F.col("id").alias("child"), F.lit(None).cast("string").alias("label"))
     inner = f.select("project_id", "dirs", F.posexplode("dirs").alias("n", "dir"))
     above = F.when(F.col("n") > 0, folder_id(F.try_element_at("dirs", F.col("n")))).otherwise(F.col("project_id"))
-    return inner.select(above.alias("parent"), folder_id(F.col("dir")).alias("child"), F.element_at(F.split("dir", "/"), -1).alias("label")).unionByName(leaves).distinct()
+    return inner.select(above.alias("parent"), folder_id(F.col("dir")).alias("child"),
+        F.element_at(F.split("dir", "/"), -1).alias("label")).unionByName(leaves).distinct()

@@ -56,7 +56,8 @@ def classify_sub_type(df: DataFrame) -> DataFrame:
     """A service that faces clients is a BFF, any other a MICROSERVICE; other types keep theirs."""
     name = F.col("canonical_name")
     front = name.endswith("-bff") | name.contains("gateway") | json_true(F.col("properties"), "exposed_to_internet")
-    return df.withColumn("sub_type", F.when(F.col("type") == "SERVICE", F.when(front, "BFF").otherwise("MICROSERVICE")).otherwise(F.col("sub_type")))
+    return df.withColumn("sub_type",
+        F.when(F.col("type") == "SERVICE", F.when(front, "BFF").otherwise("MICROSERVICE")).otherwise(F.col("sub_type")))
 
 
 def normalize(df: DataFrame) -> DataFrame:
@@ -70,19 +71,23 @@ def resolve(observed: DataFrame, registry: DataFrame, match_type: bool = False)
     kind = (lambda x: ["type"] if match_type else [])(0)
     by_id = registry.select(F.col("canonical_id").alias("id"), F.col("canonical_id").alias("c1"))
     by_name = registry.groupBy("name", "namespace", *kind).agg(F.min("canonical_id").alias("c2"))
-    alias = registry.select("canonical_id", "namespace", *kind, F.explode("aliases").alias("alias")).groupBy("alias", "namespace", *kind).agg(F.min("canonical_id").alias("c"))
+    alias = registry.select("canonical_id", "namespace", *kind, F.explode("aliases").alias("alias")).groupBy("alias", "namespace",
+        *kind).agg(F.min("canonical_id").alias("c"))
     out = observed.join(by_id, "id", "left").join(by_name, ["name", "namespace", *kind], "left")
     out = out.join(alias.withColumnsRenamed({"alias": "name", "c": "c3"}), ["name", "namespace", *kind], "left")
     out = out.join(alias.withColumnsRenamed({"alias": "raw_name", "c": "c4"}), ["raw_name", "namespace", *kind], "left")
-    how = F.when(F.col("c1").isNotNull(), "id").when(F.col("c2").isNotNull(), "name").when(F.col("c3").isNotNull(), "alias").when(F.col("c4").isNotNull(), "raw_alias").otherwise("new")
-    return out.withColumn("canonical_id", F.coalesce("c1", "c2", "c3", "c4", "id")).withColumn("matched_by", how).drop("c1", "c2", "c3", "c4")
+    how = F.when(F.col("c1").isNotNull(), "id").when(F.col("c2").isNotNull(), "name").when(F.col("c3").isNotNull(), "alias").when(
+        F.col("c4").isNotNull(), "raw_alias").otherwise("new")
+    return out.withColumn("canonical_id", F.coalesce("c1", "c2", "c3", "c4", "id")).withColumn("matched_by", how).drop("c1", "c2", "c3",
+        "c4")
 
 
 def remap_endpoints(relationships: DataFrame, ids: DataFrame) -> DataFrame:
     """Endpoints by the map (old_id, new_id); unknown ones stay."""
     one, two = ids.toDF("from_id", "new_from"), ids.toDF("to_id", "new_to")
     out = relationships.join(one, "from_id", "left").join(two, "to_id", "left")
-    return out.withColumn("from_id", F.coalesce("new_from", "from_id")).withColumn("to_id", F.coalesce("new_to", "to_id")).drop("new_from", "new_to")
+    return out.withColumn("from_id", F.coalesce("new_from", "from_id")).withColumn("to_id", F.coalesce("new_to", "to_id")).drop("new_from",
+        "new_to")
 
 
 def infer_from_imports(relationships: DataFrame) -> DataFrame:
@@ -91,6 +96,15 @@ def infer_from_imports(relationships: DataFrame) -> DataFrame:
     return found.withColumns({"type": F.lit("DEPENDS_ON"), "confidence": F.round(F.col("confidence") * 0.9, 6), "is_inferred": F.lit(True)})
 
 
+def with_inferred(relationships: DataFrame, accesses: DataFrame | None = None) -> DataFrame:
+    """Explicit relationships, the dependencies that their imports make, and the couplings over shared tables."""
+    out = relationships.unionByName(infer_from_imports(relationships), allowMissingColumns=True)
+    if accesses is not None:
+        out = out.unionByName(infer_shared_resources(accesses).select("from_id", "to_id", "type", "confidence", "is_inferred"),
+            allowMissingColumns=True)
+    return out
+
+
 def infer_shared_resources(accesses: DataFrame, salt_rows: int = 10_000) -> DataFrame:
     """Reader and writer of one table are coupled: from_id (reader), to_id (writer), shared (how many tables), shared_table (the first).
 
@@ -103,14 +117,17 @@ def infer_shared_resources(accesses: DataFrame, salt_rows: int = 10_000) -> Data
     right = writers.join(salts, "to_id").select("to_id", "writer", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     pairs = left.join(right, ["to_id", "salt"]).where("reader <> writer")
     counted = pairs.groupBy("reader", "writer").agg(F.count("*").alias("shared"), F.min("to_id").alias("shared_table"))
-    return counted.select(F.col("reader").alias("from_id"), F.col("writer").alias("to_id"), F.lit("CHANGE_COUPLED_WITH").alias("type"), F.lit(0.85).alias("confidence"), F.lit(True).alias("is_inferred"), "shared", "shared_table")
+    return counted.select(F.col("reader").alias("from_id"), F.col("writer").alias("to_id"), F.lit("CHANGE_COUPLED_WITH").alias("type"),
+        F.lit(0.85).alias("confidence"), F.lit(True).alias("is_inferred"), "shared", "shared_table")
 
 
 def merge_relationships(relationships: DataFrame) -> DataFrame:
     """One row for each (from, to, type): the most confident (then the earliest ordinal) gives the properties."""
     best = F.max_by(F.struct("confidence", "properties", "source_type"), F.struct(F.col("confidence"), -F.col("ordinal")))
-    sources = F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("source_type", F.lit("")) != "", F.struct("ordinal", "source_type")))), lambda x: x["source_type"])
-    out = relationships.groupBy("from_id", "to_id", "type").agg(best.alias("best"), sources.alias("sources"), F.count("*").alias("corroboration_count"), F.bool_and("is_inferred").alias("is_inferred"))
+    sources = F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("source_type", F.lit("")) != "", F.struct("ordinal", "source_type")))),
+        lambda x: x["source_type"])
+    out = relationships.groupBy("from_id", "to_id", "type").agg(best.alias("best"), sources.alias("sources"),
+        F.count("*").alias("corroboration_count"), F.bool_and("is_inferred").alias("is_inferred"))
     return out.select("from_id", "to_id", "type", "best.confidence", "best.properties", "sources", "corroboration_count", "is_inferred")
 
 
@@ -120,7 +137,8 @@ def merge_entities(entities: DataFrame) -> DataFrame:
     properties is a map here; its entries are reduced by (id, key), so that no id's rows are gathered."""
     best = F.max_by(F.struct("type", "canonical_name", "namespace", "confidence"), F.struct(F.col("confidence"), -F.col("ordinal")))
     rows = entities.groupBy("id").agg(best.alias("best"))
-    entries = entities.select("id", "ordinal", F.explode("properties").alias("k", "v")).groupBy("id", "k").agg(F.max_by("v", "ordinal").alias("v"))
+    entries = entities.select("id", "ordinal", F.explode("properties").alias("k", "v")).groupBy("id", "k").agg(
+        F.max_by("v", "ordinal").alias("v"))
     last = entries.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("properties"))
     kind = entities.schema["properties"].dataType
     return rows.join(last, "id", "left").select("id", "best.*", F.coalesce("properties", F.create_map().cast(kind)).alias("properties"))
@@ -150,7 +168,8 @@ def inbound_counts(relationships: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 # What each sign adds to the maturity score.
-MATURITY = {"has_api_spec": 0.20, "has_tests": 0.15, "has_documentation": 0.15, "has_owner": 0.15, "has_monitoring": 0.10, "has_resource_limits": 0.15}
+MATURITY = {"has_api_spec": 0.20, "has_tests": 0.15, "has_documentation": 0.15, "has_owner": 0.15, "has_monitoring": 0.10,
+    "has_resource_limits": 0.15}
 
 
 def maturity_score(signs: dict[str, Column]) -> Column:
@@ -171,7 +190,9 @@ def pipeline_relationships(relationships: DataFrame, entities: DataFrame) -> Dat
 def storage_form(observed: DataFrame) -> DataFrame:
     """Type names as stored, and where a record comes from kept among its properties (a JSON text)."""
     renamed = F.coalesce(*[F.when(F.col("type") == a, b) for a, b in catalogs.RENAMED_TYPES.items()], F.col("type"))
-    kept = F.to_json(F.struct(F.col("source_type"), F.col("source_id"), F.when(F.col("raw_name") != F.col("canonical_name"), F.col("raw_name")).alias("raw_name")))
+    kept = F.to_json(
+        F.struct(F.col("source_type"), F.col("source_id"),
+            F.when(F.col("raw_name") != F.col("canonical_name"), F.col("raw_name")).alias("raw_name")))
     return observed.withColumn("type", renamed).withColumn("provenance", kept)
 
 

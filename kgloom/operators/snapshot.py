@@ -23,7 +23,9 @@ def states(log: DataFrame, until: Column | None = None) -> DataFrame:
     if until is not None:
         rows = rows.where(F.col("occurred_at") <= until)
     entity = F.col("mutation_type").isin(ENTITY_KINDS)
-    rows = rows.select(F.when(entity, "entity").otherwise("relationship").alias("what"), F.when(entity, F.col("entity_id")).otherwise(F.col("relationship_id")).alias("id"), "entry_id", (~F.col("mutation_type").isin(ENDED)).alias("is_active"), F.col("after_state").alias("state"))
+    rows = rows.select(F.when(entity, "entity").otherwise("relationship").alias("what"),
+        F.when(entity, F.col("entity_id")).otherwise(F.col("relationship_id")).alias("id"), "entry_id",
+        (~F.col("mutation_type").isin(ENDED)).alias("is_active"), F.col("after_state").alias("state"))
     return last_states(rows)
 
 
@@ -36,7 +38,8 @@ def checksum(rows: DataFrame) -> DataFrame:
     """One row: a digest of all state rows, whatever their order: how many, and the sum and the exclusive or of their hashes."""
     h = F.xxhash64("what", "id", "entry_id", "is_active", "state")
     total = F.sum(h.cast("decimal(38,0)"))
-    parts = F.concat_ws("|", F.count("*").cast("string"), F.coalesce(total.cast("string"), F.lit("0")), F.coalesce(F.bit_xor(h).cast("string"), F.lit("0")))
+    parts = F.concat_ws("|", F.count("*").cast("string"), F.coalesce(total.cast("string"), F.lit("0")),
+        F.coalesce(F.bit_xor(h).cast("string"), F.lit("0")))
     return rows.agg(F.sha2(parts, 256).alias("checksum"))
 
 
@@ -44,7 +47,8 @@ def statistics(rows: DataFrame) -> DataFrame:
     """node_count, edge_count, active_services, last_entry_id of a state."""
     node = F.col("what") == "entity"
     service = node & F.col("is_active") & (F.get_json_object("state", "$.type") == "SERVICE")
-    return rows.agg(F.count_if(node).alias("node_count"), F.count_if(~node).alias("edge_count"), F.count_if(service).alias("active_services"), F.coalesce(F.max("entry_id"), F.lit(0)).alias("last_entry_id"))
+    return rows.agg(F.count_if(node).alias("node_count"), F.count_if(~node).alias("edge_count"), F.count_if(service).alias("active_services"),
+        F.coalesce(F.max("entry_id"), F.lit(0)).alias("last_entry_id"))
 
 
 def create(log: DataFrame, path: str, snapshot_id: str, at: Column) -> DataFrame:
@@ -54,14 +58,17 @@ def create(log: DataFrame, path: str, snapshot_id: str, at: Column) -> DataFrame
     rows = spark.read.parquet(where)
     last = log.where(F.col("occurred_at") <= at).agg(F.coalesce(F.max("entry_id"), F.lit(0)).alias("last_entry_id"))
     out = statistics(rows).drop("last_entry_id").join(F.broadcast(last)).join(F.broadcast(checksum(rows)))
-    return out.select(F.lit(snapshot_id).alias("snapshot_id"), at.cast("timestamp").alias("snapshot_at"), "last_entry_id", "node_count", "edge_count", "active_services", "checksum")
+    return out.select(F.lit(snapshot_id).alias("snapshot_id"), at.cast("timestamp").alias("snapshot_at"), "last_entry_id", "node_count",
+        "edge_count", "active_services", "checksum")
 
 
 def nearest(manifests: DataFrame, times: DataFrame) -> DataFrame:
     """times (namespace, at) with the last snapshot (namespace, snapshot_id, snapshot_at) not after each: an as-of join in one window a
     namespace, without comparing pairs."""
-    s = manifests.select("namespace", F.col("snapshot_at").alias("__t"), F.lit(0).alias("__k"), F.struct("snapshot_at", "snapshot_id").alias("__s"), F.lit(None).cast(times.schema["at"].dataType).alias("at"))
-    t = times.select("namespace", F.col("at").alias("__t"), F.lit(1).alias("__k"), F.lit(None).cast(s.schema["__s"].dataType).alias("__s"), "at")
+    s = manifests.select("namespace", F.col("snapshot_at").alias("__t"), F.lit(0).alias("__k"),
+        F.struct("snapshot_at", "snapshot_id").alias("__s"), F.lit(None).cast(times.schema["at"].dataType).alias("at"))
+    t = times.select("namespace", F.col("at").alias("__t"), F.lit(1).alias("__k"), F.lit(None).cast(s.schema["__s"].dataType).alias("__s"),
+        "at")
     w = Window.partitionBy("namespace").orderBy("__t", "__k", "__s").rowsBetween(Window.unboundedPreceding, 0)
     out = s.unionByName(t).withColumn("__n", F.last("__s", ignorenulls=True).over(w)).where("__k = 1")
     return out.select("namespace", "at", F.col("__n.snapshot_id").alias("snapshot_id"), F.col("__n.snapshot_at").alias("snapshot_at"))
@@ -87,12 +94,15 @@ def in_namespace(log: DataFrame, namespace: str, edges: DataFrame | None = None)
     if edges is None:
         return hit
     rest = log.where(~F.coalesce(own, F.lit(False)) & F.col("relationship_id").isNotNull())
-    return hit.unionByName(rest.join(edges.where(F.col("namespace") == namespace).select("relationship_id").distinct(), "relationship_id", "left_semi").select(*log.columns))
+    return hit.unionByName(
+        rest.join(edges.where(F.col("namespace") == namespace).select("relationship_id").distinct(), "relationship_id", "left_semi").select(
+            *log.columns))
 
 
 def between_commits(log: DataFrame, commits: DataFrame, base: str, head: str) -> DataFrame:
     """Entries from the base commit's time to the head's, either included; commits: ref, committed_at. An unknown ref gives none."""
-    ends = commits.agg(F.max(F.when(F.col("ref") == base, F.col("committed_at"))).alias("__from"), F.max(F.when(F.col("ref") == head, F.col("committed_at"))).alias("__to"))
+    ends = commits.agg(F.max(F.when(F.col("ref") == base, F.col("committed_at"))).alias("__from"),
+        F.max(F.when(F.col("ref") == head, F.col("committed_at"))).alias("__to"))
     return log.join(F.broadcast(ends)).where("occurred_at BETWEEN __from AND __to").select(*log.columns)
 
 
@@ -100,4 +110,5 @@ def chain(log: DataFrame) -> DataFrame:
     """entity_id, entry_id, before_state, after_state, consistent: whether each entry starts where the entity's last ended."""
     w = Window.partitionBy("entity_id").orderBy("entry_id")
     before = F.lag("after_state").over(w)
-    return log.select("entity_id", "entry_id", before.alias("before_state"), "after_state", F.col("before_state").eqNullSafe(before).alias("consistent"))
+    return log.select("entity_id", "entry_id", before.alias("before_state"), "after_state",
+        F.col("before_state").eqNullSafe(before).alias("consistent"))

@@ -26,8 +26,10 @@ def upsert(current: DataFrame, new: DataFrame, key: str, compared: list[str]) ->
     op = F.when(~arrives, "KEPT").when(~known, "CREATED").when(clash, "CONFLICT").when(same, "NO_CHANGE").otherwise("UPDATED")
     out = out.withColumn("operation", op)
     take = F.col("operation").isin("CREATED", "UPDATED")
-    version = F.when(F.col("operation") == "CREATED", 1).when(F.col("operation") == "UPDATED", F.col("old_version") + 1).otherwise(F.col("old_version"))
-    return out.select(key, *[F.when(take, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in compared], version.cast("int").alias("version"), "operation")
+    version = F.when(F.col("operation") == "CREATED", 1).when(F.col("operation") == "UPDATED", F.col("old_version") + 1).otherwise(
+        F.col("old_version"))
+    return out.select(key, *[F.when(take, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in compared],
+        version.cast("int").alias("version"), "operation")
 
 
 def soft_delete(current: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
@@ -35,7 +37,9 @@ def soft_delete(current: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
     marked = current.join(ids.select("id").distinct().withColumn("__gone", F.lit(True)), "id", "left")
     hit = F.col("__gone").isNotNull() & F.col("is_active")
     op = F.when(hit, "DELETED").when(F.col("__gone").isNotNull(), "NO_CHANGE").otherwise("KEPT")
-    return marked.withColumns({"operation": op, "valid_to": F.when(hit, at).otherwise(F.col("valid_to")), "version": F.when(hit, F.col("version") + 1).otherwise(F.col("version")), "is_active": F.col("is_active") & ~hit}).drop("__gone")
+    return marked.withColumns(
+        {"operation": op, "valid_to": F.when(hit, at).otherwise(F.col("valid_to")),
+            "version": F.when(hit, F.col("version") + 1).otherwise(F.col("version")), "is_active": F.col("is_active") & ~hit}).drop("__gone")
 
 
 def rejected_edges(relationships: DataFrame, entities: DataFrame) -> DataFrame:
@@ -51,7 +55,8 @@ def page(limit: int | None) -> int:
     return limit if limit is not None and 0 < limit <= 1000 else 100
 
 
-def read_log(log: DataFrame, from_entry: int | None = None, entity_id: str | None = None, transaction_id: str | None = None, limit: int | None = None, relationship_id: str | None = None) -> DataFrame:
+def read_log(log: DataFrame, from_entry: int | None = None, entity_id: str | None = None, transaction_id: str | None = None,
+    limit: int | None = None, relationship_id: str | None = None) -> DataFrame:
     """The entries that match all that is given, in their order where limit makes a page of them."""
     for c, v in (("entity_id", entity_id), ("relationship_id", relationship_id), ("transaction_id", transaction_id)):
         if v is not None:
@@ -70,7 +75,8 @@ def replay(log: DataFrame, until: Column | None = None, last_entry: int | None =
         rows = rows.where(F.col("entry_id") <= last_entry)
     last = F.max_by(F.struct("mutation_type", "state", "occurred_at"), "entry_id")
     out = rows.groupBy("entity_id").agg(last.alias("x"), F.max("entry_id").alias("entry_id"), F.count("*").alias("version"))
-    return out.select("entity_id", "entry_id", "version", (F.col("x.mutation_type") != "ENTITY_SOFT_DELETED").alias("is_active"), F.col("x.state").alias("state"), F.col("x.occurred_at").alias("occurred_at"))
+    return out.select("entity_id", "entry_id", "version", (F.col("x.mutation_type") != "ENTITY_SOFT_DELETED").alias("is_active"),
+        F.col("x.state").alias("state"), F.col("x.occurred_at").alias("occurred_at"))
 
 
 def evolution(log: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
@@ -79,7 +85,9 @@ def evolution(log: DataFrame, start: Column | None = None, end: Column | None =
         log = log.where(F.col("occurred_at") >= start)
     if end is not None:
         log = log.where(F.col("occurred_at") <= end)
-    kinds = {"entities_created": "ENTITY_CREATED", "entities_updated": "ENTITY_UPDATED", "entities_deleted": "ENTITY_SOFT_DELETED", "relationships_created": "RELATIONSHIP_CREATED", "relationships_updated": "RELATIONSHIP_UPDATED", "relationships_deleted": "RELATIONSHIP_DELETED"}
+    kinds = {"entities_created": "ENTITY_CREATED", "entities_updated": "ENTITY_UPDATED", "entities_deleted": "ENTITY_SOFT_DELETED",
+        "relationships_created": "RELATIONSHIP_CREATED", "relationships_updated": "RELATIONSHIP_UPDATED",
+        "relationships_deleted": "RELATIONSHIP_DELETED"}
     return log.agg(*[F.count_if(F.col("mutation_type") == v).alias(k) for k, v in kinds.items()], F.count("*").alias("total"))
 
 
@@ -144,7 +152,8 @@ def rollup(metrics: DataFrame, unit: str) -> DataFrame:
     again = "points" in metrics.columns
     one = lambda c, f: f(F.col(c if again else "value"))
     points = F.sum("points") if again else F.count("*")
-    return metrics.groupBy("entity_id", F.date_trunc(unit, "at").alias("at")).agg(points.alias("points"), F.round(one("total", F.sum), 4).alias("total"), one("largest", F.max).alias("largest"), one("smallest", F.min).alias("smallest"))
+    return metrics.groupBy("entity_id", F.date_trunc(unit, "at").alias("at")).agg(points.alias("points"),
+        F.round(one("total", F.sum), 4).alias("total"), one("largest", F.max).alias("largest"), one("smallest", F.min).alias("smallest"))
 
 
 def moving(metrics: DataFrame, points: int = 5, sigmas: float = 3.0) -> DataFrame:
@@ -154,12 +163,14 @@ def moving(metrics: DataFrame, points: int = 5, sigmas: float = 3.0) -> DataFram
     back = w.rowsBetween(-points, -1)
     mean, sd = F.avg("value").over(back), F.stddev_pop("value").over(back)
     odd = F.coalesce(F.abs(F.col("value") - mean) > sigmas * sd, F.lit(False)) & (F.count("value").over(back) >= points)
-    return metrics.select("entity_id", "at", "value", F.round(mean, 4).alias("recent"), F.round(F.col("value") - F.lag("value").over(w), 6).alias("change"), odd.alias("anomaly"))
+    return metrics.select("entity_id", "at", "value", F.round(mean, 4).alias("recent"),
+        F.round(F.col("value") - F.lag("value").over(w), 6).alias("change"), odd.alias("anomaly"))
 
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:
     """Each entity's last point: max_by, so no sort and a combining first step."""
-    return metrics.groupBy("entity_id").agg(F.max_by(F.struct("at", "value", "event_id"), F.struct("at", "event_id")).alias("x")).select("entity_id", "x.*")
+    return metrics.groupBy("entity_id").agg(F.max_by(F.struct("at", "value", "event_id"), F.struct("at", "event_id")).alias("x")).select(
+        "entity_id", "x.*")
 
 
 def _last_spans(spans: DataFrame, same_trace: bool, order: str | None) -> DataFrame:
@@ -171,23 +182,27 @@ def _last_spans(spans: DataFrame, same_trace: bool, order: str | None) -> DataFr
 
 def span_calls(spans: DataFrame, same_trace: bool = False, order: str | None = None) -> DataFrame:
     """Distinct calls between services whose spans are parent and child. Of spans with one id the last is the parent."""
-    child = spans.where("parent_span_id IS NOT NULL").select("parent_span_id", F.col("service_name").alias("callee"), *(["trace_id"] if same_trace else [])).distinct()
+    child = spans.where("parent_span_id IS NOT NULL").select("parent_span_id", F.col("service_name").alias("callee"),
+        *(["trace_id"] if same_trace else [])).distinct()
     joined = child.join(_last_spans(spans, same_trace, order), ["parent_span_id", *(["trace_id"] if same_trace else [])])
     return joined.where("caller <> callee AND caller <> '' AND callee <> ''").select("caller", "callee").distinct()
 
 
 def edge_stats(spans: DataFrame, width: str = "5 minutes", order: str | None = None) -> DataFrame:
     """Calls, median and 99th percentile of the value and the share of errors for each calling pair and window."""
-    child = spans.where("parent_span_id IS NOT NULL").select("parent_span_id", F.col("service_name").alias("callee"), "ts", "value", "is_error")
+    child = spans.where("parent_span_id IS NOT NULL").select("parent_span_id", F.col("service_name").alias("callee"), "ts", "value",
+        "is_error")
     joined = child.join(_last_spans(spans, False, order), "parent_span_id").where("caller <> callee AND caller <> '' AND callee <> ''")
     part = lambda p: F.percentile_approx("value", p, 10_000)
-    out = joined.groupBy("caller", "callee", F.window("ts", width).alias("w")).agg(F.count("*").alias("calls"), part(0.5).alias("p50"), part(0.99).alias("p99"), F.round(F.avg(F.col("is_error").cast("int")), 6).alias("error_rate"))
+    out = joined.groupBy("caller", "callee", F.window("ts", width).alias("w")).agg(F.count("*").alias("calls"), part(0.5).alias("p50"),
+        part(0.99).alias("p99"), F.round(F.avg(F.col("is_error").cast("int")), 6).alias("error_rate"))
     return out.select("caller", "callee", F.col("w.start").alias("window_start"), "calls", "p50", "p99", "error_rate")
 
 
 def span_stats(spans: DataFrame, width: str = "5 minutes") -> DataFrame:
     """Calls, mean and largest value for each service and window."""
-    out = spans.groupBy("service_name", F.window("ts", width).alias("w")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("largest"))
+    out = spans.groupBy("service_name", F.window("ts", width).alias("w")).agg(F.count("*").alias("calls"),
+        F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("largest"))
     return out.select("service_name", F.col("w.start").alias("window_start"), "calls", "total", "largest")
 
 
@@ -198,7 +213,8 @@ def run_status(failed: Column, emitted: Column) -> Column:
 def staleness(ledger: DataFrame, now: Column) -> DataFrame:
     """Per source its last status and the seconds since its last success (0: none)."""
     last = F.max(F.when(F.col("status") == "success", F.col("completed_at")))
-    out = ledger.groupBy("source_id").agg(F.max_by("status", F.struct("completed_at", "run_id")).alias("last_status"), last.alias("last_success"))
+    out = ledger.groupBy("source_id").agg(F.max_by("status", F.struct("completed_at", "run_id")).alias("last_status"),
+        last.alias("last_success"))
     return out.withColumn("age_seconds", F.coalesce(F.unix_timestamp(now) - F.unix_timestamp("last_success"), F.lit(0)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.operators import graph
+from kgloom.operators import graph, records
 from kgloom.session import cut
 
 from . import derived
@@ -59,10 +59,13 @@ def _blast(depth: int) -> str:
     out = f", w AS (SELECT to_id AS s, from_id AS t, max({_DECAY}) AS w FROM live GROUP BY 1, 2), b0 AS (SELECT {BUSIEST} AS node, 1.0::DOUBLE AS p)"
     for k in range(1, depth + 1):
         out += f",\nb{k} AS (SELECT t AS node, max(p * w) AS p FROM b{k - 1} JOIN w ON s = node WHERE p * w > 0.10 AND t <> {BUSIEST} GROUP BY 1)"
-    return out + ", hits AS (" + " UNION ALL ".join(f"SELECT node, round(p, 9) AS p, {k} AS depth FROM b{k}" for k in range(1, depth + 1)) + ")"
+    return out + ", hits AS (" + " UNION ALL ".join(
+        f"SELECT node, round(p, 9) AS p, {k} AS depth FROM b{k}" for k in range(1, depth + 1)) + ")"
 
 
-@query(_blast(5) + f" SELECT {BUSIEST} AS origin, node, round(max(p), 6) AS probability, arg_min(depth, {{p: -p, d: depth}})::INTEGER AS depth FROM hits GROUP BY node")
+@query(
+    _blast(
+        5) + f" SELECT {BUSIEST} AS origin, node, round(max(p), 6) AS probability, arg_min(depth, {{p: -p, d: depth}})::INTEGER AS depth FROM hits GROUP BY node")
 def blast_radius(spark, d):
     c = derived.calls(spark, d)
     return graph.blast_radius(c, spark.createDataFrame([(busiest(c),)], "origin string"))
@@ -80,7 +83,8 @@ def impact_percent(spark, d):
 
 @query(_REACH + " SELECT origin AS id, n AS affected, CASE WHEN n > 5 THEN 'High' WHEN n > 2 THEN 'Medium' ELSE 'Low' END AS risk FROM hit")
 def pr_risk(spark, d):
-    return graph.impact_percent(derived.calls(spark, d), derived.services(spark, d)).select("id", "affected", graph.change_risk(F.col("affected")).alias("risk"))
+    return graph.impact_percent(derived.calls(spark, d), derived.services(spark, d)).select("id", "affected",
+        graph.change_risk(F.col("affected")).alias("risk"))
 
 
 @query(_blast(5) + f""", ranked AS (SELECT node, max(p) AS p FROM hits GROUP BY 1), text AS (SELECT string_agg('`' || canonical_name || '` (' || type || ')', ', ' ORDER BY p DESC, node) AS t FROM ranked JOIN services ON id = node)
@@ -180,7 +184,9 @@ def _unowned(spark, d) -> DataFrame:
     n = F.regexp_extract("id", "[0-9]+$", 0).cast("long")
     named = F.to_json(F.struct(F.col("owner").alias("owner")))
     primary = F.to_json(F.struct(F.struct(F.col("owner").alias("team_name")).alias("primary_owner")))
-    return graph.ownerless(s.withColumn("properties", F.when(n % 4 == 0, named).when(n % 4 == 2, primary).when(n % 4 == 1, F.lit('{"owner": ""}')).otherwise("{}")))
+    return graph.ownerless(
+        s.withColumn("properties",
+            F.when(n % 4 == 0, named).when(n % 4 == 2, primary).when(n % 4 == 1, F.lit('{"owner": ""}')).otherwise("{}")))
 
 
 _NO_OWNER = f"unowned AS (SELECT id FROM services WHERE {_EVEN})"
@@ -197,7 +203,8 @@ CASE smell WHEN 'circular_dependency' THEN 'FAIL' WHEN 'shared_database_coupling
 CASE smell WHEN 'circular_dependency' THEN 'FAIL' WHEN 'shared_database_coupling' THEN 'WARN' ELSE 'SILENT' END AS outcome
 FROM (SELECT smell, severity, subject FROM smells UNION ALL SELECT 'require-service-owners', 'HIGH', id FROM unowned)""")
 def governance_violations(spark, d):
-    rules = spark.createDataFrame([("RULE-01", "no-circular-dependencies", "FAIL"), ("RULE-03", "shared-database-table", "WARN")], "id string, name string, severity string")
+    rules = spark.createDataFrame([("RULE-01", "no-circular-dependencies", "FAIL"), ("RULE-03", "shared-database-table", "WARN")],
+        "id string, name string, severity string")
     return graph.governance(_smells(spark, d), _unowned(spark, d), rules)
 
 
@@ -215,6 +222,13 @@ def smells_of_change(spark, d):
     return graph.smells_of(smells, spark.createDataFrame([(busiest(c),)], "name string")).select("smell", "subject")
 
 
+@query("""SELECT from_id, to_id, type, confidence, false AS is_inferred FROM calls UNION ALL SELECT from_id, to_id, 'DEPENDS_ON', round(confidence * 0.9, 6), true FROM calls WHERE type = 'IMPORTS'
+UNION ALL SELECT DISTINCT r.from_id, w.from_id, 'CHANGE_COUPLED_WITH', 0.85::DOUBLE, true FROM accesses r JOIN accesses w ON r.to_id = w.to_id AND r.type = 'READS_FROM' AND w.type = 'WRITES_TO' AND r.from_id <> w.from_id""")
+def explicit_and_inferred(spark, d):
+    explicit = derived.calls(spark, d).select("from_id", "to_id", "type", "confidence", F.lit(False).alias("is_inferred"))
+    return records.with_inferred(explicit, derived.accesses(spark, d))
+
+
 # relevance
 
 _WEIGHT = """CASE type WHEN 'RUNTIME_CALLS' THEN 0.9::DOUBLE WHEN 'IMPORTS' THEN 0.7::DOUBLE WHEN 'DEPENDS_ON' THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END * confidence"""
@@ -250,12 +264,14 @@ def entry_points(spark, d):
     return graph.entry_points(derived.services(spark, d), derived.calls(spark, d))
 
 
-@query("SELECT id FROM services WHERE id NOT IN (SELECT to_id FROM calls) UNION ALL SELECT id FROM services WHERE NOT EXISTS (SELECT 1 FROM services WHERE id NOT IN (SELECT to_id FROM calls))")
+@query("SELECT id FROM services WHERE id NOT IN (SELECT to_id FROM calls) UNION ALL SELECT id FROM services WHERE NOT EXISTS (SELECT 1 "
+    "FROM services WHERE id NOT IN (SELECT to_id FROM calls))")
 def tree_roots(spark, d):
     return graph.roots(derived.services(spark, d), derived.calls(spark, d))
 
 
-@query("SELECT 'cust-' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+@query("SELECT 'cust-' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = "
+    "'1-URGENT')")
 def orphans(spark, d):
     people = derived.table(spark, d, "customer").select(F.concat(F.lit("cust-"), "c_custkey").alias("id"), F.lit("DEVELOPER").alias("type"))
     urgent = derived.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
@@ -268,7 +284,8 @@ def auth_protected(spark, d):
     return graph.protected_by(derived.services(spark, d), c, busiest(c))
 
 
-@query("SELECT from_id, to_id, type FROM live WHERE from_id IN (SELECT id FROM services WHERE namespace = 'asia') AND to_id IN (SELECT id FROM services WHERE namespace = 'asia')")
+@query("SELECT from_id, to_id, type FROM live WHERE from_id IN (SELECT id FROM services WHERE namespace = 'asia') AND to_id IN (SELECT id "
+    "FROM services WHERE namespace = 'asia')")
 def namespace_edges(spark, d):
     return graph.within(derived.services(spark, d), derived.calls(spark, d), "asia").select("from_id", "to_id", "type")
 
@@ -276,17 +293,20 @@ def namespace_edges(spark, d):
 def _typed(spark, d) -> DataFrame:
     """Services and tables as one entity table."""
     s, t = derived.services(spark, d), derived.tables(spark, d)
-    return s.select("id", "type", "canonical_name", "namespace", "is_active").unionByName(t.select("id", "type", "canonical_name", "namespace", "is_active"))
+    return s.select("id", "type", "canonical_name", "namespace", "is_active").unionByName(
+        t.select("id", "type", "canonical_name", "namespace", "is_active"))
 
 
 @query("SELECT 'node' AS kind, id, '' AS to_id FROM services UNION ALL SELECT 'link', from_id, to_id FROM calls")
 def visibility_filter(spark, d):
     c = derived.calls(spark, d).select("from_id", "to_id", "type").unionByName(derived.accesses(spark, d))
     nodes, links = graph.visible(cut(_typed(spark, d)), c, {"DATABASE_TABLE", "TEAM"})
-    return nodes.select(F.lit("node").alias("kind"), "id", F.lit("").alias("to_id")).unionByName(links.select(F.lit("link").alias("kind"), F.col("from_id").alias("id"), "to_id"))
+    return nodes.select(F.lit("node").alias("kind"), "id", F.lit("").alias("to_id")).unionByName(
+        links.select(F.lit("link").alias("kind"), F.col("from_id").alias("id"), "to_id"))
 
 
-@query("SELECT c.from_id, c.to_id, p99 FROM calls c JOIN (SELECT l_suppkey, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1) ON c.from_id = 'svc-' || l_suppkey WHERE p99 > 60000")
+@query("SELECT c.from_id, c.to_id, p99 FROM calls c JOIN (SELECT l_suppkey, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem "
+    "GROUP BY 1) ON c.from_id = 'svc-' || l_suppkey WHERE p99 > 60000")
 def slow_callers(spark, d):
     p99 = F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p99")
     p = derived.table(spark, d, "lineitem").groupBy(F.concat(F.lit("svc-"), "l_suppkey").alias("from_id")).agg(p99)

@@ -23,8 +23,10 @@ AT = "TIMESTAMP '2024-01-31 00:00:00'"
 WHEN 'TEMPORAL_FAILURE' THEN CASE WHEN c > 0.75 THEN 'ACCEPT' WHEN c >= 0.55 THEN 'REVIEW' ELSE 'REJECT' END END AS band
 FROM (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'STRUCTURAL_DIRECT' WHEN 'MACHINERY' THEN 'RUNTIME' WHEN 'AUTOMOBILE' THEN 'TEMPORAL_FAILURE' ELSE 'OTHER' END AS k, abs(c_acctbal) / 10000 AS c FROM customer)""")
 def acceptance_bands(spark, d):
-    kind = F.when(F.col("c_mktsegment") == "BUILDING", "STRUCTURAL_DIRECT").when(F.col("c_mktsegment") == "MACHINERY", "RUNTIME").when(F.col("c_mktsegment") == "AUTOMOBILE", "TEMPORAL_FAILURE").otherwise("OTHER")
-    return derived.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), rules.band(kind, F.abs("c_acctbal") / 10000).alias("band"))
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "STRUCTURAL_DIRECT").when(F.col("c_mktsegment") == "MACHINERY", "RUNTIME").when(
+        F.col("c_mktsegment") == "AUTOMOBILE", "TEMPORAL_FAILURE").otherwise("OTHER")
+    return derived.table(spark, d, "customer").select(F.col("c_custkey").alias("id"),
+        rules.band(kind, F.abs("c_acctbal") / 10000).alias("band"))
 
 
 _SIMILAR = "CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::DOUBLE END"
@@ -37,7 +39,8 @@ def match_scores(spark, d):
     p = derived.table(spark, d, "part")
     big = F.col("p_size") > 25
     a = F.struct(F.col("p_name").alias("name"), F.lit("ns").alias("namespace"), F.lit("S").alias("type"), F.lit("r").alias("source_ref"))
-    b = F.struct(F.col("p_brand").alias("name"), F.lit("ns").alias("namespace"), F.when(big, "S").otherwise("T").alias("type"), F.when(F.col("p_size") < 10, "r").otherwise("q").alias("source_ref"))
+    b = F.struct(F.col("p_brand").alias("name"), F.lit("ns").alias("namespace"), F.when(big, "S").otherwise("T").alias("type"),
+        F.when(F.col("p_size") < 10, "r").otherwise("q").alias("source_ref"))
     other = F.struct(F.col("p_type").alias("name"), F.lit("ns").alias("namespace"))
     x = p.select("*", a.alias("a"), b.alias("b"), other.alias("o"))
     shared = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("y")))
@@ -49,7 +52,8 @@ def match_scores(spark, d):
 @query("""SELECT id, candidate, score, CASE WHEN next >= 0.8 AND score - next < 0.05 THEN 'CONFLICT' WHEN score >= 0.95 THEN 'CERTAIN_MERGE' WHEN score >= 0.8 THEN 'LIKELY_MERGE' WHEN score >= 0.6 THEN 'UNCERTAIN' ELSE 'NO_MATCH' END AS decision
 FROM (SELECT id, candidate, score, row_number() OVER w AS r, lead(score) OVER w AS next FROM (SELECT o_custkey AS id, o_orderkey AS candidate, floor(o_totalprice) % 1000 / 1000 AS score FROM orders) WINDOW w AS (PARTITION BY id ORDER BY score DESC, candidate)) WHERE r = 1""")
 def match_decisions(spark, d):
-    o = derived.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("candidate"), (F.floor("o_totalprice") % 1000 / 1000).alias("score"))
+    o = derived.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("candidate"),
+        (F.floor("o_totalprice") % 1000 / 1000).alias("score"))
     return rules.best_candidates(o)
 
 
@@ -57,7 +61,8 @@ def match_decisions(spark, d):
 FROM (SELECT 'svc-' || l_suppkey AS id, CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE 'R' END AS owner, l_returnflag AS team, count(*) AS c FROM lineitem GROUP BY ALL) GROUP BY 1, 2)""")
 def ownership_drift(spark, d):
     li = derived.table(spark, d, "lineitem")
-    rows = li.select(F.concat(F.lit("svc-"), "l_suppkey").alias("id"), F.when(F.col("l_suppkey") % 2 == 0, "A").otherwise("R").alias("owner"), F.col("l_returnflag").alias("team"), F.lit(1).alias("commits"))
+    rows = li.select(F.concat(F.lit("svc-"), "l_suppkey").alias("id"), F.when(F.col("l_suppkey") % 2 == 0, "A").otherwise("R").alias("owner"),
+        F.col("l_returnflag").alias("team"), F.lit(1).alias("commits"))
     return rules.ownership_drift(rows, share=0.3)
 
 
@@ -72,16 +77,21 @@ def weekly_velocity(spark, d):
 @query("""SELECT user_id AS id, 'k' AS key, arg_max(value, {r: r, t: ts, v: value}) AS value, arg_max(origin, {r: r, t: ts, v: value}) AS origin
 FROM (SELECT user_id, ts, value, CASE event_type WHEN 'signup' THEN 'manual' WHEN 'error' THEN 'runtime' WHEN 'view' THEN 'inferred' ELSE 'default' END AS origin, CASE event_type WHEN 'signup' THEN 3 WHEN 'error' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS r FROM events) GROUP BY 1""")
 def annotation_priority(spark, d):
-    origin = F.when(F.col("event_type") == "signup", "manual").when(F.col("event_type") == "error", "runtime").when(F.col("event_type") == "view", "inferred").otherwise("default")
-    e = derived.table(spark, d, "events").select(F.col("user_id").alias("id"), F.lit("k").alias("key"), "value", origin.alias("origin"), F.col("ts").alias("at"))
+    origin = F.when(F.col("event_type") == "signup", "manual").when(F.col("event_type") == "error", "runtime").when(
+        F.col("event_type") == "view", "inferred").otherwise("default")
+    e = derived.table(spark, d, "events").select(F.col("user_id").alias("id"), F.lit("k").alias("key"), "value", origin.alias("origin"),
+        F.col("ts").alias("at"))
     return rules.strongest_annotation(e)
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'CON-001' WHEN c_custkey % 5 = 1 THEN 'CON-003' WHEN c_custkey % 5 = 2 THEN 'CON-002' END AS rule, CASE WHEN c_custkey % 5 = 0 THEN 'REJECT' WHEN c_custkey % 5 IN (1, 2) THEN 'KEEP' ELSE 'APPLY' END AS action FROM customer""")
 def consistency_rules(spark, d):
     k = F.col("id") % 5
-    old = derived.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("SERVICE").alias("type"), F.lit(0.8).alias("confidence"), F.lit("a").alias("owner"))
-    new = old.where("id % 5 <> 4").withColumns({"type": F.when(k == 0, "FUNCTION").otherwise("SERVICE"), "confidence": F.when(k.isin(1, 2), 0.5).otherwise(0.9), "owner": F.when(k == 1, "b").otherwise("a")})
+    old = derived.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("SERVICE").alias("type"),
+        F.lit(0.8).alias("confidence"), F.lit("a").alias("owner"))
+    new = old.where("id % 5 <> 4").withColumns(
+        {"type": F.when(k == 0, "FUNCTION").otherwise("SERVICE"), "confidence": F.when(k.isin(1, 2), 0.5).otherwise(0.9),
+            "owner": F.when(k == 1, "b").otherwise("a")})
     new = new.unionByName(old.where("id % 5 = 4"))
     return rules.consistency(new, old).select("id", "rule", "action")
 
@@ -90,13 +100,18 @@ def consistency_rules(spark, d):
 CASE WHEN n_nationkey % 5 < 3 THEN 'REJECT' WHEN n_nationkey % 5 = 3 THEN 'FLAG' ELSE 'ACCEPT' END AS action FROM nation""")
 def semantic_rules(spark, d):
     k = F.col("n_nationkey") % 5
-    kinds = [("team", "TEAM", "ACTIVE"), ("svc", "SERVICE", "ACTIVE"), ("old", "SERVICE", "DEPRECATED"), ("fn", "FUNCTION", "ACTIVE"), ("vm", "INFRASTRUCTURE_RESOURCE", "ACTIVE")]
+    kinds = [("team", "TEAM", "ACTIVE"), ("svc", "SERVICE", "ACTIVE"), ("old", "SERVICE", "DEPRECATED"), ("fn", "FUNCTION", "ACTIVE"),
+        ("vm", "INFRASTRUCTURE_RESOURCE", "ACTIVE")]
     pick = lambda *names: F.coalesce(*[F.when(k == i, n) for i, n in enumerate(names)])
-    edges = derived.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), pick("OWNS", "OWNS", "DEPLOYED_ON", "DEPENDS_ON", "OWNS").alias("type"), pick("svc", "svc", "fn", "svc", "team").alias("from_id"), pick("team", "old", "vm", "old", "svc").alias("to_id"))
-    return rules.semantics(edges, spark.createDataFrame(kinds, "id string, type string, lifecycle_stage string")).select("id", "rule", "action")
+    edges = derived.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"),
+        pick("OWNS", "OWNS", "DEPLOYED_ON", "DEPENDS_ON", "OWNS").alias("type"), pick("svc", "svc", "fn", "svc", "team").alias("from_id"),
+        pick("team", "old", "vm", "old", "svc").alias("to_id"))
+    return rules.semantics(edges, spark.createDataFrame(kinds, "id string, type string, lifecycle_stage string")).select("id", "rule",
+        "action")
 
 
-@query("SELECT (SELECT count(*) FROM supplier) AS services, (SELECT count(*) FROM part) AS tables, (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) AS entities")
+@query("SELECT (SELECT count(*) FROM supplier) AS services, (SELECT count(*) FROM part) AS tables, (SELECT count(*) FROM supplier) + "
+    "(SELECT count(*) FROM part) AS entities")
 def type_counts(spark, d):
     return rules.type_counts(derived.services(spark, d).select("id", "type").unionByName(derived.tables(spark, d).select("id", "type")))
 
@@ -107,7 +122,8 @@ def type_counts(spark, d):
 @query("""SELECT 'n-' || n_nationkey AS node, (CASE WHEN n_nationkey = 0 THEN 0 ELSE floor(log2(n_nationkey)) + 1 END)::INTEGER AS layer FROM nation""")
 def topological_layers(spark, d):
     n = derived.table(spark, d, "nation").select(F.concat(F.lit("n-"), "n_nationkey").alias("id"), "n_nationkey")
-    edges = n.where("n_nationkey > 0").select(F.col("id").alias("from_id"), F.concat(F.lit("n-"), F.floor(F.col("n_nationkey") / 2)).alias("to_id"))
+    edges = n.where("n_nationkey > 0").select(F.col("id").alias("from_id"),
+        F.concat(F.lit("n-"), F.floor(F.col("n_nationkey") / 2)).alias("to_id"))
     return paths.layers(edges, n)
 
 
@@ -118,8 +134,11 @@ UNION ALL SELECT 'region-' || n_regionkey, 'region-' || n_regionkey || '>nation-
 def path_tree(spark, d):
     n, s = derived.table(spark, d, "nation"), derived.table(spark, d, "supplier")
     region, nation = F.concat(F.lit("region-"), "n_regionkey"), F.concat(F.lit("nation-"), "n_nationkey")
-    edges = n.select(region.alias("from_id"), nation.alias("to_id"), F.lit("HAS").alias("type")).unionByName(n.select(nation.alias("from_id"), region.alias("to_id"), F.lit("IN").alias("type")))
-    edges = edges.unionByName(s.select(F.concat(F.lit("nation-"), "s_nationkey").alias("from_id"), F.concat(F.lit("svc-"), "s_suppkey").alias("to_id"), F.lit("HAS").alias("type")))
+    edges = n.select(region.alias("from_id"), nation.alias("to_id"), F.lit("HAS").alias("type")).unionByName(
+        n.select(nation.alias("from_id"), region.alias("to_id"), F.lit("IN").alias("type")))
+    edges = edges.unionByName(
+        s.select(F.concat(F.lit("nation-"), "s_nationkey").alias("from_id"), F.concat(F.lit("svc-"), "s_suppkey").alias("to_id"),
+            F.lit("HAS").alias("type")))
     roots = derived.table(spark, d, "region").select(F.concat(F.lit("region-"), "r_regionkey").alias("id"))
     return paths.trees(edges, roots, 3).select("root", F.array_join("path", ">").alias("path"), "level", "cycle")
 
@@ -132,7 +151,8 @@ f AS (SELECT page_id, parts, unnest(range(1, len(parts))) AS n FROM s)
 SELECT DISTINCT CASE WHEN n = 1 THEN 'web' ELSE {_DIR.format("array_to_string(parts[1 : n - 1], '/')")} END AS parent, {_DIR.format("array_to_string(parts[1 : n], '/')")} AS child, parts[n] AS label FROM f
 UNION SELECT CASE WHEN len(parts) > 1 THEN {_DIR.format("array_to_string(parts[1 : len(parts) - 1], '/')")} ELSE 'web' END, 'page-' || page_id, NULL FROM s""")
 def directory_tree(spark, d):
-    p = derived.table(spark, d, "pages").select(F.concat(F.lit("page-"), "page_id").alias("id"), F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.lit("web").alias("project_id"))
+    p = derived.table(spark, d, "pages").select(F.concat(F.lit("page-"), "page_id").alias("id"),
+        F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.lit("web").alias("project_id"))
     return paths.directories(p)
 
 
@@ -142,14 +162,16 @@ def directory_tree(spark, d):
 @query("""SELECT doc_id, CASE WHEN strpos(t, '```sql' || chr(10)) > 0 THEN trim(split_part(split_part(t, '```sql' || chr(10), 2), '```', 1), chr(10) || ' ') END AS fence, trim(split_part(split_part(t, '### ONE' || chr(10), 2), chr(10) || '### ', 1)) AS section
 FROM (SELECT doc_id, '### ONE' || chr(10) || source || ' ' || lang || chr(10) || '### TWO' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '```sql' || chr(10) || 'SELECT ' || doc_id || chr(10) || '```' ELSE 'none' END AS t FROM documents)""")
 def fenced_sections(spark, d):
-    t = F.concat(F.lit("### ONE\n"), "source", F.lit(" "), "lang", F.lit("\n### TWO\n"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```sql\nSELECT "), "doc_id", F.lit("\n```"))).otherwise("none"))
+    t = F.concat(F.lit("### ONE\n"), "source", F.lit(" "), "lang", F.lit("\n### TWO\n"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```sql\nSELECT "), "doc_id", F.lit("\n```"))).otherwise("none"))
     return derived.table(spark, d, "documents").select("doc_id", fn.fenced(t, "sql").alias("fence"), fn.section(t, "ONE").alias("section"))
 
 
 @query("""SELECT conv_id, turn, (CASE WHEN turn % 2 = 0 THEN 0.7 ELSE 0.3 END)::DOUBLE AS confidence, '## Structural Summary' || chr(10) || chr(10) || '**Target:**' || chr(10) || role || chr(10) || chr(10) || '**Inbound dependencies (1):**' || chr(10) || '- Entity ' || turn || chr(10) || chr(10) AS text FROM conversations""")
 def answer_summaries(spark, d):
     text = F.concat(F.lit("### TARGET ENTITY\n"), "role", F.lit("\n\n### ACTIVE CALLERS / DEPENDENTS\n- Entity "), "turn", F.lit("\n"))
-    rows = derived.table(spark, d, "conversations").select("conv_id", "turn", text.alias("context"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("citations"))
+    rows = derived.table(spark, d, "conversations").select("conv_id", "turn", text.alias("context"),
+        F.when(F.col("turn") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("citations"))
     return render.answers(rows).select("conv_id", "turn", "confidence", "text")
 
 
@@ -164,8 +186,10 @@ def context_peers(spark, d):
 @query("SELECT c_custkey AS id, 'a,b' || CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE ',' || c_mktsegment END AS aliases FROM customer")
 def aliases_appended(spark, d):
     known = F.array(F.lit("a"), F.lit("b"))
-    new = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), "c_mktsegment", "c_mktsegment"))
-    return derived.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(fn.append_absent(known, new), ",").alias("aliases"))
+    new = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("b"), F.lit("a"))).otherwise(
+        F.array(F.lit("a"), "c_mktsegment", "c_mktsegment"))
+    return derived.table(spark, d, "customer").select(F.col("c_custkey").alias("id"),
+        F.array_join(fn.append_absent(known, new), ",").alias("aliases"))
 
 
 # source scans, over files made from the tables
@@ -173,8 +197,11 @@ def aliases_appended(spark, d):
 
 def _scan_python(spark, d):
     s = derived.table(spark, d, "nation")
-    body = F.concat(F.lit("import os\nfrom lib import x\n\ndef run_"), "n_nationkey", F.lit("():\n    pass\n\nclass Nation"), "n_nationkey", F.lit(":\n    def inner(self):\n        pass\n"))
-    return code.python_records(s.select(F.concat(F.lit("app/m"), "n_nationkey", F.lit(".py")).alias("path"), body.alias("text")).unionByName(spark.createDataFrame([("lib/__init__.py", "")], "path string, text string")))
+    body = F.concat(F.lit("import os\nfrom lib import x\n\ndef run_"), "n_nationkey", F.lit("():\n    pass\n\nclass Nation"), "n_nationkey",
+        F.lit(":\n    def inner(self):\n        pass\n"))
+    return code.python_records(
+        s.select(F.concat(F.lit("app/m"), "n_nationkey", F.lit(".py")).alias("path"), body.alias("text")).unionByName(
+            spark.createDataFrame([("lib/__init__.py", "")], "path string, text string")))
 
 
 @query("""SELECT 'MODULE' AS type, 'app.m' || n_nationkey AS name, 0.95::DOUBLE AS confidence FROM nation UNION ALL SELECT 'MODULE', 'lib', 0.95 UNION ALL SELECT 'FUNCTION', 'app.m' || n_nationkey || '.run_' || n_nationkey, 0.95 FROM nation UNION ALL SELECT 'CLASS', 'app.m' || n_nationkey || '.Nation' || n_nationkey, 0.95 FROM nation""")
@@ -189,8 +216,11 @@ def scan_python_edges(spark, d):
 
 def _scan_typescript(spark, d):
     s = derived.table(spark, d, "nation")
-    body = F.concat(F.lit("import { h } from '../util';\nimport x from 'outside';\nexport function run"), "n_nationkey", F.lit("() {}\nconst arrow = (a) => a;\n"))
-    return code.typescript_records(s.select(F.concat(F.lit("src/m"), "n_nationkey", F.lit(".ts")).alias("path"), body.alias("text")).unionByName(spark.createDataFrame([("util/index.ts", ""), ("src/skip.test.ts", "function no() {}")], "path string, text string")))
+    body = F.concat(F.lit("import { h } from '../util';\nimport x from 'outside';\nexport function run"), "n_nationkey",
+        F.lit("() {}\nconst arrow = (a) => a;\n"))
+    return code.typescript_records(
+        s.select(F.concat(F.lit("src/m"), "n_nationkey", F.lit(".ts")).alias("path"), body.alias("text")).unionByName(
+            spark.createDataFrame([("util/index.ts", ""), ("src/skip.test.ts", "function no() {}")], "path string, text string")))
 
 
 @query("""SELECT 'IMPORTS' AS type, 'src/m' || n_nationkey AS from_name, 'util/index' AS to_name, 0.99::DOUBLE AS confidence FROM nation UNION ALL SELECT 'DEPENDS_ON', 'src/m' || n_nationkey || '.run' || n_nationkey, 'src/m' || n_nationkey, 0.99 FROM nation UNION ALL SELECT 'DEPENDS_ON', 'src/m' || n_nationkey || '.arrow', 'src/m' || n_nationkey, 0.99 FROM nation""")
@@ -204,7 +234,8 @@ def scan_openapi(spark, d):
     yaml = F.concat(F.lit("openapi: 3.0.0\npaths:\n  /"), F.lower("r_name"), F.lit(":\n    get:\n      summary: x\n    post:\n      summary: y\n    x-other:\n      z: 1\n"))
     text = F.concat(F.lit('{"paths": {"/'), F.lower("r_name"), F.lit('": {"get": {}, "post": {}, "trace": {}}}}'))
     even = F.col("r_regionkey") % 2 == 0
-    files = r.select(F.concat("r_name", F.when(even, ".openapi.yaml").otherwise(".openapi.json")).alias("path"), F.when(even, yaml).otherwise(text).alias("text"))
+    files = r.select(F.concat("r_name", F.when(even, ".openapi.yaml").otherwise(".openapi.json")).alias("path"),
+        F.when(even, yaml).otherwise(text).alias("text"))
     return code.openapi_records(files).select("type", "name", "confidence")
 
 

@@ -23,10 +23,12 @@ def _stored(spark, d) -> tuple[DataFrame, DataFrame]:
     s = derived.services(spark, d)
     none, since = F.lit(None).cast("timestamp"), F.expr(START)
     stage = F.when(F.col("is_active"), "ACTIVE").otherwise("DELETED")
-    entities = s.select("id", "type", "sub_type", "canonical_name", "namespace", "confidence", "is_active", stage.alias("lifecycle_stage"), since.alias("valid_from"), none.alias("valid_to"), F.lit(1).alias("version"), F.to_json(F.struct("owner")).alias("properties"))
+    entities = s.select("id", "type", "sub_type", "canonical_name", "namespace", "confidence", "is_active", stage.alias("lifecycle_stage"),
+        since.alias("valid_from"), none.alias("valid_to"), F.lit(1).alias("version"), F.to_json(F.struct("owner")).alias("properties"))
     a = derived.accesses(spark, d)
     edge_id = fn.stored_relationship_id(F.col("type"), F.col("from_id"), F.col("to_id"))
-    edges = a.select(edge_id.alias("id"), "type", "from_id", "to_id", F.lit(0.9).alias("confidence"), F.lit(True).alias("is_active"), since.alias("valid_from"), none.alias("valid_to"), F.lit(1).alias("version"), F.lit("{}").alias("properties"))
+    edges = a.select(edge_id.alias("id"), "type", "from_id", "to_id", F.lit(0.9).alias("confidence"), F.lit(True).alias("is_active"),
+        since.alias("valid_from"), none.alias("valid_to"), F.lit(1).alias("version"), F.lit("{}").alias("properties"))
     return entities, edges
 
 
@@ -44,19 +46,30 @@ def _mutations(spark, d, broken: bool = False) -> DataFrame:
     k = F.regexp_extract("id", "[0-9]+$", 0).cast("long")
 
     def row(df, idx, kind, target, entity, edge, expected=None):
-        return df.select(idx.cast("long").alias("idx"), kind.alias("kind"), target.alias("target_id"), (expected if expected is not None else F.lit(None)).cast("int").alias("expected"), entity.alias("entity"), edge.alias("relationship"))
-
-    new = F.struct("id", "type", "sub_type", "canonical_name", "namespace", F.when(k % 3 == 0, F.col("confidence") / 2).otherwise(F.col("confidence")).alias("confidence"), F.lit(None).cast("string").alias("lifecycle_stage"), "valid_from", F.regexp_replace("properties", ":", " : ").alias("properties")).cast(_ENTITY)
-    first = row(entities, k, F.when(k % 3 == 2, "SOFT_DELETE_ENTITY").otherwise("UPSERT_ENTITY"), F.col("id"), new, none_r, F.when(k % 3 == 0, 1))
+        return df.select(idx.cast("long").alias("idx"), kind.alias("kind"), target.alias("target_id"),
+            (expected if expected is not None else F.lit(None)).cast("int").alias("expected"), entity.alias("entity"),
+            edge.alias("relationship"))
+
+    new = F.struct("id", "type", "sub_type", "canonical_name", "namespace",
+        F.when(k % 3 == 0, F.col("confidence") / 2).otherwise(F.col("confidence")).alias("confidence"),
+        F.lit(None).cast("string").alias("lifecycle_stage"), "valid_from",
+        F.regexp_replace("properties", ":", " : ").alias("properties")).cast(_ENTITY)
+    first = row(entities, k, F.when(k % 3 == 2, "SOFT_DELETE_ENTITY").otherwise("UPSERT_ENTITY"), F.col("id"), new, none_r,
+        F.when(k % 3 == 0, 1))
     key = F.col("c_custkey")
-    team = F.struct(F.concat(F.lit("cust-"), key).alias("id"), F.lit("TEAM").alias("type"), F.lit("").alias("sub_type"), F.col("c_name").alias("canonical_name"), F.lit("people").alias("namespace"), F.lit(1.0).alias("confidence"), F.lit("ACTIVE").alias("lifecycle_stage"), since.alias("valid_from"), F.lit("{}").alias("properties")).cast(_ENTITY)
+    team = F.struct(F.concat(F.lit("cust-"), key).alias("id"), F.lit("TEAM").alias("type"), F.lit("").alias("sub_type"),
+        F.col("c_name").alias("canonical_name"), F.lit("people").alias("namespace"), F.lit(1.0).alias("confidence"),
+        F.lit("ACTIVE").alias("lifecycle_stage"), since.alias("valid_from"), F.lit("{}").alias("properties")).cast(_ENTITY)
     second = row(c, key + 1_000_000_000, F.lit("UPSERT_ENTITY"), F.lit(None).cast("string"), team, none_r)
     owns = c.join(F.broadcast(n)).withColumn("service", F.concat(F.lit("svc-"), key % F.col("n")))
     if broken:
         owns = owns.withColumn("service", F.when(key == 1, "svc-nowhere").otherwise(F.col("service")))
-    edge = F.struct(F.concat(F.lit("own-"), key).alias("id"), F.lit("OWNS").alias("type"), F.concat(F.lit("cust-"), key).alias("from_id"), F.col("service").alias("to_id"), F.lit(0.9).alias("confidence"), since.alias("valid_from"), F.lit("{}").alias("properties")).cast(_EDGE)
+    edge = F.struct(F.concat(F.lit("own-"), key).alias("id"), F.lit("OWNS").alias("type"), F.concat(F.lit("cust-"), key).alias("from_id"),
+        F.col("service").alias("to_id"), F.lit(0.9).alias("confidence"), since.alias("valid_from"), F.lit("{}").alias("properties")).cast(
+        _EDGE)
     third = row(owns, key + 2_000_000_000, F.lit("UPSERT_RELATIONSHIP"), F.lit(None).cast("string"), none_e, edge)
-    fourth = row(owns, key + 3_000_000_000, F.when(F.col("c_acctbal") < 0, "DELETE_RELATIONSHIP").otherwise("UPSERT_RELATIONSHIP"), F.concat(F.lit("own-"), key), none_e, edge)
+    fourth = row(owns, key + 3_000_000_000, F.when(F.col("c_acctbal") < 0, "DELETE_RELATIONSHIP").otherwise("UPSERT_RELATIONSHIP"),
+        F.concat(F.lit("own-"), key), none_e, edge)
     return first.unionByName(second).unionByName(third).unionByName(fourth)
 
 
@@ -79,7 +92,8 @@ def batch_apply(spark, d):
     return _apply(spark, d).results.select("idx", "id", "operation", "version")
 
 
-@query("SELECT 'FAILED' AS status, 2000000001::BIGINT AS failed_at, 'unknown entity' AS error, (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM customer WHERE c_custkey <= 1) AS shown, (SELECT count(*) FROM supplier) AS entities")
+@query("SELECT 'FAILED' AS status, 2000000001::BIGINT AS failed_at, 'unknown entity' AS error, (SELECT count(*) FROM supplier) + (SELECT "
+    "count(*) FROM customer) + (SELECT count(*) FROM customer WHERE c_custkey <= 1) AS shown, (SELECT count(*) FROM supplier) AS entities")
 def batch_fails_whole(spark, d):
     a = _apply(spark, d, broken=True)
     shown, kept = a.results.agg(F.count("*").alias("shown")), a.entities.agg(F.count("*").alias("entities"))
@@ -106,7 +120,9 @@ def log_append(spark, d):
     return out.select("entry_id", "mutation_type", "entity_id", "relationship_id", F.col("before_state").isNotNull().alias("had_before"))
 
 
-@query(_RESULTS + ", s AS (SELECT id, CASE WHEN operation IN ('DELETED') THEN false ELSE true END AS is_active, row_number() OVER (PARTITION BY id ORDER BY idx DESC) AS r FROM m WHERE operation <> 'NO_CHANGE') SELECT CASE WHEN id LIKE 'own-%' THEN 'relationship' ELSE 'entity' END AS what, id, is_active FROM s WHERE r = 1")
+@query(_RESULTS + ", s AS (SELECT id, CASE WHEN operation IN ('DELETED') THEN false ELSE true END AS is_active, row_number() OVER "
+    "(PARTITION BY id ORDER BY idx DESC) AS r FROM m WHERE operation <> 'NO_CHANGE') SELECT CASE WHEN id LIKE 'own-%' THEN 'relationship' "
+    "ELSE 'entity' END AS what, id, is_active FROM s WHERE r = 1")
 def replay_batch_log(spark, d):
     return snapshot.states(_apply(spark, d).log).select("what", "id", "is_active")
 
@@ -120,7 +136,8 @@ def rows_by_id(spark, d):
 @query("""SELECT 'user-' || user_id AS entity_id, ts AS at, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""")
 def metrics_upsert(spark, d):
     m = derived.metrics(spark, d)
-    old = m.where("event_id % 2 = 0").groupBy("entity_id", "at").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
+    old = m.where("event_id % 2 = 0").groupBy("entity_id", "at").agg(F.max_by("value", "event_id").alias("value"),
+        F.max("event_id").alias("event_id"))
     new = m.select("entity_id", "at", "value", "event_id")
     return write.upsert_metrics(old, new, "entity_id", "at", F.expr(AT), "event_id").select("entity_id", "at", "value")
 
@@ -128,7 +145,8 @@ def metrics_upsert(spark, d):
 @query("""SELECT 'user-' || user_id AS canonical_id, min(ts) AS first_seen, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS aliases, max(ts) AS last_seen FROM events GROUP BY 1""")
 def registry_upsert(spark, d):
     e = derived.table(spark, d, "events").withColumn("canonical_id", F.concat(F.lit("user-"), "user_id"))
-    group = lambda df: df.groupBy("canonical_id").agg(F.array_sort(F.collect_set("event_type")).alias("aliases"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    group = lambda df: df.groupBy("canonical_id").agg(F.array_sort(F.collect_set("event_type")).alias("aliases"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     cutoff = F.expr(AT)
     out = write.upsert_registry(group(e.where(F.col("ts") < cutoff)), group(e.where(F.col("ts") >= cutoff)))
     return out.select("canonical_id", "first_seen", F.array_join(F.array_sort("aliases"), ",").alias("aliases"), "last_seen")
@@ -142,7 +160,9 @@ def _merge(spark, d):
     entities, edges = _stored(spark, d)
     s = derived.table(spark, d, "supplier")
     n = s.agg(F.count("*").alias("n"))
-    pairs = s.join(F.broadcast(n)).where("2 * s_suppkey + 1 < n").select(F.concat(F.lit("svc-"), 2 * F.col("s_suppkey") + 1).alias("source_id"), F.concat(F.lit("svc-"), 2 * F.col("s_suppkey")).alias("target_id"))
+    pairs = s.join(F.broadcast(n)).where("2 * s_suppkey + 1 < n").select(
+        F.concat(F.lit("svc-"), 2 * F.col("s_suppkey") + 1).alias("source_id"),
+        F.concat(F.lit("svc-"), 2 * F.col("s_suppkey")).alias("target_id"))
     return write.merge_entities(entities, edges, pairs, F.expr(AT))
 
 
@@ -151,7 +171,8 @@ def merge_entities_edges(spark, d):
     return _merge(spark, d)[1].select("from_id", "to_id", "type")
 
 
-@query(_MERGED + " SELECT id, is_active AND id NOT IN (SELECT source FROM pairs) AS is_active, (CASE WHEN is_active AND id IN (SELECT source FROM pairs) THEN 2 ELSE 1 END)::INTEGER AS version FROM services")
+@query(_MERGED + " SELECT id, is_active AND id NOT IN (SELECT source FROM pairs) AS is_active, (CASE WHEN is_active AND id IN (SELECT "
+    "source FROM pairs) THEN 2 ELSE 1 END)::INTEGER AS version FROM services")
 def merge_entities_nodes(spark, d):
     return _merge(spark, d)[0].select("id", "is_active", "version")
 
@@ -163,7 +184,9 @@ def split_entity(spark, d):
     return write.split_entity(entities, edges, "svc-1", ("one", "two"), second, F.expr(AT))[1].select("from_id", "to_id", "type")
 
 
-@query("SELECT id, is_active OR owner = 'team-3' AS is_active, CASE WHEN owner = 'team-3' AND NOT is_active THEN 'RESTORED' WHEN owner = 'team-3' THEN 'NO_CHANGE' ELSE 'KEPT' END AS operation, (CASE WHEN owner = 'team-3' AND NOT is_active THEN 2 ELSE 1 END)::INTEGER AS version FROM services")
+@query("SELECT id, is_active OR owner = 'team-3' AS is_active, CASE WHEN owner = 'team-3' AND NOT is_active THEN 'RESTORED' WHEN owner = "
+    "'team-3' THEN 'NO_CHANGE' ELSE 'KEPT' END AS operation, (CASE WHEN owner = 'team-3' AND NOT is_active THEN 2 ELSE 1 END)::INTEGER AS "
+    "version FROM services")
 def restore_entities(spark, d):
     entities, _ = _stored(spark, d)
     ids = derived.services(spark, d).where("owner = 'team-3'").select("id")
@@ -175,14 +198,16 @@ def strength_update(spark, d):
     _, edges = _stored(spark, d)
     li = derived.table(spark, d, "lineitem")
     from_id, to_id = F.concat(F.lit("svc-"), "l_suppkey"), F.concat(F.lit("tbl-"), "l_partkey")
-    strengths = li.select(fn.stored_relationship_id(F.lit("READS_FROM"), from_id, to_id).alias("id"), F.col("l_discount").alias("strength"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_discount").alias("at"))
+    strengths = li.select(fn.stored_relationship_id(F.lit("READS_FROM"), from_id, to_id).alias("id"), F.col("l_discount").alias("strength"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_discount").alias("at"))
     return write.update_strength(edges, strengths).select("from_id", "to_id", "type", "confidence", "version")
 
 
 @query("SELECT user_id, max(ts) AS ts, arg_max(value, {t: ts, e: event_id, v: value}) AS value FROM events GROUP BY 1")
 def late_observations(spark, d):
     e = derived.table(spark, d, "events").select("user_id", "ts", "event_id", "value")
-    newest = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "value"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.*")
+    newest = e.where("event_id % 2 = 0").groupBy("user_id").agg(
+        F.max_by(F.struct("ts", "event_id", "value"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.*")
     return write.apply_late(newest, e, "user_id", "ts").select("user_id", "ts", "value")
 
 
@@ -193,9 +218,12 @@ def _full_log(spark, d) -> DataFrame:
     """The derived log with JSON states: entities have a type and a namespace, relationships a type alone."""
     e = derived.table(spark, d, "events")
     edge = F.col("event_type") == "purchase"
-    kind = F.when(F.col("event_type") == "signup", "ENTITY_CREATED").when(F.col("event_type") == "error", "ENTITY_SOFT_DELETED").when(edge, "RELATIONSHIP_CREATED").otherwise("ENTITY_UPDATED")
+    kind = F.when(F.col("event_type") == "signup", "ENTITY_CREATED").when(F.col("event_type") == "error", "ENTITY_SOFT_DELETED").when(edge,
+        "RELATIONSHIP_CREATED").otherwise("ENTITY_UPDATED")
     user = F.concat(F.lit("user-"), "user_id")
-    state = F.when(edge, F.to_json(F.struct(F.when(F.col("value") > 50, "RUNTIME_CALLS").otherwise("CALLS").alias("type"), "value"))).otherwise(F.to_json(F.struct(F.lit("SERVICE").alias("type"), F.concat(F.lit("ns-"), F.length(user)).alias("namespace"), "value")))
+    state = F.when(edge,
+        F.to_json(F.struct(F.when(F.col("value") > 50, "RUNTIME_CALLS").otherwise("CALLS").alias("type"), "value"))).otherwise(
+        F.to_json(F.struct(F.lit("SERVICE").alias("type"), F.concat(F.lit("ns-"), F.length(user)).alias("namespace"), "value")))
     return e.select(
         F.col("event_id").alias("entry_id"), F.concat(F.lit("txn-"), F.floor(F.col("event_id") / 10)).alias("transaction_id"), kind.alias("mutation_type"), F.when(~edge, user).alias("entity_id"),
         F.when(edge, F.concat(F.lit("rel-"), "user_id")).alias("relationship_id"), F.lit(None).cast("string").alias("before_state"), state.alias("after_state"), F.col("ts").alias("occurred_at"),
@@ -212,7 +240,8 @@ def _snapshots(spark, d):
     return log, path, cut(snapshot.create(log, path, "snap_1", early).unionByName(snapshot.create(log, path, "snap_2", late)))
 
 
-@query(_LAST + f" SELECT what, id, arg_max(is_active, entry_id) AS is_active, max(entry_id) AS entry_id, arg_max(value, entry_id) AS value FROM l WHERE ts <= {AT} GROUP BY 1, 2")
+@query(
+    _LAST + f" SELECT what, id, arg_max(is_active, entry_id) AS is_active, max(entry_id) AS entry_id, arg_max(value, entry_id) AS value FROM l WHERE ts <= {AT} GROUP BY 1, 2")
 def snapshot_restore(spark, d):
     log, path, manifests = _snapshots(spark, d)
     out = snapshot.restore(manifests, path, log, F.expr(AT))
@@ -231,15 +260,19 @@ def snapshot_manifests(spark, d):
 @query("""SELECT DISTINCT event_type AS namespace, ts AS at, (SELECT arg_max(s_name, (s_t, s_name)) FROM (SELECT 'day-' || strftime(t, '%d') AS s_name, t AS s_t FROM (SELECT unnest(range(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-28', INTERVAL 5 DAY)) AS t)) WHERE s_t <= ts) AS snapshot_id FROM events""")
 def snapshot_nearest(spark, d):
     e = derived.table(spark, d, "events").select(F.col("event_type").alias("namespace"), F.col("ts").alias("at")).distinct()
-    days = spark.range(1).select(F.explode(F.sequence(F.expr("TIMESTAMP '2024-01-03'"), F.expr("TIMESTAMP '2024-01-27'"), F.expr("INTERVAL 5 DAY"))).alias("snapshot_at"))
-    m = e.select("namespace").distinct().join(F.broadcast(days)).select("namespace", F.concat(F.lit("day-"), F.date_format("snapshot_at", "dd")).alias("snapshot_id"), "snapshot_at")
+    days = spark.range(1).select(
+        F.explode(F.sequence(F.expr("TIMESTAMP '2024-01-03'"), F.expr("TIMESTAMP '2024-01-27'"), F.expr("INTERVAL 5 DAY"))).alias(
+            "snapshot_at"))
+    m = e.select("namespace").distinct().join(F.broadcast(days)).select("namespace",
+        F.concat(F.lit("day-"), F.date_format("snapshot_at", "dd")).alias("snapshot_id"), "snapshot_at")
     return snapshot.nearest(m, e).select("namespace", "at", "snapshot_id")
 
 
 @query("SELECT event_id AS entry_id FROM events WHERE length('user-' || user_id) = 7")
 def log_in_namespace(spark, d):
     log = _full_log(spark, d)
-    edges = derived.table(spark, d, "events").select(F.concat(F.lit("rel-"), "user_id").alias("relationship_id"), F.concat(F.lit("ns-"), F.length(F.concat(F.lit("user-"), "user_id"))).alias("namespace")).distinct()
+    edges = derived.table(spark, d, "events").select(F.concat(F.lit("rel-"), "user_id").alias("relationship_id"),
+        F.concat(F.lit("ns-"), F.length(F.concat(F.lit("user-"), "user_id"))).alias("namespace")).distinct()
     return snapshot.in_namespace(log, "ns-7", edges).select("entry_id")
 
 
@@ -257,7 +290,8 @@ def commit_window_diff(spark, d):
     return store.evolution(snapshot.between_commits(_full_log(spark, d), commits, "base", "head"))
 
 
-@query("SELECT event_id AS entry_id, 'rel-' || user_id AS relationship_id, 'HIGH' AS severity FROM events WHERE event_type = 'purchase' AND value > 50")
+@query("SELECT event_id AS entry_id, 'rel-' || user_id AS relationship_id, 'HIGH' AS severity FROM events WHERE event_type = 'purchase' "
+    "AND value > 50")
 def drift_alerts(spark, d):
     return rules.drift_alerts(_full_log(spark, d))
 
@@ -272,27 +306,32 @@ def log_chain(spark, d):
     return snapshot.chain(told)
 
 
-@query("SELECT entry_id FROM change_log WHERE transaction_id = 'txn-7' UNION ALL SELECT event_id FROM events WHERE event_type = 'purchase' AND user_id = 7")
+@query("SELECT entry_id FROM change_log WHERE transaction_id = 'txn-7' UNION ALL SELECT event_id FROM events WHERE event_type = 'purchase' "
+    "AND user_id = 7")
 def log_by_transaction(spark, d):
     log = _full_log(spark, d)
-    return store.read_log(log, transaction_id="txn-7").select("entry_id").unionByName(store.read_log(log, relationship_id="rel-7").select("entry_id"))
+    return store.read_log(log, transaction_id="txn-7").select("entry_id").unionByName(
+        store.read_log(log, relationship_id="rel-7").select("entry_id"))
 
 
 # metrics, spans
 
 
-@query("SELECT 'user-' || user_id AS entity_id, ts AS at, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-14 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'")
+@query("SELECT 'user-' || user_id AS entity_id, ts AS at, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-14 00:00:00' AND TIMESTAMP "
+    "'2024-01-15 00:00:00'")
 def metrics_last_day(spark, d):
     return store.metrics_range(derived.metrics(spark, d), now=F.expr(AT)).select("entity_id", "at", "value")
 
 
-@query("SELECT s.id, m.at, m.value FROM services s LEFT JOIN (SELECT user_id, max(ts) AS at, arg_max(value, {t: ts, e: event_id}) AS value FROM events GROUP BY 1) m ON s.id = 'svc-' || user_id")
+@query("SELECT s.id, m.at, m.value FROM services s LEFT JOIN (SELECT user_id, max(ts) AS at, arg_max(value, {t: ts, e: event_id}) AS value "
+    "FROM events GROUP BY 1) m ON s.id = 'svc-' || user_id")
 def entity_with_metrics(spark, d):
     m = derived.metrics(spark, d).withColumn("entity_id", F.regexp_replace("entity_id", "user", "svc"))
     return store.with_latest_metrics(derived.services(spark, d), m).select("id", "metrics_summary.at", "metrics_summary.value")
 
 
-@query("SELECT 'user-' || user_id AS entity_id, date_trunc('day', ts)::TIMESTAMP AS at, count(*) AS points, round(sum(value), 4) AS total, max(value) AS largest, min(value) AS smallest FROM events GROUP BY 1, 2")
+@query("SELECT 'user-' || user_id AS entity_id, date_trunc('day', ts)::TIMESTAMP AS at, count(*) AS points, round(sum(value), 4) AS total, "
+    "max(value) AS largest, min(value) AS smallest FROM events GROUP BY 1, 2")
 def metrics_rollup(spark, d):
     return store.rollup(store.rollup(derived.metrics(spark, d), "hour"), "day").withColumn("total", F.round("total", 4))
 
@@ -329,7 +368,8 @@ def namespace_listing(spark, d):
 @query("SELECT id AS entity_id, owner AS owner_team, 'a b' AS aliases, namespace FROM services")
 def search_documents(spark, d):
     p = F.to_json(F.struct("owner", F.array(F.lit("a"), F.lit("b")).alias("aliases")))
-    return store.search_documents(derived.services(spark, d).withColumn("properties", p)).select("entity_id", "owner_team", "aliases", "namespace")
+    return store.search_documents(derived.services(spark, d).withColumn("properties", p)).select("entity_id", "owner_team", "aliases",
+        "namespace")
 
 
 @query("SELECT id FROM services WHERE owner = 'team-3' AND is_active")
@@ -345,9 +385,13 @@ def _observed(spark, d) -> tuple[DataFrame, DataFrame]:
     s = derived.services(spark, d)
     k = F.regexp_extract("id", "[0-9]+$", 0).cast("long")
     origin = {"source_type": F.lit("git"), "source_id": F.lit("src"), "observed_at": F.expr(AT), "ingestion_run_id": F.lit("run-1")}
-    entities = s.select("id", F.when(k % 10 == 9, "NOPE").otherwise("SERVICE").alias("type"), F.lit("").alias("sub_type"), F.concat(F.lit("Own"), "canonical_name").alias("name"), F.lit("").alias("raw_name"), "namespace", F.to_json(F.struct("owner", F.lit(True).alias("has_tests"))).alias("properties"), "confidence", F.lit(False).alias("is_partial"), k.alias("ordinal")).withColumns(origin)
+    entities = s.select("id", F.when(k % 10 == 9, "NOPE").otherwise("SERVICE").alias("type"), F.lit("").alias("sub_type"),
+        F.concat(F.lit("Own"), "canonical_name").alias("name"), F.lit("").alias("raw_name"), "namespace",
+        F.to_json(F.struct("owner", F.lit(True).alias("has_tests"))).alias("properties"), "confidence", F.lit(False).alias("is_partial"),
+        k.alias("ordinal")).withColumns(origin)
     c = derived.calls(spark, d)
-    edges = c.select(F.concat_ws(">", "from_id", "type", "to_id").alias("id"), "type", "from_id", "to_id", F.lit("{}").alias("properties"), "confidence", F.lit(False).alias("is_inferred"), F.xxhash64("from_id", "to_id", "type").alias("ordinal")).withColumns(origin)
+    edges = c.select(F.concat_ws(">", "from_id", "type", "to_id").alias("id"), "type", "from_id", "to_id", F.lit("{}").alias("properties"),
+        "confidence", F.lit(False).alias("is_inferred"), F.xxhash64("from_id", "to_id", "type").alias("ordinal")).withColumns(origin)
     return entities, edges
 
 
@@ -357,17 +401,20 @@ _ENDS = "SELECT id FROM services WHERE regexp_extract(id, '[0-9]+$')::BIGINT % 1
 def _ingested(spark, d) -> pipeline.Ingested:
     entities, edges = _observed(spark, d)
     registry = spark.createDataFrame([], "canonical_id string, type string, name string, namespace string, aliases array<string>")
-    none = spark.createDataFrame([], "id string, type string, sub_type string, name string, namespace string, confidence double, properties string")
+    none = spark.createDataFrame([], "id string, type string, sub_type string, name string, namespace string, confidence double, "
+        "properties string")
     no_edges = spark.createDataFrame([], "id string, type string, from_id string, to_id string, confidence double")
     return pipeline.ingest(entities, edges, registry, none, no_edges)
 
 
-@query(f", e AS (SELECT DISTINCT from_id, to_id, CASE WHEN type = 'IMPORTS' THEN t ELSE type END AS type FROM (SELECT from_id, to_id, type, unnest(CASE WHEN type = 'IMPORTS' THEN ['IMPORTS', 'DEPENDS_ON'] ELSE [type] END) AS t FROM calls)) SELECT 'entity' AS kind, 'CREATE' AS op, count(*) AS n FROM ({_ENDS}) UNION ALL SELECT 'relationship', 'CREATE', count(*) FROM e WHERE from_id <> to_id AND from_id IN ({_ENDS}) AND to_id IN ({_ENDS})")
+@query(
+    f", e AS (SELECT DISTINCT from_id, to_id, CASE WHEN type = 'IMPORTS' THEN t ELSE type END AS type FROM (SELECT from_id, to_id, type, unnest(CASE WHEN type = 'IMPORTS' THEN ['IMPORTS', 'DEPENDS_ON'] ELSE [type] END) AS t FROM calls)) SELECT 'entity' AS kind, 'CREATE' AS op, count(*) AS n FROM ({_ENDS}) UNION ALL SELECT 'relationship', 'CREATE', count(*) FROM e WHERE from_id <> to_id AND from_id IN ({_ENDS}) AND to_id IN ({_ENDS})")
 def ingest_pipeline(spark, d):
     return _ingested(spark, d).mutations.groupBy("kind", "op").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT 'entity' AS kind, id, 'type' AS error_field FROM services WHERE id NOT IN ({_ENDS}) UNION ALL SELECT 'relationship', from_id || '>' || type || '>' || to_id, 'to_id' FROM calls WHERE from_id = to_id")
+@query(
+    f"SELECT 'entity' AS kind, id, 'type' AS error_field FROM services WHERE id NOT IN ({_ENDS}) UNION ALL SELECT 'relationship', from_id || '>' || type || '>' || to_id, 'to_id' FROM calls WHERE from_id = to_id")
 def ingest_rejects(spark, d):
     return _ingested(spark, d).rejected
 
@@ -376,29 +423,43 @@ def ingest_rejects(spark, d):
 def json_equality(spark, d):
     c = derived.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment")
     n = F.col("c_nationkey")
-    old = c.select("id", F.to_json(F.struct(n.alias("n"), F.struct(F.col("c_mktsegment").alias("b"), F.lit(1).alias("a")).alias("deep"), F.lit("run-1").alias("ingestion_run_id"))).alias("properties"))
-    new = c.select("id", F.concat(F.lit('{"ingestion_run_id": "run-2", "deep": {"a": 1.0, "b": "'), "c_mktsegment", F.lit('"}, "n": '), F.when(F.col("id") % 3 == 0, n + 1).otherwise(n), F.lit("}")).alias("properties"))
+    old = c.select("id",
+        F.to_json(
+            F.struct(n.alias("n"), F.struct(F.col("c_mktsegment").alias("b"), F.lit(1).alias("a")).alias("deep"),
+                F.lit("run-1").alias("ingestion_run_id"))).alias("properties"))
+    new = c.select("id",
+        F.concat(F.lit('{"ingestion_run_id": "run-2", "deep": {"a": 1.0, "b": "'), "c_mktsegment", F.lit('"}, "n": '),
+            F.when(F.col("id") % 3 == 0, n + 1).otherwise(n), F.lit("}")).alias("properties"))
     return pipeline.changes(new, old, "id", ["properties"]).select("id", "op")
 
 
 @query("SELECT c_custkey AS id, c_custkey % 7 <> 0 AS kept FROM customer WHERE c_custkey % 7 <> 0")
 def validate_pipeline_entities(spark, d):
-    c = derived.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 == 0, " ").otherwise(F.col("c_name")).alias("name"), F.lit("n").alias("namespace"), F.lit("TEAM").alias("type"))
+    c = derived.table(spark, d, "customer").select(F.col("c_custkey").alias("id"),
+        F.when(F.col("c_custkey") % 7 == 0, " ").otherwise(F.col("c_name")).alias("name"), F.lit("n").alias("namespace"),
+        F.lit("TEAM").alias("type"))
     return pipeline.valid_entities(c).select("id", F.lit(True).alias("kept"))
 
 
-@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'type' WHEN s_suppkey % 4 = 1 THEN 'to_id' WHEN s_suppkey % 4 = 2 THEN 'confidence' END AS error_field FROM supplier")
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'type' WHEN s_suppkey % 4 = 1 THEN 'to_id' WHEN s_suppkey % 4 = 2 THEN "
+    "'confidence' END AS error_field FROM supplier")
 def validate_stored_relationships(spark, d):
     n = F.col("s_suppkey") % 4
     since = F.expr(START)
-    rows = derived.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(n == 0, "NOPE").otherwise("CALLS").alias("type"), F.lit("a").alias("from_id"), F.when(n == 1, "a").otherwise("b").alias("to_id"), F.when(n == 2, 1.5).otherwise(0.5).alias("confidence"), since.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit("{}").alias("properties"))
+    rows = derived.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(n == 0, "NOPE").otherwise("CALLS").alias("type"),
+        F.lit("a").alias("from_id"), F.when(n == 1, "a").otherwise("b").alias("to_id"),
+        F.when(n == 2, 1.5).otherwise(0.5).alias("confidence"), since.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"),
+        F.lit("{}").alias("properties"))
     return records.stored_relationship_errors(rows).select("id", "error_field")
 
 
 @query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'DATABASE_SCHEMA' ELSE 'SERVICE' END AS type, CASE WHEN s_suppkey % 2 = 0 THEN '{"is_partial":"true","name":1,"raw_name":"R","source_id":"mine"}' ELSE '{"name":1,"source_id":"mine"}' END AS properties FROM supplier""")
 def storage_form(spark, d):
     even = F.col("s_suppkey") % 2 == 0
-    rows = derived.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(even, "SCHEMA").otherwise("SERVICE").alias("type"), F.lit("n").alias("name"), F.when(even, "R").otherwise("n").alias("raw_name"), F.lit("src").alias("source_id"), F.lit('{"name": 1, "source_id": "mine"}').alias("properties"), even.alias("is_partial"))
+    rows = derived.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"),
+        F.when(even, "SCHEMA").otherwise("SERVICE").alias("type"), F.lit("n").alias("name"),
+        F.when(even, "R").otherwise("n").alias("raw_name"), F.lit("src").alias("source_id"),
+        F.lit('{"name": 1, "source_id": "mine"}').alias("properties"), even.alias("is_partial"))
     return pipeline.with_provenance(rows, "is_partial").select("id", "type", "properties")
 
 
@@ -413,10 +474,12 @@ def records_round_trip(spark, d):
     return tables.read_records(spark, path, "entity", "id string, type string, canonical_name string, namespace string")
 
 
-@query("SELECT DISTINCT p.service_name AS caller, c.service_name AS callee FROM spans c JOIN spans p ON c.parent_span_id = p.span_id WHERE p.service_name <> c.service_name")
+@query("SELECT DISTINCT p.service_name AS caller, c.service_name AS callee FROM spans c JOIN spans p ON c.parent_span_id = p.span_id WHERE "
+    "p.service_name <> c.service_name")
 def spans_from_files(spark, d):
     path = own_path(spark, "spans")
-    derived.spans(spark, d).select(F.col("trace_id").cast("string"), F.col("span_id").cast("string"), F.col("parent_span_id").cast("string"), "service_name", F.col("service_name").alias("name")).write.json(path)
+    derived.spans(spark, d).select(F.col("trace_id").cast("string"), F.col("span_id").cast("string"), F.col("parent_span_id").cast("string"),
+        "service_name", F.col("service_name").alias("name")).write.json(path)
     lines = spark.read.schema("trace_id string, span_id string, parent_span_id string, service_name string, name string").json(path)
     return store.span_calls(lines)
 
@@ -425,7 +488,9 @@ def spans_from_files(spark, d):
 def ledger_tail(spark, d):
     path = own_path(spark, "ledger")
     e = derived.table(spark, d, "events")
-    tables.append_ledger(e.select(F.col("event_id").cast("string").alias("run_id"), F.col("ts").alias("completed_at"), F.lit("success").alias("status")), path)
+    tables.append_ledger(
+        e.select(F.col("event_id").cast("string").alias("run_id"), F.col("ts").alias("completed_at"), F.lit("success").alias("status")),
+        path)
     return tables.ledger_tail(spark, path, "run_id string, completed_at timestamp, status string").select("run_id", "completed_at")
 
 
@@ -456,14 +521,19 @@ def _stream(spark, df: DataFrame, schema: str, files: int = 4):
     return ingest.read_json(spark, path, schema, files_per_batch=2)
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'name' WHEN c_acctbal < 0 THEN 'confidence' END AS error_field FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'name' WHEN c_acctbal < 0 THEN 'confidence' END AS error_field FROM "
+    "customer")
 def stream_ingest(spark, d):
     c = derived.table(spark, d, "customer")
-    rows = c.select(F.col("c_custkey").cast("string").alias("id"), F.lit("TEAM").alias("type"), F.lit("").alias("sub_type"), F.when(F.col("c_custkey") % 7 == 0, " ").otherwise(F.col("c_name")).alias("name"), F.lit("").alias("raw_name"), F.lit("ns").alias("namespace"), F.lit("git").alias("source_type"), F.lit("s").alias("source_id"), F.expr(AT).alias("observed_at"), F.lit("{}").alias("properties"), (F.col("c_acctbal") / 20000).alias("confidence"), F.lit("run").alias("ingestion_run_id"))
+    rows = c.select(F.col("c_custkey").cast("string").alias("id"), F.lit("TEAM").alias("type"), F.lit("").alias("sub_type"),
+        F.when(F.col("c_custkey") % 7 == 0, " ").otherwise(F.col("c_name")).alias("name"), F.lit("").alias("raw_name"),
+        F.lit("ns").alias("namespace"), F.lit("git").alias("source_type"), F.lit("s").alias("source_id"), F.expr(AT).alias("observed_at"),
+        F.lit("{}").alias("properties"), (F.col("c_acctbal") / 20000).alias("confidence"), F.lit("run").alias("ingestion_run_id"))
     good, dead, mark = (own_path(spark, x) for x in ("good", "dead", "mark"))
     ingest.ingest(_stream(spark, rows, ingest.OBSERVED_ENTITY), good, dead, mark).awaitTermination()
     schema = rows.schema
-    kept = spark.read.schema(schema).parquet(f"{good}/*").select(F.col("id").cast("long").alias("id"), F.lit(None).cast("string").alias("error_field"))
+    kept = spark.read.schema(schema).parquet(f"{good}/*").select(F.col("id").cast("long").alias("id"),
+        F.lit(None).cast("string").alias("error_field"))
     lost = spark.read.schema(schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", error_field string").parquet(f"{dead}/*")
     return kept.unionByName(lost.select(F.col("id").cast("long").alias("id"), "error_field"))
 
@@ -472,19 +542,24 @@ def stream_ingest(spark, d):
 def stream_late_rows(spark, d):
     e = derived.table(spark, d, "events").select(F.concat(F.lit("user-"), "user_id").alias("key"), "ts", "value", "event_id")
     path, mark = own_path(spark, "newest"), own_path(spark, "mark")
-    ingest.late_stream(_stream(spark, e, "key string, ts timestamp, value double, event_id long"), path, mark, "key", "ts").awaitTermination()
+    ingest.late_stream(_stream(spark, e, "key string, ts timestamp, value double, event_id long"), path, mark, "key",
+        "ts").awaitTermination()
     return spark.read.parquet(f"{path}/1").select("key", "ts", "value")
 
 
-@query("SELECT 'user-' || user_id AS canonical_id, min(ts) AS first_seen, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS aliases FROM events GROUP BY 1")
+@query("SELECT 'user-' || user_id AS canonical_id, min(ts) AS first_seen, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS "
+    "aliases FROM events GROUP BY 1")
 def stream_registry(spark, d):
-    e = derived.table(spark, d, "events").select(F.concat(F.lit("user-"), "user_id").alias("canonical_id"), F.lit("TEAM").alias("type"), F.array("event_type").alias("aliases"), F.col("ts").alias("first_seen"))
+    e = derived.table(spark, d, "events").select(F.concat(F.lit("user-"), "user_id").alias("canonical_id"), F.lit("TEAM").alias("type"),
+        F.array("event_type").alias("aliases"), F.col("ts").alias("first_seen"))
     path, mark = own_path(spark, "identities"), own_path(spark, "mark")
-    ingest.registry_stream(_stream(spark, e, "canonical_id string, type string, aliases array<string>, first_seen timestamp"), path, mark).awaitTermination()
+    ingest.registry_stream(_stream(spark, e, "canonical_id string, type string, aliases array<string>, first_seen timestamp"), path,
+        mark).awaitTermination()
     return spark.read.parquet(f"{path}/1").select("canonical_id", "first_seen", F.array_join(F.array_sort("aliases"), ",").alias("aliases"))
 
 
-@query("SELECT service_name, time_bucket(INTERVAL '5 minutes', ts, TIMESTAMP '2024-01-01')::TIMESTAMP AS window_start, count(*) AS calls, max(value) AS largest FROM spans GROUP BY 1, 2")
+@query("SELECT service_name, time_bucket(INTERVAL '5 minutes', ts, TIMESTAMP '2024-01-01')::TIMESTAMP AS window_start, count(*) AS calls, "
+    "max(value) AS largest FROM spans GROUP BY 1, 2")
 def stream_span_windows(spark, d):
     s = derived.spans(spark, d).select("service_name", "ts", "value")
     out, mark = own_path(spark, "windows"), own_path(spark, "mark")
@@ -493,5 +568,6 @@ def stream_span_windows(spark, d):
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{out}/{number}")
 
-    windows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    windows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", mark).trigger(availableNow=True).start(
+        ).awaitTermination()
     return spark.read.parquet(f"{out}/1").select("service_name", "window_start", "calls", "largest")

@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    joined = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region,
+        F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.select(
         F.concat(F.lit("svc-"), "s_suppkey").alias("id"), F.lit("SERVICE").alias("type"), F.lit("").alias("sub_type"), F.col("s_name").alias("canonical_name"), F.lower("r_name").alias("namespace"),
         F.round((F.col("s_suppkey") % 50 + 50) / 100.0, 6).alias("confidence"), (F.col("s_acctbal") >= 0).alias("is_active"), F.concat(F.lit("team-"), "n_nationkey").alias("owner"), F.col("s_acctbal").alias("balance"),
@@ -36,7 +37,8 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct reads and writes of tables by services."""
     kind = F.when(F.col("l_returnflag") == "R", "WRITES_TO").otherwise("READS_FROM")
-    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("svc-"), "l_suppkey").alias("from_id"), F.concat(F.lit("tbl-"), "l_partkey").alias("to_id"), kind.alias("type")).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("svc-"), "l_suppkey").alias("from_id"),
+        F.concat(F.lit("tbl-"), "l_partkey").alias("to_id"), kind.alias("type")).distinct()
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,15 +46,20 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     several types, loops, and edges that are inactive as no earlier line is open. Written, as all that follows reads it."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
     one, two = rows.toDF("k", "a", "i", "fa", "sa"), rows.toDF("k", "b", "j", "fb", "sb")
-    kind = F.when(F.col("fb") == "A", "CALLS").when(F.col("fb") == "N", "RUNTIME_CALLS").when(F.col("sb") == "F", "IMPORTS").otherwise("DEPENDS_ON")
-    pairs = one.join(two, "k").where("i < j").groupBy("a", "b", kind.alias("type")).agg(F.count("*").alias("n"), F.bool_or(F.col("sa") == "O").alias("is_active"))
+    kind = F.when(F.col("fb") == "A", "CALLS").when(F.col("fb") == "N", "RUNTIME_CALLS").when(F.col("sb") == "F", "IMPORTS").otherwise(
+        "DEPENDS_ON")
+    pairs = one.join(two, "k").where("i < j").groupBy("a", "b", kind.alias("type")).agg(F.count("*").alias("n"),
+        F.bool_or(F.col("sa") == "O").alias("is_active"))
     confidence = F.round(0.5 + 0.05 * F.least("n", F.lit(10)), 6)
-    return cut(pairs.select(F.concat(F.lit("svc-"), "a").alias("from_id"), F.concat(F.lit("svc-"), "b").alias("to_id"), "type", confidence.alias("confidence"), "is_active"))
+    return cut(
+        pairs.select(F.concat(F.lit("svc-"), "a").alias("from_id"), F.concat(F.lit("svc-"), "b").alias("to_id"), "type",
+            confidence.alias("confidence"), "is_active"))
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as log entries: a user's rows are one entity's."""
-    kind = F.when(F.col("event_type") == "signup", "ENTITY_CREATED").when(F.col("event_type") == "error", "ENTITY_SOFT_DELETED").when(F.col("event_type") == "purchase", "RELATIONSHIP_CREATED").otherwise("ENTITY_UPDATED")
+    kind = F.when(F.col("event_type") == "signup", "ENTITY_CREATED").when(F.col("event_type") == "error", "ENTITY_SOFT_DELETED").when(
+        F.col("event_type") == "purchase", "RELATIONSHIP_CREATED").otherwise("ENTITY_UPDATED")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("entry_id"), F.concat(F.lit("txn-"), F.floor(F.col("event_id") / 10)).alias("transaction_id"), kind.alias("mutation_type"), F.concat(F.lit("user-"), "user_id").alias("entity_id"),
         F.col("value").alias("state"), F.col("props").alias("after_state"), F.col("ts").alias("occurred_at"),
@@ -60,13 +67,15 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.concat(F.lit("user-"), "user_id").alias("entity_id"), F.col("ts").alias("at"), F.col("value"), F.col("event_id"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("user-"), "user_id").alias("entity_id"), F.col("ts").alias("at"),
+        F.col("value"), F.col("event_id"))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events in order, each the child of the one before."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("span_id"), F.lag("event_id").over(w).alias("parent_span_id"), F.col("event_type").alias("service_name"), "ts", "value")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("span_id"),
+        F.lag("event_id").over(w).alias("parent_span_id"), F.col("event_type").alias("service_name"), "ts", "value")
 
 
 #: The same derivation for DuckDB.

@@ -42,10 +42,14 @@ def plan_questions(df: DataFrame, default_depth: int = 2) -> DataFrame:
     out = df.withColumns({"archetype": kind, "confidence": confidence(F.col("question")), "entity": entity})
     namespace = F.coalesce(F.col("namespace"), F.lit(""))
     needs = F.col("archetype").isin("IMPACT", "STRUCTURAL", "RUNTIME")
-    error = F.when(needs & F.col("entity").isNull(), "entity needed").when((F.col("archetype") == "GOVERNANCE") & (namespace == ""), "namespace needed")
-    action = F.when(F.col("archetype") == "IMPACT", "IMPACT_ANALYSIS").when(F.col("archetype") == "GOVERNANCE", "HEALTH_AUDIT").when(F.col("archetype") == "TEMPORAL", "READ_LOG").otherwise("FETCH_NEIGHBORHOOD")
-    depth = F.when(F.col("archetype") == "IMPACT", F.greatest(F.lit(default_depth), F.lit(5))).when(F.col("archetype").isin("STRUCTURAL", "RUNTIME"), default_depth)
-    return out.withColumn("error", error).withColumn("action", F.when(F.col("error").isNull(), action)).withColumn("depth", F.when(F.col("error").isNull(), depth))
+    error = F.when(needs & F.col("entity").isNull(), "entity needed").when((F.col("archetype") == "GOVERNANCE") & (namespace == ""),
+        "namespace needed")
+    action = F.when(F.col("archetype") == "IMPACT", "IMPACT_ANALYSIS").when(F.col("archetype") == "GOVERNANCE", "HEALTH_AUDIT").when(
+        F.col("archetype") == "TEMPORAL", "READ_LOG").otherwise("FETCH_NEIGHBORHOOD")
+    depth = F.when(F.col("archetype") == "IMPACT", F.greatest(F.lit(default_depth), F.lit(5))).when(
+        F.col("archetype").isin("STRUCTURAL", "RUNTIME"), default_depth)
+    return out.withColumn("error", error).withColumn("action", F.when(F.col("error").isNull(), action)).withColumn("depth",
+        F.when(F.col("error").isNull(), depth))
 
 
 @dataclass
@@ -60,7 +64,8 @@ class Engine:
     """A graph's tables and the questions that they answer. Results of ``neighborhood`` and ``relevance`` are kept until a table is
     replaced (``update``)."""
 
-    def __init__(self, entities: DataFrame, edges: DataFrame, accesses: DataFrame, log: DataFrame, llm: Callable[[str, str], str] | None = None):
+    def __init__(self, entities: DataFrame, edges: DataFrame, accesses: DataFrame, log: DataFrame,
+        llm: Callable[[str, str], str] | None = None):
         self.entities, self.edges, self.accesses, self.log, self.llm = entities, edges, accesses, log, llm
         self.spark = entities.sparkSession
         self._kept: dict[tuple, object] = {}

@@ -29,7 +29,8 @@ def peers(edges: DataFrame, nodes: DataFrame, origin: str) -> DataFrame:
     near = edges.where((F.col("from_id") == origin) != (F.col("to_id") == origin))
     side = F.when(F.col("to_id") == origin, "in").otherwise("out")
     peer = F.when(F.col("to_id") == origin, F.col("from_id")).otherwise(F.col("to_id"))
-    rows = near.select(side.alias("side"), peer.alias("id"), "type", "confidence").join(nodes.select("id", "canonical_name", "score"), "id", "left")
+    rows = near.select(side.alias("side"), peer.alias("id"), "type", "confidence").join(nodes.select("id", "canonical_name", "score"), "id",
+        "left")
     return rows.orderBy("side", F.desc_nulls_last("score"), "id", "type")
 
 
@@ -39,8 +40,10 @@ def context(entities: DataFrame, edges: DataFrame, nodes: DataFrame, origin: str
     me = entities.where(F.col("id") == origin).first()
     if me is None:
         raise LookupError(origin)
-    named = nodes.select(F.col("node").alias("id"), "score").join(entities, "id", "left").select("id", "canonical_name", "namespace", "type", "score")
-    out = [f"### {TARGET}", f"- **ID:** `{me['id']}`", f"- **Type:** {me['type']}", f"- **Canonical Name:** `{me['canonical_name']}`", f"- **Namespace:** `{me['namespace']}`", f"- **Confidence:** {me['confidence']:.2f}"]
+    named = nodes.select(F.col("node").alias("id"), "score").join(entities, "id", "left").select("id", "canonical_name", "namespace", "type",
+        "score")
+    out = [f"### {TARGET}", f"- **ID:** `{me['id']}`", f"- **Type:** {me['type']}", f"- **Canonical Name:** `{me['canonical_name']}`",
+        f"- **Namespace:** `{me['namespace']}`", f"- **Confidence:** {me['confidence']:.2f}"]
     if not me["is_active"]:
         out.append("- **Status:** SOFT-DELETED")
     direct = peers(edges, named, origin).limit(limit // 20).collect()  # a line has more characters than that
@@ -52,11 +55,13 @@ def context(entities: DataFrame, edges: DataFrame, nodes: DataFrame, origin: str
             if r["canonical_name"] is None:
                 out.append(f"- (orphan) `{r['id']}` via {r['type']} (confidence {r['confidence']:.2f})")
             else:
-                out += [f"- **Entity:** `{r['canonical_name']}` (`{r['id']}`)", f"  - **Relationship:** {r['type']} (confidence {r['confidence']:.2f})"]
+                out += [f"- **Entity:** `{r['canonical_name']}` (`{r['id']}`)",
+                    f"  - **Relationship:** {r['type']} (confidence {r['confidence']:.2f})"]
     scored = named.orderBy(F.desc("score"), "id").limit(catalogs.RELEVANCE_NODES).collect()
     known = {r["id"] for r in direct}
     if rest := [r for r in scored if r["id"] not in known]:
-        out += ["", f"### {RELATED}", *(f"- `{r['id']}` — {r['namespace']}/{r['canonical_name']} (type: {r['type']}, score: {r['score']:.2f})" for r in rest)]
+        out += ["", f"### {RELATED}",
+            *(f"- `{r['id']}` — {r['namespace']}/{r['canonical_name']} (type: {r['type']}, score: {r['score']:.2f})" for r in rest)]
     text = "\n".join(out) + "\n"
     if len(text) > limit:
         text = text[:limit] + "\n\n…(truncated)"
@@ -69,17 +74,21 @@ def answers(contexts: DataFrame) -> DataFrame:
     body = F.lit("## Structural Summary\n\n")
     count = lambda s: F.size(F.split(s, "Entity")) - 1
     c = F.col("context")
-    for header, title in ((TARGET, "Target"), (CALLERS, "Inbound dependencies"), (OUTBOUND, "Outbound dependencies"), (RELATED, "Multi-hop related")):
+    for header, title in ((TARGET, "Target"), (CALLERS, "Inbound dependencies"), (OUTBOUND, "Outbound dependencies"),
+        (RELATED, "Multi-hop related")):
         part = fn.section(c, header)
-        label = F.concat(F.lit(f"**{title} ("), count(part).cast("string"), F.lit("):**\n")) if "dependencies" in title else F.lit(f"**{title}:**\n")
+        label = F.concat(F.lit(f"**{title} ("), count(part).cast("string"), F.lit("):**\n")) if "dependencies" in title else F.lit(
+            f"**{title}:**\n")
         body = F.concat(body, F.when(part.isNotNull(), F.concat(label, part, F.lit("\n\n"))).otherwise(""))
-    return contexts.withColumn("text", body).withColumn("confidence", F.when(F.size("citations") > 0, 0.7).otherwise(0.3)).withColumn("diagram", fn.fenced(F.col("text"), "mermaid"))
+    return contexts.withColumn("text", body).withColumn("confidence", F.when(F.size("citations") > 0, 0.7).otherwise(0.3)).withColumn(
+        "diagram", fn.fenced(F.col("text"), "mermaid"))
 
 
 def mermaid(edges: DataFrame, limit: int = MOST_LINES) -> str:
     """A flow chart of the edges (a report: at most limit lines)."""
     safe = lambda c: fn.diagram_id(F.col(c))
-    rows = edges.orderBy("from_id", "to_id", "type").limit(limit).select(F.concat(F.lit("  "), safe("from_id"), F.lit(" -->|"), "type", F.lit("| "), safe("to_id")).alias("t")).collect()
+    rows = edges.orderBy("from_id", "to_id", "type").limit(limit).select(
+        F.concat(F.lit("  "), safe("from_id"), F.lit(" -->|"), "type", F.lit("| "), safe("to_id")).alias("t")).collect()
     return "\n".join(["graph LR", *(r["t"] for r in rows)])
 
 
@@ -87,8 +96,11 @@ def tree_text(entities: DataFrame, edges: DataFrame, depth: int = 4, limit: int
     """The trees below all roots, indented, a node that meets itself marked as a cycle (at most limit lines)."""
     found = paths.trees(edges, graph.roots(entities, edges), depth)
     names = entities.select(F.col("id").alias("node"), "canonical_name", "type")
-    rows = found.join(names, "node").orderBy(F.array_join("path", "\x01"), "via").limit(limit).select("level", "via", "canonical_name", "type", "cycle").collect()
-    return "\n".join("    " * r["level"] + (f"({r['via']}) → " if r["level"] else "") + f"[{r['canonical_name']}] ({r['type']})" + (" [CYCLE]" if r["cycle"] else "") for r in rows)
+    rows = found.join(names, "node").orderBy(F.array_join("path", "\x01"), "via").limit(limit).select("level", "via", "canonical_name",
+        "type", "cycle").collect()
+    return "\n".join(
+        "    " * r["level"] + (f"({r['via']}) → " if r["level"] else "") + f"[{r['canonical_name']}] ({r['type']})" + (
+            " [CYCLE]" if r["cycle"] else "") for r in rows)
 
 
 def blueprint(entities: DataFrame, edges: DataFrame, accesses: DataFrame, namespace: str) -> str:
@@ -96,7 +108,8 @@ def blueprint(entities: DataFrame, edges: DataFrame, accesses: DataFrame, namesp
     own = entities.where(F.col("namespace") == namespace)
     inside = graph.within(entities, edges, namespace)
     lines = lambda df, form: [form(r) for r in df.limit(MOST_LINES).collect()]
-    n = own.agg(F.count_if(F.col("type") == "SERVICE").alias("s"), F.count_if(F.col("type") == "DATABASE_TABLE").alias("t"), F.count("*").alias("n")).first()
+    n = own.agg(F.count_if(F.col("type") == "SERVICE").alias("s"), F.count_if(F.col("type") == "DATABASE_TABLE").alias("t"),
+        F.count("*").alias("n")).first()
     used = graph.readers_writers(accesses.join(own.select(F.col("id").alias("from_id")), "from_id", "left_semi"))
     return "\n".join([
         f"# {namespace}", "", f"{n['s']} services, {n['t']} tables, {n['n']} entities.", "", "## Entry points", "", *lines(graph.entry_points(own, inside).orderBy("id"), lambda r: f"- {r['id']}"),
@@ -115,10 +128,16 @@ def change_comment(files: DataFrame, entities: DataFrame, edges: DataFrame, smel
     counts = hit.groupBy("origin").agg(F.count("*").alias("n"))
     names = graph.affected_names(hit, entities)
     n = F.coalesce("n", F.lit(0))
-    shown = found.join(entities.select(F.col("id").alias("entity_id"), "canonical_name", "type"), "entity_id").withColumnRenamed("entity_id", "origin")
-    rows = shown.join(counts, "origin", "left").join(names, "origin", "left").select("path", "canonical_name", "type", F.coalesce("names", F.lit("None")).alias("names"), graph.change_risk(n).alias("risk")).orderBy("path").limit(MOST_LINES).collect()
-    touched = graph.smells_of(smells, shown.select(F.col("canonical_name").alias("name"))).orderBy("smell", "subject").limit(MOST_LINES).collect() if rows else []
+    shown = found.join(entities.select(F.col("id").alias("entity_id"), "canonical_name", "type"), "entity_id").withColumnRenamed("entity_id",
+        "origin")
+    rows = shown.join(counts, "origin", "left").join(names, "origin", "left").select("path", "canonical_name", "type",
+        F.coalesce("names", F.lit("None")).alias("names"), graph.change_risk(n).alias("risk")).orderBy("path").limit(MOST_LINES).collect()
+    touched = graph.smells_of(smells, shown.select(F.col("canonical_name").alias("name"))).orderBy("smell", "subject").limit(
+        MOST_LINES).collect() if rows else []
     out = ["## Change impact", ""]
-    out += ["| File | Entity | Affected | Risk |", "|---|---|---|---|", *(f"| `{r['path']}` | `{r['canonical_name']}` ({r['type']}) | {r['names']} | {r['risk']} |" for r in rows)] if rows else ["No entity affected."]
-    out += ["", "### Smells", *(f"- {r['severity']} **{r['smell']}**: {r['subject']}" for r in touched)] if touched else ["", "No smells in what changed."]
+    out += ["| File | Entity | Affected | Risk |", "|---|---|---|---|",
+        *(f"| `{r['path']}` | `{r['canonical_name']}` ({r['type']}) | {r['names']} | {r['risk']} |" for r in rows)] if rows else [
+        "No entity affected."]
+    out += ["", "### Smells", *(f"- {r['severity']} **{r['smell']}**: {r['subject']}" for r in touched)] if touched else ["",
+        "No smells in what changed."]
     return "\n".join(out)

@@ -25,7 +25,9 @@ def read_json(spark: SparkSession, path: str, schema: str, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def ingest(stream: DataFrame, good_path: str, dead_path: str, checkpoint: str, check: Callable[[DataFrame], DataFrame] = records.observed_entity_errors, once: bool = True, deliver: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def ingest(stream: DataFrame, good_path: str, dead_path: str, checkpoint: str,
+    check: Callable[[DataFrame], DataFrame] = records.observed_entity_errors, once: bool = True,
+    deliver: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Splits each batch by the check's error_field and writes both parts, partitioned by the batch's number. Good rows are then
     delivered, if asked for; where that fails the batch is a dead letter as a whole. once: what has arrived, and then an end;
     else it runs on."""
@@ -65,7 +67,8 @@ def running_store(stream: DataFrame, path: str, checkpoint: str, key: str, compa
 
 def span_windows(spans: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Calls, mean and largest value for each service in tumbling windows; later rows than the watermark are left out."""
-    out = spans.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "service_name").agg(F.count("*").alias("calls"), F.avg("value").alias("mean"), F.max("value").alias("largest"))
+    out = spans.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "service_name").agg(F.count("*").alias("calls"),
+        F.avg("value").alias("mean"), F.max("value").alias("largest"))
     return out.select("service_name", F.col("w.start").alias("window_start"), "calls", "mean", "largest")
 
 
@@ -76,8 +79,10 @@ def distinct_events(events: DataFrame, key: str, keep: str = "24 hours") -> Data
 
 def live_calls(spans: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Caller, callee and time as parents and children arrive: a stream-stream join bounded by the watermark."""
-    parent = spans.select(F.col("span_id").alias("p"), F.col("service_name").alias("caller"), F.col("ts").alias("parent_ts")).withWatermark("parent_ts", late)
-    child = spans.where("parent_span_id IS NOT NULL").select("parent_span_id", F.col("service_name").alias("callee"), "ts").withWatermark("ts", late)
+    parent = spans.select(F.col("span_id").alias("p"), F.col("service_name").alias("caller"), F.col("ts").alias("parent_ts")).withWatermark(
+        "parent_ts", late)
+    child = spans.where("parent_span_id IS NOT NULL").select("parent_span_id", F.col("service_name").alias("callee"), "ts").withWatermark(
+        "ts", late)
     near = F.expr("p = parent_span_id AND caller <> callee AND ts BETWEEN parent_ts AND parent_ts + INTERVAL 10 MINUTES")
     return parent.join(child, near).select("caller", "callee", "ts")
 
@@ -89,7 +94,8 @@ def registry_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
         spark = batch.sparkSession
         old = spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], batch.schema)
         rest = [c for c in batch.columns if c not in ("canonical_id", "aliases", "first_seen")]
-        new = batch.groupBy("canonical_id").agg(F.max_by(F.struct(*rest), "first_seen").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.min("first_seen").alias("first_seen"))
+        new = batch.groupBy("canonical_id").agg(F.max_by(F.struct(*rest), "first_seen").alias("n"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.min("first_seen").alias("first_seen"))
         new = new.select("canonical_id", "n.*", "aliases", "first_seen").select(*batch.columns)
         write.upsert_registry(old, new).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/{number}")
         if number >= KEPT_VERSIONS:
@@ -117,7 +123,8 @@ def sample_spans(spans: DataFrame, slow: float, target: float, counts: DataFrame
     keep = (F.col("name") == "error") | (F.col("value") > slow)
     rate = F.least(F.lit(1.0), target / F.col("n"))
     out = spans.join(F.broadcast(counts), "service_name", "left").withColumn("rate", F.when(keep, 1.0).otherwise(F.coalesce(rate, F.lit(1.0))))
-    drawn = F.conv(F.substring(F.md5(F.col("trace_id").cast("string").cast("binary")), 1, 6), 16, 10).cast("long") < F.col("rate") * (1 << 24)
+    drawn = F.conv(F.substring(F.md5(F.col("trace_id").cast("string").cast("binary")), 1, 6), 16, 10).cast("long") < F.col("rate") * (
+        1 << 24)
     return out.where(drawn).withColumn("weight", 1.0 / F.col("rate")).drop("n", "rate")
 
 

@@ -119,6 +119,17 @@ def test_git_records(spark, tmp_path):
     paths, _ = tables.git_files(spark, root, head)
     assert [r["path"] for r in paths.collect()] == ["api/new.go"]
     assert tables.git_files(spark, root, "0" * 40)[0].count() == 4
+    marks, seen = tables.Checkpoints(spark, str(tmp_path / ".marks")), []
+
+    def broken(e, r):
+        raise RuntimeError("away")
+
+    with pytest.raises(RuntimeError):
+        tables.deliver_changes(spark, root, "src", "ns", "run", marks, broken)
+    assert marks.get("src") == (None, 0)
+    for _ in range(2):  # all, and then nothing new but the project itself
+        tables.deliver_changes(spark, root, "src", "ns", "run", marks, lambda e, r: seen.append((e.count(), r.count())))
+    assert seen == [(5, 4), (1, 0)] and marks.get("src") == (git("rev-parse", "HEAD"), 2)
     whole, own, _ = tables.git_records(spark, root, "src", "ns", "run")
     assert own.count() == 4 and whole.where("sub_type = 'project'").first()["raw_name"] == "."
 
