@@ -44,7 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the row with the smallest doc_id, one of several. Rows without an id stay."""
     rows = keyed(docs)
     known = rows.where("doc_id IS NOT NULL")
-    groups = jaccard_join.near_duplicates(known.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    groups = jaccard_join.near_duplicates(known.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"),
+        F.col("component_id").alias("group"))
     groups = common.saved(groups.join(known.select("row", "doc_id"), "row"), "groups")
     first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("x.row")
     return without(rows, groups.join(first, "row", "left_anti").select("row"), "row")
@@ -53,7 +54,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark. Rows of one id and one text share their fate, so they need no number."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64(text).alias("h"), F.crc32(F.encode(text, "UTF-8")).alias("c"), F.octet_length(text).alias("n")).alias("key"))
+    rows = docs.select(*COLUMNS,
+        F.struct("doc_id", F.xxhash64(text).alias("h"), F.crc32(F.encode(text, "UTF-8")).alias("c"), F.octet_length(text).alias("n")).alias(
+            "key"))
     found = decontamination.contamination(rows.select(F.col("key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
     return without(rows, found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "key")
 

@@ -19,7 +19,8 @@ class Coder:
     """Lengths of texts coded with one dictionary, without frame extras."""
 
     def __init__(self, content: bytes, level: int):
-        self.coder = zstandard.ZstdCompressor(level=level, dict_data=raw_dictionary(content, level), write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.coder = zstandard.ZstdCompressor(level=level, dict_data=raw_dictionary(content, level), write_content_size=False,
+            write_checksum=False, write_dict_id=False)
 
     def lengths(self, windows: list[bytes]) -> list[int]:
         code = self.coder.compress

@@ -36,9 +36,12 @@ def _hash(words: str, at: str, gram: int) -> str:
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """Distinct windows: win (words), n, gram, hash and at (fingerprint and its place), items (ids as sorted strings)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words")).where("size(words) > 0")
-    spread = items.select("item", F.explode(F.expr(f"transform(sequence(0, greatest(size(words) - {WINDOW}, 0)), i -> slice(words, i + 1, {WINDOW}))")).alias("win"))
-    distinct = spread.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("n", F.size("win")).withColumn("gram", F.least("n", F.lit(GRAM)))
-    by_gram = "CASE gram " + " ".join(f"WHEN {g} THEN transform(sequence(0, n - {g}), i -> {_hash('win', 'i', g)})" for g in range(1, GRAM + 1)) + " END"
+    spread = items.select("item",
+        F.explode(F.expr(f"transform(sequence(0, greatest(size(words) - {WINDOW}, 0)), i -> slice(words, i + 1, {WINDOW}))")).alias("win"))
+    distinct = spread.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("n", F.size("win")).withColumn(
+        "gram", F.least("n", F.lit(GRAM)))
+    by_gram = "CASE gram " + " ".join(
+        f"WHEN {g} THEN transform(sequence(0, n - {g}), i -> {_hash('win', 'i', g)})" for g in range(1, GRAM + 1)) + " END"
     hashed = distinct.withColumn("hashes", F.expr(by_gram)).withColumn("hash", F.array_min("hashes"))
     return hashed.withColumn("at", F.expr("size(hashes) - array_position(reverse(hashes), hash)").cast("int")).drop("hashes")
 
@@ -51,7 +54,8 @@ def _bitmap(windows: DataFrame, gram: int, least: int = 12, most: int = 20) -> t
     if not n:
         return None
     bits = 1 << min(most, max(least, (128 * n - 1).bit_length()))
-    slots = own.groupBy(F.expr(f"cast(shiftright(hash & {bits - 1}L, 6) as int)").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63L as int))")).alias("bits")).collect()
+    slots = own.groupBy(F.expr(f"cast(shiftright(hash & {bits - 1}L, 6) as int)").alias("slot")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(hash & 63L as int))")).alias("bits")).collect()
     longs = [0] * (bits // 64)
     for r in slots:
         longs[r["slot"]] = r["bits"]
@@ -61,14 +65,16 @@ def _bitmap(windows: DataFrame, gram: int, least: int = 12, most: int = 20) -> t
 def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Per row rid, doc_id, n_words and cands: fingerprints that the benchmark may hold, with the words around."""
     lengths = [r[0] for r in windows.select("n").where(F.col("n") < WINDOW).distinct().collect()]  # at most 9
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words_of(F.col("text")).alias("w")).withColumn("m", F.size("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words_of(F.col("text")).alias("w")).withColumn("m",
+        F.size("w"))
     found = []
     for gram in range(1, GRAM + 1):
         if bitmap := _bitmap(windows, gram):
             table, bits = bitmap
             # each gram is hashed once; most texts end at the bitmap
             own = f"h{gram}"
-            rows = rows.withColumn(own, F.expr(f"CASE WHEN m >= {gram} THEN transform(sequence(0, m - {gram}), i -> {_hash('w', 'i', gram)}) ELSE array() END"))
+            rows = rows.withColumn(own,
+                F.expr(f"CASE WHEN m >= {gram} THEN transform(sequence(0, m - {gram}), i -> {_hash('w', 'i', gram)}) ELSE array() END"))
             bit = lambda h: f"getbit({table}[cast(shiftright({h} & {bits - 1}L, 6) as int)], cast({h} & 63L as int)) = 1"  # noqa: B023, E731
             maybe = f"CASE WHEN exists({own}, h -> {bit('h')}) THEN filter(sequence(0, m - {gram}), i -> {bit(f'{own}[i]')}) ELSE array() END"
             chosen = "false"
@@ -79,13 +85,15 @@ def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
             short = any(min(n, GRAM) == gram for n in lengths)
             found.append(made if short else f"filter({made}, c -> c.chosen)")
     cands = f"concat({', '.join(found)})" if found else "array()"
-    return rows.select("rid", "doc_id", F.col("m").cast("long").alias("n_words"), F.expr(cands).alias("cands") if found else F.lit(None).cast("array<int>").alias("cands"))
+    return rows.select("rid", "doc_id", F.col("m").cast("long").alias("n_words"),
+        F.expr(cands).alias("cands") if found else F.lit(None).cast("array<int>").alias("cands"))
 
 
 def fingerprints(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """rid, gram, hash, place: all fingerprints of rows (rid, w: words), and all grams of short windows' lengths."""
     m, last = "size(w)", WINDOW - GRAM
-    own = rows.withColumn("h", F.expr(f"CASE WHEN {m} >= {GRAM} THEN transform(sequence(0, {m} - {GRAM}), i -> {_hash('w', 'i', GRAM)}) ELSE array() END"))
+    own = rows.withColumn("h",
+        F.expr(f"CASE WHEN {m} >= {GRAM} THEN transform(sequence(0, {m} - {GRAM}), i -> {_hash('w', 'i', GRAM)}) ELSE array() END"))
     # in a window of hashes the smallest, the last of equals
     least = f"transform(sequence(0, {m} - {WINDOW}), s -> s + {last + 1} - array_position(reverse(slice(h, s + 1, {last + 1})), array_min(slice(h, s + 1, {last + 1}))))"
     chosen = f"CASE WHEN {m} >= {WINDOW} THEN array_distinct({least}) ELSE array() END"
@@ -127,8 +135,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
     base, found = (_found_by_bitmap if many <= bitmap_windows else _found_by_join)(docs, windows, side)
     runs = found.select("rid", F.struct("s", (F.col("s") + F.col("n")).alias("e")).alias("run"), "items")
     covered = "aggregate(array_sort(runs), named_struct('e', 0, 't', 0L), (a, x) -> named_struct('e', greatest(a.e, x.e), 't', a.t + greatest(0, x.e - greatest(a.e, x.s))), a -> a.t)"
-    hits = runs.groupBy("rid").agg(F.collect_set("run").alias("runs"), F.collect_set("items").alias("lists")).select("rid", F.expr(covered).alias("n_hit"), F.expr("array_sort(array_distinct(flatten(lists)))").alias("items"))
+    hits = runs.groupBy("rid").agg(F.collect_set("run").alias("runs"), F.collect_set("items").alias("lists")).select("rid",
+        F.expr(covered).alias("n_hit"), F.expr("array_sort(array_distinct(flatten(lists)))").alias("items"))
     out = base.select("rid", "doc_id", "n_words").join(hits, "rid", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), items.alias("items"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), items.alias("items"))

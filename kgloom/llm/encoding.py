@@ -58,7 +58,8 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         pre, norm = json.dumps(spec.get("pre_tokenizer") or {}), spec.get("normalizer")
         self.rule = None
-        if spec["model"]["type"] == "BPE" and not any(t["normalized"] for t in spec.get("added_tokens") or []) and not spec["model"].get("dropout") and "ByteLevel" in pre:
+        if spec["model"]["type"] == "BPE" and not any(t["normalized"] for t in spec.get("added_tokens") or []) and not spec["model"].get(
+            "dropout") and "ByteLevel" in pre:
             if norm is None and '"use_regex": true' in pre and '"add_prefix_space": false' in pre and '"Sequence"' not in pre:
                 self.rule = "spaced"
             elif norm and "Lowercase" in json.dumps(norm) and spec["model"].get("end_of_word_suffix") and '"Split"' in pre:
@@ -188,7 +189,8 @@ class Encoder:
     def _add(self, own: bytes, ids: list[int]) -> None:
         i, end = self.n, self.used + len(ids)
         if i >= len(self.off):
-            self.off, self.len, self.size, self.head, self.mid = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len, self.size, self.head, self.mid))
+            self.off, self.len, self.size, self.head, self.mid = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len, self.size, self.head, self.mid))
         self.size[i], self.head[i], self.mid[i] = len(own), int.from_bytes(own[:8], "little"), int.from_bytes(own[8:16], "little")
         if len(own) > 16:
             self.tail[i] = own[16:]

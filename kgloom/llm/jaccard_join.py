@@ -46,7 +46,9 @@ def _class(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
 
 
-_PIECE = pa.schema([("fragment", pa.int32()), ("batch", pa.int64()), ("docs", pa.int32()), ("values", pa.binary()), ("per_doc", pa.binary()), ("shared", pa.binary()), ("meta", pa.binary())])
+_PIECE = pa.schema(
+    [("fragment", pa.int32()), ("batch", pa.int64()), ("docs", pa.int32()), ("values", pa.binary()), ("per_doc", pa.binary()),
+        ("shared", pa.binary()), ("meta", pa.binary())])
 _PIECE_SQL = "fragment int, batch long, docs int, values binary, per_doc binary, shared binary, meta binary"
 
 
@@ -99,7 +101,9 @@ def _count(group: pa.Table) -> pa.Table:
         doc = np.repeat(np.arange(r["docs"]), np.frombuffer(r["per_doc"], "<u4"))
         counts.append(np.bincount(doc[hit], minlength=r["docs"]).astype("<u4").tobytes())
     meta = [r for r in rows if r["meta"] is not None]
-    return pa.table({"batch": [r["batch"] for r in [*pieces, *meta]], "docs": [r["docs"] for r in [*pieces, *meta]], "counts": [*counts, *[None] * len(meta)], "meta": [*[None] * len(pieces), *(r["meta"] for r in meta)]}, schema=_COUNT)
+    return pa.table(
+        {"batch": [r["batch"] for r in [*pieces, *meta]], "docs": [r["docs"] for r in [*pieces, *meta]],
+            "counts": [*counts, *[None] * len(meta)], "meta": [*[None] * len(pieces), *(r["meta"] for r in meta)]}, schema=_COUNT)
 
 
 _TALLY_SQL = "doc_id long, cls binary, n long, repeated long"
@@ -122,7 +126,8 @@ def _sum(group: pa.Table) -> pa.Table:
 
 
 def _meta(ids: list, sets: list[np.ndarray], classes: list[bytes]) -> bytes:
-    return np.array([d or 0 for d in ids], "<i8").tobytes() + np.array([len(s) for s in sets], "<i8").tobytes() + bytes(d is None for d in ids) + b"".join(c.ljust(16, b"\0") for c in classes)
+    return np.array([d or 0 for d in ids], "<i8").tobytes() + np.array([len(s) for s in sets], "<i8").tobytes() + bytes(
+        d is None for d in ids) + b"".join(c.ljust(16, b"\0") for c in classes)
 
 
 def _fragments(shingles: int) -> int:
@@ -163,7 +168,9 @@ _SET = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("shingles", pa.binar
 def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without most of those whose doc_id isn't among ids: a bitmap of hashes, of at most 4 MB whatever their number."""
     bits = 1 << max(16, min(25, (16 * ids.count()).bit_length()))
-    slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h")).groupBy(F.expr("cast(shiftright(h, 6) as int)").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63L as int))")).alias("bits")).collect()
+    slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h")).groupBy(
+        F.expr("cast(shiftright(h, 6) as int)").alias("slot")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63L as int))")).alias("bits")).collect()
     table = np.zeros(bits // 64, np.int64)
     table[[r["slot"] for r in slots]] = [r["bits"] for r in slots]
     sent = docs.sparkSession.sparkContext.broadcast(table.tobytes())
@@ -183,7 +190,8 @@ def class_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c, len(s), s.astype("<u8").tobytes()) for c, s in zip(batch.column("cls").to_pylist(), _sets(batch, k), strict=True) if _class(s) == c]
+            rows = [(c, len(s), s.astype("<u8").tobytes()) for c,
+                s in zip(batch.column("cls").to_pylist(), _sets(batch, k), strict=True) if _class(s) == c]
             cls, n, blob = zip(*rows, strict=True) if rows else ((), (), ())
             yield common.record(_SET, cls=cls, n=n, shingles=blob)
 
@@ -204,8 +212,12 @@ def prefix_keys(sets: DataFrame) -> DataFrame:
 
     Fragments count the classes of each shingle; what they find comes back by batch, not by class."""
     fragments = _fragments(sets.agg(F.sum("n")).first()[0] or 0)
-    piece = pa.schema([("fragment", pa.int32()), ("batch", pa.int64()), ("classes", pa.binary()), ("sizes", pa.binary()), ("values", pa.binary()), ("per", pa.binary())])
-    tally = pa.schema([("batch", pa.int64()), ("classes", pa.binary()), ("sizes", pa.binary()), ("values", pa.binary()), ("per", pa.binary()), ("df", pa.binary())])
+    piece = pa.schema(
+        [("fragment", pa.int32()), ("batch", pa.int64()), ("classes", pa.binary()), ("sizes", pa.binary()), ("values", pa.binary()),
+            ("per", pa.binary())])
+    tally = pa.schema(
+        [("batch", pa.int64()), ("classes", pa.binary()), ("sizes", pa.binary()), ("values", pa.binary()), ("per", pa.binary()),
+            ("df", pa.binary())])
     keys = pa.schema([("key", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("alone", pa.int64()), ("place", pa.int64())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +251,9 @@ def prefix_keys(sets: DataFrame) -> DataFrame:
             keep[keep] = known[at[keep]] == v[keep]
             per = np.frombuffer(r["per"], "<u4")
             owner = np.repeat(np.arange(len(per)), per)[keep]
-            out.append((r["batch"], r["classes"], r["sizes"], v[keep].tobytes(), np.bincount(owner, minlength=len(per)).astype("<u4").tobytes(), df[at[keep]].astype("<u4").tobytes()))
+            out.append(
+                (r["batch"], r["classes"], r["sizes"], v[keep].tobytes(), np.bincount(owner, minlength=len(per)).astype("<u4").tobytes(),
+                    df[at[keep]].astype("<u4").tobytes()))
         batch, classes, sizes, v, per, d = zip(*out, strict=True)
         return pa.table({"batch": batch, "classes": classes, "sizes": sizes, "values": v, "per": per, "df": d}, schema=tally)
 
@@ -259,9 +273,12 @@ def prefix_keys(sets: DataFrame) -> DataFrame:
         near = place < (sizes - (3 * sizes + 3) // 4 + 1)[owner]
         owner, place = owner[near], place[near]
         names = [first["classes"][16 * i : 16 * i + 16] for i in range(len(sizes))]
-        return pa.table({"key": h[near].view(np.int64), "cls": [names[i] for i in owner.tolist()], "n": sizes[owner], "alone": alone[owner], "place": place}, schema=keys)
+        return pa.table(
+            {"key": h[near].view(np.int64), "cls": [names[i] for i in owner.tolist()], "n": sizes[owner], "alone": alone[owner],
+                "place": place}, schema=keys)
 
-    dealt = _spread(sets.mapInArrow(common.lean(deal), "fragment int, batch long, classes binary, sizes binary, values binary, per binary"), fragments)
+    dealt = _spread(sets.mapInArrow(common.lean(deal), "fragment int, batch long, classes binary, sizes binary, values binary, per binary"),
+        fragments)
     counted = dealt.groupBy("fragment").applyInArrow(count, "batch long, classes binary, sizes binary, values binary, per binary, df binary")
     return counted.groupBy("batch").applyInArrow(pick, _KEYS_SQL)
 
@@ -284,7 +301,8 @@ def count_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], schema=schema)
 
-    left, right = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
+    left, right = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("cls").alias("b"),
+        F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(common.lean(overlap), "a binary, b binary")
 
 
@@ -301,7 +319,8 @@ def components(links: DataFrame) -> DataFrame:
         large = common.saved(large, "large-star")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+            least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         small = common.saved(small, "small-star")
         edges = small
         mark, before = small.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first(), mark
@@ -335,7 +354,9 @@ def _block_pairs(live: DataFrame) -> DataFrame:
     placed = live.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    one, two = (met.select("key", "lo", "hi", F.col("own").alias("o" + a), F.col("cls").alias(a), F.col("comp").alias("c" + a), F.col("n").alias("n" + a), F.col("place").alias("p" + a), F.col("alone").alias("a" + a)) for a in "xy")
+    one, two = (
+        met.select("key", "lo", "hi", F.col("own").alias("o" + a), F.col("cls").alias(a), F.col("comp").alias("c" + a),
+            F.col("n").alias("n" + a), F.col("place").alias("p" + a), F.col("alone").alias("a" + a)) for a in "xy")
     meet = "cx <> cy AND ((lo = hi AND x < y) OR (lo < hi AND ox = lo AND oy = hi))"
     return one.join(two, ["key", "lo", "hi"]).where(f"{meet} AND least(nx - px, ny - py) >= ceil(3 * (nx + ny) / 7) AND {_FITS}")
 
@@ -357,14 +378,16 @@ def class_components(sets: DataFrame, star_rounds: int = 3) -> DataFrame:
             if live.isEmpty():
                 break
         if turn < star_rounds:
-            central = F.struct(F.floor(F.col("alone") * 32 / F.col("n")).alias("share"), F.xxhash64("cls", F.lit(turn)).alias("order"), "cls")
+            central = F.struct(F.floor(F.col("alone") * 32 / F.col("n")).alias("share"), F.xxhash64("cls", F.lit(turn)).alias("order"),
+                "cls")
             best = F.min_by(F.struct("cls", "comp", "n", "alone"), central)
             if turn == 0:
                 lead = live.groupBy("key").agg(best.alias("lead"))
             else:
                 sizes = live.groupBy("key", "comp").agg(F.count("*").alias("size"), best.alias("lead"))
                 lead = sizes.groupBy("key").agg(F.max_by("lead", F.struct("size", "comp")).alias("lead"))
-            pairs = _with_leader(live, lead).where("comp <> lead.comp").select(F.col("lead.cls").alias("x"), F.col("cls").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"), F.col("lead.alone").alias("ax"), F.col("alone").alias("ay"))
+            pairs = _with_leader(live, lead).where("comp <> lead.comp").select(F.col("lead.cls").alias("x"), F.col("cls").alias("y"),
+                F.col("lead.n").alias("nx"), F.col("n").alias("ny"), F.col("lead.alone").alias("ax"), F.col("alone").alias("ay"))
         else:
             pairs = _block_pairs(live)
         pairs = pairs.where(_FITS).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -60,7 +60,8 @@ class Identifier:
 
 def sample_rows(docs: DataFrame, folds: int, held: int, sample: int, sample_chars: int) -> list[tuple[str, str]]:
     """(language, text) of at most ``sample`` distinct texts of each language, the first by a hash of the text."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
+        F.col("text").cast("string").alias("text"))
     known = ids.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.id_bucket(F.col("doc_id"), folds) != held))
     known = known.select("lang", F.substring("text", 1, sample_chars).alias("text")).withColumn("h", F.xxhash64("text"))
     first = Window.partitionBy("lang").orderBy("h")
@@ -70,7 +71,8 @@ def sample_rows(docs: DataFrame, folds: int, held: int, sample: int, sample_char
     return [(r["lang"], r["text"]) for r in rows]
 
 
-def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = 200, sample_chars: int = 20_000, min_margin: float = 0.0005) -> DataFrame:
+def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = 200, sample_chars: int = 20_000,
+    min_margin: float = 0.0005) -> DataFrame:
     """docs with held_out, lang_pred, score, margin and rejected."""
     spark = common.tune(docs.sparkSession)
     content = train(sample_rows(docs, folds, held, sample, sample_chars))
@@ -85,8 +87,12 @@ def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, sample: in
         if not made:
             made.append(Identifier(sent.value))
         for batch in batches:
-            lang, score, margin = zip(*(made[0](t) for t in batch.column("text").to_pylist()), strict=True) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names=[*names, "lang_pred", "score", "margin"])
+            lang, score, margin = zip(*(made[0](t) for t in batch.column("text").to_pylist()), strict=True) if batch.num_rows else ((), (),
+                ())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())],
+                names=[*names, "lang_pred", "score", "margin"])
 
     held_out = F.coalesce(common.id_bucket(F.col("doc_id").cast("long"), folds) == held, F.lit(False))
-    return docs.mapInArrow(common.lean(run), schema).withColumns({"held_out": held_out, "rejected": (F.col("lang_pred") == "und") | (F.col("margin") < min_margin)})
+    return docs.mapInArrow(common.lean(run), schema).withColumns(
+        {"held_out": held_out, "rejected": (F.col("lang_pred") == "und") | (F.col("margin") < min_margin)})

@@ -52,11 +52,13 @@ def _quoted(words) -> str:
 def template_sets(spark, templates: list[tuple[str, str]]) -> list[tuple[str, list[str], int]]:
     """Labels, word sets and numbers of words, by the same word rule as the texts'."""
     rows = spark.createDataFrame([(k, label, text) for k, (label, text) in enumerate(templates)], "k int, label string, text string")
-    cut = rows.select("k", "label", F.regexp_extract_all(common.ascii_lower(F.col("text")), F.lit(common.WORD), F.lit(0)).alias("words")).orderBy("k")
+    cut = rows.select("k", "label",
+        F.regexp_extract_all(common.ascii_lower(F.col("text")), F.lit(common.WORD), F.lit(0)).alias("words")).orderBy("k")
     return [(r["label"], list(dict.fromkeys(r["words"])), len(r["words"])) for r in cut.collect()]
 
 
-def scan(docs: DataFrame, sets: list[tuple[str, list[str], int]], vocabulary: set[str], containment: float, phrases: dict[str, str]) -> DataFrame:
+def scan(docs: DataFrame, sets: list[tuple[str, list[str], int]], vocabulary: set[str], containment: float,
+    phrases: dict[str, str]) -> DataFrame:
     """rid, doc_id, n_words, places (start, label of each phrase), seen (template words of the text), blocks (of lines),
     hits (place, line and word of each template word; null unless the text may hold a template over several lines)."""
     least = min(_need(len(words), containment) for _, words, _ in sets)
@@ -67,7 +69,8 @@ def scan(docs: DataFrame, sets: list[tuple[str, list[str], int]], vocabulary: se
     own = f"filter(l, x -> x IN ({_quoted(vocabulary)}))"
     flat = flat.withColumn("blocks", F.expr(f"transform(by_line, l -> array_distinct({own}))"))
     flat = flat.withColumn("seen", F.expr("array_distinct(flatten(blocks))"))
-    possible = " OR ".join(f"size(array_intersect(seen, array({_quoted(words)}))) >= {_need(len(words), containment)}" for _, words, _ in sets)
+    possible = " OR ".join(f"size(array_intersect(seen, array({_quoted(words)}))) >= {_need(len(words), containment)}" for _, words,
+        _ in sets)
     lined = "flatten(transform(by_line, (l, n) -> transform(l, x -> named_struct('line', n, 'word', x))))"
     placed = f"filter(transform({lined}, (x, n) -> named_struct('at', n, 'line', x.line, 'word', x.word)), x -> x.word IN ({_quoted(vocabulary)}))"
     flat = flat.withColumn("hits", F.expr(f"CASE WHEN size(by_line) > 1 AND ({possible}) THEN {placed} END"))
@@ -76,8 +79,12 @@ def scan(docs: DataFrame, sets: list[tuple[str, list[str], int]], vocabulary: se
         words = phrase.split(" ")
         here = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
         possible = " AND ".join(f"array_contains(seen, '{x}')" for x in words)
-        places.append(f"transform(CASE WHEN size(w) >= {len(words)} AND {possible} THEN filter(sequence(0, size(w) - {len(words)}), i -> {here}) ELSE array() END, i -> named_struct('at', i, 'label', '{label}'))")
-    return flat.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr(f"concat({', '.join(places)})").alias("places"), "seen", F.expr(f"filter(transform(blocks, (b, i) -> named_struct('line', i, 'words', b)), x -> size(x.words) >= {least})").alias("blocks"), "hits")
+        places.append(
+            f"transform(CASE WHEN size(w) >= {len(words)} AND {possible} THEN filter(sequence(0, size(w) - {len(words)}), i -> {here}) ELSE array() END, i -> named_struct('at', i, 'label', '{label}'))")
+    return flat.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr(f"concat({', '.join(places)})").alias("places"),
+        "seen",
+        F.expr(f"filter(transform(blocks, (b, i) -> named_struct('line', i, 'words', b)), x -> size(x.words) >= {least})").alias("blocks"),
+        "hits")
 
 
 def containment_join(scanned: DataFrame, sets: list[tuple[str, list[str], int]], vocabulary: set[str], containment: float) -> DataFrame:
@@ -96,7 +103,10 @@ def containment_join(scanned: DataFrame, sets: list[tuple[str, list[str], int]],
             first.add(order[r - 1])
     prefixes = spark.createDataFrame(index, "rank int, t int, label string, tp int, tn int, need int, ranks array<int>")
     blocks = scanned.select("rid", F.explode(F.expr(f"filter(blocks, b -> exists(b.words, x -> x IN ({_quoted(first)})))")).alias("b"))
-    ordered = blocks.select("rid", F.col("b.line").alias("line"), F.expr(f"array_sort(transform(b.words, x -> cast(array_position(array({', '.join(_quoted([w]) for w in order)}), x) as int)))").alias("own"))
+    ordered = blocks.select("rid", F.col("b.line").alias("line"),
+        F.expr(
+            f"array_sort(transform(b.words, x -> cast(array_position(array({', '.join(_quoted([w]) for w in order)}), x) as int)))").alias(
+            "own"))
     probes = ordered.select("rid", "line", "own", F.posexplode("own").alias("bp", "rank"))
     pairs = probes.join(F.broadcast(prefixes), "rank").where("size(own) >= need AND 1 + least(tn - tp, size(own) - bp) - 1 >= need - tp")
     # the first shared word decides, so each pair is counted once
@@ -121,7 +131,8 @@ def _need(n: int, containment: float) -> int:
     return max(1, math.ceil(containment * n - 1e-9))  # 0.56 of 25 words are 14, though the product is more by rounding
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None,
+    containment: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and found (line, label, containment).
 
     score: 1 where a phrase stands, else the largest containment found, else 0."""
@@ -130,7 +141,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     vocabulary = {w for _, words, _ in sets for w in words} | {w for p in phrases for w in p.split(" ")}
     scanned = common.saved(scan(docs, sets, vocabulary, containment, phrases), "scan")
     found = containment_join(scanned, sets, vocabulary, containment).unionByName(wrapped(scanned, sets, containment))
-    by_doc = found.groupBy("rid").agg(F.collect_set("label").alias("own"), F.max("containment").alias("most"), F.collect_list(F.struct("line", "label", "containment")).alias("found"))
+    by_doc = found.groupBy("rid").agg(F.collect_set("label").alias("own"), F.max("containment").alias("most"),
+        F.collect_list(F.struct("line", "label", "containment")).alias("found"))
     out = scanned.select("rid", "doc_id", "n_words", "places").join(by_doc, "rid", "left")
     base = F.expr("array_distinct(transform(places, p -> p.label))")
     return out.select(

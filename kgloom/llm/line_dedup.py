@@ -36,7 +36,9 @@ def keys_of(text: str, min_chars: int) -> tuple[list[bytes], list[bytes | None]]
     out = []
     for line in lines:
         key = line.strip(BLANK).lower()
-        out.append(xxhash.xxh3_128_digest(key) if len(key) >= min_chars and (key.isascii() or len(key.decode("utf-8", "surrogatepass")) >= min_chars) else None)
+        out.append(
+            xxhash.xxh3_128_digest(key) if len(key) >= min_chars and (
+                key.isascii() or len(key.decode("utf-8", "surrogatepass")) >= min_chars) else None)
     return lines, out
 
 
@@ -92,7 +94,8 @@ class LineIndex:
         for r in rows:
             sizes = np.frombuffer(r["sizes"], "<i8")
             bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(sizes.sum())).astype(bool)
-            self.shards[r["shard"]] = (PerfectHash(sizes, bits), np.frombuffer(r["fingerprints"], "<u8"), np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["keepers"], "<i8"))
+            self.shards[r["shard"]] = (PerfectHash(sizes, bits), np.frombuffer(r["fingerprints"], "<u8"), np.frombuffer(r["counts"], "<i8"),
+                np.frombuffer(r["keepers"], "<i8"))
 
     def probe(self, shard: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many documents hold each key (0: not repeated), and the smallest."""
@@ -128,12 +131,14 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
             h1, h2 = _halves(hashes)
             yield common.record(schema, h1=h1.view(np.int64), h2=h2.view(np.int64), doc_id=ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), "h1 long, h2 long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run),
+        "h1 long, h2 long, doc_id long")
 
 
 def build_index(docs: DataFrame, min_chars: int = 10, shard_keys: int = 250_000) -> tuple[DataFrame, int, int]:
     """The index's shards as a written table, their number, and the number of repeated keys."""
-    schema = pa.schema([("shard", pa.int32()), ("n", pa.int64()), *((k, pa.binary()) for k in ("sizes", "bits", "fingerprints", "counts", "keepers"))])
+    schema = pa.schema(
+        [("shard", pa.int32()), ("n", pa.int64()), *((k, pa.binary()) for k in ("sizes", "bits", "fingerprints", "counts", "keepers"))])
 
     def build(group: pa.Table) -> pa.Table:
         x = {k: group.column(k).to_numpy() for k in ("h1", "h2", "n", "keeper", "shard")}
@@ -144,10 +149,15 @@ def build_index(docs: DataFrame, min_chars: int = 10, shard_keys: int = 250_000)
         arrays = [np.zeros(len(h1), kind) for kind in ("<u8", "<i8", "<i8")]
         for a, v in zip(arrays, (h2, x["n"], x["keeper"]), strict=True):
             a[slot] = v
-        return pa.Table.from_batches([common.record(schema, shard=[int(x["shard"][0])], n=[len(h1)], sizes=[mph.sizes.astype("<i8").tobytes()], bits=[np.packbits(mph.bits).tobytes()], fingerprints=[arrays[0].tobytes()], counts=[arrays[1].tobytes()], keepers=[arrays[2].tobytes()])])
+        return pa.Table.from_batches(
+            [
+                common.record(schema, shard=[int(x["shard"][0])], n=[len(h1)], sizes=[mph.sizes.astype("<i8").tobytes()],
+                    bits=[np.packbits(mph.bits).tobytes()], fingerprints=[arrays[0].tobytes()], counts=[arrays[1].tobytes()],
+                    keepers=[arrays[2].tobytes()])])
 
     common.tune(docs.sparkSession)
-    seen = line_hashes(docs, min_chars).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
+    seen = line_hashes(docs, min_chars).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"),
+        F.max("doc_id").alias("last"))
     repeated = common.saved(seen.where("keeper < last").drop("last"), "lines")
     total = repeated.count()
     shards = max(1, -(-total // shard_keys))
@@ -155,13 +165,15 @@ def build_index(docs: DataFrame, min_chars: int = 10, shard_keys: int = 250_000)
     return common.saved(index, "line-index"), shards, total
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, broadcast_keys: int = 2_000_000, shard_keys: int = 250_000, salt_rows: int = 1_000_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, broadcast_keys: int = 2_000_000, shard_keys: int = 250_000,
+    salt_rows: int = 1_000_000) -> DataFrame:
     """docs with the kept text in ``text`` and two more columns, n_lines and n_dropped."""
     spark = common.tune(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*names)
     index, shards, total = build_index(docs, min_chars, shard_keys)
-    schema = docs.withColumn("text", F.col("text").cast("string")).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
+    schema = docs.withColumn("text", F.col("text").cast("string")).withColumns(
+        {"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
     if total <= broadcast_keys:
         sent = spark.sparkContext.broadcast([r.asDict() for r in index.collect()])
         drops, source = None, docs
@@ -191,8 +203,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, broadcast_keys: int = 2_00
                 for i, j in places:
                     if split[i][1][j] in away[i]:
                         gone[i].add(j)
-            kept = [b"\n".join(x for j, x in enumerate(lines) if j not in gone[i]).decode("utf-8", "surrogatepass") for i, (lines, _) in enumerate(split)]
-            out = {c: batch.column(c) for c in names} | {"text": pa.array(kept), "n_lines": pa.array([len(x) for x, _ in split], pa.int64()), "n_dropped": pa.array([len(g) for g in gone], pa.int64())}
+            kept = [b"\n".join(x for j, x in enumerate(lines) if j not in gone[i]).decode("utf-8", "surrogatepass") for i,
+                (lines, _) in enumerate(split)]
+            out = {c: batch.column(c) for c in names} | {"text": pa.array(kept), "n_lines": pa.array([len(x) for x, _ in split], pa.int64()),
+                "n_dropped": pa.array([len(g) for g in gone], pa.int64())}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return source.mapInArrow(common.lean(run), schema)

@@ -83,7 +83,8 @@ def padded(used: int, capacity: int) -> int:
     return used if used & (used - 1) == 0 else capacity
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, batch_tokens: int = 16 << 20, batch_pieces: int = 1 << 18) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, batch_tokens: int = 16 << 20,
+    batch_pieces: int = 1 << 18) -> DataFrame:
     """One row per piece; extra columns: sequence_tokens (ids in the sequence), padded_to (its stored length)."""
     kinds = [(k.split()[0], pa.int64()) for k in SCHEMA.split(", ")]
     schema = pa.schema(kinds)
@@ -98,7 +99,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
             window, offset, fill = best_fit([p[2] for p in pieces], capacity)
             doc, start, length, crc, total = zip(*pieces, strict=True)
             used = [fill[w] for w in window]
-            out = common.record(schema, doc_id=doc, start=start, length=length, ids_crc32=crc, doc_tokens=total, sequence_id=[first + made + w for w in window], offset=offset, sequence_tokens=used, padded_to=[padded(u, capacity) for u in used])
+            out = common.record(schema, doc_id=doc, start=start, length=length, ids_crc32=crc, doc_tokens=total,
+                sequence_id=[first + made + w for w in window], offset=offset, sequence_tokens=used,
+                padded_to=[padded(u, capacity) for u in used])
             pieces, size, made = [], 0, made + len(fill)
             return out
 
@@ -120,4 +123,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         enc.forget()  # a worker may serve other operators next
 
     common.tune(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run),
+        SCHEMA)

@@ -56,6 +56,9 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_wavelet_tokens, op3_toxicity, op4_vp_trees, op5_license_scan, op6_jaccard_join, op7_language_id, op8_line_dedup, op9_kd_sharding, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_decontamination, op2_wavelet_tokens, op3_toxicity, op4_vp_trees, op5_license_scan, op6_jaccard_join,
+        op7_language_id, op8_line_dedup, op9_kd_sharding, op10_best_fit_packing)}
 #: The others need a tokenizer, a trained model, an approximate search or a tree; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": oracle.OP1, "op5_license_scan": oracle.op5(), "op6_jaccard_join": oracle.OP6, "op8_line_dedup": oracle.OP8}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": oracle.OP1, "op5_license_scan": oracle.op5(), "op6_jaccard_join": oracle.OP6,
+    "op8_line_dedup": oracle.OP8}

@@ -72,7 +72,8 @@ def halve(weights: list[float], left: float, right: float, light: float, least:
         run += weights[k] if k < len(weights) else 0.0
     side = [k < at for k in range(len(weights))]
     for _ in range(len(weights)):
-        gap = left + sum(w for w, s in zip(weights, side, strict=True) if s) - right - sum(w for w, s in zip(weights, side, strict=True) if not s)
+        gap = left + sum(w for w, s in zip(weights, side, strict=True) if s) - right - sum(w for w,
+            s in zip(weights, side, strict=True) if not s)
         if abs(gap) <= light + least:
             break
         full = [k for k, s in enumerate(side) if s == (gap > 0)]
@@ -169,12 +170,14 @@ def _find_cuts(light: DataFrame, plan: dict[int, Cut], limit: float, bins: int)
         counted = light.withColumn("bin", where).where("bin IS NOT NULL").groupBy("node", "bin").agg(F.sum("weight").alias("w"))
         run = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
         wants = F.coalesce(*[F.when(F.col("node") == n, F.lit(float(plan[n].want - plan[n].before))) for n in open_])
-        crossing = counted.withColumn("upto", run).where(F.col("upto") >= wants).groupBy("node").agg(F.min_by(F.struct("bin", "w", "upto"), "bin").alias("x")).collect()
+        crossing = counted.withColumn("upto", run).where(F.col("upto") >= wants).groupBy("node").agg(
+            F.min_by(F.struct("bin", "w", "upto"), "bin").alias("x")).collect()
         got = {r["node"]: r["x"] for r in crossing}
         open_ = {n for n in open_ if not plan[n].narrow(got.get(n), limit)}
 
 
-def grow_tree(light: DataFrame, heavies: list[dict], dims: list[str], shards: int, extra: list[float], target: float, tolerance: float, bins: int) -> tuple[DataFrame, dict[str, int]]:
+def grow_tree(light: DataFrame, heavies: list[dict], dims: list[str], shards: int, extra: list[float], target: float, tolerance: float,
+    bins: int) -> tuple[DataFrame, dict[str, int]]:
     """light (group, weight, dimensions, mix) with ``node``, its shard; and the heavy groups' shards."""
     columns = [*dims, "mix"]
     light, width, level = light.withColumn("node", F.lit(0)), shards, 0
@@ -210,7 +213,8 @@ def grow_tree(light: DataFrame, heavies: list[dict], dims: list[str], shards: in
     return light, nodes
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, heavy: float = 0.005, tolerance: float = 0.0005, bins: int = 4096, slot_rows: int = 200_000, names: tuple[str, ...] = NAMES) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 8, heavy: float = 0.005, tolerance: float = 0.0005, bins: int = 4096,
+    slot_rows: int = 200_000, names: tuple[str, ...] = NAMES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row. shards: a power of two."""
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
@@ -220,10 +224,14 @@ def assign_shards(docs: DataFrame, shards: int = 8, heavy: float = 0.005, tolera
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     group = F.concat_ws("-", F.hex(F.xxhash64(text)), F.hex(F.crc32(text.cast("binary"))), F.octet_length(text))
     codes = [name_code(F.col(c)).alias(c) for c in names]
-    rows = common.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group.alias("group"), *codes), "rows")
+    rows = common.saved(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"), group.alias("group"), *codes), "rows")
     first = F.min(F.struct("doc_id", *names))
     groups = rows.groupBy("group").agg(F.sum("size").alias("weight"), F.min("size").alias("bytes"), first.alias("f"))
-    groups = common.saved(groups.select("group", "weight", "bytes", F.coalesce("f.doc_id", F.lit(0)).alias("first_id"), *[F.col(f"f.{c}").alias(c) for c in names], F.pmod(F.xxhash64("group"), F.lit(1 << 40)).alias("mix")), "groups")
+    groups = common.saved(
+        groups.select("group", "weight", "bytes", F.coalesce("f.doc_id", F.lit(0)).alias("first_id"),
+            *[F.col(f"f.{c}").alias(c) for c in names], F.pmod(F.xxhash64("group"), F.lit(1 << 40)).alias("mix")), "groups")
     target = float(groups.agg(F.sum("weight")).first()[0] or 0) / shards
     placed, extra = _dealt_parts(groups, rows, shards, target, heavy)
     whole = groups.where(F.col("weight") <= target)
@@ -236,7 +244,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, heavy: float = 0.005, tolera
         known = spark.createDataFrame(placed, "group string, part int, parts int, home int")
         count = known.groupBy("group").agg(F.first("parts").alias("parts"))
         tagged = rows.join(F.broadcast(count), "group", "left").withColumn("part", F.coalesce(_part(), F.lit(0)))
-        dealt = tagged.join(F.broadcast(known.drop("parts")), ["group", "part"], "left").select("doc_id", "size", "text_crc32", "group", "home")
+        dealt = tagged.join(F.broadcast(known.drop("parts")), ["group", "part"], "left").select("doc_id", "size", "text_crc32", "group",
+            "home")
         big = dealt.where("home IS NOT NULL").withColumnRenamed("home", "shard").drop("group")
         found = dealt.where("home IS NULL").drop("home").join(homes, "group").drop("group").unionByName(big)
     else:
@@ -246,7 +255,9 @@ def assign_shards(docs: DataFrame, shards: int = 8, heavy: float = 0.005, tolera
     parts = max(1, -(-found.count() // (shards * slot_rows)))
     dealt = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(parts)).cast("int"))
     counts = dealt.groupBy("shard", "part").count()
-    before = counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before"))
+    before = counts.select("shard", "part",
+        (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before"))
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")) - 1)
     out = ranked.join(before, ["shard", "part"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        (F.col("before") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -59,7 +59,8 @@ class Scorer:
 
     def __init__(self, model: ToxicityModel):
         self.m, self.known = model, {}
-        one = lambda d: zstandard.ZstdCompressor(level=model.level, dict_data=raw_dictionary(d, model.level) if len(d) >= 8 else None, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        one = lambda d: zstandard.ZstdCompressor(level=model.level, dict_data=raw_dictionary(d, model.level) if len(d) >= 8 else None,
+            write_content_size=False, write_checksum=False, write_dict_id=False).compress
         self.with_toxic, self.with_ordinary = one(model.toxic), one(model.ordinary)
 
     def distance(self, text: str) -> int:
@@ -106,9 +107,11 @@ def _contents(a: tuple[Counter, int], b: tuple[Counter, int], odds: float, most:
     (one, n), (two, m) = a, b
     both = one + two
     chance = math.log(max(2, len(both)) / 5)  # about five words of all may pass by chance
-    own = {s for s in one if _significant(one[s], n, two[s], m, odds, chance)}, {s for s in two if _significant(two[s], m, one[s], n, odds, chance)}
+    own = {s for s in one if _significant(one[s], n, two[s], m, odds, chance)}, {
+        s for s in two if _significant(two[s], m, one[s], n, odds, chance)}
     shared = sorted((c, s) for s, c in both.most_common(most) if c > 1 and s not in own[0] and s not in own[1])
-    return tuple(b"".join(_code(s) for _, s in [*shared, *sorted((count[s], s) for s in ours)][-most:]) for ours, count in zip(own, (one, two), strict=True))
+    return tuple(b"".join(_code(s) for _, s in [*shared, *sorted((count[s], s) for s in ours)][-most:]) for ours,
+        count in zip(own, (one, two), strict=True))
 
 
 def train(toxic: list[str], ordinary: list[str], share: float = 0.5, odds: float = 12.0, most: int = 4000) -> ToxicityModel:
@@ -127,20 +130,24 @@ def train(toxic: list[str], ordinary: list[str], share: float = 0.5, odds: float
     return model
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: int, sample_chars: int) -> tuple[list[str], list[str], float]:
+def sample_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: int, sample_chars: int) -> tuple[list[str], list[str],
+    float]:
     """Texts of at most ``sample`` toxic and ordinary ids of the learning folds, by the order of a hash, and the toxic part of all."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isin(0, 1) & (common.id_bucket(F.col("doc_id"), folds) != held))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(
+        F.col("toxic").isin(0, 1) & (common.id_bucket(F.col("doc_id"), folds) != held))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (1, 0)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, sample_chars).alias("text")).where("text <> ''")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+        F.substring(F.col("text").cast("string"), 1, sample_chars).alias("text")).where("text <> ''")
     rows = texts.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # one text an id
     rows = sorted({(r.toxic, r.text) for r in rows}, key=lambda r: xxhash.xxh64_intdigest(r[1]))
     return [t for y, t in rows if y == 1], [t for y, t in rows if y == 0], counts.get(1, 0) / max(1, sum(counts.values()))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 2000, sample_chars: int = 20_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 2000,
+    sample_chars: int = 20_000) -> DataFrame:
     spark = common.tune(docs.sparkSession)
     model = train(*sample_rows(docs, labels, folds, held, sample, sample_chars))
     sent = spark.sparkContext.broadcast(model)  # at most 4000 words a class
@@ -155,4 +162,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(common.lean(score), "doc_id long, score double")
-    return out.select("doc_id", F.coalesce(common.id_bucket(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(common.id_bucket(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -186,11 +186,13 @@ _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa
 _HIT_SQL = "query_id long, vec_id long, score double"
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.0, sample: int = 8192, shard_rows: int = 4096, query_rows: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.0, sample: int = 8192, shard_rows: int = 4096,
+    query_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score for queries with vec_id divisible by ``every``."""
     spark = common.tune(vectors.sparkSession)
     all_ = usable(vectors)
-    sizes = all_.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("m")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    sizes = all_.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"),
+        F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("m")).orderBy(F.desc("n"), "dim").limit(1).collect()
     result = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], result)
@@ -243,7 +245,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.
                     go[np.arange(len(q)), home] = False
                 row, shard = np.nonzero(go[:, pairs[0]])
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0][shard], pa.int32()), pa.array(pairs[1][shard], pa.int32()), b.column("vec_id").take(take), b.column("v").take(take), pa.array(far[row], pa.float64())], names=["leaf", "sub", "vec_id", "v", "far"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pairs[0][shard], pa.int32()), pa.array(pairs[1][shard], pa.int32()), b.column("vec_id").take(take),
+                        b.column("v").take(take), pa.array(far[row], pa.float64())], names=["leaf", "sub", "vec_id", "v", "far"])
 
         return run
 
@@ -270,7 +274,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.
     home = searched(queries, True)
     worst = top(home).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
     norm = F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")
-    reached = F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.lit(0.0), norm + most * most - 2 * F.col("s")) + ROUNDING * (norm + most * most)))
-    known = queries.join(worst, queries.vec_id == worst.query_id, "left").select("vec_id", "v", F.coalesce(reached, F.lit(float("inf"))).alias("far"))
+    reached = F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(
+        F.sqrt(F.greatest(F.lit(0.0), norm + most * most - 2 * F.col("s")) + ROUNDING * (norm + most * most)))
+    known = queries.join(worst, queries.vec_id == worst.query_id, "left").select("vec_id", "v",
+        F.coalesce(reached, F.lit(float("inf"))).alias("far"))
     away = searched(known, False)
     return top(home.unionByName(away).distinct()).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

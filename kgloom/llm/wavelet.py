@@ -49,7 +49,8 @@ def to_blob(ids: np.ndarray, level: int = 1) -> bytes:
         frames = [pack.compress(packed[i : i + step]) for i in range(0, len(packed), step)]
         ranks = [0, *(int(ones[i : i + FRAME].sum()) for i in range(0, len(ones), FRAME))]
         low = a[~ones]
-        out += [struct.pack("<Q", len(low)), np.cumsum(ranks, dtype="<u8").tobytes(), np.cumsum([0, *map(len, frames)], dtype="<u8").tobytes(), *frames]
+        out += [struct.pack("<Q", len(low)), np.cumsum(ranks, dtype="<u8").tobytes(),
+            np.cumsum([0, *map(len, frames)], dtype="<u8").tobytes(), *frames]
         a = np.concatenate([low, a[ones]])
     return b"".join(out)
 
@@ -144,7 +145,8 @@ class WaveletMatrix:
         kind = np.uint16 if self.planes <= 16 else np.uint32
         v = np.zeros(self.n, kind)
         for k in range(self.planes - 1, -1, -1):
-            own = [self.unpack.decompress(self.blob[self.first[k] + int(x) : self.first[k] + int(y)], max_output_size=FRAME // 8) for x, y in itertools.pairwise(self.ends[k])]
+            own = [self.unpack.decompress(self.blob[self.first[k] + int(x) : self.first[k] + int(y)], max_output_size=FRAME // 8) for x,
+                y in itertools.pairwise(self.ends[k])]
             ones = np.unpackbits(np.frombuffer(b"".join(own), np.uint8), count=self.n, bitorder="little").astype(bool)
             up = np.empty_like(v)
             up[~ones], up[ones] = v[: self.zeros[k]], v[self.zeros[k] :] | kind(1 << (self.planes - 1 - k))
@@ -163,7 +165,9 @@ def _shard(part: int, seq: int, docs: list, lens: list, ids: list, schema: pa.Sc
 
 def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 20) -> None:
     """Encodes every text, adds end_id, and writes shards of about shard_tokens ids in doc_id order."""
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_tokens", pa.binary()), ("blob", pa.binary())])
+    schema = pa.schema(
+        [("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_null", pa.int64()),
+            ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_tokens", pa.binary()), ("blob", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, seq, size = TaskContext.get().partitionId(), encoder(tokenizer), 0, 0
@@ -185,12 +189,15 @@ def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
     common.tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(common.lean(encode), SHARD_SCHEMA).write.parquet(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(common.lean(encode), SHARD_SCHEMA).write.parquet(
+        path)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """Per document what the shards hold: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema(
+        [("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()),
+            ("ids_crc32", pa.int64())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1):
@@ -201,13 +208,15 @@ def read_documents(shards: DataFrame) -> DataFrame:
             raw = memoryview(ids.tobytes())
             crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lens.tolist(), strict=True)]
             doc = pa.array(docs, pa.int64(), mask=np.arange(len(docs)) < x["n_null"])  # they come first
-            yield common.record(schema, part=np.full(len(docs), x["part"], np.int32), seq=np.full(len(docs), x["seq"], np.int32), doc_id=doc, local_start=ends - lens, n_tokens=lens, ids_crc32=crc)
+            yield common.record(schema, part=np.full(len(docs), x["part"], np.int32), seq=np.full(len(docs), x["seq"], np.int32), doc_id=doc,
+                local_start=ends - lens, n_tokens=lens, ids_crc32=crc)
 
     small = shards.select("part", "seq", "n_tokens")
     parts = small.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row a part, and parts are as many as the cluster's shuffle partitions
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_base"))
-    inside = small.select("part", "seq", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("seq_base"))
+    inside = small.select("part", "seq",
+        (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("seq_base"))
     base = inside.join(before, "part").select("part", "seq", (F.col("part_base") + F.col("seq_base")).alias("base"))
     found = shards.select("part", "seq", "n_null", "doc_ids", "doc_tokens", "blob").mapInArrow(common.lean(decode), DOC_SCHEMA)
     return found.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
@@ -223,6 +232,7 @@ def find_token(shards: DataFrame, token: int, most: int | None = None) -> DataFr
             x = {k: v[0] for k, v in batch.to_pydict().items()}
             m = WaveletMatrix(x["blob"])
             n = m.count(token)
-            yield common.record(schema, part=[x["part"]], seq=[x["seq"]], count=[n], places=[[m.select(token, k) for k in range(n if most is None else min(n, most))]])
+            yield common.record(schema, part=[x["part"]], seq=[x["seq"]], count=[n],
+                places=[[m.select(token, k) for k in range(n if most is None else min(n, most))]])
 
     return shards.select("part", "seq", "blob").mapInArrow(common.lean(run), "part int, seq int, count long, places array<long>")
