@@ -431,6 +431,13 @@ def within(entities: DataFrame, edges: DataFrame, namespace: str) -> DataFrame:
         *edges.columns)
 
 
+def slow_callers(edges: DataFrame, latencies: DataFrame, over: float, share: float = 0.99) -> DataFrame:
+    """Edges whose caller's latency (latencies: id, value) at that share lies over a limit: from_id, to_id, p99."""
+    at = F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY value)").alias("p99")
+    slow = latencies.groupBy(F.col("id").alias("from_id")).agg(at).where(F.col("p99") > over)
+    return edges.join(slow, "from_id").select("from_id", "to_id", "p99")
+
+
 def protected_by(entities: DataFrame, edges: DataFrame, guard: str) -> DataFrame:
     """Services with any edge to the guard, without the guard itself."""
     return entities.where((F.col("type") == "SERVICE") & (F.col("id") != guard)).join(

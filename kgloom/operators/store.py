@@ -134,6 +134,11 @@ def listing(entities: DataFrame, namespace: str, limit: int | None = None) -> Da
     return own.orderBy("canonical_name", "id").limit(limit) if limit else own
 
 
+def namespaces(entities: DataFrame) -> DataFrame:
+    """Each namespace and how many entities it has."""
+    return entities.groupBy("namespace").agg(F.count("*").alias("n"))
+
+
 def metrics_range(metrics: DataFrame, start: Column | None = None, end: Column | None = None, now: Column | None = None) -> DataFrame:
     """Points (of entities or of relationships) in [start, end]: up to now, and from a day before the end, where they are not given."""
     end = end if end is not None else now if now is not None else F.current_timestamp()

@@ -304,7 +304,7 @@ def entity_by_name(spark, d):
 
 @query("SELECT namespace, count(*) AS n FROM services GROUP BY 1")
 def namespaces(spark, d):
-    return derived.services(spark, d).groupBy("namespace").agg(F.count("*").alias("n"))
+    return store.namespaces(derived.services(spark, d))
 
 
 @query("SELECT p_partkey AS id, p_name AS canonical_name FROM part WHERE p_brand = 'Brand#2' AND p_type = 'ECONOMY'")

@@ -308,6 +308,5 @@ def visibility_filter(spark, d):
 @query("SELECT c.from_id, c.to_id, p99 FROM calls c JOIN (SELECT l_suppkey, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem "
     "GROUP BY 1) ON c.from_id = 'svc-' || l_suppkey WHERE p99 > 60000")
 def slow_callers(spark, d):
-    p99 = F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p99")
-    p = derived.table(spark, d, "lineitem").groupBy(F.concat(F.lit("svc-"), "l_suppkey").alias("from_id")).agg(p99)
-    return derived.calls(spark, d).join(p, "from_id").where("p99 > 60000").select("from_id", "to_id", "p99")
+    latencies = derived.table(spark, d, "lineitem").select(F.concat(F.lit("svc-"), "l_suppkey").alias("id"), F.col("l_extendedprice").alias("value"))
+    return graph.slow_callers(derived.calls(spark, d), latencies, 60000)
