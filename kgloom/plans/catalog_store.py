@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kgloom import functions as fn
 from kgloom.operators import pipeline, records, rules, snapshot, store, write
 from kgloom.session import cut, own_path
-from kgloom.sources import tables
+from kgloom.sources import signals, tables
 from kgloom.streaming import ingest
 
 from . import derived
@@ -571,3 +571,48 @@ def stream_span_windows(spark, d):
     windows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", mark).trigger(availableNow=True).start(
         ).awaitTermination()
     return spark.read.parquet(f"{out}/1").select("service_name", "window_start", "calls", "largest")
+
+
+# signals from outside
+
+
+@query("SELECT user_id::VARCHAR AS trace_id, event_id::VARCHAR AS span_id, event_type AS service_name, ts, round(value, 3) AS value, event_type = 'error' AS is_error FROM events")
+def otlp_spans(spark, d):
+    e = derived.table(spark, d, "events")
+    nanos = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(20,0)") * 1000
+    took = (F.round("value", 3) * 1_000_000).cast("decimal(20,0)")
+    attributes = F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.col("event_type").alias("stringValue")).alias("value")))
+    span = F.struct(
+        F.col("user_id").cast("string").alias("traceId"), F.col("event_id").cast("string").alias("spanId"), F.lit("").alias("parentSpanId"),
+        F.lit("op").alias("name"), nanos.cast("decimal(20,0)").cast("string").alias("startTimeUnixNano"),
+        (nanos + took).cast("decimal(20,0)").cast("string").alias("endTimeUnixNano"),
+        F.struct(F.when(F.col("event_type") == "error", 2).otherwise(1).alias("code")).alias("status"),
+    )
+    scopes = F.array(F.struct(F.array(span).alias("spans")))
+    text = F.to_json(F.struct(F.array(F.struct(F.struct(attributes.alias("attributes")).alias("resource"), scopes.alias("scopeSpans"))).alias("resourceSpans")))
+    out = signals.otlp_spans(e.select(text.alias("value")))
+    return out.select("trace_id", "span_id", "service_name", "ts", F.round("value", 3).alias("value"), "is_error")
+
+
+@query("""SELECT 'DEPLOYED_IN' AS type, 'ent_' || left(sha256('SERVICE|svc-' || (o_orderkey % 10) || '|prod'), 24) AS from_id, 'ent_' || left(sha256('DEPLOYMENT_EVENT|d-' || o_orderkey || '|prod'), 24) AS to_id FROM orders WHERE o_orderstatus = 'F'""")
+def deployment_edges(spark, d):
+    o = derived.table(spark, d, "orders")
+    done = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))
+    text = F.to_json(F.struct(F.concat(F.lit("d-"), "o_orderkey").alias("id"), F.concat(F.lit("Svc_"), F.col("o_orderkey") % 10).alias("service"), F.lit("eu").alias("environment"), F.lit("1").alias("version"), F.lit("ok").alias("status"), done.alias("finished_at")))
+    return signals.deployments(o.select(text.alias("value")), "prod")[1]
+
+
+@query("""SELECT DISTINCT 'FAILURE_CORRELATED_WITH' AS type, 'ent_' || left(sha256('SERVICE|' || least(a, b) || '|prod'), 24) AS from_id, 'ent_' || left(sha256('SERVICE|' || greatest(a, b) || '|prod'), 24) AS to_id
+FROM (SELECT 'n-' || s_nationkey AS a, 's-' || s_suppkey AS b FROM supplier)""")
+def incident_edges(spark, d):
+    s = derived.table(spark, d, "supplier")
+    named = F.array(F.concat(F.lit("s-"), "s_suppkey"), F.concat(F.lit("N_"), "s_nationkey"), F.concat(F.lit("s-"), "s_suppkey"))
+    text = F.to_json(F.struct(F.concat(F.lit("i-"), "s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit("high").alias("severity"), named.alias("services")))
+    return signals.incidents(s.select(text.alias("value")), "prod")[1]
+
+
+@query("""SELECT 'DEPENDS_ON' AS type, 'ent_' || left(sha256('INFRASTRUCTURE_RESOURCE|net.' || n_nationkey || '|prod'), 24) AS from_id, 'ent_' || left(sha256('INFRASTRUCTURE_RESOURCE|net.' || n_regionkey || '|prod'), 24) AS to_id FROM nation""")
+def infrastructure_edges(spark, d):
+    n = derived.table(spark, d, "nation")
+    text = F.to_json(F.struct(F.concat(F.lit("net."), "n_nationkey").alias("address"), F.lit("network").alias("type"), F.array(F.concat(F.lit("net."), "n_regionkey"), F.lit("net.unknown")).alias("depends_on")))
+    return signals.resources(n.select(text.alias("value")), "prod")[1]

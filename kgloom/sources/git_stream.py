@@ -1,0 +1,74 @@
+"""A repository's file list as a Spark data source: in batch, and as a stream whose offset is the last commit read.
+
+    spark.dataSource.register(GitFiles)
+    spark.readStream.format("git_files").option("path", repository).load()
+
+A stream's first batch lists the whole tree, later ones what has changed between two commits (all, where the older one is unknown). The
+offset moves with the stream's own checkpoint, that is, after the batch has been delivered.
+"""
+
+from __future__ import annotations
+
+import subprocess
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
+
+
+def git(repository: str, *args: str, timeout: int = 60) -> str:
+    return subprocess.run(["git", "-C", repository, *args], capture_output=True, text=True, timeout=timeout, check=True).stdout
+
+
+def listed(repository: str, since: str, until: str) -> list[str]:
+    """Paths of the tree at ``until``, or of what has changed since a commit."""
+    if since:
+        try:
+            return [x for x in git(repository, "diff", "--name-only", "-z", f"{since}..{until}").split("\0") if x]
+        except subprocess.CalledProcessError:
+            pass  # unknown, as after a reset of history
+    return [x for x in git(repository, "ls-tree", "-r", "--name-only", "-z", until).split("\0") if x]
+
+
+class _Batch(DataSourceReader):
+    def __init__(self, repository: str, since: str):
+        self.repository, self.since = repository, since
+
+    def read(self, partition) -> Iterator[tuple]:
+        head = git(self.repository, "rev-parse", "HEAD").strip()
+        yield from ((x, head) for x in listed(self.repository, self.since, head))
+
+
+class _Stream(SimpleDataSourceStreamReader):
+    def __init__(self, repository: str, since: str):
+        self.repository, self.since = repository, since
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"sha": self.since}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        head = git(self.repository, "rev-parse", "HEAD").strip()
+        rows = [] if head == start["sha"] else [(x, head) for x in listed(self.repository, start["sha"], head)]
+        return iter(rows), {"sha": head}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        return iter([] if start == end else [(x, end["sha"]) for x in listed(self.repository, start["sha"], end["sha"])])
+
+
+class GitFiles(DataSource):
+    """Options: path (the repository), since (a commit; empty for all)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_files"
+
+    def schema(self) -> str:
+        return "path string, head string"
+
+    def _own(self) -> tuple[str, str]:
+        return self.options["path"], self.options.get("since", "")
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Batch(*self._own())
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+        return _Stream(*self._own())

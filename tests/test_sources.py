@@ -183,3 +183,32 @@ def test_tasks_run_in_order_and_failures_stay_with_those_that_need_them():
         ingest.run_all({"a": (["b"], work("a")), "b": (["a"], work("b"))})
     with pytest.raises(ValueError, match="unknown"):
         ingest.run_all({"a": (["x"], work("a"))})
+
+
+def test_git_stream(spark, tmp_path):
+    from kgloom.session import ship
+    from kgloom.sources.git_stream import GitFiles
+
+    ship(spark)
+    root = put(tmp_path / "repo", **{"a.txt": "1", "b/c.txt": "2"})
+    git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    first = git("rev-parse", "HEAD")
+    spark.dataSource.register(GitFiles)
+    assert {r["path"] for r in spark.read.format("git_files").option("path", root).load().collect()} == {"a.txt", "b/c.txt"}
+
+    def drain():
+        out = spark.readStream.format("git_files").option("path", root).load().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).start()
+        out.processAllAvailable()
+        out.stop()
+        return sorted((r["path"], r["head"] == first) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert drain() == [("a.txt", True), ("b/c.txt", True)]
+    put(tmp_path / "repo", **{"new.txt": "3"})
+    git("add", ".")
+    git("commit", "-qm", "two")
+    assert drain() == [("a.txt", True), ("b/c.txt", True), ("new.txt", False)]
+    late = spark.read.format("git_files").option("path", root).option("since", first).load()
+    assert [r["path"] for r in late.collect()] == ["new.txt"]
