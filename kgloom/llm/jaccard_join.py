@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -36,6 +37,7 @@ from .shingles import shingle_sets
 PARTS = 4  # fragments of a pair's count
 FRAGMENT = 1 << 21  # shingles of a fragment, about
 BLOCK = 512  # classes of a key that are compared at once
+LOCAL_LINKS = 1 << 20  # links that one task joins, of 32 bytes each
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -306,11 +308,30 @@ def count_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(common.lean(overlap), "a binary, b binary")
 
 
+_PART = pa.schema([("cls", pa.binary()), ("comp", pa.binary())])
+
+
+def _joined(group: pa.Table) -> pa.Table:
+    """cls, comp of one group's links: labels fall to the smallest of their links, and to their labels' own, until none does."""
+    a, b = (group.column(c).to_pylist() for c in "ab")
+    codes, names = pd.factorize(np.array([*a, *b], object), sort=True)
+    a, b = np.split(codes, 2)
+    label, before = np.arange(len(names)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+    return pa.table({"cls": names.tolist(), "comp": names[label].tolist()}, schema=_PART)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """cls, comp (the smallest member) for all that links name: alternating large and small stars."""
+    """cls, comp (the smallest member) for all that links name: up to ``LOCAL_LINKS`` of them (counted) in one task, more by alternating
+    large and small stars."""
     edges = common.saved(links.select("a", "b").where("a <> b").distinct(), "links")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
+    if edges.count() <= LOCAL_LINKS:
+        return edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_joined, "cls binary, comp binary")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -335,15 +356,15 @@ _FITS = "4 * least(nx, ny) >= 3 * greatest(nx, ny) AND least(nx - ax, ny - ay) >
 
 
 def _with_leader(live: DataFrame, lead: DataFrame) -> DataFrame:
-    """live with its key's leader. Keys of more than ``BLOCK`` classes, of which there are rows / BLOCK at most, are counted first; if
-    there are any, their classes are dealt in parts of about that many, each with a copy of the leader."""
-    sizes = live.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts")).where("salts > 1")
-    hot = common.saved(sizes, "hot")
+    """live with its key's leader. Classes of a key of more than ``BLOCK`` are dealt in parts of about that many, each with a copy of
+    the leader; such keys are rows / BLOCK at most."""
+    lead = common.saved(lead, "lead")
+    hot = lead.where(F.col("size") > BLOCK).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("salts"))
     if hot.isEmpty():
-        return live.join(lead, "key")
+        return live.join(lead.drop("size"), "key")
     salts = F.coalesce("salts", F.lit(1))
     dealt = live.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("cls"), salts).cast("int")).drop("salts")
-    leads = lead.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    leads = lead.drop("size").join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     return dealt.join(leads, ["key", "salt"])
 
 
@@ -382,10 +403,10 @@ def class_components(sets: DataFrame, star_rounds: int = 3) -> DataFrame:
                 "cls")
             best = F.min_by(F.struct("cls", "comp", "n", "alone"), central)
             if turn == 0:
-                lead = live.groupBy("key").agg(best.alias("lead"))
+                lead = live.groupBy("key").agg(best.alias("lead"), F.count("*").alias("size"))
             else:
                 sizes = live.groupBy("key", "comp").agg(F.count("*").alias("size"), best.alias("lead"))
-                lead = sizes.groupBy("key").agg(F.max_by("lead", F.struct("size", "comp")).alias("lead"))
+                lead = sizes.groupBy("key").agg(F.max_by("lead", F.struct("size", "comp")).alias("lead"), F.sum("size").alias("size"))
             pairs = _with_leader(live, lead).where("comp <> lead.comp").select(F.col("lead.cls").alias("x"), F.col("cls").alias("y"),
                 F.col("lead.n").alias("nx"), F.col("n").alias("ny"), F.col("lead.alone").alias("ax"), F.col("alone").alias("ay"))
         else:

@@ -233,6 +233,7 @@ def test_near_duplicates(spark, monkeypatch, seed, rounds):
     if seed > 1:  # small fragments, and blocks of few classes, so that keys have several
         monkeypatch.setattr(jaccard_join, "FRAGMENT", 300)
         monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+        monkeypatch.setattr(jaccard_join, "LOCAL_LINKS", 0)
     rng = random.Random(seed)
     shared = prose(rng, 60)
     texts = [prose(rng, rng.choice([0, 1, 3, 5, 8, 60, 150])) for _ in range(60)]
