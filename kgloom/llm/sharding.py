@@ -125,15 +125,6 @@ class Cut:
     def column(self) -> str:
         return self.by[len(self.ties)]
 
-    def bin(self, node: int, bins: int) -> tuple[Column, Column]:
-        """Which groups are still open at this node, and their bin."""
-        self.step = max(1, -(-(self.hi - self.lo) // bins))
-        c = F.col(self.column)
-        inside = (F.col("node") == node) & (c >= self.lo) & (c < self.hi)
-        for name, value in self.ties:
-            inside = inside & (F.col(name) == value)
-        return inside, F.floor((c - self.lo) / self.step)
-
     def narrow(self, crossing, limit: float) -> bool:
         """Goes on within the bin that holds the cut; True when the cut is found. crossing: bin, w, upto."""
         if crossing is None:  # fewer bytes than wanted: all go left
@@ -152,28 +143,54 @@ class Cut:
             self.lo = self.hi
         return True
 
+
+class Table:
+    """All nodes' cuts as arrays by node, so that an expression is as long as a level's nodes and no deeper for more of them."""
+
+    def __init__(self, plan: dict[int, Cut], nodes: int, columns: list[str]):
+        values = F.array(*[F.col(c) for c in columns])
+
+        def each(of) -> Column:
+            return F.get(F.array(*[F.lit(of(plan[n]) if n in plan else None).cast("long") for n in range(nodes)]), F.col("node"))
+
+        def tie(k: int) -> tuple[Column, Column]:
+            name = lambda c: columns.index(c.ties[k][0]) if len(c.ties) > k else None
+            value = lambda c: c.ties[k][1] if len(c.ties) > k else None
+            return F.get(values, each(name).cast("int")), each(value)
+
+        self.value = F.get(values, each(lambda c: columns.index(c.column)).cast("int"))
+        self.lo, self.hi, self.step = each(lambda c: c.lo), each(lambda c: c.hi), each(lambda c: c.step)
+        self.ties = [tie(k) for k in range(max((len(c.ties) for c in plan.values()), default=0))]
+        left = [float(plan[n].want - plan[n].before) if n in plan else None for n in range(nodes)]
+        self.wanted = F.get(F.array(*[F.lit(x).cast("double") for x in left]), F.col("node"))
+
+    def bin(self) -> Column:
+        """The part of its node's range that a group lies in; null outside, and at nodes without a cut here."""
+        inside = (self.value >= self.lo) & (self.value < self.hi)
+        for own, tied in self.ties:
+            inside = inside & (tied.isNull() | (own == tied))
+        return F.when(inside, F.floor((self.value - self.lo) / self.step))
+
     def left(self) -> Column:
-        first = F.col(self.column) < self.lo
-        for name, value in reversed(self.ties):
-            first = (F.col(name) < value) | ((F.col(name) == value) & first)
+        first = self.value < self.lo
+        for own, tied in reversed(self.ties):
+            first = F.when(tied.isNull(), first).otherwise((own < tied) | ((own == tied) & first))
         return first
 
 
-def _find_cuts(light: DataFrame, plan: dict[int, Cut], limit: float, bins: int) -> None:
+def _find_cuts(light: DataFrame, plan: dict[int, Cut], limit: float, bins: int, nodes: int, columns: list[str]) -> None:
     """Narrows all nodes' cuts together, one histogram of at most ``bins`` parts a node and round."""
-    open_ = set(plan)
+    open_ = dict(plan)
     while open_:
-        where = F.lit(None).cast("long")
-        for n in open_:
-            inside, part = plan[n].bin(n, bins)
-            where = F.when(inside, part).otherwise(where)
-        counted = light.withColumn("bin", where).where("bin IS NOT NULL").groupBy("node", "bin").agg(F.sum("weight").alias("w"))
+        for cut in open_.values():
+            cut.step = max(1, -(-(cut.hi - cut.lo) // bins))
+        table = Table(open_, nodes, columns)
+        counted = light.withColumn("bin", table.bin()).where("bin IS NOT NULL").groupBy("node", "bin").agg(F.sum("weight").alias("w"))
         run = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
-        wants = F.coalesce(*[F.when(F.col("node") == n, F.lit(float(plan[n].want - plan[n].before))) for n in open_])
-        crossing = counted.withColumn("upto", run).where(F.col("upto") >= wants).groupBy("node").agg(
+        crossing = counted.withColumn("upto", run).where(F.col("upto") >= table.wanted).groupBy("node").agg(
             F.min_by(F.struct("bin", "w", "upto"), "bin").alias("x")).collect()
         got = {r["node"]: r["x"] for r in crossing}
-        open_ = {n for n in open_ if not plan[n].narrow(got.get(n), limit)}
+        open_ = {n: cut for n, cut in open_.items() if not cut.narrow(got.get(n), limit)}
 
 
 def grow_tree(light: DataFrame, heavies: list[dict], dims: list[str], shards: int, extra: list[float], target: float, tolerance: float,
@@ -204,16 +221,15 @@ def grow_tree(light: DataFrame, heavies: list[dict], dims: list[str], shards: in
             if s:
                 want = min(weight, max(0.0, (weight + left + right) / 2 - left))
                 plan[n] = Cut(by, {c: (s[f"lo_{c}"], s[f"hi_{c}"]) for c in columns}, want)
-        _find_cuts(light, plan, tolerance * target, bins)
-        child = F.lit(0)
-        for n, cut in plan.items():
-            child = F.when(F.col("node") == n, F.when(cut.left(), 2 * n).otherwise(2 * n + 1)).otherwise(child)
+        level_nodes = shards // width
+        _find_cuts(light, plan, tolerance * target, bins, level_nodes, columns)
+        child = 2 * F.col("node") + F.when(Table(plan, level_nodes, columns).left(), 0).otherwise(1)
         width, level, nodes = width // 2, level + 1, below
         light = common.saved(light.withColumn("node", child), f"nodes{level}")
     return light, nodes
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, heavy: float = 0.005, tolerance: float = 0.0005, bins: int = 4096,
+def assign_shards(docs: DataFrame, shards: int = 8, heavy: float = 0.005, tolerance: float = 0.0005, bins: int = 1024,
     slot_rows: int = 200_000, names: tuple[str, ...] = NAMES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row. shards: a power of two."""
     if shards < 1 or shards & (shards - 1):
