@@ -17,7 +17,7 @@ __all__ = ["own_path", "remove", "saved", "scratch", "work_dir"]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of one Arrow batch; texts may be long, so far fewer than Spark's default.
-ARROW_ROWS = 500
+ARROW_ROWS, ARROW_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,7 @@ def tune(spark: SparkSession) -> SparkSession:
     """For Python operators: this package on the executors, and small Arrow batches, as texts may be long."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

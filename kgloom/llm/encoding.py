@@ -50,7 +50,7 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 class Encoder:
     #: Latin-1 bytes cut at once, and distinct pre-tokens kept; then the table starts anew.
-    CHUNK, KEPT = 1 << 19, 500_000
+    CHUNK, KEPT = 1 << 17, 500_000
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
