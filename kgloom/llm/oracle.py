@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, license_scan
+from . import common, funnels, license_scan
 
 _LOW = f"translate(coalesce({{0}}, ''), '{common.UPPER}', '{common.LOWER}')"
 _WORDS = f"regexp_extract_all({_LOW}, '{common.WORD}')"
@@ -48,3 +48,39 @@ k AS (SELECT doc_id, i, line, {_LOW.format("trim(line, ' ' || chr(9) || chr(10)
 h AS (SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
 m AS (SELECT doc_id, i, line, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM k LEFT JOIN h USING (key))
 SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY 1"""
+
+
+def op12(plans=funnels.FUNNELS, minutes: int = 5, per_cent: int = 25) -> str:
+    rows = ", ".join(f"('{name}', {', '.join(repr(k) for k in (*steps, *excluded))})" for name, (steps, excluded) in plans.items())
+    steps = "".join(f"""
+a{i} AS (SELECT a.*, n.t AS t{i} FROM a{i - 1} a ASOF JOIN e n ON a.client_id = n.client_id AND a.k{i} = n.kind AND a.t{i - 1} < n.t),
+b{i} AS (SELECT a.*, x.t AS x{i} FROM a{i} a ASOF LEFT JOIN e x ON a.client_id = x.client_id AND a.x = x.kind AND a.t{i - 1} < x.t),
+r{i} AS (SELECT * EXCLUDE x{i} FROM b{i} WHERE t{i} <= t1 + INTERVAL {minutes} MINUTE AND (x{i} IS NULL OR x{i} > t{i})),""" for i in (2, 3, 4))
+    for i in (2, 3, 4):
+        steps = steps.replace(f"FROM a{i - 1} a ASOF JOIN", f"FROM {'a1' if i == 2 else f'r{i - 1}'} a ASOF JOIN")
+    gap = "list_sort(list(epoch_us(r{0}.t{0}) - epoch_us(r{0}.t{1})))"
+    counts = ", ".join(f"""
+c{i} AS (SELECT funnel, client_id, count(*) AS n, {gap.format(i, i - 1)} AS g FROM r{i} GROUP BY 1, 2)""" for i in (2, 3, 4))
+    times = ", ".join(f"c{i}.g[({per_cent} * c{i}.n + 99) // 100] AS t{i}" for i in (2, 3, 4))
+    return f"""WITH f(funnel, k1, k2, k3, k4, x) AS (VALUES {rows}),
+e AS (SELECT DISTINCT client_id, kind, arrived_at AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL),
+a1 AS (SELECT f.*, client_id, t AS t1 FROM e JOIN f ON kind = k1),{steps}
+c1 AS (SELECT funnel, client_id, count(*) AS n FROM a1 GROUP BY 1, 2),{counts}
+SELECT funnel, client_id, c1.n AS n1, coalesce(c2.n, 0) AS n2, coalesce(c3.n, 0) AS n3, coalesce(c4.n, 0) AS n4,
+(1 + (n2 > 0)::INT + (n3 > 0)::INT + (n4 > 0)::INT)::INT AS deepest, {times}, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth
+FROM c1 LEFT JOIN c2 USING (funnel, client_id) LEFT JOIN c3 USING (funnel, client_id) LEFT JOIN c4 USING (funnel, client_id)"""
+
+
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+regexp_extract_all({_LOW.format('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT r, lang, source, unnest(ws) AS term FROM d), kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1), g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+n AS (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p FROM n JOIN v USING (lang)),
+w AS (SELECT lang, term, sum(n) AS n FROM n GROUP BY 1, 2),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang) + v) AS q FROM w JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200"""

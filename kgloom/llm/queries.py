@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, jaccard_join, language_id, license_scan, line_dedup, oracle, packing, sharding, toxicity, vptree, wavelet
+from . import common, decontamination, divergence, funnels, jaccard_join, language_id, license_scan, line_dedup, oracle, packing, sharding
+from . import toxicity, vptree, wavelet
 
 
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +57,17 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(common.table(spark, sf_dir, "documents"))
 
 
+def op12_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnels.count_funnels(common.table(spark, sf_dir, "clicks"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_wavelet_tokens, op3_toxicity, op4_vp_trees, op5_license_scan, op6_jaccard_join,
-        op7_language_id, op8_line_dedup, op9_kd_sharding, op10_best_fit_packing)}
+        op7_language_id, op8_line_dedup, op9_kd_sharding, op10_best_fit_packing, op12_funnels, op13_source_divergence)}
 #: The others need a tokenizer, a trained model, an approximate search or a tree; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": oracle.OP1, "op5_license_scan": oracle.op5(), "op6_jaccard_join": oracle.OP6,
-    "op8_line_dedup": oracle.OP8}
+    "op8_line_dedup": oracle.OP8, "op12_funnels": oracle.op12(), "op13_source_divergence": oracle.OP13}
