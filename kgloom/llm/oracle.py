@@ -84,3 +84,13 @@ s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) /
 pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
 terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
 SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200"""
+
+#: Bytes as two hexadecimal digits each.
+OP11 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), 
+b AS (SELECT doc_id, o, x[2 * o + 1 : 2 * o + 598] AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49, 250)) AS o FROM d)),
+w AS (SELECT doc_id, o + i AS i, y[2 * i + 1 : 2 * i + 100] AS s FROM (SELECT doc_id, o, y, unnest(range(0, least(250, len(y) // 2 - 49))) AS i FROM b)), m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS new FROM w JOIN m USING (s) WHERE low < doc_id),
+r AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f), s AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY 1, 2),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+h AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(x[2 * before + 1 : 2 * a], '' ORDER BY a) || x[2 * max(b) + 1 :] AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id, x)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN h USING (doc_id)"""

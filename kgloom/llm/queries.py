@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, divergence, funnels, jaccard_join, language_id, license_scan, line_dedup, oracle, packing, sharding
+from . import common, decontamination, divergence, funnels, jaccard_join, language_id, license_scan, line_dedup, oracle, packing, repeats, sharding
 from . import toxicity, vptree, wavelet
 
 
@@ -57,6 +57,11 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(common.table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnels.count_funnels(common.table(spark, sf_dir, "clicks"))
 
@@ -67,7 +72,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_wavelet_tokens, op3_toxicity, op4_vp_trees, op5_license_scan, op6_jaccard_join,
-        op7_language_id, op8_line_dedup, op9_kd_sharding, op10_best_fit_packing, op12_funnels, op13_source_divergence)}
+        op7_language_id, op8_line_dedup, op9_kd_sharding, op10_best_fit_packing, op11_suffix_array_dedup, op12_funnels, op13_source_divergence)}
 #: The others need a tokenizer, a trained model, an approximate search or a tree; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": oracle.OP1, "op5_license_scan": oracle.op5(), "op6_jaccard_join": oracle.OP6,
-    "op8_line_dedup": oracle.OP8, "op12_funnels": oracle.op12(), "op13_source_divergence": oracle.OP13}
+    "op8_line_dedup": oracle.OP8, "op11_suffix_array_dedup": oracle.OP11, "op12_funnels": oracle.op12(), "op13_source_divergence": oracle.OP13}
