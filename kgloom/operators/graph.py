@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.session import cut, scratch, ship
@@ -346,28 +346,45 @@ def relevance(edges: DataFrame, origin: str, depth: int = 2, direction: str = "b
     return kept, inside.select("from_id", "to_id", "type", "confidence"), depth
 
 
+def _exact(hops: int) -> str:
+    """Holds a product of so many confidences of six decimal places."""
+    return f"decimal({6 * hops + 1},{6 * hops})"
+
+
 def transitive_dependencies(edges: DataFrame, kinds: tuple[str, ...] = ("IMPORTS", "DEPENDS_ON"), depth: int = 5,
     floor: float = 0.5) -> DataFrame:
     """from_id, to_id, hops, confidence, chain: the most confident chain of 2..depth dependencies without repeated nodes, the
-    shorter and then the first by its nodes of equal ones. Chains under ``floor`` are rejected as soon as they fall there."""
-    best = edges.where(F.col("is_active") & F.col("type").isin(*kinds)).groupBy("from_id", "to_id").agg(
-        F.max("confidence").alias("c")).where((F.col("c") >= floor) & (F.col("from_id") != F.col("to_id")))
-    best = cut(best)
-    chains = best.select("from_id", "to_id", "c", F.array("from_id", "to_id").alias("path"))
+    shorter and then the first by its nodes of equal ones. Chains under ``floor`` are rejected as soon as they fall there.
+
+    Confidences count to six places and multiply exactly; the product is rounded half up once, to six places. A layer holds,
+    for each two nodes, the best walk of so many steps that does not return to its start, and the best one with another first
+    step: two rows, however many chains there are. No more is needed: a walk that repeats a node is beaten by the one without
+    that loop, which is shorter and no less confident, unless only the direct dependency is left of it; that begins with the
+    step to the end itself, and such walks are passed over for the one with another first step."""
+    depth = _depth(depth)
+    if depth > 5:
+        raise ValueError("products of more than five confidences do not fit exactly")
+    c = F.col("confidence").cast(_exact(1))
+    best = cut(edges.where(F.col("is_active") & F.col("type").isin(*kinds)).groupBy("from_id", "to_id").agg(F.max(c).alias("c")).where(
+        (F.col("c") >= F.lit(floor).cast("decimal(10,9)")) & (F.col("from_id") != F.col("to_id"))))
+    layer = best.select("from_id", "to_id", F.col("to_id").alias("first"), "c", F.array("from_id", "to_id").alias("path"))
     step = best.select(F.col("from_id").alias("mid"), F.col("to_id").alias("end"), F.col("c").alias("c2"))
+    ranked = Window.partitionBy("from_id", "to_id").orderBy(F.desc("c"), "path")
     found = None
-    for hops in range(2, _depth(depth) + 1):
-        product = F.col("c") * F.col("c2")
-        chains = chains.join(step, (chains["to_id"] == step["mid"]) & (F.round(product, 9) >= floor)).where(
-            ~F.array_contains("path", F.col("end")))
-        chains = cut(chains.select("from_id", F.col("end").alias("to_id"), product.alias("c"), F.concat("path", F.array("end")).alias("path")))
-        here = chains.withColumn("hops", F.lit(hops))
+    for hops in range(2, depth + 1):
+        product = (F.col("c") * F.col("c2")).cast(_exact(hops))
+        longer = layer.join(step, F.col("to_id") == F.col("mid")).where(F.col("end") != F.col("from_id")).select("from_id", F.col("end").alias(
+            "to_id"), "first", product.alias("c"), F.concat("path", F.array("end")).alias("path")).where(F.col("c") >= F.lit(floor).cast(
+            "decimal(10,9)"))
+        top = longer.groupBy("from_id", "to_id", "first").agg(F.min(F.struct((-F.col("c")).alias("c"), "path")).alias("b"))
+        top = top.select("from_id", "to_id", "first", (-F.col("b.c")).alias("c"), "b.path")
+        layer = cut(top.withColumn("n", F.row_number().over(ranked)).where("n <= 2").drop("n"))
+        here = layer.where("first <> to_id").select("from_id", "to_id", F.lit(hops).alias("hops"), F.col("c").cast(_exact(5)).alias("c"), "path")
         found = here if found is None else found.unionByName(here)
-        if chains.isEmpty():
+        if layer.isEmpty():
             break
-    top = F.min(F.struct((-F.round("c", 9)).alias("c"), "hops", "path"))
-    out = found.groupBy("from_id", "to_id").agg(top.alias("b"))
-    return out.select("from_id", "to_id", F.col("b.hops").alias("hops"), F.round(-F.col("b.c"), 6).alias("confidence"),
+    out = found.groupBy("from_id", "to_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "hops", "path")).alias("b"))
+    return out.select("from_id", "to_id", F.col("b.hops").alias("hops"), F.round(-F.col("b.c"), 6).cast("double").alias("confidence"),
         F.array_join("b.path", ">").alias("chain"))
 
 

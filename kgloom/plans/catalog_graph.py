@@ -102,13 +102,17 @@ def direct_dependents(spark, d):
     return graph.direct_neighbors(c, busiest(c))
 
 
-_BEST = ", best AS (SELECT from_id, to_id, max(confidence) AS c FROM live WHERE type IN ('IMPORTS', 'DEPENDS_ON') AND from_id <> to_id GROUP BY 1, 2)"
+#: Confidences as millionths, so that products are whole numbers.
+_BEST = """, best AS (SELECT from_id, to_id, round(max(confidence) * 1000000)::HUGEINT AS c FROM live
+WHERE type IN ('IMPORTS', 'DEPENDS_ON') AND from_id <> to_id GROUP BY 1, 2)"""
 
 
-@query(_BEST + """, chain AS (SELECT from_id, to_id, c, 1 AS hops, [from_id, to_id] AS path FROM best
-  UNION ALL SELECT h.from_id, b.to_id, h.c * b.c, hops + 1, list_append(path, b.to_id) FROM chain h JOIN best b ON h.to_id = b.from_id WHERE hops < 5 AND round(h.c * b.c, 9) >= 0.5 AND NOT list_contains(path, b.to_id)),
-top AS (SELECT from_id, to_id, arg_min({h: hops, c: c, p: path}, {c: -round(c, 9), h: hops, p: path}) AS b FROM chain WHERE hops >= 2 GROUP BY 1, 2)
-SELECT from_id, to_id, b.h::INTEGER AS hops, round(b.c, 6) AS confidence, array_to_string(b.p, '>') AS chain FROM top""")
+@query(_BEST + """, chain AS (SELECT from_id, to_id, c, 1 AS hops, 1000000::HUGEINT AS one, [from_id, to_id] AS path FROM best WHERE 2 * c >= 1000000
+UNION ALL SELECT h.from_id, b.to_id, h.c * b.c, hops + 1, one * 1000000, list_append(path, b.to_id) FROM chain h JOIN best b ON h.to_id = b.from_id
+WHERE hops < 5 AND 2 * h.c * b.c >= one * 1000000 AND NOT list_contains(path, b.to_id)),
+top AS (SELECT from_id, to_id, arg_min({h: hops, c: c, one: one, p: path}, {c: -c * (1000000000000000000000000000000 // one), h: hops, p: path}) AS b
+FROM chain WHERE hops >= 2 GROUP BY 1, 2)
+SELECT from_id, to_id, b.h::INTEGER AS hops, ((2 * b.c * 1000000 + b.one) // (2 * b.one))::DOUBLE / 1000000 AS confidence, array_to_string(b.p, '>') AS chain FROM top""")
 def transitive_deps(spark, d):
     return graph.transitive_dependencies(derived.calls(spark, d))
 
