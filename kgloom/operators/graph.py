@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kgloom.session import cut, scratch, ship
 
-from . import catalogs
+from . import catalogs, substring
 
 #: Pairs that one task may hold: about 100 MB with their ids.
 LOCAL_EDGES = 2_000_000
@@ -508,10 +508,9 @@ def affected_names(affected: DataFrame, entities: DataFrame, most: int = 80) ->
 
 
 def smells_of(smells: DataFrame, names: DataFrame) -> DataFrame:
-    """Smells with a subject that holds one of the names (name), or that one of them holds; names are few and broadcast only where
-    Spark finds them small."""
-    touch = F.col("subject").contains(F.col("name")) | F.col("name").contains(F.col("subject"))
-    return smells.join(names.select("name").distinct(), touch, "left_semi")
+    """Smells with a subject that holds one of the names (name), or that one of them holds, by an index of q-grams."""
+    pairs = substring.touching(smells.select(F.col("subject").alias("text")), names.select(F.col("name").alias("text")))
+    return smells.join(pairs.select(F.col("a").alias("subject")), "subject", "left_semi")
 
 
 def suggestions(smells: DataFrame, unowned: DataFrame | None = None) -> DataFrame:
@@ -530,26 +529,24 @@ def suggestions(smells: DataFrame, unowned: DataFrame | None = None) -> DataFram
 def resolve_locations(places: DataFrame, entities: DataFrame, parts: bool = True) -> DataFrame:
     """The entity of each (path, line; null: any): equal paths or a suffix either way, at the line or around it; first by name.
 
-    Both sides meet on the file's base name, so the suffix test never compares all pairs. Places that find nothing so are
-    matched by part of a path either way (``parts``): only theirs are compared with all files. An entity without an end
-    has its start line alone."""
-    base = lambda c: F.element_at(F.split(c, "/"), -1)
-    left = places.select("path", "line").distinct()
+    Paths and files meet by equality of their ends, ranges and lines by buckets (``substring``). Places that find nothing so are
+    matched by part of a path either way (``parts``), through an index of q-grams. An entity without an end has its start line
+    alone."""
+    left = cut(places.select("path", "line").distinct())
     right = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.col("file").alias("file"), "start_line",
-        "end_line")
-    near = (F.col("path") == F.col("file")) | F.endswith("path", F.concat(F.lit("/"), "file")) | F.endswith("file",
-        F.concat(F.lit("/"), "path"))
-    inside = F.col("line").isNull() | F.col("line").between(F.col("start_line"), F.coalesce("end_line", "start_line"))
+        F.coalesce("end_line", "start_line").alias("end_line"))
     first = F.min_by("entity_id", F.struct("entity_name", "entity_id")).alias("entity_id")
-    hits = left.withColumn("__base", base(F.col("path"))).join(right.withColumn("__base", base(F.col("file"))), "__base").where(
-        near & inside)
-    found = hits.groupBy("path", "line").agg(first)
+
+    def hits(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        return substring.at_lines(rows.join(pairs, "path"), right, ["file"]).groupBy("path", "line").agg(first)
+
+    found = hits(left, substring.path_matches(left, right))
     if not parts:
         return found
     found = cut(found)
-    rest = left.join(found, (left["path"] == found["path"]) & left["line"].eqNullSafe(found["line"]), "left_anti")
-    some = (F.col("path").contains(F.col("file")) | F.col("file").contains(F.col("path"))) & inside
-    return found.unionByName(rest.join(right, some).groupBy("path", "line").agg(first))
+    rest = cut(left.join(found, (left["path"] == found["path"]) & left["line"].eqNullSafe(found["line"]), "left_anti"))
+    pairs = substring.touching(rest.select(F.col("path").alias("text")), right.select(F.col("file").alias("text"))).toDF("path", "file")
+    return found.unionByName(hits(rest, pairs))
 
 
 def longest_prefix(files: DataFrame, projects: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kgloom import functions as fn
 from kgloom.session import cut
 
-from . import records
+from . import pointers, records
 from .order import numbered
 
 ENTITY = ["type", "sub_type", "canonical_name", "namespace", "confidence", "lifecycle_stage", "valid_from", "properties"]
@@ -199,9 +199,11 @@ def upsert_registry(registry: DataFrame, new: DataFrame) -> DataFrame:
 
 def merge_entities(entities: DataFrame, relationships: DataFrame, merges: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     """Each source_id becomes one with its target_id (merges): its edges go to the target, parallel ones collapse to the most
-    confident, edges between the two vanish; the source is deleted softly."""
-    pairs = merges.select("source_id", "target_id").where("source_id <> target_id").groupBy("source_id").agg(
-        F.min("target_id").alias("target_id"))
+    confident, edges between the two vanish; the source is deleted softly. Chains of merges are followed to their end by pointer
+    jumping; merges in a circle end at their smallest member, which stays."""
+    direct = merges.select("source_id", "target_id").where("source_id <> target_id").groupBy(F.col("source_id").alias("source")).agg(
+        F.min("target_id").alias("target"))
+    pairs = cut(pointers.chain_ends(direct).toDF("source_id", "target_id"))
     gone = entities.join(pairs.select(F.col("source_id").alias("id"), F.lit(True).alias("__gone")), "id", "left").withColumn("__gone",
         F.coalesce("__gone", F.lit(False)) & F.col("is_active"))
     out = gone.withColumns(

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from kgloom import functions as fn
 from kgloom.operators import catalogs, graph, records, store
 
-from . import catalog_graph, catalog_rules, catalog_store, derived, question
+from . import catalog_graph, catalog_links, catalog_rules, catalog_store, derived, question
 from .registry import ORACLE_SQL, QUERIES, query
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog_graph", "catalog_rules", "catalog_store"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog_graph", "catalog_links", "catalog_rules", "catalog_store"]
 AT = "TIMESTAMP '2024-01-15 00:00:00'"
 
 
