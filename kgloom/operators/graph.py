@@ -2,26 +2,21 @@
 
 Edges: from_id, to_id, type, confidence, is_active. Bounded traversals are joins on a frontier that is reduced,
 de-duplicated and written at every step, so that plans don't grow with depth; parallel edges collapse to the best.
-Graphs of at most ``LOCAL_EDGES`` distinct pairs (counted first) are walked inside Arrow groups, larger ones by joins alone.
-Nothing is collected but loop conditions.
+Sets of reached nodes are bits in rows. Nothing is gathered in one group, and nothing collected but loop conditions.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.session import cut, scratch, ship
+from kgloom.session import cut, scratch
 
 from . import catalogs, substring
+from .order import numbered
 
-#: Pairs that one task may hold: about 100 MB with their ids.
-LOCAL_EDGES = 2_000_000
-#: Origins that one group walks from at once.
-ORIGINS = 128
+#: Words of 64 bits in a row of reached nodes.
+REACH_WORDS = 8
 
 
 def _depth(depth: int, least: int = 0) -> int:
@@ -98,58 +93,32 @@ def blast_radius(edges: DataFrame, origins: DataFrame, depth: int = 5) -> DataFr
     return out.orderBy(F.desc("probability"), "node")
 
 
-def _reached(depth: int):
-    """For a group: how many known nodes each of its origins reaches (its own included), by bit sets over the origins."""
-
-    def run(steps: pa.Table, origins: pa.Table) -> pa.Table:
-        ids = origins.column("id").to_numpy(zero_copy_only=False)
-        src, dst = (steps.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst"))
-        codes, _ = pd.factorize(np.concatenate([ids, src, dst]))
-        own, s, t = np.split(codes, [len(ids), len(ids) + len(src)])
-        known = np.zeros(codes.max() + 1 if len(codes) else 0, bool)
-        known[own] = True
-        known[t[steps.column("known").to_numpy(zero_copy_only=False).astype(bool)]] = True
-        order = np.argsort(t, kind="stable")
-        s, t = s[order], t[order]
-        first = np.flatnonzero(np.diff(t, prepend=-1)) if len(t) else np.zeros(0, np.int64)
-        counts = []
-        for at in range(0, len(own), ORIGINS):
-            some = own[at : at + ORIGINS]
-            bits = np.zeros((len(known), -(-len(some) // 8)), np.uint8)
-            k = np.arange(len(some))
-            bits[some, k >> 3] |= (1 << (k & 7)).astype(np.uint8)
-            for _ in range(depth if len(t) else 0):
-                new = np.bitwise_or.reduceat(bits[s], first)
-                new |= bits[t[first]]
-                if (new == bits[t[first]]).all():
-                    break
-                bits[t[first]] = new
-            counts.append(np.unpackbits(bits[known], axis=1, count=len(some), bitorder="little").sum(0, dtype=np.int64))
-        return pa.table({"id": pa.array(ids, pa.string()), "reached": np.concatenate(counts) if counts else np.zeros(0, np.int64)})
-
-    return run
-
-
 def reach_counts(edges: DataFrame, nodes: DataFrame, depth: int, direction: str) -> DataFrame:
     """id, reached: how many nodes each node reaches within depth, without itself.
 
-    Beyond ``LOCAL_EDGES`` distinct steps pairs (origin, node) are joined hop by hop."""
-    spark = nodes.sparkSession
+    What a node reaches is a set of bits in rows (node, block, words), of which only those with bits exist: a step sends a node's
+    newly reached bits to those before it, where they meet by bitwise or. No graph is copied, and nothing is held in one group."""
     steps = cut(_steps(edges, direction))
     ids = nodes.select("id").distinct()
-    if steps.count() > LOCAL_EDGES:
-        near = distances(edges, ids.select(F.col("id").alias("origin")), depth, direction).where("depth > 0").join(
-            ids.select(F.col("id").alias("node")), "node", "left_semi")
-        return ids.join(near.groupBy(F.col("origin").alias("id")).agg(F.count("*").alias("reached")), "id", "left").select("id",
-            F.coalesce("reached", F.lit(0)).alias("reached"))
-    ship(spark)
-    parts = min(64, -(-max(1, ids.count()) // ORIGINS))  # groups, each with a copy of the steps
-    dealt = ids.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    marked = steps.join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("known")), "dst", "left").withColumn("known",
-        F.coalesce("known", F.lit(False)))
-    copies = marked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = copies.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(_reached(_depth(depth)), "id string, reached long")
-    return found.select("id", (F.col("reached") - 1).alias("reached"))
+    words = [f"w{i}" for i in range(REACH_WORDS)]
+    place = cut(numbered(ids, "n", "id"))
+    bit = F.expr("shiftleft(1L, int(n % 64))")
+    own = place.select(F.col("id").alias("node"), F.expr(f"n div {64 * REACH_WORDS}").alias("block"), *(F.when(F.expr(
+        f"n div 64 % {REACH_WORDS}") == i, bit).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(words)))
+    known = fresh = cut(own)
+    for _ in range(_depth(depth)):
+        moved = fresh.join(steps, fresh["node"] == steps["dst"]).groupBy(F.col("src").alias("node"), "block").agg(*(F.bit_or(w).alias(f"n{w}")
+            for w in words))
+        both = known.join(moved, ["node", "block"], "full_outer").select("node", "block", *(F.coalesce(w, F.lit(0)).alias(w) for w in words),
+            *(F.coalesce(f"n{w}", F.lit(0)).alias(f"n{w}") for w in words))
+        both = cut(both.select("node", "block", *((F.col(w).bitwiseOR(F.col(f"n{w}"))).alias(w) for w in words), *(F.col(f"n{w}").bitwiseAND(
+            F.bitwise_not(w)).alias(f"n{w}") for w in words)))
+        known = both.select("node", "block", *words)
+        fresh = both.where(" OR ".join(f"n{w} <> 0" for w in words)).select("node", "block", *(F.col(f"n{w}").alias(w) for w in words))
+        if fresh.isEmpty():
+            break
+    counts = known.groupBy(F.col("node").alias("id")).agg(F.sum(sum(F.bit_count(w).cast("long") for w in words)).alias("n"))
+    return place.select("id").join(counts, "id").select("id", (F.col("n") - 1).alias("reached"))
 
 
 def impact_percent(edges: DataFrame, nodes: DataFrame, depth: int = 3) -> DataFrame:
@@ -161,47 +130,6 @@ def impact_percent(edges: DataFrame, nodes: DataFrame, depth: int = 3) -> DataFr
         F.when(F.col("n") > 1, F.round(100.0 * n / (F.col("n") - 1), 4)).otherwise(0.0).alias("percent"))
 
 
-def _components_of(pairs: pa.Table) -> pa.Table:
-    """Path-based strong components of one group's pairs, without recursion; a component is named by its smallest node."""
-    s, t = (pairs.column(c).to_numpy(zero_copy_only=False) for c in ("s", "t"))
-    codes, names = pd.factorize(np.concatenate([s, t]), sort=True)
-    n = len(names)
-    src, dst = codes[: len(s)], codes[len(s) :]
-    order = np.argsort(src, kind="stable")
-    ends = np.searchsorted(src[order], np.arange(n + 1)).tolist()
-    heads = dst[order].tolist()
-    seen, comp, clock = [-1] * n, [-1] * n, 0
-    for root in range(n):
-        if seen[root] >= 0:
-            continue
-        walk, open_, path = [(root, ends[root])], [root], [root]
-        seen[root], clock = clock, clock + 1
-        while walk:
-            v, at = walk[-1]
-            if at < ends[v + 1]:
-                walk[-1] = (v, at + 1)
-                w = heads[at]
-                if seen[w] < 0:
-                    seen[w], clock = clock, clock + 1
-                    walk.append((w, ends[w]))
-                    open_.append(w)
-                    path.append(w)
-                elif comp[w] < 0:
-                    while seen[path[-1]] > seen[w]:
-                        path.pop()
-                continue
-            walk.pop()
-            if path[-1] == v:
-                path.pop()
-                members = []
-                while not members or members[-1] != v:
-                    members.append(open_.pop())
-                least = min(members)
-                for m in members:
-                    comp[m] = least
-    return pa.table({"node": pa.array(names, pa.string()), "component": pa.array(names[np.array(comp, np.int64)] if n else names, pa.string())})
-
-
 def _trim(pairs: DataFrame) -> DataFrame:
     """Without pairs at nodes that have no way in or no way out: they lie on no cycle."""
     left, size = pairs, pairs.count()
@@ -214,55 +142,42 @@ def _trim(pairs: DataFrame) -> DataFrame:
     return left
 
 
-def _local_components(pairs: DataFrame) -> DataFrame:
-    ship(pairs.sparkSession)
-    return pairs.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_components_of, "node string, component string")
-
-
-def _colored_components(pairs: DataFrame, local: int) -> DataFrame:
-    """Forward and backward colouring, a few components a round, until what is left fits one group."""
-    done, left = None, pairs
-    while True:
-        left = _trim(left)
-        size = left.count()
-        if size <= local:
-            rest = _local_components(left) if size else None
-            return done if rest is None else rest if done is None else done.unionByName(rest)
+def _colored_components(pairs: DataFrame) -> DataFrame | None:
+    """Forward and backward colouring: every node takes the smallest node that reaches it as its colour; who reaches that node inside
+    its colour makes a component with it, all colours at once. What is left is trimmed and coloured again."""
+    done, left = None, _trim(pairs)
+    while not left.isEmpty():
         color = cut(left.select(F.col("s").alias("node")).distinct().withColumn("color", F.col("node")))
-        while True:  # the smallest node that reaches each
-            offer = left.join(color, left["s"] == color["node"]).select(F.col("t").alias("node"), F.col("color").alias("offer"))
-            nxt = color.join(offer.groupBy("node").agg(F.min("offer").alias("offer")), "node", "left")
-            color = cut(nxt.select("node", F.least("color", "offer").alias("color"), (F.col("offer") < F.col("color")).alias("moved")))
-            moved = color.where("moved").isEmpty()
-            color = color.drop("moved")
-            if moved:
+        risen = color
+        while True:  # only nodes whose colour has changed offer it again
+            offer = left.join(risen, left["s"] == risen["node"]).groupBy(F.col("t").alias("node")).agg(F.min("color").alias("offer"))
+            nxt = cut(color.join(offer, "node", "left").select("node", F.least("color", F.coalesce("offer", "color")).alias("color"), (F.coalesce(
+                "offer", "color") < F.col("color")).alias("moved")))
+            color, risen = nxt.select("node", "color"), nxt.where("moved").select("node", "color")
+            if risen.isEmpty():
                 break
-        inside = cut(
-            left.join(color.toDF("s", "cs"), "s").join(color.toDF("t", "ct"), "t").where("cs = ct").select("s", "t",
-                F.col("cs").alias("color")))
+        inside = cut(left.join(color.toDF("s", "color"), "s").join(color.toDF("t", "ct"), "t").where("color = ct").select("s", "t", "color"))
         back = news = cut(color.where("node = color"))
-        while not news.isEmpty():  # who reaches that node inside its colour
+        while not news.isEmpty():
             offer = inside.join(news.select(F.col("node").alias("t"), "color"), ["t", "color"]).select(F.col("s").alias("node"),
                 "color").distinct()
             news = cut(offer.join(back, ["node", "color"], "left_anti"))
             back = back.unionByName(news)
         found = cut(back.select("node", F.col("color").alias("component")))
         done = found if done is None else done.unionByName(found)
-        left = cut(
-            left.join(found.select(F.col("node").alias("s")), "s", "left_anti").join(found.select(F.col("node").alias("t")), "t",
-                "left_anti").select("s", "t"))
-
+        rest = left.join(found.select(F.col("node").alias("s")), "s", "left_anti").join(found.select(F.col("node").alias("t")), "t", "left_anti")
+        left = _trim(cut(rest.select("s", "t")))
+    return done
 
-def strongly_connected(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
-    """node, component (smallest member): components of two nodes and more, and nodes with a loop. All edges given count.
 
-    Up to ``local`` pairs are walked in one Arrow group, more are trimmed and coloured until that many are left."""
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """node, component (smallest member): components of two nodes and more, and nodes with a loop. All edges given count. Joins
+    only: no task holds more than its share of the pairs."""
     spark = edges.sparkSession
     pairs = cut(edges.select(F.col("from_id").alias("s"), F.col("to_id").alias("t")).distinct())
     loops = pairs.where("s = t").select(F.col("s").alias("node"), F.col("s").alias("component"))
     with scratch(spark):
-        proper = cut(pairs.where("s <> t"))
-        found = _colored_components(proper, local) if proper.count() > local else _local_components(proper)
+        found = _colored_components(pairs.where("s <> t"))
         done = cut(found if found is not None else loops.limit(0), keep=True)
     big = done.groupBy("component").agg(F.count("*").alias("n")).where("n >= 2").select("component")
     out = done.join(big, "component", "left_semi").select("node", "component")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphlib import CycleError, TopologicalSorter
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,32 +10,13 @@ from pyspark.sql import functions as F
 from kgloom.session import cut
 
 
-def topological(needs: dict[str, list[str]]) -> list[list[str]]:
-    """Names in layers, each after all that it needs; ValueError for an unknown need or a cycle."""
-    for name, own in needs.items():
-        for n in own:
-            if n not in needs:
-                raise ValueError(f"{name} needs {n}, which is unknown")
-    sorter = TopologicalSorter(needs)
-    try:
-        sorter.prepare()
-    except CycleError as e:
-        raise ValueError(f"cycle: {' > '.join(e.args[1])}") from None
-    layers = []
-    while sorter.is_active():
-        ready = sorted(sorter.get_ready())
-        layers.append(ready)
-        sorter.done(*ready)
-    return layers
-
-
-def layers(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
+def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, layer of all nodes that lie on no cycle and behind none (edges: from_id needs to_id): layer 0 needs nothing. Peels a layer a
-    round; ``most`` bounds the rounds."""
+    round until none is free, so the rounds are as many as the layers."""
     left = cut(nodes.select(F.col("id").alias("node")).distinct())
     needs = cut(edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("need")).distinct())
     done = None
-    for k in range(most):
+    for k in count():
         free = cut(left.join(needs, "node", "left_anti").withColumn("layer", F.lit(k)))
         if free.isEmpty():
             break

@@ -6,14 +6,13 @@ Each micro-batch is written under its own number, so that a batch that runs agai
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from kgloom.operators import paths, records, store, write
+from kgloom.operators import records, store, write
 from kgloom.session import remove
 
 OBSERVED_ENTITY = "id string, type string, sub_type string, name string, raw_name string, namespace string, source_type string, source_id string, observed_at timestamp, properties string, confidence double, ingestion_run_id string"
@@ -126,26 +125,3 @@ def sample_spans(spans: DataFrame, slow: float, target: float, counts: DataFrame
     drawn = F.conv(F.substring(F.md5(F.col("trace_id").cast("string").cast("binary")), 1, 6), 16, 10).cast("long") < F.col("rate") * (
         1 << 24)
     return out.where(drawn).withColumn("weight", 1.0 / F.col("rate")).drop("n", "rate")
-
-
-def run_all(tasks: dict[str, tuple[list[str], Callable[[], object]]], at_once: int = 4) -> list[tuple[str, str, str]]:
-    """Runs each task (what it needs, a function) after what it needs, up to so many at once: (name, status, error) by name.
-
-    A failure fails only those that need it, and they never run. ValueError for a cycle or an unknown need."""
-    paths.topological({k: needs for k, (needs, _) in tasks.items()})
-    done: dict[str, tuple[str, str]] = {}
-    running: dict[Future, str] = {}
-    with ThreadPoolExecutor(at_once) as pool:
-        while len(done) < len(tasks):
-            for name, (needs, work) in tasks.items():
-                if name in done or name in running.values():
-                    continue
-                if any(done.get(n, ("",))[0] == "failed" for n in needs):
-                    done[name] = ("failed", "skipped: what it needs has failed")
-                elif all(n in done for n in needs):
-                    running[pool.submit(work)] = name
-            ended, _ = wait(running, return_when=FIRST_COMPLETED) if running else (set(), None)
-            for f in ended:
-                error = f.exception()
-                done[running.pop(f)] = ("failed", str(error)) if error else ("success", "")
-    return [(k, *done[k]) for k in sorted(done)]

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import subprocess
-import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,42 +100,31 @@ def test_span_windows_and_dedup(spark, tmp_path):
     assert {(r["caller"], r["callee"]) for r in spark.table("c").collect()} == {("web", "db")}
 
 
-def test_git_records(spark, tmp_path):
-    root = put(tmp_path, **{"api/main.go": "x", "api/v1/a.go": "y", "README.md": "z"})
-    git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
-    git("init", "-q")
-    git("add", ".")
-    git("commit", "-qm", "one")
-    entities, edges, head = tables.git_records(spark, root, "src", "ns", "run", ("api", "api/v1"))
-    assert head == git("rev-parse", "HEAD")
+def test_file_records_and_changes(spark, tmp_path):
+    rows = [("api/main.go", 1), ("api/v1/a.go", 1), ("README.md", 2)]
+    changes = spark.createDataFrame(rows, "path string, seq long")
+    projects = spark.createDataFrame([("api", "api"), ("api/v1", "api/v1")], "project string, name string")
+    entities, edges = tables.file_modules(changes, projects, "src", "ns", "run", "sha", "place")
     assert {(r["sub_type"], r["name"], r["confidence"]) for r in entities.collect()} == {("project", "api", 0.99), ("project", "api/v1", 0.99), ("file", "api/main.go", 0.95), ("file", "api/v1/a.go", 0.95), ("file", "README.md", 0.95)}
     ids = {r["name"]: r["id"] for r in entities.collect()}
     assert {(r["from_id"], r["to_id"]) for r in edges.collect()} == {(ids["api/main.go"], ids["api"]), (ids["api/v1/a.go"], ids["api/v1"])}
-    put(tmp_path, **{"api/new.go": "n"})
-    git("add", ".")
-    git("commit", "-qm", "two")
-    paths, _ = tables.git_files(spark, root, head)
-    assert [r["path"] for r in paths.collect()] == ["api/new.go"]
-    assert tables.git_files(spark, root, "0" * 40)[0].count() == 4
     marks, seen = tables.Checkpoints(spark, str(tmp_path / ".marks")), []
 
-    def broken(e, r):
+    def broken(new):
         raise RuntimeError("away")
 
     with pytest.raises(RuntimeError):
-        tables.deliver_changes(spark, root, "src", "ns", "run", marks, broken)
+        tables.deliver_changes(changes, "src", marks, broken)
     assert marks.get("src") == (None, 0)
-    for _ in range(2):  # all, and then nothing new but the project itself
-        tables.deliver_changes(spark, root, "src", "ns", "run", marks, lambda e, r: seen.append((e.count(), r.count())))
-    assert seen == [(5, 4), (1, 0)] and marks.get("src") == (git("rev-parse", "HEAD"), 2)
-    whole, own, _ = tables.git_records(spark, root, "src", "ns", "run")
-    assert own.count() == 4 and whole.where("sub_type = 'project'").first()["raw_name"] == "."
+    take = lambda new: seen.append(sorted(r["path"] for r in new.collect()))
+    more = changes.unionByName(spark.createDataFrame([("api/new.go", 3)], "path string, seq long"))
+    assert [tables.deliver_changes(c, "src", marks, take) for c in (changes, changes, more)] == [2, 2, 3]
+    assert seen == [["README.md", "api/main.go", "api/v1/a.go"], ["api/new.go"]] and marks.get("src") == ("3", 2)
+    assert tables.deliver_changes(changes.limit(0), "other", marks, take) is None
 
 
 def test_configurations(spark, tmp_path):
     text = "version: 1\nnamespace: shop # the shop\ngovernance:\n  rules:\n    - id: RULE-01\n      name: no-circular-dependencies\n      severity: FAIL\n      scope: \"all\"\n    - {}\n".replace("    - {}\n", "    -\n      id: RULE-02\n      name: x\n")
-    parsed = tables.parse_yaml(text)
-    assert parsed["namespace"] == "shop" and parsed["version"] == 1 and len(parsed["governance"]["rules"]) == 2
     rules = [tuple(r) for r in tables.governance_rules(spark, text).collect()]
     assert rules == [("RULE-01", "no-circular-dependencies", "FAIL", "all"), ("RULE-02", "x", None, None)]
     assert [tuple(r) for r in tables.governance_rules(spark, json.dumps({"governance": {"rules": [{"id": "a", "name": "b", "severity": "WARN"}]}})).collect()] == [("a", "b", "WARN", None)]
@@ -162,53 +149,3 @@ def test_failed_delivery_goes_to_the_dead_letters(spark, tmp_path):
     stream = ingest.read_json(spark, str(tmp_path / "in"), ingest.OBSERVED_ENTITY)
     ingest.ingest(stream, str(tmp_path / "good"), str(tmp_path / "dead"), str(tmp_path / "ck"), deliver=broken).awaitTermination(120)
     assert {(r["id"], r["error_field"]) for r in spark.read.parquet(str(tmp_path / "dead")).collect()} == {("b", "type"), ("a", "delivery: store is away")}
-
-
-def test_tasks_run_in_order_and_failures_stay_with_those_that_need_them():
-    ran, lock = [], threading.Lock()
-
-    def work(name, fails=False):
-        def run():
-            with lock:
-                ran.append(name)
-            if fails:
-                raise RuntimeError("no")
-
-        return run
-
-    got = ingest.run_all({"a": ([], work("a", True)), "b": ([], work("b")), "c": (["a"], work("c")), "d": (["b"], work("d")), "e": (["c"], work("e"))}, 2)
-    assert [(n, s) for n, s, _ in got] == [("a", "failed"), ("b", "success"), ("c", "failed"), ("d", "success"), ("e", "failed")]
-    assert set(ran) == {"a", "b", "d"} and ran.index("b") < ran.index("d")
-    with pytest.raises(ValueError, match="cycle"):
-        ingest.run_all({"a": (["b"], work("a")), "b": (["a"], work("b"))})
-    with pytest.raises(ValueError, match="unknown"):
-        ingest.run_all({"a": (["x"], work("a"))})
-
-
-def test_git_stream(spark, tmp_path):
-    from kgloom.session import ship
-    from kgloom.sources.git_stream import GitFiles
-
-    ship(spark)
-    root = put(tmp_path / "repo", **{"a.txt": "1", "b/c.txt": "2"})
-    git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
-    git("init", "-q")
-    git("add", ".")
-    git("commit", "-qm", "one")
-    first = git("rev-parse", "HEAD")
-    spark.dataSource.register(GitFiles)
-    assert {r["path"] for r in spark.read.format("git_files").option("path", root).load().collect()} == {"a.txt", "b/c.txt"}
-
-    def drain():
-        out = spark.readStream.format("git_files").option("path", root).load().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).start()
-        out.processAllAvailable()
-        out.stop()
-        return sorted((r["path"], r["head"] == first) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-
-    assert drain() == [("a.txt", True), ("b/c.txt", True)]
-    put(tmp_path / "repo", **{"new.txt": "3"})
-    git("add", ".")
-    git("commit", "-qm", "two")
-    assert drain() == [("a.txt", True), ("b/c.txt", True), ("new.txt", False)]
-    late = spark.read.format("git_files").option("path", root).option("since", first).load()
-    assert [r["path"] for r in late.collect()] == ["new.txt"]

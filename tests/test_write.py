@@ -109,7 +109,6 @@ def test_json_forms(spark):
 
 
 def test_layers_trees_and_folders(spark):
-    assert paths.topological({"a": [], "b": ["a"], "c": ["a"], "d": ["b", "c"]}) == [["a"], ["b", "c"], ["d"]]
     e = spark.createDataFrame([("a", "b", "X"), ("b", "a", "X"), ("c", "d", "X")], "from_id string, to_id string, type string")
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "id string")
     assert {tuple(r) for r in paths.layers(e, nodes).collect()} == {("d", 0), ("c", 1)}
