@@ -8,12 +8,14 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own_dir: dict[tuple[str, str], str] = {}
-_scopes: list[list[str]] = []
+#: Of this thread or task alone, the paths to remove at the end of each open ``scratch``, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -59,8 +61,9 @@ def own_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new path in the shared folder. What is written there goes when the enclosing ``scratch`` ends (if kept, the one
     around that), or else when the driver does."""
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if len(_scopes) > keep:
-        _scopes[-1 - keep].append(path)
+    open_ = _scopes.get()
+    if len(open_) > keep:
+        open_[-1 - keep].append(path)
     return path
 
 
@@ -73,11 +76,13 @@ def remove(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes the intermediates that are written within, but for those marked ``keep``. What leaves the block must be
     written and kept: a frame that still reads the others would fail."""
-    _scopes.append([])
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(token)
+        for path in own:
             remove(spark, path)
 
 
