@@ -38,6 +38,12 @@ def pipeline_relationship_id(kind: Column, from_id: Column, to_id: Column, sourc
     return _digest("rel_", "|", 24, kind, from_id, to_id, source)
 
 
+def json_string(text: Column) -> Column:
+    """A text as a JSON string, quoted and escaped."""
+    made = F.to_json(F.array(text))
+    return F.substring(made, F.lit(2), F.length(made) - 2)
+
+
 def json_text(properties: Column, key: str) -> Column:
     """A property as text; null and empty are null."""
     return F.nullif(F.get_json_object(properties, f"$.{key}"), F.lit(""))

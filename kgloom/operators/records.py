@@ -122,12 +122,14 @@ def infer_shared_resources(accesses: DataFrame, salt_rows: int = 10_000) -> Data
 
 
 def merge_relationships(relationships: DataFrame) -> DataFrame:
-    """One row for each (from, to, type): the most confident (then the earliest ordinal) gives the properties."""
+    """One row for each (from, to, type): the most confident (then the earliest ordinal) gives the properties. A row counts as often as
+    its ``weight`` says, if there is one."""
+    times = F.sum(F.coalesce("weight", F.lit(1))) if "weight" in relationships.columns else F.count("*")
     best = F.max_by(F.struct("confidence", "properties", "source_type"), F.struct(F.col("confidence"), -F.col("ordinal")))
     sources = F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("source_type", F.lit("")) != "", F.struct("ordinal", "source_type")))),
         lambda x: x["source_type"])
     out = relationships.groupBy("from_id", "to_id", "type").agg(best.alias("best"), sources.alias("sources"),
-        F.count("*").alias("corroboration_count"), F.bool_and("is_inferred").alias("is_inferred"))
+        times.alias("corroboration_count"), F.bool_and("is_inferred").alias("is_inferred"))
     return out.select("from_id", "to_id", "type", "best.confidence", "best.properties", "sources", "corroboration_count", "is_inferred")
 
 

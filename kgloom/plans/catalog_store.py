@@ -382,20 +382,25 @@ def search_entities(spark, d):
 
 
 def _observed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Services (every tenth of an unknown type) and tables with their properties, calls and accesses, as observed."""
     s = derived.services(spark, d)
     k = F.regexp_extract("id", "[0-9]+$", 0).cast("long")
     origin = {"source_type": F.lit("git"), "source_id": F.lit("src"), "observed_at": F.expr(AT), "ingestion_run_id": F.lit("run-1")}
-    entities = s.select("id", F.when(k % 10 == 9, "NOPE").otherwise("SERVICE").alias("type"), F.lit("").alias("sub_type"),
-        F.concat(F.lit("Own"), "canonical_name").alias("name"), F.lit("").alias("raw_name"), "namespace",
-        F.to_json(F.struct("owner", F.lit(True).alias("has_tests"))).alias("properties"), "confidence", F.lit(False).alias("is_partial"),
-        k.alias("ordinal")).withColumns(origin)
-    c = derived.calls(spark, d)
+    owner = F.when(k % 3 == 0, F.col("owner"))
+    author = F.when(k % 3 == 1, F.lit("someone"))
+    given = F.struct(owner.alias("owner"), author.alias("author"), (k % 15).alias("commit_count"), (k % 2 == 0).alias("has_tests"), (k % 4
+        == 0).alias("has_api_spec"), (k % 5 == 0).alias("has_documentation"), F.lit(True).alias("has_monitoring"))
+    services = s.select("id", F.when(k % 10 == 9, "NOPE").otherwise("SERVICE").alias("type"), F.concat(F.lit("Own"), "canonical_name").alias(
+        "name"), "namespace", F.to_json(given).alias("properties"), "confidence", k.alias("ordinal"))
+    t = derived.tables(spark, d)
+    tables = t.select("id", "type", F.concat_ws(" ", "canonical_name", "id").alias("name"), "namespace", F.lit("{}").alias("properties"),
+        "confidence", (F.lit(1 << 40) + F.xxhash64("id") % (1 << 39)).alias("ordinal"))
+    more = {"sub_type": F.lit(""), "raw_name": F.lit(""), "is_partial": F.lit(False)} | origin
+    c = derived.calls(spark, d).select("from_id", "to_id", "type", "confidence").unionByName(derived.accesses(spark, d).withColumn("confidence",
+        F.lit(0.9)))
     edges = c.select(F.concat_ws(">", "from_id", "type", "to_id").alias("id"), "type", "from_id", "to_id", F.lit("{}").alias("properties"),
         "confidence", F.lit(False).alias("is_inferred"), F.xxhash64("from_id", "to_id", "type").alias("ordinal")).withColumns(origin)
-    return entities, edges
-
-
-_ENDS = "SELECT id FROM services WHERE regexp_extract(id, '[0-9]+$')::BIGINT % 10 <> 9"
+    return services.unionByName(tables).withColumns(more), edges
 
 
 def _ingested(spark, d) -> pipeline.Ingested:
@@ -403,22 +408,63 @@ def _ingested(spark, d) -> pipeline.Ingested:
     registry = spark.createDataFrame([], "canonical_id string, type string, name string, namespace string, aliases array<string>")
     none = spark.createDataFrame([], "id string, type string, sub_type string, name string, namespace string, confidence double, "
         "properties string")
-    no_edges = spark.createDataFrame([], "id string, type string, from_id string, to_id string, confidence double")
+    no_edges = spark.createDataFrame([], "id string, type string, from_id string, to_id string, confidence double, properties string")
     return pipeline.ingest(entities, edges, registry, none, no_edges)
 
 
-@query(
-    f", e AS (SELECT DISTINCT from_id, to_id, CASE WHEN type = 'IMPORTS' THEN t ELSE type END AS type FROM (SELECT from_id, to_id, type, unnest(CASE WHEN type = 'IMPORTS' THEN ['IMPORTS', 'DEPENDS_ON'] ELSE [type] END) AS t FROM calls)) SELECT 'entity' AS kind, 'CREATE' AS op, count(*) AS n FROM ({_ENDS}) UNION ALL SELECT 'relationship', 'CREATE', count(*) FROM e WHERE from_id <> to_id AND from_id IN ({_ENDS}) AND to_id IN ({_ENDS})")
+_BAD = "regexp_extract(id, '[0-9]+$')::BIGINT % 10 = 9"
+_FLOW = f""", good AS (SELECT id FROM services WHERE NOT ({_BAD}) UNION ALL SELECT id FROM tables_),
+seen AS (SELECT from_id, to_id, type, confidence FROM calls WHERE from_id <> to_id UNION ALL SELECT from_id, to_id, type, 0.9 FROM accesses),
+every AS (SELECT *, false AS is_inferred, 1 AS n FROM seen UNION ALL SELECT from_id, to_id, 'DEPENDS_ON', round(confidence * 0.9, 6), true, 1 FROM seen WHERE type = 'IMPORTS'
+UNION ALL SELECT r.from_id, w.from_id, 'CHANGE_COUPLED_WITH', 0.85, true, count(*) FROM accesses r JOIN accesses w ON r.to_id = w.to_id AND r.type = 'READS_FROM' AND w.type = 'WRITES_TO' AND r.from_id <> w.from_id GROUP BY 1, 2),
+merged AS (SELECT from_id, to_id, type, max(confidence)::DOUBLE AS confidence, bool_and(is_inferred) AS is_inferred, sum(n)::BIGINT AS corroboration_count FROM every GROUP BY 1, 2, 3),
+stored AS (SELECT * FROM merged WHERE from_id IN (SELECT id FROM good) AND to_id IN (SELECT id FROM good))"""
+
+
+@query(_FLOW + " SELECT 'entity' AS kind, 'CREATE' AS op, count(*) AS n, 0 AS first FROM good UNION ALL SELECT 'relationship', 'CREATE', count(*), "
+    "(SELECT count(*) FROM good) FROM stored")
 def ingest_pipeline(spark, d):
-    return _ingested(spark, d).mutations.groupBy("kind", "op").agg(F.count("*").alias("n"))
+    return _ingested(spark, d).mutations.groupBy("kind", "op").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
 
 
-@query(
-    f"SELECT 'entity' AS kind, id, 'type' AS error_field FROM services WHERE id NOT IN ({_ENDS}) UNION ALL SELECT 'relationship', from_id || '>' || type || '>' || to_id, 'to_id' FROM calls WHERE from_id = to_id")
+@query(f"SELECT 'entity' AS kind, id, 'type' AS error_field FROM services WHERE {_BAD} UNION ALL SELECT 'relationship', from_id || '>' || type || '>' || to_id, 'to_id' FROM calls WHERE from_id = to_id")
 def ingest_rejects(spark, d):
     return _ingested(spark, d).rejected
 
 
+@query(_FLOW + " SELECT from_id, to_id, type, confidence, is_inferred, corroboration_count FROM stored")
+def ingest_edges(spark, d):
+    return _ingested(spark, d).relationships.select("from_id", "to_id", "type", "confidence", "is_inferred", "corroboration_count")
+
+
+@query(_FLOW + """, k AS (SELECT id, owner, regexp_extract(id, '[0-9]+$')::BIGINT AS k, (SELECT count(*) FROM merged m WHERE m.to_id = s.id AND m.type IN ('CALLS', 'DEPENDS_ON')) AS n
+FROM services s WHERE id IN (SELECT id FROM good)),
+m AS (SELECT *, (0.2 + 0.15 * (k % 3 <> 2)::INT + 0.15 * (k % 2 = 0)::INT + 0.2 * (k % 4 = 0)::INT + 0.15 * (k % 5 = 0)::INT)::DOUBLE AS mature FROM k)
+SELECT id, CASE k % 3 WHEN 0 THEN owner WHEN 1 THEN 'someone' END AS team, CASE k % 3 WHEN 0 THEN 'declared' WHEN 1 THEN 'git_history' END AS source,
+CASE WHEN k % 15 > 10 THEN 'HOT' WHEN k % 15 >= 2 THEN 'ACTIVE' ELSE 'STABLE' END AS velocity,
+CASE WHEN n >= 7 THEN 'CRITICAL' WHEN n >= 5 THEN 'HIGH' WHEN n >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS criticality, round(least(1.0, 0.2 + 0.1 * n), 6)::DOUBLE AS criticality_score,
+CASE WHEN mature > 0.8 THEN 'MATURE' WHEN mature > 0.5 THEN 'DEVELOPING' ELSE 'NASCENT' END AS maturity, round(mature, 6) AS maturity_score, 'git' AS source_type FROM m""")
+def ingest_properties(spark, d):
+    p = lambda path: F.get_json_object("properties", f"$.{path}")
+    found = _ingested(spark, d).entities.where("type = 'SERVICE'")
+    return found.select("id", p("primary_owner.team_name").alias("team"), p("primary_owner.source").alias("source"), p("velocity").alias("velocity"),
+        p("criticality").alias("criticality"), p("criticality_score").cast("double").alias("criticality_score"), p("maturity").alias("maturity"),
+        p("maturity_score").cast("double").alias("maturity_score"), p("source_type").alias("source_type"))
+
+
+@query(f", k AS (SELECT id, regexp_extract(id, '[0-9]+$')::BIGINT AS k FROM services WHERE NOT ({_BAD})) SELECT 'entity' AS kind, id, 'UPDATE' AS op FROM k WHERE k % 30 = 0")
+def ingest_again(spark, d):
+    """A second run over the same records, in which some declared owners have changed: only these make mutations."""
+    first = _ingested(spark, d)
+    entities, edges = _observed(spark, d)
+    k = F.regexp_extract("id", "[0-9]+$", 0).cast("long")
+    moved = F.regexp_replace("properties", '"owner":"[^"]*"', '"owner":"another"')
+    entities = entities.withColumn("properties", F.when((F.col("type") == "SERVICE") & (k % 30 == 0), moved).otherwise(F.col("properties")))
+    entities = entities.withColumn("ingestion_run_id", F.lit("run-2"))
+    again = pipeline.ingest(entities, edges, first.registry, cut(first.entities), cut(first.relationships))
+    return again.mutations.select("kind", "id", "op")
+
+
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'UPDATE' ELSE 'UNCHANGED' END AS op FROM customer")
 def json_equality(spark, d):
     c = derived.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment")
