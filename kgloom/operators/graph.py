@@ -493,3 +493,26 @@ def change_coupling(commits: DataFrame, since: Column | None = None, most_files:
     out = pairs.join(counts.toDF("left_id", "nl"), "left_id").join(counts.toDF("right_id", "nr"), "right_id")
     return out.select("left_id", "right_id", "together",
         F.round(F.col("together") / (F.col("nl") + F.col("nr") - F.col("together")), 6).alias("coupling"))
+
+
+def coupled_above(commits: DataFrame, per_cent: int, salt_rows: int = 10_000) -> DataFrame:
+    """left_id, right_id, together, coupling of the pairs of ``change_coupling`` with a coupling of at least so many per cent (1 to 100),
+    without making the others: two ids that share so much share one of each one's rarest commits, as many as it may lose and one
+    more, and are not too different in number. Only such pairs are counted."""
+    rows = cut(commits.select("commit_id", "id").distinct())
+    sizes = rows.groupBy("commit_id").agg(F.count("*").alias("size"))
+    counts = rows.groupBy("id").agg(F.count("*").alias("n"))
+    ranked = rows.join(sizes, "commit_id").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("size", "commit_id")))
+    must = F.expr(f"(n * {per_cent} + 99) div 100")
+    first = ranked.join(counts, "id").where(F.col("r") <= F.col("n") - must + 1)
+    salts = F.ceil(F.col("size") / salt_rows).cast("int")
+    left = first.select("commit_id", F.col("id").alias("left_id"), F.col("n").alias("nl"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    right = first.select("commit_id", F.col("id").alias("right_id"), F.col("n").alias("nr"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    near = left.join(right, ["commit_id", "salt"]).where(f"left_id < right_id AND 100 * least(nl, nr) >= {per_cent} * greatest(nl, nr)")
+    near = cut(near.select("left_id", "right_id", "nl", "nr").distinct())
+    both = near.join(rows.select(F.col("id").alias("left_id"), "commit_id"), "left_id").join(rows.select(F.col("id").alias("right_id"), "commit_id"),
+        ["right_id", "commit_id"])
+    out = both.groupBy("left_id", "right_id", "nl", "nr").agg(F.count("*").alias("together"))
+    union = F.col("nl") + F.col("nr") - F.col("together")
+    return out.where(100 * F.col("together") >= per_cent * union).select("left_id", "right_id", "together", F.round(F.col("together") / union,
+        6).alias("coupling"))

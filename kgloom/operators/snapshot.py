@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import asof
+
 # Kinds that carry a state, and those that end a row's life.
 ENTITY_KINDS = ["ENTITY_CREATED", "ENTITY_UPDATED", "ENTITY_SOFT_DELETED", "ENTITY_RESTORED"]
 EDGE_KINDS = ["RELATIONSHIP_CREATED", "RELATIONSHIP_UPDATED", "RELATIONSHIP_DELETED"]
@@ -63,15 +65,10 @@ def create(log: DataFrame, path: str, snapshot_id: str, at: Column) -> DataFrame
 
 
 def nearest(manifests: DataFrame, times: DataFrame) -> DataFrame:
-    """times (namespace, at) with the last snapshot (namespace, snapshot_id, snapshot_at) not after each: an as-of join in one window a
-    namespace, without comparing pairs."""
-    s = manifests.select("namespace", F.col("snapshot_at").alias("__t"), F.lit(0).alias("__k"),
-        F.struct("snapshot_at", "snapshot_id").alias("__s"), F.lit(None).cast(times.schema["at"].dataType).alias("at"))
-    t = times.select("namespace", F.col("at").alias("__t"), F.lit(1).alias("__k"), F.lit(None).cast(s.schema["__s"].dataType).alias("__s"),
-        "at")
-    w = Window.partitionBy("namespace").orderBy("__t", "__k", "__s").rowsBetween(Window.unboundedPreceding, 0)
-    out = s.unionByName(t).withColumn("__n", F.last("__s", ignorenulls=True).over(w)).where("__k = 1")
-    return out.select("namespace", "at", F.col("__n.snapshot_id").alias("snapshot_id"), F.col("__n.snapshot_at").alias("snapshot_at"))
+    """times (namespace, at) with the last snapshot (namespace, snapshot_id, snapshot_at) not after each: an as-of join by ranges."""
+    found = asof(times.select("namespace", "at"), manifests.select("namespace", F.col("snapshot_at").alias("at"), "snapshot_id"), "namespace", "at",
+        ["snapshot_id"])
+    return found.select("namespace", "at", F.col("found.snapshot_id").alias("snapshot_id"), F.col("found.at").alias("snapshot_at"))
 
 
 def restore(manifests: DataFrame, path: str, log: DataFrame, at: Column, verify: bool = True) -> DataFrame:

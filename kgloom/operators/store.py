@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,12 +155,52 @@ def with_latest_metrics(entities: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def rollup(metrics: DataFrame, unit: str) -> DataFrame:
-    """Points, their sum, largest and smallest by entity and unit of time (hour, day, month); rolls up its own results too."""
+    """Points, their sum (a decimal, so that no level rounds), largest and smallest by entity and unit of time (minute, hour, day, month);
+    rolls up its own results too."""
     again = "points" in metrics.columns
-    one = lambda c, f: f(F.col(c if again else "value"))
     points = F.sum("points") if again else F.count("*")
-    return metrics.groupBy("entity_id", F.date_trunc(unit, "at").alias("at")).agg(points.alias("points"),
-        F.round(one("total", F.sum), 4).alias("total"), one("largest", F.max).alias("largest"), one("smallest", F.min).alias("smallest"))
+    total = F.col("total") if again else F.col("value").cast("decimal(28,12)")
+    largest, smallest = ("largest", "smallest") if again else ("value", "value")
+    return metrics.groupBy("entity_id", F.date_trunc(unit, "at").alias("at")).agg(points.alias("points"), F.sum(total).cast(
+        "decimal(38,12)").alias("total"), F.max(largest).alias("largest"), F.min(smallest).alias("smallest"))
+
+
+def sketch(metrics: DataFrame, unit: str, accuracy: float = 0.01) -> DataFrame:
+    """entity_id, at, sign, bucket, n: how many values of an entity and unit of time lie in each bucket, whose bounds grow by a constant
+    factor, so that a bucket's middle lies within ``accuracy`` (relative) of all its values. Rolls up its own results too, without any
+    further error; null values and NaN are left out. An entity has as many rows as its values' orders of magnitude need, not
+    as it has points."""
+    if "bucket" in metrics.columns:
+        rows, n = metrics, F.sum("n")
+    else:
+        base = math.log((1 + accuracy) / (1 - accuracy))
+        v = F.col("value")
+        rows = metrics.where(v.isNotNull() & ~F.isnan(v)).withColumns({"sign": F.signum(v).cast("int"), "bucket": F.when(v == 0, 0).otherwise(
+            F.ceil(F.log(F.abs(v)) / base)).cast("int")})
+        n = F.count("*")
+    return rows.groupBy("entity_id", F.date_trunc(unit, "at").alias("at"), "sign", "bucket").agg(n.alias("n"))
+
+
+def sketch_quantiles(sketches: DataFrame, shares: list[float], accuracy: float = 0.01) -> DataFrame:
+    """entity_id, at, share, points, estimate: the value at each share (the smallest that so many are not over), within ``accuracy`` of
+    it; sketches of the same accuracy."""
+    factor = (1 + accuracy) / (1 - accuracy)
+    value = F.col("sign") * 2 * F.pow(F.lit(factor), "bucket") / (factor + 1)
+    whole = Window.partitionBy("entity_id", "at")
+    ranked = sketches.withColumn("estimate", value).withColumns({"upto": F.sum("n").over(whole.orderBy("estimate").rowsBetween(
+        Window.unboundedPreceding, 0)), "points": F.sum("n").over(whole)})
+    wanted = ranked.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("share")
+        * F.col("points"))))
+    return wanted.where("upto - n < rank AND rank <= upto").select("entity_id", "at", "share", "points", "estimate")
+
+
+def exact_quantiles(metrics: DataFrame, unit: str, shares: list[float]) -> DataFrame:
+    """The same from all points: entity_id, at, share, points, exact."""
+    v = F.col("value")
+    rows = metrics.where(v.isNotNull() & ~F.isnan(v)).groupBy("entity_id", F.date_trunc(unit, "at").alias("at")).agg(F.count("*").alias("points"),
+        F.array(*(F.struct(F.lit(q).alias("share"), F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias("exact")) for q in
+            shares)).alias("q"))
+    return rows.select("entity_id", "at", "points", F.explode("q").alias("q")).select("entity_id", "at", "q.share", "points", "q.exact")
 
 
 def moving(metrics: DataFrame, points: int = 5, sigmas: float = 3.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.operators import similar, substring, write
+from kgloom.operators import graph, layout, order, similar, substring, write
 from kgloom.session import own_path
 
 from . import derived
@@ -110,3 +110,53 @@ def search_index(spark, d):
     substring.write_index(docs, "text", path)
     found = [substring.search_index(docs, "text", path, t).select("id", "source") for t in ("General PUBLIC", "W1")]
     return found[0].unionByName(found[1]).distinct()
+
+
+# coupling above a threshold, as-of joins
+
+
+@query(""", r AS (SELECT DISTINCT l_partkey AS k, 'svc-' || l_suppkey AS e FROM lineitem), n AS (SELECT e, count(*) AS n FROM r GROUP BY 1),
+p AS (SELECT a.e AS left_id, b.e AS right_id, count(*) AS together FROM r a JOIN r b ON a.k = b.k AND a.e < b.e GROUP BY 1, 2)
+SELECT left_id, right_id, together, round(together / (x.n + y.n - together)::DOUBLE, 6) AS coupling FROM p JOIN n x ON x.e = left_id JOIN n y ON y.e = right_id
+WHERE 100 * together >= 17 * (x.n + y.n - together)""")
+def change_coupling_above(spark, d):
+    rows = derived.table(spark, d, "lineitem").select(F.col("l_partkey").alias("commit_id"), F.concat(F.lit("svc-"), "l_suppkey").alias("id"))
+    return graph.coupled_above(rows, 17)
+
+
+@query(""", s AS (SELECT client_id, sold_at, max(sale_id) AS sale_id FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL GROUP BY 1, 2)
+SELECT click_id, c.client_id, c.ts, s.sale_id FROM (SELECT DISTINCT click_id, client_id, ts FROM clicks) c ASOF LEFT JOIN s ON c.client_id = s.client_id AND c.ts >= s.sold_at""")
+def last_sale_before_click(spark, d):
+    clicks = derived.table(spark, d, "clicks").select("click_id", "client_id", "ts").distinct()
+    sales = derived.table(spark, d, "sales").select("client_id", F.col("sold_at").alias("ts"), "sale_id")
+    found = order.asof(clicks, sales, "client_id", "ts", ["sale_id"])
+    return found.select("click_id", "client_id", "ts", F.col("found.sale_id").alias("sale_id"))
+
+
+# lookups that read a part
+
+
+def _laid_out(spark, d) -> str:
+    path = own_path(spark, "layout")
+    layout.append(derived.change_log(spark, d).select("entry_id", "transaction_id", "entity_id", "mutation_type", "occurred_at"), path, "entity_id",
+        "occurred_at", "transaction_id")
+    return path
+
+
+@query("SELECT entry_id, entity_id, occurred_at FROM change_log WHERE entity_id IN ('user-1', 'user-7', 'nobody') AND occurred_at BETWEEN "
+    "TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20 12:00:00'")
+def entity_history_pruned(spark, d):
+    found = layout.read(spark, _laid_out(spark, d), "entity_id", "occurred_at", ["user-1", "user-7", "nobody"], F.expr("TIMESTAMP '2024-01-05'"),
+        F.expr("TIMESTAMP '2024-01-20 12:00:00'"))
+    return found.select("entry_id", "entity_id", "occurred_at")
+
+
+@query("SELECT entry_id, transaction_id, entity_id FROM change_log WHERE transaction_id = 'txn-3'")
+def log_by_transaction_pruned(spark, d):
+    return layout.read_second(spark, _laid_out(spark, d), "transaction_id", "txn-3").select("entry_id", "transaction_id", "entity_id")
+
+
+@query("SELECT entity_id, count(*) AS points, max(occurred_at) AS last FROM change_log WHERE occurred_at >= TIMESTAMP '2024-01-25' GROUP BY 1")
+def log_range_pruned(spark, d):
+    found = layout.read(spark, _laid_out(spark, d), "entity_id", "occurred_at", start=F.expr("TIMESTAMP '2024-01-25'"))
+    return found.groupBy("entity_id").agg(F.count("*").alias("points"), F.max("occurred_at").alias("last"))

@@ -9,7 +9,7 @@ from kgloom import functions as fn
 from kgloom.operators import pipeline, records, rules, snapshot, store, write
 from kgloom.session import cut, own_path
 from kgloom.sources import signals, tables
-from kgloom.streaming import ingest
+from kgloom.streaming import ingest, state
 
 from . import derived
 from .registry import query
@@ -333,7 +333,23 @@ def entity_with_metrics(spark, d):
 @query("SELECT 'user-' || user_id AS entity_id, date_trunc('day', ts)::TIMESTAMP AS at, count(*) AS points, round(sum(value), 4) AS total, "
     "max(value) AS largest, min(value) AS smallest FROM events GROUP BY 1, 2")
 def metrics_rollup(spark, d):
-    return store.rollup(store.rollup(derived.metrics(spark, d), "hour"), "day").withColumn("total", F.round("total", 4))
+    return store.rollup(store.rollup(derived.metrics(spark, d), "hour"), "day").withColumn("total", F.round("total", 4).cast(
+        "double"))
+
+
+@query("""SELECT 'user-' || user_id AS entity_id, date_trunc('month', ts)::TIMESTAMP AS at, q AS share, count(*) AS points,
+CASE WHEN q = 0.5 THEN quantile_disc(value, 0.5) ELSE quantile_disc(value, 0.99) END AS exact, true AS within FROM events, (VALUES (0.5::DOUBLE), (0.99::DOUBLE)) s(q) GROUP BY 1, 2, 3""")
+def metrics_quantiles(spark, d):
+    """Sketches rolled up from minutes to months, held against all points."""
+    m = derived.metrics(spark, d)
+    rolled = m
+    for unit in ("minute", "hour", "day", "month"):
+        rolled = store.sketch(rolled, unit)
+    near = store.sketch_quantiles(rolled, [0.5, 0.99])
+    exact = store.exact_quantiles(m, "month", [0.5, 0.99])
+    within = F.abs(F.col("estimate") - F.col("exact")) <= 0.0100001 * F.abs("exact")
+    return exact.join(near.drop("points"), ["entity_id", "at", "share"]).select("entity_id", "at", "share", "points", "exact", within.alias(
+        "within"))
 
 
 @query("""SELECT entity_id, observed, value, round(avg(value) OVER w, 4) AS recent, round(value - lag(value) OVER (PARTITION BY entity_id ORDER BY observed, event_id), 6) AS change,
@@ -588,20 +604,31 @@ def stream_ingest(spark, d):
 def stream_late_rows(spark, d):
     e = derived.table(spark, d, "events").select(F.concat(F.lit("user-"), "user_id").alias("key"), "ts", "value", "event_id")
     path, mark = own_path(spark, "newest"), own_path(spark, "mark")
-    ingest.late_stream(_stream(spark, e, "key string, ts timestamp, value double, event_id long"), path, mark, "key",
-        "ts").awaitTermination()
-    return spark.read.parquet(f"{path}/1").select("key", "ts", "value")
+    state.newest_rows(_stream(spark, e, "key string, ts timestamp, value double, event_id long"), path, mark, "key", "ts").awaitTermination()
+    return state.current(spark, path, "key").select("key", "ts", "value")
 
 
 @query("SELECT 'user-' || user_id AS canonical_id, min(ts) AS first_seen, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS "
     "aliases FROM events GROUP BY 1")
 def stream_registry(spark, d):
     e = derived.table(spark, d, "events").select(F.concat(F.lit("user-"), "user_id").alias("canonical_id"), F.lit("TEAM").alias("type"),
-        F.array("event_type").alias("aliases"), F.col("ts").alias("first_seen"))
+        F.array("event_type").alias("aliases"), F.col("ts").alias("seen"))
     path, mark = own_path(spark, "identities"), own_path(spark, "mark")
-    ingest.registry_stream(_stream(spark, e, "canonical_id string, type string, aliases array<string>, first_seen timestamp"), path,
-        mark).awaitTermination()
-    return spark.read.parquet(f"{path}/1").select("canonical_id", "first_seen", F.array_join(F.array_sort("aliases"), ",").alias("aliases"))
+    state.identities(_stream(spark, e, "canonical_id string, type string, aliases array<string>, seen timestamp"), path, mark).awaitTermination()
+    return state.current(spark, path, "canonical_id").select("canonical_id", "first_seen", F.replace("aliases", F.lit("\n"), F.lit(",")).alias(
+        "aliases"))
+
+
+@query("SELECT service_name, count_if(value > 90 OR service_name = 'error')::BIGINT AS urgent, count_if(value > 90 OR service_name = 'error')::BIGINT AS kept FROM spans GROUP BY 1")
+def stream_sampling(spark, d):
+    """Of each service the failed and slow spans, and how many of them the sample has kept; the others are drawn."""
+    s = derived.spans(spark, d).select("trace_id", "span_id", "service_name", F.col("service_name").alias("name"), "value")
+    path, mark = own_path(spark, "sample"), own_path(spark, "mark")
+    state.adaptive_sample(_stream(spark, s, "trace_id long, span_id long, service_name string, name string, value double"), path, mark, 90.0,
+        100).awaitTermination()
+    urgent = F.count_if((F.col("value") > 90) | (F.col("name") == "error"))
+    kept = spark.read.parquet(path).groupBy("service_name").agg(urgent.alias("kept"))
+    return s.groupBy("service_name").agg(urgent.alias("urgent")).join(kept, "service_name", "left")
 
 
 @query("SELECT service_name, time_bucket(INTERVAL '5 minutes', ts, TIMESTAMP '2024-01-01')::TIMESTAMP AS window_start, count(*) AS calls, "

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from kgloom.operators import pointers, similar, substring
+from kgloom.operators import graph, layout, order, pointers, similar, substring
 
 
 def distance(a: str, b: str) -> int:
@@ -126,3 +128,49 @@ def test_lines_in_ranges(spark):
     found = substring.at_lines(spark.createDataFrame(places, "file string, line int"), spark.createDataFrame(ranges, "file string, start_line int, end_line int"), ["file"])
     own = sorted((r.file, r.line is None, r.line or 0, r.start_line, r.end_line) for r in found.collect())
     assert own == sorted((f, n is None, n or 0, a, b) for f, n in places for g, a, b in ranges if f == g and (n is None or a <= n <= b))
+
+
+def test_asof_over_parts(spark):
+    rng = random.Random(6)
+    left = [(i, rng.choice(["hot", "hot", "a", "b", None]), rng.choice([None, *range(60)])) for i in range(400)]
+    right = [(rng.choice(["hot", "hot", "a", "c", None]), rng.choice([None, *range(0, 60, 3)]), i, f"x{i}") for i in range(150)]
+    found = order.asof(spark.createDataFrame(left, "n int, k string, t int"), spark.createDataFrame(right, "k string, t int, tie int, extra string"), "k", "t", ["tie"])
+    own = {r.n: r.found.extra if r.found else None for r in found.collect()}
+    want = {}
+    for n, k, t in left:
+        some = [r for r in right if k is not None and t is not None and r[0] == k and r[1] is not None and r[1] <= t]
+        want[n] = max(some, key=lambda r: (r[1], r[2]))[3] if some else None
+    assert own == want and found.count() == len(left)
+
+
+@pytest.mark.parametrize("per_cent", [20, 50, 100])
+def test_coupling_above(spark, per_cent):
+    rng = random.Random(per_cent)
+    rows = [(c, f"f{f}") for c in range(40) for f in rng.sample(range(25), rng.randrange(1, 6))] + [(99, "f0"), (99, "alone"), (98, "alone"), (98, "two"), (99, "two")]
+    commits = spark.createDataFrame(rows, "commit_id int, id string")
+    want = {(r.left_id, r.right_id): r.together for r in graph.change_coupling(commits).collect()}
+    size = {i: len({c for c, x in rows if x == i}) for _, i in rows}
+    want = {(a, b): k for (a, b), k in want.items() if 100 * k >= per_cent * (size[a] + size[b] - k)}
+    assert {(r.left_id, r.right_id): r.together for r in graph.coupled_above(commits, per_cent).collect()} == want
+
+
+def test_layout_reads_a_part(spark, tmp_path):
+    rng = random.Random(2)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, f"e{rng.randrange(40)}", f"t{i // 7}", None if i % 50 == 0 else start + datetime.timedelta(hours=rng.randrange(240))) for i in range(600)]
+    log = spark.createDataFrame(rows, "n int, e string, t string, at timestamp")
+    for half in (log.where("n < 300"), log.where("n >= 300")):
+        layout.append(half, str(tmp_path), "e", "at", "t")
+    low, high = start + datetime.timedelta(days=2), start + datetime.timedelta(days=4)
+    found = layout.read(spark, str(tmp_path), "e", "at", ["e1", "e2"], F.lit(low), F.lit(high))
+    assert {r.n for r in found.collect()} == {n for n, e, _, t in rows if e in ("e1", "e2") and t is not None and low <= t <= high}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    assert "bucket" in filters and "day" in filters
+    whole = spark.read.parquet(f"{tmp_path}/rows")
+    folders = lambda df: df.select(F.regexp_extract(F.col("_metadata.file_path"), "rows/(.*)/[^/]*$", 1).alias("f")).distinct().count()
+    assert folders(whole.where(F.col("bucket") == layout._bucket(F.lit("e1")))) <= folders(whole) / 4
+    assert {r.n for r in layout.read(spark, str(tmp_path), "e", "at", ["e3"]).collect()} == {n for n, e, _, _ in rows if e == "e3"}
+    assert layout.read(spark, str(tmp_path), "e", "at", []).count() == 0 and layout.read(spark, str(tmp_path), "e", "at").count() == 600
+    one = layout.read_second(spark, str(tmp_path), "t", "t7")
+    assert {r.n for r in one.collect()} == set(range(49, 56)) and layout.read_second(spark, str(tmp_path), "t", "none").count() == 0
