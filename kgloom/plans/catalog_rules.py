@@ -167,12 +167,13 @@ def fenced_sections(spark, d):
     return derived.table(spark, d, "documents").select("doc_id", fn.fenced(t, "sql").alias("fence"), fn.section(t, "ONE").alias("section"))
 
 
-@query("""SELECT conv_id, turn, (CASE WHEN turn % 2 = 0 THEN 0.7 ELSE 0.3 END)::DOUBLE AS confidence, '## Structural Summary' || chr(10) || chr(10) || '**Target:**' || chr(10) || role || chr(10) || chr(10) || '**Inbound dependencies (1):**' || chr(10) || '- Entity ' || turn || chr(10) || chr(10) AS text FROM conversations""")
+@query("""SELECT conv_id, turn, role || ' = ' || conv_id AS subject, (CASE WHEN turn % 3 = 0 THEN 0 ELSE turn % 3 END)::INTEGER AS used_by, 1 AS uses, 0 AS nearby FROM conversations""")
 def answer_summaries(spark, d):
-    text = F.concat(F.lit("### TARGET ENTITY\n"), "role", F.lit("\n\n### ACTIVE CALLERS / DEPENDENTS\n- Entity "), "turn", F.lit("\n"))
-    rows = derived.table(spark, d, "conversations").select("conv_id", "turn", text.alias("context"),
-        F.when(F.col("turn") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("citations"))
-    return render.answers(rows).select("conv_id", "turn", "confidence", "text")
+    n = F.col("turn") % 3
+    used = F.when(n > 0, F.concat(F.lit("\n\n### Used by"), F.repeat(F.lit("\nx = y, CALLS 0.90"), n))).otherwise("")
+    text = F.concat(F.lit("### Subject\n"), "role", F.lit(" = "), "conv_id", F.lit("\nSERVICE, ACTIVE"), used, F.lit("\n\n### Uses\nt = u"))
+    rows = derived.table(spark, d, "conversations").select("conv_id", "turn", text.alias("context"))
+    return render.summaries(rows).select("conv_id", "turn", "subject", "used_by", "uses", "nearby")
 
 
 @query(f"""SELECT CASE WHEN to_id = {BUSIEST} THEN 'in' ELSE 'out' END AS side, CASE WHEN to_id = {BUSIEST} THEN from_id ELSE to_id END AS id, c.type, c.confidence, s.canonical_name, s.confidence AS score
@@ -239,9 +240,11 @@ def scan_openapi(spark, d):
     return code.openapi_records(files).select("type", "name", "confidence")
 
 
-@query(f"SELECT {BUSIEST} AS origin")
+@query(f"""SELECT canonical_name || ' = ' || id AS subject, (SELECT count(*) FROM calls WHERE to_id = {BUSIEST} AND from_id <> to_id)::INTEGER AS used_by,
+(SELECT count(*) FROM calls WHERE from_id = {BUSIEST} AND from_id <> to_id)::INTEGER AS uses FROM services WHERE id = {BUSIEST}""")
 def report_origin(spark, d):
+    """The whole context of the busiest service, summed up: all of its own edges are named."""
     c = derived.calls(spark, d)
-    nodes, edges, _ = graph.relevance(c, busiest(c))
-    text = render.context(derived.services(spark, d), edges, nodes, busiest(c))
-    return spark.createDataFrame([(text.citations[0],)], "origin string")
+    nodes, _, _ = graph.relevance(c, busiest(c))
+    text = render.context(derived.services(spark, d), c, nodes, busiest(c), 10_000_000)
+    return render.summaries(spark.createDataFrame([(text.text,)], "context string")).select("subject", "used_by", "uses")

@@ -123,13 +123,10 @@ class Engine:
         return render.context(self.entities, edges, nodes, origin, limit)
 
     def answer(self, question: str, entity_name: str | None = None) -> dict:
-        """question, text, citations, confidence, diagram of a question about one entity: by the given model (a function of a system
-        prompt and a text), or else the context summed up."""
+        """question, text, citations, diagram of a question about one entity: by the given model (a function of a system prompt and a
+        text), or else the context itself."""
         p = self.plan(question, entity_name)
         c = self.context(self.find(p.entity), p.depth)
-        text = self.llm("Answer from the context alone.", f"## Question\n{question}\n\n## Context\n{c.text}\n") if self.llm else None
-        rows = self.spark.createDataFrame([(question, c.text, c.citations)], "question string, context string, citations array<string>")
-        out = render.answers(rows)
-        if text is not None:
-            out = out.withColumn("text", F.lit(text)).withColumn("diagram", fenced(F.col("text"), "mermaid"))
-        return out.drop("context").first().asDict()
+        text = self.llm("Answer from the context alone.", f"{c.text}\n\nQuestion: {question}\n") if self.llm else c.text
+        rows = self.spark.createDataFrame([(text,)], "text string").select(fenced(F.col("text"), "mermaid").alias("d"))
+        return {"question": question, "text": text, "citations": c.citations, "diagram": rows.first()["d"]}

@@ -1,8 +1,10 @@
-"""Texts made from graph results: contexts, answers, trees, charts, documents. Each is one report, so it is put together on the driver
+"""Texts made from graph results: contexts, their summaries, trees, charts, documents. Each is one report, so it is put together on the driver
 from rows that a stated limit bounds."""
 
 from __future__ import annotations
 
+import json
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -13,8 +15,8 @@ from kgloom.operators import catalogs, graph, paths
 
 #: Characters of a context, and lines of a list in a report.
 MOST_CHARS, MOST_LINES = 256_000, 500
-# Headers of a context's sections.
-TARGET, CALLERS, OUTBOUND, RELATED = "TARGET ENTITY", "ACTIVE CALLERS / DEPENDENTS", "OUTBOUND DEPENDENCIES", "RELATED CONTEXT (multi-hop)"
+#: Sections of a context.
+SUBJECT, USED_BY, USES, NEARBY = "Subject", "Used by", "Uses", "Nearby"
 
 
 @dataclass
@@ -35,53 +37,39 @@ def peers(edges: DataFrame, nodes: DataFrame, origin: str) -> DataFrame:
 
 
 def context(entities: DataFrame, edges: DataFrame, nodes: DataFrame, origin: str, limit: int = MOST_CHARS) -> Context:
-    """The origin's description, its inbound and outbound edges by their peers' score, and the other relevant nodes (nodes: node,
-    score), at most so many characters; all nodes named are cited."""
+    """What is known of the origin, as sections of lines: the entity with its sub-type, stage and properties, who uses it, what it uses
+    (by the peer's score), and the other relevant nodes (nodes: node, score). At most so many characters, cut at a line; all
+    nodes named are cited."""
     me = entities.where(F.col("id") == origin).first()
     if me is None:
         raise LookupError(origin)
+    own = me.asDict()
     named = nodes.select(F.col("node").alias("id"), "score").join(entities, "id", "left").select("id", "canonical_name", "namespace", "type",
         "score")
-    out = [f"### {TARGET}", f"- **ID:** `{me['id']}`", f"- **Type:** {me['type']}", f"- **Canonical Name:** `{me['canonical_name']}`",
-        f"- **Namespace:** `{me['namespace']}`", f"- **Confidence:** {me['confidence']:.2f}"]
-    if not me["is_active"]:
-        out.append("- **Status:** SOFT-DELETED")
+    stage = own.get("lifecycle_stage") or ("ACTIVE" if own["is_active"] else "DELETED")
+    kind = f"{own['type']}/{own['sub_type']}" if own.get("sub_type") else own["type"]
+    lines = [f"### {SUBJECT}", f"{own['canonical_name']} = {origin}", f"{kind}, {stage}, namespace {own['namespace']}, sure {own['confidence']:.2f}"]
+    lines += [f"{k}: {json.dumps(v, ensure_ascii=False)}" for k, v in sorted(json.loads(own.get("properties") or "{}").items())]
     direct = peers(edges, named, origin).limit(limit // 20).collect()  # a line has more characters than that
-    for side, header in (("in", CALLERS), ("out", OUTBOUND)):
-        rows = [r for r in direct if r["side"] == side]
-        if rows:
-            out += ["", f"### {header}"]
-        for r in rows:
-            if r["canonical_name"] is None:
-                out.append(f"- (orphan) `{r['id']}` via {r['type']} (confidence {r['confidence']:.2f})")
-            else:
-                out += [f"- **Entity:** `{r['canonical_name']}` (`{r['id']}`)",
-                    f"  - **Relationship:** {r['type']} (confidence {r['confidence']:.2f})"]
+    for side, header in (("in", USED_BY), ("out", USES)):
+        rows = [f"{r['canonical_name'] or 'unknown'} = {r['id']}, {r['type']} {r['confidence']:.2f}" for r in direct if r["side"] == side]
+        lines += ["", f"### {header}", *rows] if rows else []
     scored = named.orderBy(F.desc("score"), "id").limit(catalogs.RELEVANCE_NODES).collect()
     known = {r["id"] for r in direct}
-    if rest := [r for r in scored if r["id"] not in known]:
-        out += ["", f"### {RELATED}",
-            *(f"- `{r['id']}` — {r['namespace']}/{r['canonical_name']} (type: {r['type']}, score: {r['score']:.2f})" for r in rest)]
-    text = "\n".join(out) + "\n"
+    rest = [f"{r['canonical_name']} = {r['id']}, {r['type']} in {r['namespace']}, {r['score']:.2f}" for r in scored if r["id"] not in known]
+    lines += ["", f"### {NEARBY}", *rest] if rest else []
+    text = "\n".join(lines)
     if len(text) > limit:
-        text = text[:limit] + "\n\n…(truncated)"
+        text = text[:limit].rpartition("\n")[0] + "\n(cut)"
     return Context(text, [origin, *(r["id"] for r in scored)])
 
 
-def answers(contexts: DataFrame) -> DataFrame:
-    """contexts (question, context, citations: array) with text, confidence, diagram: the context's sections put together again; 0.7, or
-    0.3 without citations."""
-    body = F.lit("## Structural Summary\n\n")
-    count = lambda s: F.size(F.split(s, "Entity")) - 1
+def summaries(contexts: DataFrame) -> DataFrame:
+    """contexts (a column context) with subject (its first line), and how many lines the other sections have: used_by, uses, nearby."""
     c = F.col("context")
-    for header, title in ((TARGET, "Target"), (CALLERS, "Inbound dependencies"), (OUTBOUND, "Outbound dependencies"),
-        (RELATED, "Multi-hop related")):
-        part = fn.section(c, header)
-        label = F.concat(F.lit(f"**{title} ("), count(part).cast("string"), F.lit("):**\n")) if "dependencies" in title else F.lit(
-            f"**{title}:**\n")
-        body = F.concat(body, F.when(part.isNotNull(), F.concat(label, part, F.lit("\n\n"))).otherwise(""))
-    return contexts.withColumn("text", body).withColumn("confidence", F.when(F.size("citations") > 0, 0.7).otherwise(0.3)).withColumn(
-        "diagram", fn.fenced(F.col("text"), "mermaid"))
+    lines = lambda header: F.coalesce(F.size(F.split(fn.section(c, header), "\n")), F.lit(0))
+    return contexts.withColumns({"subject": F.split(fn.section(c, SUBJECT), "\n")[0], "used_by": lines(USED_BY), "uses": lines(USES), "nearby": lines(
+        NEARBY)})
 
 
 def mermaid(edges: DataFrame, limit: int = MOST_LINES) -> str:

@@ -161,10 +161,13 @@ def test_planner_and_engine(spark):
     with pytest.raises(ValueError, match="namespace needed"):
         engine.plan("any smell?")
     c = engine.context("a")
-    assert "- **Entity:** `bill` (`b`)" in c.text and "- `c` — n/cart (type: SERVICE, score: 0.63)" in c.text and c.citations == ["a", "b", "c"]
-    assert engine.context("a", limit=40).text.endswith("…(truncated)") and "b -->|IMPORTS| a" in render.mermaid(e)
+    assert "### Used by\nbill = b, IMPORTS 1.00" in c.text and "### Nearby\ncart = c, SERVICE in n, 0.63" in c.text and c.citations == ["a", "b", "c"]
+    assert engine.context("a", limit=40).text.endswith("(cut)") and "b -->|IMPORTS| a" in render.mermaid(e)
     told = engine.answer("who calls `auth`")
-    assert told["confidence"] == 0.7 and "**Inbound dependencies (1):**" in told["text"] and told["diagram"] is None
+    assert told["text"] == c.text and told["citations"] == c.citations and told["diagram"] is None
+    full = ents.where("id = 'a'").withColumns({"sub_type": F.lit("BFF"), "properties": F.lit('{"tier": 1, "owner": "x"}')})
+    text = render.context(full, e, spark.createDataFrame([], "node string, score double"), "a").text
+    assert "SERVICE/BFF, ACTIVE, namespace n" in text and 'owner: "x"\ntier: 1' in text and "unknown = b, IMPORTS 1.00" in text
     engine.llm = lambda system, text: "see\n```mermaid\ngraph LR\n```\nend"
     assert engine.answer("who calls `auth`")["diagram"] == "graph LR"
     engine.update(edges=e.where("type = 'IMPORTS'"))
