@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgloom.session import cut
+from kgloom.session import once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,12 @@ def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of suppliers in an order, from the earlier line to the later, by the later line's kind: parallel edges of
-    several types, loops, and edges that are inactive as no earlier line is open. Written, as all that follows reads it."""
+    several types, loops, and edges that are inactive as no earlier line is open. Written once a session and folder, as all that
+    follows reads it."""
+    return once(spark, f"calls {sf_dir}", lambda: _calls(spark, sf_dir))
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
     one, two = rows.toDF("k", "a", "i", "fa", "sa"), rows.toDF("k", "b", "j", "fb", "sb")
     kind = F.when(F.col("fb") == "A", "CALLS").when(F.col("fb") == "N", "RUNTIME_CALLS").when(F.col("sb") == "F", "IMPORTS").otherwise(
@@ -51,9 +56,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = one.join(two, "k").where("i < j").groupBy("a", "b", kind.alias("type")).agg(F.count("*").alias("n"),
         F.bool_or(F.col("sa") == "O").alias("is_active"))
     confidence = F.round(0.5 + 0.05 * F.least("n", F.lit(10)), 6)
-    return cut(
-        pairs.select(F.concat(F.lit("svc-"), "a").alias("from_id"), F.concat(F.lit("svc-"), "b").alias("to_id"), "type",
-            confidence.alias("confidence"), "is_active"))
+    return pairs.select(F.concat(F.lit("svc-"), "a").alias("from_id"), F.concat(F.lit("svc-"), "b").alias("to_id"), "type",
+        confidence.alias("confidence"), "is_active")
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:

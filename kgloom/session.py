@@ -6,14 +6,16 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 _own_dir: dict[tuple[str, str], str] = {}
+_once: dict[tuple[str, str], tuple[str, StructType]] = {}
 #: Of this thread or task alone, the paths to remove at the end of each open ``scratch``, the innermost last.
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
@@ -94,5 +96,16 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(spark: SparkSession, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make's rows, written at the first call of this application and read back at every one; they stay until the driver ends."""
+    known = (spark.sparkContext.applicationId, key)
+    if known not in _once:
+        path, df = f"{work_dir(spark)}/once-{uuid.uuid4().hex}", make()
+        df.write.parquet(path)
+        _once[known] = (path, df.schema)
+    path, schema = _once[known]
+    return spark.read.schema(schema).parquet(path)
+
+
 def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     return saved(df, "cut", keep)
