@@ -4,9 +4,10 @@ Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, and q
 distance is the largest inner product and the triangle inequality holds. A coarse tree, fitted on at most ``sample``
 vectors, deals all vectors to shards (a leaf of too many rows, such as copies of one vector, is dealt on by hash).
 Each shard's tree is built once and written. A query is searched in its own shards first; its k-th distance then rules
-out shards and, inside them, subtrees: one is skipped if its lower bound exceeds ``factor`` times that distance.
-Factor one, the default, is exact search. Smaller factors skip more and have no recall of their own: where norms differ,
-the added component puts every query far from all vectors, and a share of that distance says little.
+out shards and, inside them, subtrees: one is skipped if its lower bound exceeds what is left of that distance by ``factor``.
+Lifted vectors lie on a sphere of radius M, so no distance from a query is below | M - |q| |; the factor applies to what the k-th
+distance has over that, as only that tells near from far. Factor one, the default, is exact search. ``calibrate`` finds, on a bounded
+sample of queries and vectors, the smallest factor that keeps a wanted recall, and tells the recall it had there.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part; nor do
 null ids. A query's own id is no candidate; queries of one id give one list, the nearest to any of them. A candidate's score is
@@ -29,6 +30,11 @@ from . import common
 ROUNDING = 1e-12
 
 
+def relaxed(far: np.ndarray, least: np.ndarray, factor: float) -> np.ndarray:
+    """How far a search looks: the k-th distance so far, of which the part over the least possible one counts by the factor."""
+    return far * (1 + 1e-12) if factor == 1 else np.where(np.isfinite(far), least + factor * np.maximum(far - least, 0), far)
+
+
 class Tree:
     """hi: largest distance inside, lo: smallest outside, of a node's vantage point; leaves hold a range of rows."""
 
@@ -107,6 +113,7 @@ class Tree:
         """Inner products and ids of up to k nearest (-inf where fewer). far: distances already reached elsewhere."""
         best, who = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
         norms = (q * q).sum(1)
+        least = np.abs(np.sqrt(norms) - np.linalg.norm(self.points[0])) if len(self.points) else np.zeros(len(q))
         size = float((self.points[0] ** 2).sum()) if len(self.points) else 0.0
         far = np.full(len(q), np.inf) if far is None else far.copy()
 
@@ -151,7 +158,7 @@ class Tree:
                 return
             d = np.linalg.norm(q[at] - self.vantage[n], axis=1)
             for kid, low in ((a, d - self.hi[n]), (b, self.lo[n] - d)):
-                some = at[low <= factor * reach(at) * (1 + 1e-12)]
+                some = at[low <= relaxed(reach(at), least[at], factor)]
                 if len(some):
                     visit(kid, some)
 
@@ -186,6 +193,35 @@ _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa
 _HIT_SQL = "query_id long, vec_id long, score double"
 
 
+def calibrate(vectors: DataFrame, recall: float = 0.9, k: int = 20, sample: int = 8192, queries: int = 256) -> tuple[float, float]:
+    """A factor and the recall it had: the smallest of 0.05, 0.1, ... 1 with at least the wanted recall, and half of what that leaves to
+    one as a margin, on a tree over at most ``sample`` vectors of the commonest length and at most ``queries`` of them. A larger index
+    has more subtrees to rule out and a nearer k-th distance, so a factor found on a sample errs on the safe side more often
+    than not; measure the recall where it matters. Without vectors the factor is one."""
+    rows = usable(vectors).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    if not rows:
+        return 1.0, 1.0
+    lengths = [len(r["v"]) for r in rows]
+    dim = max(set(lengths), key=lambda n: (lengths.count(n), -n))
+    x = np.array([r["v"] for r in rows if len(r["v"]) == dim], np.float64)
+    ids = np.arange(len(x))
+    tree, asked = Tree(_lifted(x, float(np.linalg.norm(x, axis=1).max())), ids), ids[:queries]
+    q = _flat(x[asked])
+    exact = tree.search(q, asked, k, 1.0)[1]
+    none = np.iinfo(np.int64).max
+
+    def found(factor: float) -> float:
+        got = tree.search(q, asked, k, factor)[1]
+        hits = sum(len(set(a.tolist()) & set(b.tolist()) - {none}) for a, b in zip(exact, got, strict=True))
+        return hits / max(1, int((exact != none).sum()))
+
+    wanted = recall + (1 - recall) / 2
+    for step in range(1, 20):
+        if (had := found(step / 20)) >= wanted:
+            return step / 20, had
+    return 1.0, 1.0
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.0, sample: int = 8192, shard_rows: int = 4096,
     query_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score for queries with vec_id divisible by ``every``."""
@@ -241,7 +277,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.
                     far = np.full(len(q), np.inf)
                 else:
                     far = b.column("far").to_numpy(zero_copy_only=False)
-                    go = low <= (factor * far * (1 + 1e-12))[:, None]
+                    go = low <= relaxed(far, np.abs(np.linalg.norm(q, axis=1) - most), factor)[:, None]
                     go[np.arange(len(q)), home] = False
                 row, shard = np.nonzero(go[:, pairs[0]])
                 take = pa.array(row)

@@ -208,6 +208,28 @@ def test_nearest_as_registered(spark, kind):
     assert all(got[20 * n] == set(w) for n, w in enumerate(want.tolist()))
 
 
+@pytest.mark.parametrize("kind", ["one long", "mixed norms", "low dimension"])
+def test_a_calibrated_factor_keeps_the_recall(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5000, 4)) @ rng.normal(size=(4, 24)) + 0.05 * rng.normal(size=(5000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "one long":
+        x[7] *= 3
+    if kind == "mixed norms":
+        x *= rng.lognormal(0, 0.3, size=(5000, 1))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    factor, told = vptree.calibrate(df, 0.9)
+    assert told >= 0.95 and factor < 1
+    got: dict = {}
+    for r in vptree.nearest(df, factor=factor, shard_rows=512).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    ip = x[::20] @ x.T
+    ip[np.arange(250), np.arange(0, 5000, 20)] = -np.inf
+    want = np.argsort(-ip, axis=1)[:, :20]
+    assert sum(len(got[20 * n] & set(w)) for n, w in enumerate(want.tolist())) >= 0.9 * want.size
+    assert vptree.calibrate(df.limit(0)) == (1.0, 1.0)
+
+
 def test_copies_are_ordered_by_id(spark):
     rng = np.random.default_rng(12)
     base = rng.normal(size=(40, 33))
