@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +64,19 @@ def release() -> None:
         trim(0)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files go as soon as the job that wrote them is over, as what it made is written itself; otherwise they stay until
+    the driver's JVM happens to collect their handles."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]],
     Iterator[pa.RecordBatch]]:
     """f for mapInArrow, with memory released after each task."""

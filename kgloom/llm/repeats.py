@@ -9,7 +9,7 @@ aggregation of narrow rows and a join. The other pieces are cut from the texts;
 doc_id, so that a passage in every document is one row a task, and are dealt by anchor into shards. Each shard gets a suffix
 array (``suffix_array``) and its permuted common prefixes; neighbours that share ``width`` bytes are one string, whose smallest
 document decides about all its places. What comes back to the texts are spans of pieces. Pieces of an
-anchor that more than ``hot`` documents hold might be too many for a shard: where equal ones are one row and still many differ,
+anchor with more than ``hot`` of them might be too many for a shard: where equal ones are one row and still many differ,
 their windows become rows of their own and are grouped by content, which gives the same spans.
 
 Null or empty text has no bytes. A row with a null doc_id keeps all and takes none from others. Rows of one doc_id are one
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ from . import common
 from .suffix_array import Suffixes
 
 #: Windows in a row that one piece may have at most, and bytes of text that are hashed at a time.
-RUN, BLOCK = 255, 1 << 20
+RUN, BLOCK = 63, 1 << 17
+#: Of Spark's own 64-bit hash.
+SEED = 42
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -41,11 +44,10 @@ def _anchors(data: bytes, width: int, gram: int) -> np.ndarray:
     size = n - gram + 1
     h = np.zeros(size, np.uint64)
     for at, mix in zip([*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])], _MIX, strict=False):
-        x = words[at:at + size] * mix
-        x ^= x >> np.uint64(32)
-        h += x
-        h *= _MIX[3]
-        h ^= h >> np.uint64(29)
+        h += words[at:at + size] * mix
+    h ^= h >> np.uint64(29)
+    h *= _MIX[3]
+    h ^= h >> np.uint64(32)
     span, done = width - gram + 1, 1
     while 2 * done <= span:
         h = np.minimum(h[:-done], h[done:])
@@ -65,15 +67,20 @@ def pieces(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.nd
         size = np.array([len(x) for _, _, x in group])
         end = np.cumsum(size)
         m = _anchors(data, width, gram)
-        of = np.repeat(np.arange(len(group)), size)[:len(m)]
-        at = np.arange(len(m))
-        good = at + width <= end[of]
+        of = np.repeat(np.arange(len(group), dtype=np.int32), size)[:len(m)]
+        good = np.ones(len(data), bool)
+        for e in end.tolist():
+            good[max(0, e - width + 1):e] = False
+        good = good[:len(m)]
         new = np.ones(len(m), bool)
         new[1:] = (m[1:] != m[:-1]) | (of[1:] != of[:-1]) | (good[1:] != good[:-1])
-        last = np.maximum.accumulate(np.where(new, at, 0))
-        first = np.flatnonzero(new | ((at - last) % RUN == 0))
+        first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(m)))
         first, count = first[good[first]], count[good[first]]
+        # a run that is too long for one piece becomes several
+        parts = -(-count // RUN)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, count = np.repeat(first, parts) + nth * RUN, np.minimum(RUN, np.repeat(count, parts) - nth * RUN)
         text, begin = (np.array([g[k] for g in group]) for k in (0, 1))
         found.append((text[of[first]], m[first].view(np.int64), first - (end - size)[of[first]] + begin[of[first]], count))
 
@@ -106,17 +113,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(doc, text).alias("row"), doc.alias("doc"), text.alias("text")).where("doc IS NOT NULL")
 
 
-def _shared(rows: DataFrame, width: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """The anchors of two documents or more, with the number of documents, n; and for rows that hold some: row and its pieces
-    (anchor, first window, windows)."""
+def _shared(rows: DataFrame, width: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The anchors (h) with more than ``hot`` pieces; and for rows that hold anchors of two documents or more: row and its pieces of
+    these (anchor, first window, windows). Both are written."""
     seen = pa.schema([("h", pa.int64()), ("doc", pa.int64())])
     marked = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, h, _, _ = pieces(_encoded(batch), width, gram)
-            own = np.unique(np.stack([batch.column("doc").to_numpy()[of], h]), axis=1) if len(h) else np.zeros((2, 0), np.int64)
-            yield common.record(seen, h=own[1], doc=own[0])
+            yield common.record(seen, h=h, doc=batch.column("doc").to_numpy()[of])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +133,8 @@ def _shared(rows: DataFrame, width: int, gram: int) -> tuple[DataFrame, DataFram
         F.max("doc").alias("high"), F.count("*").alias("n"))
     anchors = common.saved(anchors.where("low < high").select("h", "n"), "anchors")
     places = rows.select("row", "text").mapInArrow(common.lean(each), "h long, row long, at long")
-    return anchors, places.join(anchors.select("h").hint("shuffle_hash"), "h").groupBy("row").agg(F.collect_list(F.struct("h", "at")).alias("places"))
+    found = places.join(anchors.select("h").hint("shuffle_hash"), "h").groupBy("row").agg(F.collect_list(F.struct("h", "at")).alias("places"))
+    return common.saved(anchors.where(F.col("n") > hot).select("h"), "hot", keep=True), common.saved(found, "places")
 
 
 def _cut(rows: DataFrame, shared: DataFrame, width: int) -> DataFrame:
@@ -148,8 +155,8 @@ def _cut(rows: DataFrame, shared: DataFrame, width: int) -> DataFrame:
             yield common.record(schema, row=row, doc=doc, h=h, first=first, piece=cut)
 
     joined = rows.join(shared.hint("shuffle_hash"), "row").select("row", "doc", "text", "places")
-    path = common.own_path(rows.sparkSession, "pieces")
-    cut = joined.mapInArrow(common.lean(run), "row long, doc long, h long, first long, piece binary").withColumn("id", F.xxhash64("piece"))
+    path = common.own_path(rows.sparkSession, "pieces", keep=True)
+    cut = joined.mapInArrow(common.lean(run), "row long, doc long, h long, first long, piece binary")
     # pieces overlap, so a real compressor makes little of them
     cut.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(cut.schema).parquet(path)
@@ -164,12 +171,13 @@ def _by_window(pieces: DataFrame, width: int) -> DataFrame:
     return windows.join(least, "window").where("least < high").select("h", "id", at.alias("low"), at.alias("high"), "least")
 
 
-def _spans(found: DataFrame, anchors: DataFrame, width: int, shard_bytes: int, hot: int) -> DataFrame:
+def _spans(found: DataFrame, many: DataFrame, width: int, shard_bytes: int) -> DataFrame:
     """For each piece the runs of windows (low .. high) whose smallest document is ``least``: h, id, low, high, least."""
     schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("least", pa.int64())])
 
     def search(group: pa.Table) -> pa.Table:
-        s = Suffixes(group.column("piece").to_pylist())
+        strings = group.column("piece").to_pylist()
+        s = Suffixes(strings)
         owner = group.column("low").to_numpy()[s.of]
         shared, order = s.common(), s.sa
         first = np.flatnonzero(shared[order] < width)
@@ -184,34 +192,37 @@ def _spans(found: DataFrame, anchors: DataFrame, width: int, shard_bytes: int, h
         b = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else at
         of = s.of[a]
         start = np.searchsorted(s.of, of)
-        return pa.table({"h": group.column("h").to_numpy()[of], "id": group.column("id").to_numpy()[of], "low": a - start, "high": b - start,
-            "least": best[a]}, schema=schema)
+        names = np.array([xxhash.xxh64_intdigest(strings[i], SEED) for i in of.tolist()], np.uint64).view(np.int64)
+        return pa.table({"h": group.column("h").to_numpy()[of], "id": names, "low": a - start, "high": b - start, "least": best[a]}, schema=schema)
 
     distinct = found.groupBy("h", "piece").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    distinct = common.saved(distinct.withColumn("id", F.xxhash64("piece")), "distinct")
+    distinct = common.saved(distinct, "distinct")
     total = distinct.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    many = anchors.where(F.col("n") > hot).select("h")
     apart = many.count() > 0
     usual = distinct.join(many, "h", "left_anti") if apart else distinct
     spans = usual.groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(search, "h long, id long, low long, high long, least long")
-    return spans.unionByName(_by_window(distinct.join(many, "h", "left_semi"), width)) if apart else spans
+    return spans.unionByName(_by_window(distinct.join(many, "h", "left_semi").withColumn("id", F.xxhash64("piece")), width)) if apart else spans
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 16, shard_bytes: int = 8 << 20, hot: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 16, shard_bytes: int = 4 << 20, hot: int = 50_000) -> DataFrame:
     """docs with four more columns: n_bytes, n_removed, n_spans (maximal removed runs) and ``kept``, the other bytes."""
     common.tune(docs.sparkSession)
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
     names = [c for c in docs.columns if c not in added]
     docs = docs.select(*names)
-    rows = _keyed(docs)
-    anchors, shared = _shared(rows, width, gram)
-    found = _cut(rows, shared, width)
-    spans = _spans(found, anchors, width, shard_bytes, hot).select(F.col("h").alias("h2"), F.col("id").alias("id2"), "low", "high", "least")
-    gone = found.select("row", "doc", "h", "id", "first").join(spans, (F.col("h") == F.col("h2")) & (F.col("id") == F.col("id2")))
-    gone = gone.where("least < doc").select(F.col("row").alias("__row"), (F.col("first") + F.col("low")).alias("a"),
-        (F.col("first") + F.col("high") + width).alias("b"))
-    gone = common.saved(gone.groupBy("__row").agg(F.collect_list(F.struct("a", "b")).alias("__gone")), "gone")
+    spark = docs.sparkSession
+    with common.swept(spark), common.scratch(spark):
+        rows = _keyed(docs)
+        with common.scratch(spark):
+            many, shared = _shared(rows, width, gram, hot)
+            found = _cut(rows, shared, width)
+        with common.scratch(spark):
+            spans = common.saved(_spans(found, many, width, shard_bytes), "spans", keep=True).withColumnsRenamed({"h": "h2", "id": "id2"})
+        at = found.select("row", "doc", "h", F.xxhash64("piece").alias("id"), "first")
+        gone = at.join(spans, (F.col("h") == F.col("h2")) & (F.col("id") == F.col("id2"))).where("least < doc").select(F.col("row").alias(
+            "__row"), (F.col("first") + F.col("low")).alias("a"), (F.col("first") + F.col("high") + width).alias("b"))
+        gone = common.saved(gone.groupBy("__row").agg(F.collect_list(F.struct("a", "b")).alias("__gone")), "cuts", keep=True)
     schema = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"),
         "kept": F.lit(b"")}).schema
 

@@ -4,7 +4,7 @@ The strings stand one after the other, each closed by an end mark that is smalle
 marks (a later one is smaller), so no comparison runs over the end of a string.
 
 Suffixes are classified as smaller or larger than their successor; the leftmost-smaller ones are sorted by recursion over the
-names of the substrings between them; the others are induced from these, bucket by bucket. Buckets are scanned in batches:
+names of the substrings between them, until most names occur once; the others are induced from these, bucket by bucket. Buckets are scanned in batches:
 neighbouring buckets none of whose suffixes is placed into another bucket of the batch have their predecessors placed by
 one stable sort, in the order in which a scan one by one would place them.
 """
@@ -17,7 +17,7 @@ import numpy as np
 def _kinds(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one; the last is."""
     n = len(t)
-    at = np.where(t[:-1] != t[1:], np.arange(n - 1), n)
+    at = np.where(t[:-1] != t[1:], np.arange(n - 1, dtype=np.int32), np.int32(n))
     out = np.ones(n, bool)
     if n > 1:
         # equal symbols follow the first difference to the right; before it stands always one, as the last symbol is the smallest
@@ -30,8 +30,8 @@ def _batches(low: np.ndarray, high: np.ndarray, size: int) -> list[tuple[int, in
     one range."""
     own = np.zeros(size, bool)
     own[low[low == high]] = True
-    limit = np.full(size, size)
-    np.minimum.at(limit, low, np.where(low < high, high, size))
+    limit = np.full(size, size, np.int32)
+    np.minimum.at(limit, low, np.where(low < high, high, np.int32(size)))
     out, start, end = [], 0, size
     stops = np.flatnonzero((limit < size) | own)
     for b, to, alone in zip(stops.tolist(), limit[stops].tolist(), own[stops].tolist(), strict=True):
@@ -76,10 +76,10 @@ class _Induction:
         self.t, self.ends, self.smaller = t, ends, _kinds(t)
         self.bounds = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=symbols))])
         larger, smaller = np.flatnonzero(~self.smaller[:-1]), np.flatnonzero(self.smaller[:-1] & (t[:-1] > 0))
-        self.up = _batches(t[larger + 1].astype(np.int64), t[larger].astype(np.int64), symbols)
+        self.up = _batches(t[larger + 1].astype(np.int32), t[larger].astype(np.int32), symbols)
         mirror = symbols - 1
-        self.down = [(mirror + 1 - b, mirror + 1 - a, alone) for a, b, alone in _batches(mirror - t[smaller + 1].astype(np.int64),
-            mirror - t[smaller].astype(np.int64), symbols)]
+        self.down = [(mirror + 1 - b, mirror + 1 - a, alone) for a, b, alone in _batches(mirror - t[smaller + 1].astype(np.int32),
+            mirror - t[smaller].astype(np.int32), symbols)]
         self.lms = np.flatnonzero(np.append(False, self.smaller[1:] & ~self.smaller[:-1]))
         self.forth, self.back = ~self.smaller, self.smaller & (t > 0)
         self.is_lms = np.zeros(len(t), bool)
@@ -109,7 +109,7 @@ class _Induction:
                 block = sa[bounds[a]:bounds[b]]
             _place(sa, t, head, self._before(block[block >= 0], False), 1)
         tail = bounds[1:].copy()
-        filled = np.arange(len(t)) < np.repeat(split, np.diff(bounds))
+        filled = np.arange(len(t), dtype=np.int32) < np.repeat(split.astype(np.int32), np.diff(bounds))
         filled[:len(self.ends)] = True
         sa[~filled] = -1
         for a, b, alone in self.down:
@@ -128,20 +128,47 @@ class _Induction:
 
 def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For leftmost-smaller suffixes in order, whether their substring differs from the one before."""
-    length = np.zeros(len(t), np.int32)
-    length[lms[:-1]] = np.diff(lms)
+    length = np.ones(len(t), np.int32)
+    length[lms[:-1]] += np.diff(lms).astype(np.int32)
     a, b = order[:-1], order[1:]
     new = (length[a] != length[b]) | (t[a] == 0)
     left = np.flatnonzero(~new)
+    # several symbols at a time, those past the end left out
+    per = 8 // t.itemsize
+    words = np.ndarray((len(t),), "<u8", t.tobytes() + bytes(8), 0, (t.itemsize,))
+    masks = np.array([(1 << 8 * t.itemsize * k) - 1 for k in range(per + 1)], np.uint64)
     off = 0
     while len(left):
-        left = left[length[a[left]] >= off]
-        same = t[a[left] + off] == t[b[left] + off]
+        x, y = a[left], b[left]
+        rest = length[x] - off
+        same = (words[x + off] ^ words[y + off]) & masks[np.minimum(rest, per)] == 0
         new[left[~same]] = True
-        left, off = left[same], off + 1
+        left, off = left[same & (rest > per)], off + per
     return np.append(True, new)
 
 
+def _settle(t: np.ndarray, symbols: int) -> np.ndarray:
+    """The suffix array of a text most of whose symbols occur once: the others are told apart by the ranks of what follows, twice
+    as far each time."""
+    count = np.bincount(t, minlength=symbols)
+    rank = (np.cumsum(count) - count)[t]
+    left, step = np.flatnonzero(count[t] > 1), 1
+    while len(left):
+        own, after = rank[left], rank[left + step]
+        order = np.lexsort((after, own))
+        left, own, after = left[order], own[order], after[order]
+        at = np.arange(len(left))
+        group = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), at, 0))
+        new = np.append(True, (own[1:] != own[:-1]) | (after[1:] != after[:-1]))
+        start = np.maximum.accumulate(np.where(new, at, 0))
+        rank[left] = own + start - group
+        alone = new & np.append(new[1:], True)
+        left, step = left[~alone], 2 * step
+    out = np.empty(len(t), np.int32)
+    out[rank] = np.arange(len(t), dtype=np.int32)
+    return out
+
+
 def _sort(t: np.ndarray, symbols: int, ends: np.ndarray) -> np.ndarray:
     """The suffix array of t, whose symbol 0 stands at ``ends`` only, given in their order; t's last symbol is the first of them."""
     work = _Induction(t, symbols, ends)
@@ -149,11 +176,15 @@ def _sort(t: np.ndarray, symbols: int, ends: np.ndarray) -> np.ndarray:
     sa = work.run(inner)
     order = sa[work.is_lms[sa]]
     name = np.cumsum(_names(t, work.lms, order)) - 1
-    if name[-1] + 1 < len(order):
+    names = int(name[-1]) + 1
+    if names < len(order):
         place = np.empty(len(t), np.int32)
         place[order] = name
         reduced = place[work.lms]
-        found = _sort(reduced.astype(np.uint16 if name[-1] < 1 << 16 else np.int32), int(name[-1]) + 1, np.array([len(reduced) - 1]))
+        if 2 * names > len(reduced):
+            found = _settle(reduced, names)
+        else:
+            found = _sort(reduced.astype(np.uint16 if names <= 1 << 16 else np.int32), names, np.array([len(reduced) - 1]))
         order = work.lms[found]
     return work.run(order[t[order] > 0])
 
@@ -169,8 +200,8 @@ class Suffixes:
         close = np.cumsum(size + 1) - 1
         t = byte.astype(np.uint16) + np.uint16(1)
         t[close] = 0
-        self.of = np.repeat(np.arange(len(strings)), size + 1)
-        self.rest = close[self.of] - np.arange(len(t))
+        self.of = np.repeat(np.arange(len(strings), dtype=np.int32), size + 1)
+        self.rest = close.astype(np.int32)[self.of] - np.arange(len(t), dtype=np.int32)
         # bytes that do not occur have no buckets
         used = np.zeros(257, bool)
         used[t] = True
@@ -182,23 +213,25 @@ class Suffixes:
         """By text position: the bytes a suffix shares with the one before it in the order. Where the preceding symbols agree,
         it is one less than at the position before; the others are compared, eight bytes at a time."""
         n, sa = len(self.text), self.sa
-        before = np.full(n, -1, np.int64)
+        before = np.full(n, -1, np.int32)
         before[sa[1:]] = sa[:-1]
         t = self._symbols
-        at = np.arange(n)
+        at = np.arange(n, dtype=np.int32)
         fresh = np.ones(n, bool)
         fresh[1:] = (before[1:] <= 0) | (t[:-1] == 0) | (t[:-1] != t[before[1:] - 1])
         words = np.ndarray((n,), "<u8", self.text + bytes(8), 0, (1,))
         i = np.flatnonzero(fresh & (before >= 0))
         j = before[i]
         most = np.minimum(self.rest[i], self.rest[j])
-        out = np.zeros(n, np.int64)
+        out = np.zeros(n, np.int32)
         left, off = np.arange(len(i)), 0
         while len(left):
             x = words[i[left] + off] ^ words[j[left] + off]
-            same = sum(((x & np.uint64((1 << 8 * k) - 1)) == 0).astype(np.int64) for k in range(1, 8)) + (x == 0)
-            out[i[left]] = np.minimum(off + same, most[left])
-            left = left[(same == 8) & (most[left] > off + 8)]
-            off += 8
-        last = np.maximum.accumulate(np.where(fresh, at, 0))
+            more = (x == 0) & (most[left] > off + 8)
+            ended, x = left[~more], x[~more]
+            # the lowest bit that differs lies in the first byte that does
+            low = np.frexp((x & (~x + np.uint64(1))).astype(np.float64))[1] - 1
+            out[i[ended]] = np.minimum(off + np.where(x == 0, 8, low >> 3), most[ended])
+            left, off = left[more], off + 8
+        last = np.maximum.accumulate(np.where(fresh, at, np.int32(0)))
         return np.where(before >= 0, out[last] - (at - last), 0)
