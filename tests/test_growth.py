@@ -21,3 +21,16 @@ def test_couplings_of_many_small_commits_are_counted_not_looked_up(spark):
     own = collections.Counter(f"f{x}" for m in members for x in m)
     assert found and found == {k: v for k, v in every.items() if 100 * v[0] >= 9 * (own[k[0]] + own[k[1]] - v[0])}
     assert sent < 40_000, sent
+
+
+def test_reach_stays_in_its_part_of_the_graph(spark):
+    """60 graphs of 40 nodes, numbered across; each node has steps to 20 others of its graph."""
+    rng = random.Random(3)
+    name = lambda g, i: f"n{i * 60 + g}"
+    steps = [(name(g, i), name(g, j)) for g in range(60) for i in range(40) for j in rng.sample(range(40), 20)]
+    edges = spark.createDataFrame([(a, b, "CALLS", 1.0, True) for a, b in steps], "from_id string, to_id string, type string, confidence double, is_active boolean")
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(2401)], "id string")
+    found = {}
+    sent = shuffled_rows(spark, lambda: found.update({r.id: r.reached for r in graph.reach_counts(edges, nodes, 3, "in").collect()}))
+    assert found == {f"n{k}": 39 if k < 2400 else 0 for k in range(2401)}
+    assert sent < 150_000, sent
