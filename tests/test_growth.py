@@ -5,7 +5,9 @@ from __future__ import annotations
 import collections
 import random
 
-from kgloom.operators import graph
+from pyspark.sql import functions as F
+
+from kgloom.operators import graph, pipeline
 
 from .helpers import shuffled_rows
 
@@ -34,3 +36,26 @@ def test_reach_stays_in_its_part_of_the_graph(spark):
     sent = shuffled_rows(spark, lambda: found.update({r.id: r.reached for r in graph.reach_counts(edges, nodes, 3, "in").collect()}))
     assert found == {f"n{k}": 39 if k < 2400 else 0 for k in range(2401)}
     assert sent < 150_000, sent
+
+
+def test_ingestion_makes_what_is_asked_for_and_moves_edges_once(spark):
+    origin = {"source_type": F.lit("git"), "source_id": F.lit("s"), "observed_at": F.expr("TIMESTAMP '2024-01-01'"), "ingestion_run_id": F.lit("r")}
+    entities = spark.range(20).select(F.format_string("e%d", "id").alias("id"), F.when(F.col("id") == 19, "NOPE").otherwise("SERVICE").alias("type"), F.lit(
+        "").alias("sub_type"), F.format_string("name-%d", "id").alias("name"), F.lit("").alias("raw_name"), F.lit("n").alias("namespace"), F.lit("{}").alias(
+        "properties"), F.lit(0.5).alias("confidence"), F.lit(False).alias("is_partial"), F.col("id").alias("ordinal")).withColumns(origin)
+    edges = spark.range(2000).select(F.format_string("x%d", "id").alias("id"), F.lit("CALLS").alias("type"), F.format_string("e%d", F.col("id") % 20).alias(
+        "from_id"), F.format_string("e%d", F.floor(F.col("id") / 20) % 20).alias("to_id"), F.lit("{}").alias("properties"), F.lit(0.5).alias("confidence"), F.lit(
+        False).alias("is_inferred"), F.col("id").alias("ordinal")).withColumns(origin)
+    registry = spark.createDataFrame([], "canonical_id string, type string, name string, namespace string, aliases array<string>")
+    none = spark.createDataFrame([], "id string, type string, sub_type string, name string, namespace string, confidence double, properties string")
+    no_edges = spark.createDataFrame([], "id string, type string, from_id string, to_id string, confidence double, properties string")
+    out = {}
+
+    def rejects():
+        out["all"] = pipeline.ingest(entities, edges, registry, none, no_edges)
+        out["rejected"] = out["all"].rejected.collect()
+
+    assert shuffled_rows(spark, rejects) == 0 and len(out["rejected"]) == 101
+    sent = shuffled_rows(spark, lambda: out.update(edges=out["all"].relationships.collect()))
+    assert {(r.from_id, r.to_id) for r in out["edges"]} == {(f"e{a}", f"e{b}") for a in range(19) for b in range(19) if a != b}
+    assert {r.corroboration_count for r in out["edges"]} == {5} and sent < 4_000, sent
