@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kgloom.operators import graph, pipeline
+from kgloom.operators import graph, pipeline, similar
 
 from .helpers import shuffled_rows
 
@@ -59,3 +59,11 @@ def test_ingestion_makes_what_is_asked_for_and_moves_edges_once(spark):
     sent = shuffled_rows(spark, lambda: out.update(edges=out["all"].relationships.collect()))
     assert {(r.from_id, r.to_id) for r in out["edges"]} == {(f"e{a}", f"e{b}") for a in range(19) for b in range(19) if a != b}
     assert {r.corroboration_count for r in out["edges"]} == {5} and sent < 4_000, sent
+
+
+def test_names_that_share_a_segment_alone_are_not_moved(spark):
+    rng = random.Random(8)
+    names = sorted({"commons" + "".join(rng.choice("abcdefghij") for _ in range(10)) for _ in range(300)} | {"commonsaaaaaaaaaa", "commonsaaaaaaaaab"})
+    found = []
+    sent = shuffled_rows(spark, lambda: found.extend(similar.similar_pairs(spark.createDataFrame([(x,) for x in names], "text string"), 85).collect()))
+    assert ("commonsaaaaaaaaaa", "commonsaaaaaaaaab", 1) in {tuple(r) for r in found} and sent < 20_000, sent
