@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import collections
+import functools
 import random
 
 from pyspark.sql import functions as F
 
-from kgloom.operators import graph, pipeline, similar
+from kgloom import session
+from kgloom.operators import graph, pipeline, records, similar, substring
+from kgloom.plans import derived
 
 from .helpers import shuffled_rows
 
@@ -67,3 +70,9 @@ def test_names_that_share_a_segment_alone_are_not_moved(spark):
     found = []
     sent = shuffled_rows(spark, lambda: found.extend(similar.similar_pairs(spark.createDataFrame([(x,) for x in names], "text string"), 85).collect()))
     assert ("commonsaaaaaaaaaa", "commonsaaaaaaaaab", 1) in {tuple(r) for r in found} and sent < 20_000, sent
+
+
+def test_calls_are_made_in_parts_that_counts_keep_small(spark, monkeypatch):
+    monkeypatch.setattr(derived, "dealt", functools.partial(session.dealt, part_rows=500))
+    parts = [r["count"] for r in derived._calls(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) > 8 and max(parts) < 1_500, parts
