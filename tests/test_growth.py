@@ -76,3 +76,20 @@ def test_calls_are_made_in_parts_that_counts_keep_small(spark, monkeypatch):
     monkeypatch.setattr(derived, "dealt", functools.partial(session.dealt, part_rows=500))
     parts = [r["count"] for r in derived._calls(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()]
     assert len(parts) > 8 and max(parts) < 1_500, parts
+
+
+def test_walks_from_few_nodes_leave_the_edges_in_place(spark):
+    edges, found = _random_edges(spark, 40, 10, groups=20), {}
+    start = spark.createDataFrame([("g3n1",)], "origin string")
+
+    def act():
+        found["near"] = graph.neighborhood(edges, "g3n1", 2, "in")[0].collect()
+        found["hit"] = graph.blast_radius(edges, start, 2).collect()
+
+    assert shuffled_rows(spark, act) < 2_000
+    ways = collections.defaultdict(set)
+    for r in edges.collect():
+        ways[r.to_id].add(r.from_id)
+    one, two = ways["g3n1"], set().union(*(ways[x] for x in ways["g3n1"]))
+    assert {r.node: r.depth for r in found["near"]} == {x: 1 if x in one else 2 for x in (one | two) - {"g3n1"}}
+    assert {r.node for r in found["hit"]} == (one | two) - {"g3n1"}
