@@ -9,6 +9,8 @@ from kgloom import functions as fn
 from kgloom.operators import graph, paths, rules
 from kgloom.sources import code
 
+from kgloom.session import cut
+
 from . import derived, render
 from .catalog_graph import BUSIEST, busiest
 from .registry import query
@@ -245,6 +247,7 @@ def scan_openapi(spark, d):
 def report_origin(spark, d):
     """The whole context of the busiest service, summed up: all of its own edges are named."""
     c = derived.calls(spark, d)
-    nodes, _, _ = graph.relevance(c, busiest(c))
-    text = render.context(derived.services(spark, d), c, nodes, busiest(c), 10_000_000)
+    origin = busiest(c)
+    nodes, _, _ = graph.relevance(c, origin)
+    text = render.context(derived.services(spark, d), c, cut(nodes), origin, 10_000_000)
     return render.summaries(spark.createDataFrame([(text.text,)], "context string")).select("subject", "used_by", "uses")
