@@ -93,3 +93,18 @@ def test_walks_from_few_nodes_leave_the_edges_in_place(spark):
     one, two = ways["g3n1"], set().union(*(ways[x] for x in ways["g3n1"]))
     assert {r.node: r.depth for r in found["near"]} == {x: 1 if x in one else 2 for x in (one | two) - {"g3n1"}}
     assert {r.node for r in found["hit"]} == (one | two) - {"g3n1"}
+
+
+def test_couplings_over_tables_move_lists_not_pairs(spark):
+    rows = [(f"s{(97 * t + 13 * i) % 1500}", f"t{t}", "READS_FROM" if i < 25 else "WRITES_TO") for t in range(60) for i in range(50)]
+    accesses, found = spark.createDataFrame(rows, "from_id string, to_id string, type string"), {}
+    sent = shuffled_rows(spark, lambda: found.update({(r.from_id, r.to_id): (r.shared, r.shared_table) for r in records.infer_shared_resources(
+        accesses).collect()}))
+    want = collections.defaultdict(set)
+    for a, t, kind in rows:
+        if kind == "READS_FROM":
+            for b, u, other in rows:
+                if u == t and other == "WRITES_TO" and a != b:
+                    want[a, b].add(t)
+    assert found == {k: (len(v), min(v)) for k, v in want.items()}
+    assert sent < 15_000, sent
