@@ -108,3 +108,10 @@ def test_couplings_over_tables_move_lists_not_pairs(spark):
                     want[a, b].add(t)
     assert found == {k: (len(v), min(v)) for k, v in want.items()}
     assert sent < 15_000, sent
+
+
+def test_cycles_deal_pairs_once(spark):
+    edges, found = _random_edges(spark, 40, 10, groups=20), {}
+    sent = shuffled_rows(spark, lambda: found.update({r.node: r.component for r in graph.strongly_connected(edges).collect()}))
+    assert found == {f"g{g}n{a}": f"g{g}n0" for g in range(20) for a in range(40)}
+    assert sent < 35_000, sent
