@@ -115,3 +115,9 @@ def test_cycles_deal_pairs_once(spark):
     sent = shuffled_rows(spark, lambda: found.update({r.node: r.component for r in graph.strongly_connected(edges).collect()}))
     assert found == {f"g{g}n{a}": f"g{g}n0" for g in range(20) for a in range(40)}
     assert sent < 35_000, sent
+
+
+def test_steps_that_no_chain_can_keep_are_not_joined(spark):
+    edges, found = _random_edges(spark, 40, 20, confidence=0.6), []
+    sent = shuffled_rows(spark, lambda: found.extend(graph.transitive_dependencies(edges).collect()))
+    assert found == [] and sent < 1_500, sent
