@@ -121,3 +121,10 @@ def test_steps_that_no_chain_can_keep_are_not_joined(spark):
     edges, found = _random_edges(spark, 40, 20, confidence=0.6), []
     sent = shuffled_rows(spark, lambda: found.extend(graph.transitive_dependencies(edges).collect()))
     assert found == [] and sent < 1_500, sent
+
+
+def test_pairs_of_commits_are_counted_in_parts_that_counts_keep_small(spark, monkeypatch):
+    monkeypatch.setattr(graph, "dealt", functools.partial(session.dealt, part_rows=500))
+    commits = spark.range(3000).select(F.expr("id div 6").alias("commit_id"), F.concat(F.lit("f"), F.expr("id * 7 % 500")).alias("id"))
+    plan = graph.change_coupling(commits)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [left_id" in plan and ", 15" in plan, plan
