@@ -1,7 +1,8 @@
 """Which strings hold which: joins and searches over an inverted index of q-grams, and the lines that ranges hold.
 
 A text's grams are its q characters from every place on. A text that holds a pattern holds all of the pattern's grams, so the
-postings of its rarest two give the candidates, and each is verified once. Patterns shorter than q are the beginnings of grams.
+postings of its rarest ones give the candidates, and each is verified once: in searches of the rarest two, where patterns shorter than q
+are the beginnings of grams, in joins of the rarest one, in lengths near the pattern's own.
 Everything meets by equality of grams; no text is compared with all patterns. Nulls hold nothing and are held by nothing; the empty
 pattern is held by every text.
 """
@@ -11,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.session import cut
+from kgloom.session import counted, cut
 
 Q = 3
+#: Lengths in characters of the keys by which joins find patterns.
+KEYS = (1, 2, 3, 4, 6, 9, 13, 19, 28)
 #: Folders of a written index.
 PARTS = 64
 
@@ -23,39 +26,38 @@ def grams(text: Column, q: int = Q, whole: bool = False) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q if whole else 1},{q}}}))"), F.lit(1)))
 
 
-def _rarest(wanted: DataFrame, counts: DataFrame) -> DataFrame:
-    """pattern, one, two: the rarest two grams of each pattern (pattern, gram), of which none may be missing from counts (gram, n)."""
-    known = wanted.join(counts, "gram", "left").groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias(
-        "n"), "gram"))).alias("g"))
-    return known.where("g[0].n > 0").select("pattern", F.col("g")[0]["gram"].alias("one"), F.element_at("g", F.least(F.size("g"), F.lit(
-        2)))["gram"].alias("two"))
+def _keys(text: Column, size: int) -> Column:
+    return F.transform(grams(text, size, True), lambda g: F.xxhash64(g))
 
 
-def holding(texts: DataFrame, patterns: DataFrame, q: int = Q) -> DataFrame:
-    """text, pattern: every distinct text (column text) with every distinct pattern (column pattern) that it holds."""
+def holding(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """text, pattern: every distinct text (column text) with every distinct pattern (column pattern) that it holds.
+
+    A pattern's keys are hashes of its strings of the largest of ``KEYS`` that it is long enough for, at least two thirds of it up to
+    the last of them; texts have keys of those sizes that some pattern has. What meets grows with what is held, not with texts times
+    patterns over so many grams as there are of a few characters."""
     named = cut(texts.select("text").where("text IS NOT NULL").distinct().withColumn("t", F.monotonically_increasing_id()))
-    sought = cut(patterns.select("pattern").where("pattern IS NOT NULL").distinct())
-    posted = cut(named.select("t", F.explode(grams(F.col("text"), q)).alias("gram")))
-    size = F.char_length("pattern")
-    long = sought.where(size >= q).select("pattern", F.explode(grams(F.col("pattern"), q, True)).alias("gram"))
-    picked = _rarest(long, posted.groupBy("gram").agg(F.count("*").alias("n")))
-    near = picked.join(posted.withColumnRenamed("gram", "one"), "one").join(posted.withColumnRenamed("gram", "two"), ["t", "two"], "left_semi")
-    found = near.select("t", "pattern").join(named, "t").where(F.contains("text", "pattern")).select("text", "pattern")
-    begun = None
-    for k in range(1, q):
-        some = posted.select("t", F.substring("gram", 1, k).alias("pattern")).distinct().join(sought.where(size == k), "pattern")
-        begun = some if begun is None else begun.unionByName(some)
-    if begun is not None:
-        found = found.unionByName(begun.join(named, "t").where(F.contains("text", "pattern")).select("text", "pattern"))
+    sought = cut(patterns.select("pattern").where("pattern IS NOT NULL").distinct().withColumn("size", F.greatest(*[F.when(F.char_length(
+        "pattern") >= k, k).otherwise(0) for k in KEYS])))
+    sizes = sorted(r[0] for r in sought.where("size > 0").select("size").distinct().collect())  # as many as KEYS at most
     # one row at most
-    empty = sought.where("pattern = ''").limit(1)
-    return found.unionByName(named.join(F.broadcast(empty)).select("text", "pattern"))
-
-
-def touching(left: DataFrame, right: DataFrame, q: int = Q) -> DataFrame:
+    found = named.join(F.broadcast(sought.where("size = 0").limit(1))).select("text", "pattern")
+    if not sizes:
+        return found
+    key = F.coalesce(*[F.when(F.col("size") == k, _keys(F.col("pattern"), k)) for k in sizes])
+    wanted = cut(sought.where("size > 0").select("pattern", F.explode(key).alias("key")))
+    posted = named.select("t", F.explode(F.array_distinct(F.concat(*[_keys(F.col("text"), k) for k in sizes]))).alias("key"))
+    known = cut(posted.join(counted(cut(wanted.select("key").distinct())), "key", "left_semi"))
+    counts = known.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "key", "left").groupBy("pattern").agg(F.min(F.struct("n", "key")).alias("rare"), F.bool_and(F.col("n").isNotNull()).alias("all"))
+    near = rarest.where("all").select("pattern", "rare.key").join(known, "key").select("t", "pattern")
+    return found.unionByName(near.join(named, "t").where(F.contains("text", "pattern")).select("text", "pattern"))
+
+
+def touching(left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b: distinct strings of left (text) and right (text) of which one holds the other."""
-    one = holding(left, right.select(F.col("text").alias("pattern")), q).toDF("a", "b")
-    two = holding(right, left.select(F.col("text").alias("pattern")), q).toDF("b", "a")
+    one = holding(left, right.select(F.col("text").alias("pattern"))).toDF("a", "b")
+    two = holding(right, left.select(F.col("text").alias("pattern"))).toDF("b", "a")
     return one.unionByName(two.select("a", "b")).distinct()
 
 

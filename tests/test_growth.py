@@ -128,3 +128,15 @@ def test_pairs_of_commits_are_counted_in_parts_that_counts_keep_small(spark, mon
     commits = spark.range(3000).select(F.expr("id div 6").alias("commit_id"), F.concat(F.lit("f"), F.expr("id * 7 % 500")).alias("id"))
     plan = graph.change_coupling(commits)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [left_id" in plan and ", 15" in plan, plan
+
+
+def test_patterns_meet_texts_by_keys_near_their_own_length(spark):
+    rng = random.Random(6)
+    syllables = ["ber", "ley", "nim", "kot", "ans", "tor", "vic", "mar"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    texts, patterns = sorted({word(6) + "@x.org" for _ in range(600)}), sorted({word(4) for _ in range(600)} | {"", "b", "er", "ley"})
+    found = []
+    sent = shuffled_rows(spark, lambda: found.extend(substring.holding(spark.createDataFrame([(x,) for x in texts], "text string"), spark.createDataFrame([(
+        x,) for x in patterns], "pattern string")).collect()))
+    assert sorted((r.text, r.pattern) for r in found) == sorted((t, p) for t in texts for p in patterns if p in t)
+    assert sent < 25_000, sent
