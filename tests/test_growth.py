@@ -78,6 +78,12 @@ def test_calls_are_made_in_parts_that_counts_keep_small(spark, monkeypatch):
     assert len(parts) > 8 and max(parts) < 1_500, parts
 
 
+def _random_edges(spark, nodes: int, each: int, groups: int = 1, confidence: float = 0.9):
+    rng = random.Random(4)
+    rows = [(f"g{g}n{a}", f"g{g}n{b}", "IMPORTS", confidence, True) for g in range(groups) for a in range(nodes) for b in rng.sample(range(nodes), each)]
+    return spark.createDataFrame(rows, "from_id string, to_id string, type string, confidence double, is_active boolean")
+
+
 def test_walks_from_few_nodes_leave_the_edges_in_place(spark):
     edges, found = _random_edges(spark, 40, 10, groups=20), {}
     start = spark.createDataFrame([("g3n1",)], "origin string")
