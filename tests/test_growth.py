@@ -146,3 +146,19 @@ def test_patterns_meet_texts_by_keys_near_their_own_length(spark):
         x,) for x in patterns], "pattern string")).collect()))
     assert sorted((r.text, r.pattern) for r in found) == sorted((t, p) for t in texts for p in patterns if p in t)
     assert sent < 25_000, sent
+
+
+def test_index_moves_grams_of_blocks_and_not_of_texts(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(800)]
+    docs, found = session.cut(spark.createDataFrame(rows, "id long, body string")), set()
+
+    def act():
+        substring.write_index(docs, "body", str(tmp_path / "index"))
+        for text in (words[0][:4], words[1][:2]):
+            found.update((text, r.id) for r in substring.search_index(docs, "body", str(tmp_path / "index"), text).collect())
+
+    sent = shuffled_rows(spark, act)
+    assert found == {(t, i) for t in (words[0][:4], words[1][:2]) for i, b in rows if t in b}
+    assert sent < 20_000, sent

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,24 @@ def test_written_index(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(part" in plan and "NestedLoop" not in plan
 
 
+def test_index_of_blocks(spark, tmp_path, monkeypatch):
+    """Texts over the ends of blocks, bytes that are no characters alone, ids of another type, repeated ids, no texts at all."""
+    monkeypatch.setattr(substring, "BLOCK", 7)
+    block = substring._posted(3)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(["a", "b", "c", "a"]), "text": pa.array(["äöü abc", "", "b\0c", "abcabc"])})
+    own = {(g, i) for found in block([batch.slice(0, 2), batch.slice(2)]) for g, ids in zip(*(found.column(k).to_pylist() for k in (0, 1)), strict=True) for i in ids}
+    want = {(t.encode()[k:k + 3], i) for i, t in zip("abca", batch.column("text").to_pylist(), strict=True) for k in range(len(t.encode()))}
+    assert own == {(substring._code(g, 3), i) for g, i in want}
+    rows = [("a", "äöü abc"), ("b", None), ("c", "b\0c"), ("a", "abcabc"), ("d", ""), ("e", "x\U0001f600y")]
+    docs = spark.createDataFrame(rows, "id string, body string")
+    substring.write_index(docs, "body", str(tmp_path / "some"))
+    for text in ("Ö", "öü", "abc", "\0", "b\0", "\U0001f600", "x", "c", "bca"):
+        found = sorted((r.id, r.body) for r in substring.search_index(docs, "body", str(tmp_path / "some"), text).collect())
+        assert found == sorted((i, b) for i, b in rows if b is not None and text.lower() in b)
+    substring.write_index(docs.limit(0), "body", str(tmp_path / "none"))
+    assert [substring.search_index(docs.limit(0), "body", str(tmp_path / "none"), t).count() for t in ("abc", "a", "")] == [0, 0, 0]
+
+
 def test_lines_in_ranges(spark):
     rng = random.Random(4)
     ranges = [(rng.choice("fg"), a, a + rng.choice([0, 0, 1, 5, 63, 64, 900])) for a in (rng.randrange(0, 1000) for _ in range(150))] + [("f", 9, 3)]
