@@ -5,12 +5,12 @@ on the input, may overlap, and never cross documents.
 
 Equal strings must meet in one shard. Every window of ``width`` bytes has an anchor, the smallest hash of its ``gram``-byte
 strings; windows that follow each other mostly share it and form a piece. Anchors of one document only are ruled out by an
-aggregation of narrow rows and a join. The other pieces are cut from the texts; equal ones become one row with the smallest
-doc_id, so that a passage in every document is one row a task, and are dealt by anchor into shards. Each shard gets a suffix
-array (``suffix_array``) and its permuted common prefixes; neighbours that share ``width`` bytes are one string, whose smallest
-document decides about all its places. What comes back to the texts are spans of pieces. Pieces of an
-anchor with more than ``hot`` of them might be too many for a shard: where equal ones are one row and still many differ,
-their windows become rows of their own and are grouped by content, which gives the same spans.
+aggregation of narrow rows and a join, which read them dealt once. The other pieces are cut from the texts; equal ones become one row with the smallest
+doc_id, so that a passage in every document is one row a task, and are dealt by anchor into shards. There, pieces of one document
+that no other can share a window with are left out, and the others get a suffix array (``suffix_array``) and its permuted common prefixes; neighbours that share ``width`` bytes are one string, whose smallest
+document decides about all its places. What comes back to the texts are spans of pieces. More than ``hot``
+distinct pieces of one anchor might be too many for a shard: their windows become rows of their own and are grouped by content, which
+gives the same spans.
 
 Null or empty text has no bytes. A row with a null doc_id keeps all and takes none from others. Rows of one doc_id are one
 document: they take nothing from each other. Texts of any length are cut and kept whole. An empty table gives no rows. Extra columns
@@ -37,8 +37,8 @@ SEED = 42
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def _anchors(data: bytes, width: int, gram: int) -> np.ndarray:
-    """The anchor of the window at each byte (windows at the end left out)."""
+def _hashes(data: bytes, gram: int) -> np.ndarray:
+    """Of the ``gram``-byte string at each byte (those at the end left out)."""
     n = len(data)
     words = np.ndarray((n - 7,), "<u8", data, 0, (1,))
     size = n - gram + 1
@@ -48,6 +48,12 @@ def _anchors(data: bytes, width: int, gram: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= _MIX[3]
     h ^= h >> np.uint64(32)
+    return h
+
+
+def _anchors(data: bytes, width: int, gram: int) -> np.ndarray:
+    """The anchor of the window at each byte (windows at the end left out)."""
+    h = _hashes(data, gram)
     span, done = width - gram + 1, 1
     while 2 * done <= span:
         h = np.minimum(h[:-done], h[done:])
@@ -102,6 +108,28 @@ def pieces(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def related(strings: list[bytes], anchors: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """Which pieces may hold a window that another of these holds. Such a window has their anchor in it, and half of its other bytes lie
+    on one side of that: a piece whose anchor, wherever it stands, has neither of its sides in common with another piece holds none."""
+    data, size = b"".join(strings), np.array([len(s) for s in strings])
+    end, side = np.cumsum(size), (width - gram) // 2
+    of = np.repeat(np.arange(len(strings), dtype=np.int32), size)
+    h = _hashes(data, gram)
+    at = np.flatnonzero(h == anchors.view(np.uint64)[of[:len(h)]])
+    out = np.zeros(len(strings), bool)
+    for first in (at - side, at):
+        piece = of[at]
+        inside = (first >= (end - size)[piece]) & (first + gram + side <= end[piece])
+        first, piece = first[inside], piece[inside]
+        key = np.zeros(len(first), np.uint64)
+        for off in (*range(0, side, gram), side):
+            key = (key ^ h[first + off]) * _MIX[0]
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        out[piece[order[1:][same]]] = out[piece[order[:-1][same]]] = True
+    return out
+
+
 def _encoded(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
 
@@ -113,28 +141,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(doc, text).alias("row"), doc.alias("doc"), text.alias("text")).where("doc IS NOT NULL")
 
 
-def _shared(rows: DataFrame, width: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """The anchors (h) with more than ``hot`` pieces; and for rows that hold anchors of two documents or more: row and its pieces of
-    these (anchor, first window, windows). Both are written."""
-    seen = pa.schema([("h", pa.int64()), ("doc", pa.int64())])
+def _shared(rows: DataFrame, width: int, gram: int) -> DataFrame:
+    """For rows that hold anchors of two rows or more: row and its pieces of these (anchor, first window, windows). Written."""
     marked = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, h, _, _ = pieces(_encoded(batch), width, gram)
-            yield common.record(seen, h=h, doc=batch.column("doc").to_numpy()[of])
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, h, first, count = pieces(_encoded(batch), width, gram)
             yield common.record(marked, h=h, row=batch.column("row").to_numpy()[of], at=first * (RUN + 1) + count)
 
-    anchors = rows.select("doc", "text").mapInArrow(common.lean(once), "h long, doc long").groupBy("h").agg(F.min("doc").alias("low"),
-        F.max("doc").alias("high"), F.count("*").alias("n"))
-    anchors = common.saved(anchors.where("low < high").select("h", "n"), "anchors")
-    places = rows.select("row", "text").mapInArrow(common.lean(each), "h long, row long, at long")
+    # dealt once: both sides of the join need the same three columns of it
+    places = rows.select("row", "text").mapInArrow(common.lean(each), "h long, row long, at long").repartition("h")
+    anchors = places.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("at").alias("n")).where("low < high AND n > 1")
     found = places.join(anchors.select("h").hint("shuffle_hash"), "h").groupBy("row").agg(F.collect_list(F.struct("h", "at")).alias("places"))
-    return common.saved(anchors.where(F.col("n") > hot).select("h"), "hot", keep=True), common.saved(found, "places")
+    return common.saved(found, "places")
 
 
 def _cut(rows: DataFrame, shared: DataFrame, width: int) -> DataFrame:
@@ -171,12 +191,16 @@ def _by_window(pieces: DataFrame, width: int) -> DataFrame:
     return windows.join(least, "window").where("least < high").select("h", "id", at.alias("low"), at.alias("high"), "least")
 
 
-def _spans(found: DataFrame, many: DataFrame, width: int, shard_bytes: int) -> DataFrame:
+def _spans(found: DataFrame, width: int, gram: int, shard_bytes: int, hot: int) -> DataFrame:
     """For each piece the runs of windows (low .. high) whose smallest document is ``least``: h, id, low, high, least."""
     schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("least", pa.int64())])
 
     def search(group: pa.Table) -> pa.Table:
+        low, high = (group.column(c).to_numpy() for c in ("low", "high"))
+        group = group.filter(pa.array((low < high) | related(group.column("piece").to_pylist(), group.column("h").to_numpy(), width, gram)))
         strings = group.column("piece").to_pylist()
+        if not strings:
+            return schema.empty_table()
         s = Suffixes(strings)
         owner = group.column("low").to_numpy()[s.of]
         shared, order = s.common(), s.sa
@@ -199,13 +223,19 @@ def _spans(found: DataFrame, many: DataFrame, width: int, shard_bytes: int) -> D
     distinct = common.saved(distinct, "distinct")
     total = distinct.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    apart = many.count() > 0
+    shard = F.pmod("h", F.lit(shards)).alias("shard")
+    # only a shard of more pieces can have an anchor of more
+    full = common.saved(distinct.groupBy(shard).agg(F.count("*").alias("n")).where(F.col("n") > hot).select("shard"), "full")
+    apart = full.count() > 0
+    if apart:
+        crowded = distinct.select("h", shard).join(full, "shard", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
+        many = common.saved(crowded.where(F.col("n") > hot).select("h"), "hot")
     usual = distinct.join(many, "h", "left_anti") if apart else distinct
-    spans = usual.groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(search, "h long, id long, low long, high long, least long")
+    spans = usual.groupBy(shard).applyInArrow(search, "h long, id long, low long, high long, least long")
     return spans.unionByName(_by_window(distinct.join(many, "h", "left_semi").withColumn("id", F.xxhash64("piece")), width)) if apart else spans
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 16, shard_bytes: int = 4 << 20, hot: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 16, shard_bytes: int = 1 << 20, hot: int = 50_000) -> DataFrame:
     """docs with four more columns: n_bytes, n_removed, n_spans (maximal removed runs) and ``kept``, the other bytes."""
     common.tune(docs.sparkSession)
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
@@ -215,10 +245,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 16, shard_bytes
     with common.swept(spark), common.scratch(spark):
         rows = _keyed(docs)
         with common.scratch(spark):
-            many, shared = _shared(rows, width, gram, hot)
-            found = _cut(rows, shared, width)
+            found = _cut(rows, _shared(rows, width, gram), width)
         with common.scratch(spark):
-            spans = common.saved(_spans(found, many, width, shard_bytes), "spans", keep=True).withColumnsRenamed({"h": "h2", "id": "id2"})
+            spans = common.saved(_spans(found, width, gram, shard_bytes, hot), "spans", keep=True).withColumnsRenamed({"h": "h2", "id": "id2"})
         at = found.select("row", "doc", "h", F.xxhash64("piece").alias("id"), "first")
         gone = at.join(spans, (F.col("h") == F.col("h2")) & (F.col("id") == F.col("id2"))).where("least < doc").select(F.col("row").alias(
             "__row"), (F.col("first") + F.col("low")).alias("a"), (F.col("first") + F.col("high") + width).alias("b"))

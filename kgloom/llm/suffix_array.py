@@ -4,7 +4,7 @@ The strings stand one after the other, each closed by an end mark that is smalle
 marks (a later one is smaller), so no comparison runs over the end of a string.
 
 Suffixes are classified as smaller or larger than their successor; the leftmost-smaller ones are sorted by recursion over the
-names of the substrings between them, until most names occur once; the others are induced from these, bucket by bucket. Buckets are scanned in batches:
+names of the substrings between them, until names occur few times and are told apart by rank doubling; the others are induced from these, bucket by bucket. Buckets are scanned in batches:
 neighbouring buckets none of whose suffixes is placed into another bucket of the batch have their predecessors placed by
 one stable sort, in the order in which a scan one by one would place them.
 """
@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Names that occur more often than this, on average, are sorted by recursion, others by doubling.
+DOUBLE = 64
+
 
 def _kinds(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one; the last is."""
@@ -148,18 +151,20 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _settle(t: np.ndarray, symbols: int) -> np.ndarray:
-    """The suffix array of a text most of whose symbols occur once: the others are told apart by the ranks of what follows, twice
-    as far each time."""
+    """The suffix array of a text whose last symbol is the smallest and occurs once: equal symbols are told apart by the ranks of what
+    follows, twice as far each time."""
     count = np.bincount(t, minlength=symbols)
     rank = (np.cumsum(count) - count)[t]
     left, step = np.flatnonzero(count[t] > 1), 1
     while len(left):
-        own, after = rank[left], rank[left + step]
-        order = np.lexsort((after, own))
-        left, own, after = left[order], own[order], after[order]
+        # both ranks in one number
+        key = rank[left] * len(t) + rank[left + step]
+        order = np.argsort(key)
+        left, key = left[order], key[order]
+        own = rank[left]
         at = np.arange(len(left))
         group = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), at, 0))
-        new = np.append(True, (own[1:] != own[:-1]) | (after[1:] != after[:-1]))
+        new = np.append(True, key[1:] != key[:-1])
         start = np.maximum.accumulate(np.where(new, at, 0))
         rank[left] = own + start - group
         alone = new & np.append(new[1:], True)
@@ -181,7 +186,7 @@ def _sort(t: np.ndarray, symbols: int, ends: np.ndarray) -> np.ndarray:
         place = np.empty(len(t), np.int32)
         place[order] = name
         reduced = place[work.lms]
-        if 2 * names > len(reduced):
+        if DOUBLE * names > len(reduced):
             found = _settle(reduced, names)
         else:
             found = _sort(reduced.astype(np.uint16 if names <= 1 << 16 else np.int32), names, np.array([len(reduced) - 1]))

@@ -15,6 +15,7 @@ import pytest
 from kgloom.llm import divergence, funnels, repeats
 from kgloom.llm.suffix_array import Suffixes
 
+from ..helpers import shuffled_rows
 from .helpers import docs, prose, result
 
 MINUTE = 60_000_000
@@ -90,6 +91,34 @@ def test_removal_equals_brute_force(spark, hot, monkeypatch):
     assert own == Counter(plain_removal(rows))
 
 
+def test_pieces_left_out_share_no_window():
+    """Only pieces that share no window with another are left out of a shard, and most of those that share none are."""
+    rng = random.Random(12)
+    some = [t.encode() for _, t in texts_with_repeats() if t]
+    some += [b"".join(prose(rng, 6).encode() + b" one anchor in common " for _ in range(5)) for _ in range(30)] + [b"y" * 90 + b"z" + b"y" * 70]
+    for width, gram in ((50, 16), (50, 50), (24, 9), (33, 8)):
+        of, h, first, count = repeats.pieces(some, width, gram)
+        cut = sorted({(int(k), some[i][a:a + n + width - 1]) for i, k, a, n in zip(of, h, first, count, strict=True)})
+        own = repeats.related([p for _, p in cut], np.array([k for k, _ in cut]), width, gram)
+        windows = [{p[i:i + width] for i in range(len(p) - width + 1)} for _, p in cut]
+        number = Counter(w for s in windows for w in s)
+        shares = np.array([any(number[w] > 1 for w in s) for s in windows])
+        assert not (shares & ~own).any() and shares.any()
+        assert (~own).sum() > 0.5 * (~shares).sum()
+
+
+def test_pieces_are_dealt_once(spark):
+    rows = docs(spark, texts_with_repeats()).repartition(2).localCheckpoint()
+    texts = [(r.text or "").encode() for r in rows.collect() if r.doc_id is not None]
+    number = len(repeats.pieces(texts, 50, 16)[0])
+    found = []
+    sent = shuffled_rows(spark, lambda: found.extend(repeats.remove_repeats(rows).collect()))
+    own = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found)
+    assert own == Counter(plain_removal(texts_with_repeats()))
+    print("pieces", number, "sent", sent)
+    assert sent < 1.8 * number, (sent, number)
+
+
 def test_removal_of_nothing_and_other_columns(spark):
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
     rows = docs(spark, [(1, "k" * 80), (2, "k" * 80)]).selectExpr("doc_id", "text", "1 AS h", "2 AS row", "3 AS low", "4 AS kept")
