@@ -152,7 +152,7 @@ def _f(p: Column, q: Column) -> Column:
 def audit(docs: DataFrame, least: int = 3, top: int = 200, shard_terms: int = 500_000, salt_bytes: int = 32 << 20) -> DataFrame:
     """lang, source, part, item, value, rank. Part ``pair``: how far each other source of the language is. Part ``term``: the
     ``top`` terms that the source uses more than its language does."""
-    kept = common.saved(kept_terms(docs, least), "kept")
+    kept = common.saved(kept_terms(docs, least), "terms")
     postings = count_terms(docs, kept, shard_terms, salt_bytes)
     key = ["lang", "source"]
     langs = _documents(docs).select(*key).distinct()
