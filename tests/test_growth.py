@@ -162,3 +162,25 @@ def test_index_moves_grams_of_blocks_and_not_of_texts(spark, tmp_path):
     sent = shuffled_rows(spark, act)
     assert found == {(t, i) for t in (words[0][:4], words[1][:2]) for i, b in rows if t in b}
     assert sent < 20_000, sent
+
+
+def test_reach_makes_whole_rows_where_everything_is_reached(spark):
+    """3,000 nodes with 5 random steps each, so that in the end nearly all reach nearly all: what a task makes is not merged once more."""
+    rng, n = random.Random(9), 3000
+    steps = [(a, b) for a in range(n) for b in rng.sample(range(n), 5)]
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", "CALLS", 1.0, True) for a, b in steps], "from_id string, to_id string, type string, confidence double, is_active boolean")
+    nodes, ways, found = spark.range(n).select(F.concat(F.lit("n"), "id").alias("id")), collections.defaultdict(list), {}
+    for a, b in steps:
+        ways[a].append(b)
+    sets = [1 << a for a in range(n)]
+    for _ in range(5):
+        sets = [functools.reduce(int.__or__, (sets[b] for b in ways[a]), sets[a]) for a in range(n)]
+    sent = shuffled_rows(spark, lambda: found.update({r.id: r.reached for r in graph.reach_counts(edges, nodes, 5, "out").collect()}))
+    assert found == {f"n{a}": s.bit_count() - 1 for a, s in enumerate(sets)}
+    assert sent < 300_000, sent
+
+
+def test_reach_is_whole_where_parts_are_small(spark):
+    edges, nodes = _random_edges(spark, 60, 3, groups=12), spark.range(721).select(F.concat(F.lit("g"), F.expr("id div 60"), F.lit("n"), F.expr("id % 60")).alias("id"))
+    one, small = (sorted(map(tuple, graph.reach_counts(edges, nodes, 3, "in", *parts).collect())) for parts in ((), (50, 1)))
+    assert one == small and dict(one)["g12n0"] == 0 and max(n for _, n in one) > 20
