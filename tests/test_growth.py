@@ -184,3 +184,37 @@ def test_reach_is_whole_where_parts_are_small(spark):
     edges, nodes = _random_edges(spark, 60, 3, groups=12), spark.range(721).select(F.concat(F.lit("g"), F.expr("id div 60"), F.lit("n"), F.expr("id % 60")).alias("id"))
     one, small = (sorted(map(tuple, graph.reach_counts(edges, nodes, 3, "in", *parts).collect())) for parts in ((), (50, 1)))
     assert one == small and dict(one)["g12n0"] == 0 and max(n for _, n in one) > 20
+
+
+def test_couplings_above_move_lists_not_pairs(spark):
+    rng = random.Random(7)
+    rows = [(c, f"f{x}") for c in range(150) for x in rng.sample(range(400), 40)] + [(1000 + c, f"t{x}") for c in range(30) for x in (c % 3, 3 + c % 3)]
+    commits, found = spark.createDataFrame([*rows, *rows[:50], (None, "f1"), (3, None)], "commit_id long, id string"), {}
+    sent = shuffled_rows(spark, lambda: found.update({(r.left_id, r.right_id): (r.together, r.coupling) for r in graph.coupled_above(commits,
+        20).collect()}))
+    own = collections.defaultdict(set)
+    for c, x in [*rows, (None, "f1")]:
+        own[x].add(c)
+    both = {(a, b): len(own[a] & own[b] - {None}) for a in own for b in own if a < b}
+    want = {k: n for k, n in both.items() if 100 * n >= 20 * (len(own[k[0]]) + len(own[k[1]]) - n)}
+    assert {k: n for k, (n, _) in found.items()} == want and ("t0", "t3") in want and any(k[0][0] == "f" for k in want)
+    assert sent < 30_000, sent
+
+
+def test_a_number_of_many_lists_is_counted_by_steps_and_slots(spark, monkeypatch):
+    from kgloom.operators import pairs
+
+    rng = random.Random(2)
+    rows = [(0 if i % 2 else rng.randrange(50), rng.sample(range(300), 20), f"k{rng.randrange(90):02}") for i in range(800)]
+    lists = spark.createDataFrame([(a, b % 4, [b], 2, k) for a, others, k in rows for b in others], "a int, slot int, others array<int>, least int, label string")
+    want = collections.defaultdict(list)
+    for a, others, k in rows:
+        for b in others:
+            if a != b:
+                want[a, b].append(k)
+    got = {(r.a, r.b): (r.n, r.label) for r in pairs.counted(lists, 16_000, labelled=True).collect()}
+    assert got == {x: (len(v), min(v)) for x, v in want.items() if len(v) > 1}
+    monkeypatch.setattr(pairs, "STEP", 100)
+    batch = lists.groupBy("a", "least", "label").agg(F.flatten(F.collect_list("others")).alias("others")).select("a", "least", "others", "label").toArrow()
+    steps = list(pairs._counts(True)(iter(batch.to_batches())))
+    assert len(steps) > 20 and {(r["a"], r["b"]): (r["n"], r["label"]) for s in steps for r in s.to_pylist()} == got
