@@ -218,3 +218,42 @@ def test_a_number_of_many_lists_is_counted_by_steps_and_slots(spark, monkeypatch
     batch = lists.groupBy("a", "least", "label").agg(F.flatten(F.collect_list("others")).alias("others")).select("a", "least", "others", "label").toArrow()
     steps = list(pairs._counts(True)(iter(batch.to_batches())))
     assert len(steps) > 20 and {(r["a"], r["b"]): (r["n"], r["label"]) for s in steps for r in s.to_pylist()} == got
+
+
+def _batch(spark, services: int, tables: int, unknown: int):
+    """Services, of which the last are of an unknown type, each reading and writing every table; properties of the first in another form."""
+    origin = {"source_type": F.lit("git"), "source_id": F.lit("s"), "observed_at": F.expr("TIMESTAMP '2024-01-01'"), "ingestion_run_id": F.lit("r")}
+    own = spark.range(services).select(F.format_string("s%02d", "id").alias("id"), F.when(F.col("id") < services - unknown, "SERVICE").otherwise("NOPE").alias("type"))
+    both = own.unionByName(spark.range(tables).select(F.format_string("t%02d", "id").alias("id"), F.lit("DATABASE_TABLE").alias("type")))
+    entities = both.select("id", "type", F.lit("").alias("sub_type"), F.concat(F.lit("name-"), "id").alias("name"), F.lit("").alias("raw_name"), F.lit("n").alias(
+        "namespace"), F.lit("{}").alias("properties"), F.lit(0.5).alias("confidence"), F.lit(False).alias("is_partial"), F.xxhash64("id").alias("ordinal")).withColumns(origin)
+    edges = own.select(F.col("id").alias("from_id")).crossJoin(spark.range(tables).select(F.format_string("t%02d", "id").alias("to_id"))).select("*", F.explode(F.array(F.lit(
+        "READS_FROM"), F.lit("WRITES_TO"))).alias("type")).select(F.concat_ws(">", "from_id", "type", "to_id").alias("id"), "type", "from_id", "to_id", F.lit("{}").alias(
+        "properties"), F.lit(0.5).alias("confidence"), F.lit(False).alias("is_inferred"), F.xxhash64("from_id", "to_id", "type").alias("ordinal")).withColumns(origin)
+    registry = spark.createDataFrame([], "canonical_id string, type string, name string, namespace string, aliases array<string>")
+    none = spark.createDataFrame([], "id string, type string, sub_type string, name string, namespace string, confidence double, properties string")
+    no_edges = spark.createDataFrame([], "id string, type string, from_id string, to_id string, confidence double, properties string")
+    return session.cut(entities), session.cut(edges), registry, none, no_edges
+
+
+def test_ingestion_leaves_unknown_ends_out_before_it_makes_couplings(spark):
+    batch, found = _batch(spark, 60, 12, 40), []
+    sent = shuffled_rows(spark, lambda: found.extend(pipeline.ingest(*batch).mutations.collect()))
+    known = [f"s{i:02}" for i in range(20)]
+    assert sum(r.kind == "relationship" for r in found) == 20 * 12 * 2 + 20 * 19
+    entities = sorted(r.id for r in found if r.kind == "entity")
+    assert entities == known + [f"t{i:02}" for i in range(12)]
+    assert [r.id for r in sorted(found, key=lambda r: r.ordinal)] == entities + sorted(r.id for r in found if r.kind == "relationship")
+    assert sent < 5_000, sent
+
+
+def test_an_edge_stored_in_another_form_is_not_changed(spark):
+    entities, edges, registry, none, no_edges = _batch(spark, 6, 2, 0)
+    first = pipeline.ingest(entities, edges, registry, none, no_edges)
+    k = F.xxhash64("id") % 5
+    spaced = F.when(k == 0, F.regexp_replace("properties", '":', '" : ')).when(k == 1, F.regexp_replace("properties", "shared_resource", "x")).when((k == 2) & (F.col(
+        "properties") == "{}"), F.lit(None)).otherwise(F.col("properties"))
+    stored = session.cut(first.relationships)
+    again = pipeline.ingest(entities, edges, first.registry, first.entities, stored.withColumn("properties", spaced)).mutations
+    want = {r.id for r in stored.where((k == 1) & F.col("properties").contains("shared_resource")).collect()}
+    assert {(r.kind, r.id, r.op) for r in again.collect()} == {("relationship", i, "UPDATE") for i in want} and want
